@@ -254,18 +254,27 @@ def alert_for(df: DataFrame, step_s: int, for_s: int, series=None, ts: str = "ts
                .drop("_i", "_g"))
 
 
-def eval_grid(per_step: DataFrame, step_s: int, window_s: int, by=None,
-              ts: str = "ts") -> DataFrame:
+def eval_grid(per_step: DataFrame, step_s: int, window_s: int, ts: str = "ts") -> DataFrame:
     """Spread per-step partial aggregates (stamped at bucket end) onto every
-    evaluation instant whose trailing window ``(t-w, t]`` covers them. The
-    fan-out is the constant ``window/step`` on already-aggregated rows."""
+    evaluation instant ``t`` whose trailing window ``(t-w, t]`` covers them.
+    The fan-out is the constant ``window/step`` on already-aggregated rows;
+    callers re-aggregate by the new ``ts``."""
     n = int(window_s // step_s)
+    k = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    others = [c for c in per_step.columns if c != ts]
+    return (per_step.select("*", k.alias("_k"))
+                    .select(T.from_epoch_us(T.epoch_us(ts) + F.col("_k") * F.lit(int(step_s) * 1_000_000)).alias(ts),
+                            *others))
+
+
+def step_counts(df: DataFrame, step_s: int, by=None, ts: str = "ts", name: str = "n",
+                value: str | None = None, agg=None) -> DataFrame:
+    """Per-step partial aggregate stamped at bucket end (count, or ``agg`` of
+    ``value``)."""
     keys = _cols(by)
-    others = [c for c in per_step.columns if c not in keys and c != ts]
-    return (per_step.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_k"))
-                    .select(T.add_seconds(F.col(ts), 0).alias("_t0"), "_k", *keys, *others)
-                    .select(T.from_epoch_us(T.epoch_us("_t0") + F.col("_k") * F.lit(int(step_s) * 1_000_000)).alias(ts),
-                            *keys, *others))
+    a = F.count(F.lit(1)) if value is None else (agg or F.sum)(value)
+    return (df.groupBy(T.bucket_index(ts, step_s).alias("_b"), *keys).agg(a.alias(name))
+              .select(T.index_to_ts(F.col("_b") + 1, step_s).alias(ts), *keys, name))
 
 
 # E16 --------------------------------------------------------------------

@@ -10,3 +10,13 @@ ORACLE: dict = {}
 
 QUERIES.update(PANELS)
 ORACLE.update(O.panel_sql())
+
+from pipework.plans.alerts import ALERTS  # noqa: E402
+
+QUERIES.update(ALERTS)
+ORACLE.update(O.alert_sql())
+
+from pipework.plans.monitoring import MONITORING  # noqa: E402
+
+QUERIES.update(MONITORING)
+ORACLE.update(O.monitoring_sql())

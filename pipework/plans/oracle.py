@@ -241,3 +241,185 @@ def panel_sql() -> dict[str, str]:
         "api_traces": _traces_sql("click"), "ctl_traces": _traces_sql("view"), "rt_traces": _traces_sql("purchase"),
     }
     return s
+
+
+# ---------------------------------------------------------------------------
+# alert rules
+# ---------------------------------------------------------------------------
+RULES = {
+    "alert_api_errors": ("FlowPipeApiHighErrorRate", "api", 'Flow API 5xx error rate above "0.05"'),
+    "alert_api_latency": ("FlowPipeApiHighLatency", "api", "Flow API p95 latency above 500ms"),
+    "alert_reconcile_failures": ("FlowPipeControllerReconcileFailures", "controller",
+                                 "Flow controller reconcile failures detected"),
+    "alert_queue_depth": ("FlowPipeControllerQueueDepthHigh", "controller", "Flow controller queue depth above 100"),
+    "alert_dwell": ("FlowPipeRuntimeQueueDwellHigh", "runtime", "Runtime queue dwell p95 above 5000ms"),
+    "alert_stage_errors": ("FlowPipeRuntimeStageErrors", "runtime", "Runtime stage errors detected"),
+}
+
+
+def _bucket(ts: str = "ts") -> str:
+    return f"CAST(floor(epoch_us({ts}) / 60000000.0) AS BIGINT) + 1"
+
+
+def _alert_tail(key: str, cond: str) -> str:
+    """``cond`` is a CTE (e BIGINT minute-end index, v DOUBLE) of true instants."""
+    name, comp, summ = RULES[key]
+    summ = summ.replace("'", "''")
+    return f""", isl AS (SELECT e, v, e - row_number() OVER (ORDER BY e) AS g FROM {cond}),
+    fa AS (SELECT e, v, min(e) OVER (PARTITION BY g) AS s FROM isl)
+    SELECT '{name}' AS alertname, make_timestamp(e * 60000000) AS ts, round(v, 6) AS value,
+           make_timestamp(s * 60000000) AS active_since,
+           CASE WHEN (e - s) * 60 >= 600 THEN 'firing' ELSE 'pending' END AS state,
+           'warning' AS severity, '{comp}' AS component, '{summ}' AS summary
+    FROM fa"""
+
+
+def _grid_quantile(src: str, value: str, bounds, window_min: int) -> str:
+    return f"""gq AS (SELECT {_bucket()} AS e, {le_case(value, bounds)} AS le, count(*) AS cnt FROM {src} GROUP BY ALL),
+    gg AS (SELECT e + k AS e, le, sum(cnt) AS cnt FROM gq, range(0, {window_min}) r(k) GROUP BY ALL),
+    gs AS (SELECT *, sum(cnt) OVER (PARTITION BY e ORDER BY le ROWS UNBOUNDED PRECEDING) AS cum,
+                  sum(cnt) OVER (PARTITION BY e) AS tot FROM gg),
+    gp AS (SELECT e, min(le) AS le FROM gs WHERE cum >= 0.95 * tot GROUP BY e),
+    gv AS (SELECT gs.* FROM gs JOIN gp USING (e, le)),
+    gr AS (SELECT e, CASE WHEN le = 'inf'::DOUBLE THEN {float(max(bounds))!r}
+                  ELSE ({lower_case('le', bounds)}) + (le - ({lower_case('le', bounds)}))
+                       * (0.95 * tot - (cum - cnt)) / cnt END AS v FROM gv)"""
+
+
+def alert_sql() -> dict[str, str]:
+    s = {}
+    s["alert_api_errors"] = with_("access") + f""", per AS (
+        SELECT {_bucket()} AS e, count(*) AS tot,
+               count(CASE WHEN regexp_full_match(CAST(status AS VARCHAR), '5..') THEN 1 END) AS err
+        FROM access GROUP BY 1),
+    w AS (SELECT e + k AS e, sum(tot) AS tot, sum(err) AS err FROM per, range(0, 10) r(k) GROUP BY 1),
+    c AS (SELECT e, err / tot AS v FROM w WHERE tot >= 20 AND err / tot > 0.05)""" + _alert_tail("alert_api_errors", "c")
+    s["alert_api_latency"] = with_("access") + ", " + _grid_quantile("access", "latency_ms", MS_BOUNDS, 5) + \
+        ", c AS (SELECT e, v FROM gr WHERE v > 500)" + _alert_tail("alert_api_latency", "c")
+    s["alert_reconcile_failures"] = with_("reconcile") + f""", per AS (
+        SELECT {_bucket()} AS e, count(*) AS n FROM reconcile WHERE NOT ok GROUP BY 1),
+    c AS (SELECT e + k AS e, CAST(sum(n) AS DOUBLE) AS v FROM per, range(0, 10) r(k) GROUP BY 1 HAVING sum(n) >= 1)""" + \
+        _alert_tail("alert_reconcile_failures", "c")
+    s["alert_queue_depth"] = with_("work") + ", " + DEPTH + f""",
+    c AS (SELECT CAST(epoch_us(ts) / 60000000 AS BIGINT) + k AS e, CAST(max(depth) AS DOUBLE) AS v
+          FROM depth, range(0, 10) r(k) GROUP BY 1 HAVING max(depth) > 100)""" + _alert_tail("alert_queue_depth", "c")
+    deq = "(SELECT dequeue_ts AS ts, dwell_ns FROM rt WHERE dequeue_ts IS NOT NULL)"
+    s["alert_dwell"] = with_("rt") + ", " + _grid_quantile(deq, "dwell_ns", NS_BOUNDS, 5) + \
+        ", c AS (SELECT e, v / 1e6 AS v FROM gr WHERE v / 1e6 > 5000)" + _alert_tail("alert_dwell", "c")
+    s["alert_stage_errors"] = with_("rt") + f""", per AS (
+        SELECT {_bucket()} AS e, count(*) AS n FROM rt WHERE error GROUP BY 1),
+    c AS (SELECT e + k AS e, CAST(sum(n) AS DOUBLE) AS v FROM per, range(0, 10) r(k) GROUP BY 1 HAVING sum(n) >= 1)""" + \
+        _alert_tail("alert_stage_errors", "c")
+    return s
+
+
+# ---------------------------------------------------------------------------
+# generic monitoring operators and record-derived metrics
+# ---------------------------------------------------------------------------
+SAMPLES = """smp_m AS (SELECT CAST(floor(epoch_us(ts) / 60000000.0) AS BIGINT) + 1 AS e, queue, count(*) AS n
+                  FROM rt WHERE enqueued GROUP BY ALL),
+    samples AS (SELECT make_timestamp(e * 60000000) AS ts, queue,
+                       CAST(sum(n) OVER (PARTITION BY queue, (e * 60000000 - 1) // 86400000000
+                                         ORDER BY e ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS value
+                FROM smp_m)"""
+
+INCREASE = """inc_d AS (SELECT queue, ts, value, lag(value) OVER (PARTITION BY queue ORDER BY ts) AS prev FROM samples),
+    inc_x AS (SELECT queue, ts, epoch_us(ts) AS us,
+                     CASE WHEN prev IS NULL THEN 0.0 WHEN value < prev THEN value ELSE value - prev END AS delta
+              FROM inc_d)"""
+
+
+def _inc_window(w_s: int) -> str:
+    return f"""sum(delta) OVER (PARTITION BY queue ORDER BY us RANGE BETWEEN {w_s * 1000000 - 1} PRECEDING AND CURRENT ROW)"""
+
+
+def _qrate(src: str, keys: list[str]) -> str:
+    kc = "".join(", " + k for k in keys)
+    return f"""SELECT make_timestamp((CAST(floor(epoch_us(ts) / 60000000.0) AS BIGINT) + 1) * 60000000) AS ts{kc},
+               count(*) / 60.0 AS value FROM {src} GROUP BY ALL"""
+
+
+def monitoring_sql() -> dict[str, str]:
+    s = {}
+    s["sel_eq"] = with_("access") + """SELECT request_id, ts, status, latency_ms FROM access
+        WHERE method = 'GET' AND route = '/v1/click'"""
+    s["sel_regex"] = with_("access") + """SELECT request_id, ts, status FROM access
+        WHERE regexp_full_match(CAST(status AS VARCHAR), '5..')"""
+    s["increase_10m"] = with_("rt") + ", " + SAMPLES + ", " + INCREASE + f"""
+        SELECT queue, ts, round({_inc_window(600)}, 6) AS increase FROM inc_x"""
+    s["rate_1m"] = with_("rt") + ", " + SAMPLES + ", " + INCREASE + f"""
+        SELECT queue, ts, round({_inc_window(60)} / 60.0, 6) AS rate FROM inc_x"""
+    s["max_over_time"] = with_("work") + ", " + DEPTH + """
+        SELECT ts, max(depth) OVER (ORDER BY epoch_us(ts) RANGE BETWEEN 599999999 PRECEDING AND CURRENT ROW) AS max_depth
+        FROM depth"""
+    qr = f"qr AS ({_qrate('(SELECT * FROM rt WHERE enqueued)', ['queue'])})"
+    s["sum_all"] = with_("rt") + ", " + qr + " SELECT ts, round(sum(value), 6) AS value FROM qr GROUP BY ts"
+    s["max_all"] = with_("rt") + ", " + qr + " SELECT ts, round(max(value), 6) AS value FROM qr GROUP BY ts"
+    s["sum_by"] = with_("access") + f""", r AS ({_qrate('access', ['method', 'status'])})
+        SELECT ts, status, round(sum(value), 6) AS value FROM r GROUP BY ts, status"""
+    s["error_ratio"] = with_("access") + f""",
+        e AS ({_qrate("(SELECT * FROM access WHERE regexp_full_match(CAST(status AS VARCHAR), '5..'))", [])}),
+        t AS ({_qrate('access', [])})
+        SELECT t.ts, round(CASE WHEN t.value = 0 THEN NULL ELSE e.value / t.value END, 6) AS ratio
+        FROM e JOIN t ON e.ts = t.ts"""
+    s["vector_and"] = with_("access") + f""",
+        e AS ({_qrate("(SELECT * FROM access WHERE regexp_full_match(CAST(status AS VARCHAR), '5..'))", ['route'])}),
+        t AS ({_qrate('access', ['route'])})
+        SELECT ts, route, round(value, 6) AS value FROM e
+        WHERE (ts, route) IN (SELECT (ts, route) FROM t WHERE value * 60 >= 2)"""
+    s["hist_p95"] = with_("rt") + ", " + f"""hc AS (SELECT queue, {le_case('dwell_ns / 1e6', MS_BOUNDS)} AS le, count(*) AS cnt
+            FROM rt WHERE dequeue_ts IS NOT NULL GROUP BY ALL),
+        hs AS (SELECT *, sum(cnt) OVER (PARTITION BY queue ORDER BY le ROWS UNBOUNDED PRECEDING) AS cum,
+                      sum(cnt) OVER (PARTITION BY queue) AS tot FROM hc),
+        hp AS (SELECT queue, min(le) AS le FROM hs WHERE cum >= 0.95 * tot GROUP BY queue),
+        hv AS (SELECT hs.* FROM hs JOIN hp USING (queue, le))
+        SELECT queue, round(CASE WHEN le = 'inf'::DOUBLE THEN 10000.0 ELSE ({lower_case('le', MS_BOUNDS)})
+               + (le - ({lower_case('le', MS_BOUNDS)})) * (0.95 * tot - (cum - cnt)) / cnt END, 6) AS p95_ms FROM hv"""
+    s["bucketize"] = with_("access") + f""", bc AS (SELECT route, {le_case('latency_ms', MS_BOUNDS)} AS le, count(*) AS cnt
+            FROM access GROUP BY ALL)
+        SELECT route, le, CAST(sum(cnt) OVER (PARTITION BY route ORDER BY le ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cum
+        FROM bc WHERE le <> 'inf'::DOUBLE
+        UNION ALL SELECT route, 'inf'::DOUBLE AS le, CAST(sum(cnt) AS BIGINT) AS cum FROM bc GROUP BY route"""
+    s["alert_for"] = with_("rt") + """, b AS (SELECT DISTINCT queue, CAST(floor(epoch_us(ts) / 60000000.0) AS BIGINT) + 1 AS e
+            FROM rt WHERE enqueued),
+        i AS (SELECT *, e - row_number() OVER (PARTITION BY queue ORDER BY e) AS g FROM b),
+        f AS (SELECT *, min(e) OVER (PARTITION BY queue, g) AS st FROM i)
+        SELECT queue, make_timestamp(e * 60000000) AS ts, make_timestamp(st * 60000000) AS active_since,
+               CASE WHEN (e - st) * 60 >= 180 THEN 'firing' ELSE 'pending' END AS state FROM f"""
+    s["last_not_null"] = with_("rt") + ", " + qr + """
+        SELECT queue, max(ts) AS ts, round(arg_max(value, ts), 6) AS value FROM qr GROUP BY queue"""
+    s["threshold_state"] = with_("access") + """, p AS (SELECT CAST(ts AS DATE) AS day, route, count(*) AS requests
+            FROM access GROUP BY ALL)
+        SELECT day, route, requests, CASE WHEN requests >= 80 THEN 'red' ELSE 'green' END AS state FROM p"""
+    s["time_range"] = with_("access") + """SELECT request_id, ts, status FROM access
+        WHERE ts >= (SELECT max(ts) FROM access) - INTERVAL 6 HOUR AND ts <= (SELECT max(ts) FROM access)"""
+    s["logs_recent"] = _logs_sql("src0")
+    s["traces_recent"] = _traces_sql("error")
+    s["m_enqueue"] = with_("rt") + "SELECT queue, count(CASE WHEN enqueued THEN 1 END) AS enqueue FROM rt GROUP BY queue"
+    s["m_dequeue"] = with_("rt") + "SELECT queue, count(dequeue_ts) AS dequeue FROM rt GROUP BY queue"
+    s["m_dwell"] = with_("rt") + """, x AS (SELECT queue, (epoch_us(dequeue_ts) - epoch_us(ts)) * 1000 AS ns FROM rt)
+        SELECT queue, count(*) AS n, round(sum(ns) / 1e6, 3) AS sum_ms, round(max(ns) / 1e6, 3) AS max_ms
+        FROM x WHERE ns > 0 GROUP BY queue"""
+    s["m_process"] = with_("rt") + "SELECT stage, count(CASE WHEN enqueued THEN 1 END) AS process FROM rt GROUP BY stage"
+    s["m_latency"] = with_("rt") + """SELECT stage, count(*) AS n, round(sum(latency_ns) / 1e6, 3) AS sum_ms,
+        round(max(latency_ns) / 1e6, 3) AS max_ms FROM rt WHERE enqueued GROUP BY stage"""
+    s["m_errors"] = with_("rt") + "SELECT stage, count(CASE WHEN error THEN 1 END) AS errors FROM rt GROUP BY stage"
+    s["m_reconcile"] = with_("reconcile") + """SELECT flow_name, count(CASE WHEN ok THEN 1 END) AS success,
+        count(CASE WHEN NOT ok THEN 1 END) AS failure FROM reconcile GROUP BY flow_name"""
+    s["m_http"] = with_("access") + """SELECT method, route, status, count(*) AS requests,
+        CAST(sum(floor(latency_ms)) AS BIGINT) AS latency_ms_sum FROM access GROUP BY ALL"""
+    s["m_grpc"] = with_("access") + """SELECT rpc_method, count(*) AS requests,
+        count(CASE WHEN status >= 500 THEN 1 END) AS errors,
+        CAST(sum(floor(latency_ms)) AS BIGINT) AS latency_ms_sum FROM access GROUP BY ALL"""
+    s["span_status"] = with_("access") + """SELECT request_id,
+        CASE WHEN status >= 500 THEN 'error' ELSE 'unset' END AS http_span_status,
+        CASE WHEN status >= 500 THEN 'error' ELSE 'ok' END AS grpc_span_status FROM access"""
+    s["span_chain"] = with_("payloads") + """SELECT trace_id, span_id,
+        CASE WHEN trace_id <> repeat('0', 32) THEN lag(span_id) OVER (PARTITION BY trace_id ORDER BY ts, event_id) END AS parent_span_id,
+        CASE WHEN trace_id <> repeat('0', 32) THEN row_number() OVER (PARTITION BY trace_id ORDER BY ts, event_id) END AS hop
+        FROM payloads"""
+    s["trace_summary"] = with_("spans") + """SELECT trace_id, count(*) AS spans, min(start_ts) AS start_ts,
+        max(end_ts) AS end_ts, round((epoch_us(max(end_ts)) - epoch_us(min(start_ts))) / 1000.0, 3) AS duration_ms,
+        count(CASE WHEN status = 'error' THEN 1 END) AS error_spans,
+        count(CASE WHEN parent_span_id IS NULL THEN 1 END) AS roots FROM spans GROUP BY trace_id"""
+    return s
