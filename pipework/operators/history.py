@@ -180,11 +180,12 @@ def queue_depth(work: DataFrame, step_s: int = 60, key: str = "key") -> DataFram
 
 
 # D12 ----------------------------------------------------------------------
-def desired_state_plan(desired: DataFrame, actual: DataFrame, key: str = "name") -> DataFrame:
-    """Desired vs deployed by SHA-256 checksum → create / update / unchanged
-    / delete."""
-    d = desired.select(key, F.sha2(F.col("spec").cast("string"), 256).alias("desired_checksum"))
-    a = actual.select(key, F.sha2(F.col("spec").cast("string"), 256).alias("actual_checksum"))
+def desired_state_plan(desired: DataFrame, actual: DataFrame, key: str = "name",
+                       rendered: str = "spec") -> DataFrame:
+    """Desired vs deployed by SHA-256 checksum of the rendered spec text →
+    create / update / unchanged / delete."""
+    d = desired.select(key, F.sha2(F.col(rendered).cast("string"), 256).alias("desired_checksum"))
+    a = actual.select(key, F.sha2(F.col(rendered).cast("string"), 256).alias("actual_checksum"))
     j = d.join(a, key, "full_outer")
     action = (F.when(F.col("actual_checksum").isNull(), F.lit("create"))
                .when(F.col("desired_checksum").isNull(), F.lit("delete"))

@@ -20,3 +20,8 @@ from pipework.plans.monitoring import MONITORING  # noqa: E402
 
 QUERIES.update(MONITORING)
 ORACLE.update(O.monitoring_sql())
+
+from pipework.plans.state import STATE  # noqa: E402
+
+QUERIES.update(STATE)
+ORACLE.update(O.state_sql())

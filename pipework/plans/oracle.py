@@ -423,3 +423,153 @@ def monitoring_sql() -> dict[str, str]:
         count(CASE WHEN status = 'error' THEN 1 END) AS error_spans,
         count(CASE WHEN parent_span_id IS NULL THEN 1 END) AS roots FROM spans GROUP BY trace_id"""
     return s
+
+
+# ---------------------------------------------------------------------------
+# versioned history, registry, gates, scalars
+# ---------------------------------------------------------------------------
+def _replay_ctes(src: str = "oplog") -> str:
+    return f"""r1 AS (SELECT *, sum(CAST(op = 'delete' AS BIGINT)) OVER (PARTITION BY name ORDER BY ts, seq
+                  ROWS UNBOUNDED PRECEDING) AS epoch FROM {src}),
+    r2 AS (SELECT *, sum(CAST(op = 'put' AS BIGINT)) OVER (PARTITION BY name, epoch ORDER BY ts, seq
+                  ROWS UNBOUNDED PRECEDING) AS puts FROM r1),
+    r3 AS (SELECT *, CASE WHEN op = 'put' THEN puts
+                          WHEN op = 'rollback' AND version >= 1 AND version <= puts THEN version END AS ptr,
+                  CASE WHEN op = 'rollback' THEN version >= 1 AND version <= puts END AS valid FROM r2),
+    r4 AS (SELECT *, last_value(ptr IGNORE NULLS) OVER (PARTITION BY name, epoch ORDER BY ts, seq
+                  ROWS UNBOUNDED PRECEDING) AS active FROM r3),
+    lastrow AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ts DESC, seq DESC) AS rn
+                FROM r4) WHERE rn = 1),
+    cur AS (SELECT r4.* FROM r4 JOIN lastrow l ON r4.name = l.name AND r4.epoch = l.epoch),
+    hv AS (SELECT c.name, c.puts AS version, c.spec, c.puts = l.active AS is_active
+           FROM cur c JOIN lastrow l ON c.name = l.name WHERE c.op = 'put'),
+    fl AS (SELECT name, version AS active_version, spec FROM hv WHERE is_active)"""
+
+
+STATUS = """st AS (SELECT flow_name AS name, 'FLOW_STATE_DEPLOYING' AS state, 'flow runtime created' AS message,
+                  flow_name || '-runtime' AS workload, max(ts) AS last_updated
+           FROM reconcile WHERE ok GROUP BY flow_name)"""
+
+CANON = """CASE lower(trim({f})) WHEN 'arrow' THEN 'IN_MEMORY_SCHEMA_FORMAT_ARROW'
+        WHEN 'apache-arrow' THEN 'IN_MEMORY_SCHEMA_FORMAT_ARROW' WHEN 'json' THEN 'IN_MEMORY_SCHEMA_FORMAT_JSON'
+        WHEN 'protobuf' THEN 'IN_MEMORY_SCHEMA_FORMAT_PROTOBUF' WHEN 'proto' THEN 'IN_MEMORY_SCHEMA_FORMAT_PROTOBUF'
+        WHEN 'flatbuffers' THEN 'IN_MEMORY_SCHEMA_FORMAT_FLATBUFFERS'
+        WHEN 'flatbuffer' THEN 'IN_MEMORY_SCHEMA_FORMAT_FLATBUFFERS' END"""
+
+REGISTRY = f"""sops AS (SELECT p_brand AS schema_id, p_partkey AS seq,
+          CASE WHEN p_size % 13 = 0 THEN 'delete' ELSE 'put' END AS op,
+          (['json', ' Apache-Arrow ', 'proto', 'FlatBuffer', 'protobuf', 'arrow', 'xml', ''])[p_partkey % 8 + 1] AS format,
+          p_type AS raw_schema FROM part),
+    serr AS (SELECT *, CASE WHEN coalesce(schema_id, '') = '' THEN 'schema id is required'
+                            WHEN ({CANON.format(f='format')}) IS NULL THEN 'schema format is required'
+                            WHEN coalesce(raw_schema, '') = '' THEN 'schema payload is required' END AS error
+             FROM sops),
+    sv AS (SELECT schema_id, seq, op, {CANON.format(f='format')} AS format, raw_schema FROM serr
+           WHERE op <> 'put' OR error IS NULL),
+    sr1 AS (SELECT *, sum(CAST(op = 'delete' AS BIGINT)) OVER (PARTITION BY schema_id ORDER BY seq
+                  ROWS UNBOUNDED PRECEDING) AS epoch FROM sv),
+    sr2 AS (SELECT *, CASE WHEN op = 'put' THEN sum(CAST(op = 'put' AS BIGINT)) OVER (PARTITION BY schema_id, epoch
+                  ORDER BY seq ROWS UNBOUNDED PRECEDING) END AS version FROM sr1),
+    scur0 AS (SELECT *, max(epoch) OVER (PARTITION BY schema_id) AS last_epoch FROM sr2),
+    scur1 AS (SELECT * FROM scur0 WHERE epoch = last_epoch AND op = 'put'),
+    scur AS (SELECT schema_id, version, format, raw_schema,
+                    version = max(version) OVER (PARTITION BY schema_id) AS is_active FROM scur1),
+    sact AS (SELECT schema_id, version AS active FROM scur WHERE is_active)"""
+
+
+def state_sql() -> dict[str, str]:
+    s = {}
+    s["history_replay"] = with_("oplog") + ", " + _replay_ctes() + " SELECT name, version, spec, is_active FROM hv"
+    s["rollback_errors"] = with_("oplog") + ", " + _replay_ctes() + """ SELECT name, ts, seq, version,
+        printf('version %d does not exist', version) AS error FROM r4 WHERE op = 'rollback' AND NOT valid"""
+    s["history_replay_pointer"] = with_("oplog") + """,
+    ep AS (SELECT *, sum(CAST(op = 'delete' AS BIGINT)) OVER (PARTITION BY name ORDER BY ts, seq
+           ROWS UNBOUNDED PRECEDING) AS epoch FROM oplog),
+    live AS (SELECT e.* FROM ep e JOIN (SELECT name, max(epoch) AS epoch FROM ep GROUP BY name) m
+             ON e.name = m.name AND e.epoch = m.epoch WHERE op <> 'delete'),
+    ops AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ts, seq) AS rn FROM live),
+    fold AS (SELECT * FROM (
+        WITH RECURSIVE f(name, rn, active, vers) AS (
+            SELECT DISTINCT name, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST([] AS DOUBLE[]) FROM ops
+            UNION ALL
+            SELECT f.name, o.rn,
+                   CASE WHEN o.op = 'put' THEN f.active + 1
+                        WHEN o.op = 'rollback' AND o.version >= 1 AND o.version <= len(f.vers) THEN o.version
+                        ELSE f.active END,
+                   CASE WHEN o.op = 'put' THEN list_concat(list_concat(f.vers[1:f.active], [o.spec]), f.vers[f.active + 2:])
+                        ELSE f.vers END
+            FROM f JOIN ops o ON o.name = f.name AND o.rn = f.rn + 1)
+        SELECT * FROM f)),
+    fin AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY rn DESC) AS k FROM fold) WHERE k = 1),
+    ex AS (SELECT name, active, vers, unnest(range(1, len(vers) + 1)) AS i FROM fin)
+    SELECT name, CAST(i AS BIGINT) AS version, vers[i] AS spec, i = active AS is_active FROM ex"""
+    s["flow_list"] = with_("oplog") + ", " + _replay_ctes() + " SELECT * FROM fl"
+    s["latest_status"] = with_("reconcile") + ", " + STATUS + " SELECT * FROM st"
+    s["flow_summaries"] = with_("oplog", "reconcile") + ", " + _replay_ctes() + ", " + STATUS + """
+        SELECT fl.name, fl.active_version, st.state, st.message FROM fl LEFT JOIN st ON fl.name = st.name"""
+    s["flow_get"] = with_("oplog", "reconcile") + ", " + _replay_ctes() + ", " + STATUS + """,
+        req AS (SELECT DISTINCT 'flow_' || CAST(c_custkey AS VARCHAR) AS name FROM customer)
+        SELECT fl.name, fl.active_version, fl.spec, st.state, st.workload
+        FROM req JOIN fl ON req.name = fl.name LEFT JOIN st ON fl.name = st.name"""
+    s["watch_events"] = with_("kv") + ", " + WATCH + " SELECT rev, flow, event_type, spec FROM watch"
+    s["watch_event_counts"] = with_("kv") + ", " + WATCH + """ SELECT event_type, flow, count(*) AS events
+        FROM watch GROUP BY ALL"""
+    s["coalesced_lag"] = with_("work") + ", " + LAG + " SELECT key, seq, ts, round(lag_s, 6) AS lag_s FROM lags"
+    snap = "(SELECT * FROM oplog WHERE ts < TIMESTAMP '1998-01-01 00:00:00')"
+    s["desired_state_plan"] = with_("oplog") + ", " + _replay_ctes() + ", " + \
+        _replay_ctes(snap).replace("r1 AS", "a1 AS").replace(" r1", " a1").replace("r2", "a2").replace("r3", "a3") \
+        .replace("r4", "a4").replace("lastrow", "alast").replace("cur", "acur").replace("hv", "ahv").replace("fl AS", "afl AS") + """,
+        d AS (SELECT name, sha256(CAST(CAST(spec AS DECIMAL(18, 2)) AS VARCHAR)) AS desired_checksum FROM fl),
+        a AS (SELECT name, sha256(CAST(CAST(spec AS DECIMAL(18, 2)) AS VARCHAR)) AS actual_checksum FROM afl)
+        SELECT coalesce(d.name, a.name) AS name, desired_checksum, actual_checksum,
+               CASE WHEN actual_checksum IS NULL THEN 'create' WHEN desired_checksum IS NULL THEN 'delete'
+                    WHEN desired_checksum <> actual_checksum THEN 'update' ELSE 'unchanged' END AS action
+        FROM d FULL OUTER JOIN a ON d.name = a.name"""
+    reg = "WITH " + REGISTRY + " "
+    s["schema_create"] = reg + "SELECT schema_id, seq, version FROM sr2 WHERE op = 'put'"
+    s["schema_create_errors"] = reg + "SELECT schema_id, seq, error FROM serr WHERE op = 'put' AND error IS NOT NULL"
+    s["schema_get"] = reg + """, req AS (SELECT DISTINCT p_brand AS schema_id, CAST(p_size % 3 + 1 AS BIGINT) AS version FROM part)
+        SELECT req.schema_id, req.version AS requested_version, scur.version, scur.format
+        FROM req LEFT JOIN sact ON req.schema_id = sact.schema_id
+        JOIN scur ON scur.schema_id = req.schema_id
+                 AND scur.version = coalesce(CASE WHEN req.version <> 0 THEN req.version END, sact.active)"""
+    s["schema_active"] = reg + "SELECT schema_id, version, format, raw_schema FROM scur WHERE is_active"
+    s["schema_resolve"] = reg + """, refs AS (SELECT DISTINCT p_brand AS schema_id, CAST(p_size % 4 AS BIGINT) AS version FROM part),
+        w AS (SELECT refs.*, coalesce(CASE WHEN refs.version <> 0 THEN refs.version END, sact.active) AS want
+              FROM refs LEFT JOIN sact ON refs.schema_id = sact.schema_id)
+        SELECT w.schema_id, w.version AS requested_version,
+               CASE WHEN scur.format IS NOT NULL THEN w.want END AS resolved_version, scur.format
+        FROM w LEFT JOIN scur ON scur.schema_id = w.schema_id AND scur.version = w.want"""
+    s["schema_list"] = reg + "SELECT schema_id, version, is_active FROM scur"
+    s["schema_history"] = reg + "SELECT schema_id, version, format, raw_schema, is_active FROM scur"
+    s["schema_stamp"] = with_("payloads") + """SELECT event_id, CASE WHEN schema_id = '' THEN 'events' ELSE schema_id END AS schema_id
+        FROM payloads WHERE schema_id IN ('', 'events')"""
+    s["schema_gate"] = with_("payloads") + "SELECT event_id, schema_id FROM payloads WHERE schema_id = 'events'"
+    s["schema_rejects"] = with_("payloads") + """SELECT * FROM (SELECT event_id, 'events' AS queue, 'events' AS expected_schema_id,
+        CASE WHEN schema_id = '' THEN 'missing_schema_id' WHEN schema_id <> 'events' THEN 'schema_mismatch' END AS reason
+        FROM payloads) WHERE reason IS NOT NULL"""
+    s["schema_pipeline"] = with_("payloads") + """SELECT event_id, 'events_normalized' AS schema_id, 'set_schema' AS mode
+        FROM payloads WHERE schema_id IN ('', 'events')"""
+    s["attr_get"] = with_("payloads") + "SELECT event_id, k, CAST(NULL AS VARCHAR) AS tenant FROM payloads"
+    s["attr_set"] = with_("payloads") + """SELECT event_id, k AS k_before, k * 2 AS k_after, 'acme' AS tenant,
+        3 AS n_attrs FROM payloads"""
+    s["attr_erase"] = with_("payloads") + """SELECT event_id, true AS found_k, false AS found_k_again,
+        1 AS n_after_one, true AS null_after_two FROM payloads"""
+    s["attr_has"] = with_("payloads") + "SELECT event_id, event_type <> 'view' AS has_attrs FROM payloads"
+    s["has_trace"] = with_("payloads") + "SELECT event_id, user_id % 10 <> 0 AS has_trace FROM payloads"
+    s["is_empty"] = with_("payloads") + """SELECT event_id, payload IS NULL OR size = 0 AS is_empty,
+        schema_id <> '' AS has_schema_id FROM payloads"""
+    s["flag_bits"] = with_("payloads") + "SELECT event_id, flags, flags & 255 AS trace_flags FROM payloads"
+    s["key_parse"] = with_("kv") + """SELECT rev, key, split_part(key, '/', 4) AS name, split_part(key, '/', 5) AS leaf,
+        '/flowpipe/flows/' || split_part(key, '/', 4) || '/versions/1' AS version_key FROM kv"""
+    s["format_alias"] = "WITH " + REGISTRY + f""" SELECT seq, format, {CANON.format(f='format')} AS canonical,
+        CASE WHEN ({CANON.format(f='format')}) IS NULL
+             THEN printf('unsupported schema format "%s" (use arrow, json, protobuf, flatbuffers)', format) END AS error
+        FROM sops"""
+    s["version_parse"] = """WITH v AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN p_brand
+                                   ELSE CAST(p_size - 3 AS VARCHAR) END AS text FROM part),
+        p AS (SELECT *, CASE WHEN regexp_full_match(text, '[0-9]{1,10}') THEN CAST(text AS BIGINT) END AS n FROM v)
+        SELECT p_partkey, text, CASE WHEN n > 0 AND n <= 4294967295 THEN n END AS version,
+               CASE WHEN n IS NULL OR n > 4294967295 THEN printf('invalid schema version "%s"', text)
+                    WHEN n = 0 THEN 'schema version must be greater than 0' END AS error FROM p"""
+    return s

@@ -191,3 +191,39 @@ def specs(spark: SparkSession, d: str) -> DataFrame:
         F.transform("stages", lambda x: x.dropFields("pos")).alias("stages"),
         F.array_distinct(F.transform("queues", lambda x: x.dropFields("pos"))).alias("queues"),
     )
+
+
+# --- fixed values: registry derivation -----------------------------------
+FORMAT_SPELLINGS = ("json", " Apache-Arrow ", "proto", "FlatBuffer", "protobuf", "arrow", "xml", "")
+# -------------------------------------------------------------------------
+
+
+def schema_ops(spark: SparkSession, d: str) -> DataFrame:
+    """Schema registry op log from part: one create per part under schema id
+    ``p_brand`` (ordered by p_partkey); parts with p_size % 13 = 0 delete the
+    id instead. Format spelled by p_partkey % 8, payload = p_type."""
+    p = load(spark, d, "part")
+    spell = F.element_at(F.array(*[F.lit(s) for s in FORMAT_SPELLINGS]),
+                         (F.col("p_partkey") % len(FORMAT_SPELLINGS) + 1).cast("int"))
+    return p.select(
+        F.col("p_brand").alias("schema_id"),
+        F.col("p_partkey").alias("seq"),
+        F.when(F.col("p_size") % 13 == 0, F.lit("delete")).otherwise(F.lit("put")).alias("op"),
+        spell.alias("format"),
+        F.col("p_type").alias("raw_schema"),
+    )
+
+
+def schema_refs(spark: SparkSession, d: str) -> DataFrame:
+    """Queue schema references: (p_brand, p_size % 4), 0 = active."""
+    p = load(spark, d, "part")
+    return p.select(F.col("p_brand").alias("schema_id"),
+                    (F.col("p_size") % 4).cast("long").alias("version")).distinct()
+
+
+def version_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Version strings as typed by users: p_size - 3 as text, or the brand
+    name for every fifth part (not a number)."""
+    p = load(spark, d, "part")
+    return p.select("p_partkey", F.when(F.col("p_partkey") % 5 == 0, F.col("p_brand"))
+                    .otherwise((F.col("p_size") - 3).cast("string")).alias("text"))
