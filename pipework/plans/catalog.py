@@ -25,3 +25,8 @@ from pipework.plans.state import STATE  # noqa: E402
 
 QUERIES.update(STATE)
 ORACLE.update(O.state_sql())
+
+from pipework.plans.flows import FLOWS  # noqa: E402
+
+QUERIES.update(FLOWS)
+ORACLE.update(O.flow_sql())

@@ -16,7 +16,7 @@ NS_BOUNDS = tuple(b * 1e6 for b in MS_BOUNDS)
 FIX = {
     "ev": """SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events""",
     "payloads": """SELECT event_id, ts, user_id, event_type, value, k,
-        CAST(props AS BLOB) AS payload, CAST(octet_length(CAST(props AS BLOB)) AS BIGINT) AS size,
+        encode(props) AS payload, CAST(octet_length(encode(props)) AS BIGINT) AS size,
         ts AS enqueue_ts, md5(CAST(user_id AS VARCHAR)) AS trace_id,
         substr(md5(CAST(event_id AS VARCHAR)), 1, 16) AS span_id, k * 3 AS flags,
         CASE event_type WHEN 'click' THEN '' WHEN 'error' THEN 'wrong' ELSE 'events' END AS schema_id
@@ -573,3 +573,38 @@ def state_sql() -> dict[str, str]:
                CASE WHEN n IS NULL OR n > 4294967295 THEN printf('invalid schema version "%s"', text)
                     WHEN n = 0 THEN 'schema version must be greater than 0' END AS error FROM p"""
     return s
+
+
+# ---------------------------------------------------------------------------
+# record flows
+# ---------------------------------------------------------------------------
+def _h(key: str) -> str:
+    return f"CAST(('0x' || substr(md5(CAST({key} AS VARCHAR)), 1, 8)) AS BIGINT)"
+
+
+def flow_sql() -> dict[str, str]:
+    s = {}
+    s["seq_source"] = """SELECT p_partkey, CAST(w.worker AS BIGINT) AS worker, CAST(q.seq AS BIGINT) AS seq,
+        p_brand || ' #' || CAST(q.seq AS VARCHAR) AS text
+        FROM part, LATERAL (SELECT unnest(range(0, p_size % 3 + 1)) AS worker) w,
+             LATERAL (SELECT unnest(range(0, p_size % 5 + 1)) AS seq) q"""
+    s["pass_through"] = with_("payloads") + "SELECT event_id, schema_id, flags, trace_id, span_id FROM payloads"
+    s["text_sink"] = with_("payloads") + "SELECT decode(payload) AS value FROM payloads WHERE size > 0"
+    s["competing_split"] = with_("payloads") + f"SELECT event_id, {_h('event_id')} % 2 AS consumer FROM payloads"
+    s["fan_in"] = with_("payloads") + "SELECT event_id, schema_id FROM payloads"
+    s["flow_simple_pipeline"] = "SELECT text AS value FROM documents WHERE octet_length(encode(text)) > 0"
+    s["flow_fanout"] = with_("payloads") + f"""SELECT decode(payload) AS value,
+        CASE WHEN {_h('span_id')} % 2 = 0 THEN 'sink_a' ELSE 'sink_b' END AS sink FROM payloads WHERE size > 0"""
+    s["flow_job_mode"] = with_("payloads") + """, c AS (SELECT count(CASE WHEN schema_id IN ('', 'events') THEN 1 END) AS ok,
+            count(CASE WHEN schema_id NOT IN ('', 'events') THEN 1 END) AS bad FROM payloads)
+        SELECT 'source' AS stage_name, 'table_source' AS stage, CAST(NULL AS BIGINT) AS dequeue, ok AS process,
+               bad AS error, ok AS enqueue FROM c
+        UNION ALL SELECT 'normalize', 'noop_transform', ok, ok, ok, 0 FROM c
+        UNION ALL SELECT 'sink', 'stdout_sink', 0, 0, 0, CAST(NULL AS BIGINT) FROM c"""
+    s["custom_transform"] = with_("payloads") + "SELECT upper(decode(payload)) AS value FROM payloads WHERE size > 0"
+    s["csv_ingest"] = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders"
+    s["enqueue_stamp"] = with_("payloads") + """SELECT event_id, 'source' AS hop, ts AS enqueue_ts FROM payloads
+        UNION ALL SELECT event_id, 'transform' AS hop,
+            make_timestamp(epoch_us(ts) + CAST(round(value * 2 * 1000.0) AS BIGINT)) AS enqueue_ts FROM payloads"""
+    s["plugin_source"] = "SELECT doc_id, n_chars FROM documents"
+    return s
