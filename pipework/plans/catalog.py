@@ -30,3 +30,8 @@ from pipework.plans.flows import FLOWS  # noqa: E402
 
 QUERIES.update(FLOWS)
 ORACLE.update(O.flow_sql())
+
+from pipework.plans.catalogue import CATALOGUE  # noqa: E402
+
+QUERIES.update(CATALOGUE)
+ORACLE.update(O.catalogue_sql())

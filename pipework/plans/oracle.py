@@ -66,7 +66,7 @@ FIX = {
         'q' || CAST(l_suppkey % 10 AS VARCHAR) AS input_queue,
         CASE WHEN l_linenumber % 2 = 0 THEN 'q' || CAST((l_suppkey + 1) % 10 AS VARCHAR) END AS output_queue,
         l_linenumber % 5 <> 0 AS declares_queue,
-        CAST((l_linenumber % 3) * 64 AS BIGINT) AS capacity
+        CAST((l_linenumber % 3) * 64 AS BIGINT) AS capacity, l_shipdate AS shipdate
         FROM lineitem""",
 }
 DEPS = {
@@ -608,3 +608,112 @@ def flow_sql() -> dict[str, str]:
             make_timestamp(epoch_us(ts) + CAST(round(value * 2 * 1000.0) AS BIGINT)) AS enqueue_ts FROM payloads"""
     s["plugin_source"] = "SELECT doc_id, n_chars FROM documents"
     return s
+
+
+# ---------------------------------------------------------------------------
+# spec catalogue quality
+# ---------------------------------------------------------------------------
+SPEC_CTES = """sf AS (SELECT DISTINCT flow_id, flow AS name FROM spec_lines),
+    sq AS (SELECT DISTINCT flow_id, input_queue AS name, capacity,
+                  CASE WHEN pos % 4 = 0 THEN '' WHEN pos % 4 = 1 THEN 'orders' END AS schema_id
+           FROM spec_lines WHERE declares_queue),
+    nq AS (SELECT flow_id, row_number() OVER (PARTITION BY flow_id ORDER BY name, capacity, schema_id NULLS FIRST) - 1 AS pos,
+                  name, CASE WHEN capacity <> 0 THEN capacity ELSE 128 END AS capacity, schema_id FROM sq),
+    ns AS (SELECT flow_id, row_number() OVER (PARTITION BY flow_id ORDER BY name, type, threads,
+                  input_queue NULLS FIRST, output_queue NULLS FIRST) - 1 AS pos, name, type, threads, input_queue, output_queue
+           FROM (SELECT flow_id, stage_name AS name, stage_type AS type, threads, input_queue, output_queue FROM spec_lines)),
+    qn AS (SELECT DISTINCT flow_id, name FROM nq)"""
+
+VIOL = """vq AS (SELECT *, row_number() OVER (PARTITION BY flow_id, name ORDER BY pos) AS nth FROM nq),
+    vs AS (SELECT *, row_number() OVER (PARTITION BY flow_id, name ORDER BY pos) AS nth FROM ns),
+    viol AS (
+      SELECT flow_id, 'name' AS field, 'flow name is required' AS message, CAST(1 AS BIGINT) AS ord FROM sf WHERE name = ''
+      UNION ALL SELECT flow_id, 'queues.name', 'duplicate queue name "' || name || '"', 10 + pos * 3 + 1
+                FROM vq WHERE name <> '' AND nth > 1
+      UNION ALL SELECT flow_id, 'stages.name', 'duplicate stage "' || name || '"', 1000000 + pos * 10 + 1
+                FROM vs WHERE name <> '' AND nth > 1
+      UNION ALL SELECT flow_id, 'stages.type', 'stage "' || name || '" missing type', 1000000 + pos * 10 + 2
+                FROM vs WHERE type = ''
+      UNION ALL SELECT flow_id, 'stages.threads', 'stage "' || name || '" must declare at least one thread',
+                1000000 + pos * 10 + 3 FROM vs WHERE threads < 1
+      UNION ALL SELECT flow_id, 'stages.input_queue',
+                'stage "' || name || '" references unknown input queue "' || input_queue || '"', 1000000 + pos * 10 + 4
+                FROM vs WHERE input_queue IS NOT NULL
+                  AND NOT EXISTS (SELECT 1 FROM qn WHERE qn.flow_id = vs.flow_id AND qn.name = vs.input_queue)
+      UNION ALL SELECT flow_id, 'stages.output_queue',
+                'stage "' || name || '" references unknown output queue "' || output_queue || '"', 1000000 + pos * 10 + 5
+                FROM vs WHERE output_queue IS NOT NULL
+                  AND NOT EXISTS (SELECT 1 FROM qn WHERE qn.flow_id = vs.flow_id AND qn.name = vs.output_queue))"""
+
+TABLE_COLS = {
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                 "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
+    "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
+}
+
+
+def _spec_counts(src: str, name_expr: str) -> str:
+    return f"""SELECT a.flow_id, {name_expr} AS name, a.ns, coalesce(b.nq, 0) AS nq FROM
+        (SELECT flow_id, any_value(flow) AS flow, count(*) AS ns FROM {src} GROUP BY flow_id) a
+        LEFT JOIN (SELECT flow_id, count(*) AS nq FROM (SELECT DISTINCT flow_id, input_queue, capacity,
+                   CASE WHEN pos % 4 = 0 THEN '' WHEN pos % 4 = 1 THEN 'orders' END FROM {src} WHERE declares_queue)
+                   GROUP BY flow_id) b ON a.flow_id = b.flow_id"""
+
+
+def catalogue_sql() -> dict[str, str]:
+    s = {}
+    base = with_("spec_lines") + ", " + SPEC_CTES + " "
+    s["spec_normalize"] = base + """SELECT flow_id, 'queue' AS kind, pos, name, capacity FROM nq
+        UNION ALL SELECT flow_id, 'stage', pos, name, CAST(NULL AS BIGINT) FROM ns"""
+    s["dq_not_null"] = " UNION ALL ".join(
+        f"SELECT '{t}' AS tbl, '{c}' AS col, count(*) - count({c}) AS null_rows FROM {t}"
+        for t, cols in TABLE_COLS.items() for c in cols)
+
+    def req(t, cols, src=None):
+        return " UNION ALL ".join(
+            f"SELECT '{t}' AS tbl, '{c}' AS col, count(*) FILTER (WHERE coalesce(CAST({c} AS VARCHAR), '') = '') AS violations FROM {src or t}"
+            for c in cols)
+    s["dq_required"] = base + " UNION ALL ".join([
+        req("customer", ["c_name", "c_mktsegment"]), req("orders", ["o_orderstatus", "o_orderpriority"]),
+        req("specs.stages", ["stage_name", "type"], "(SELECT stage_name, stage_type AS type FROM spec_lines)"),
+        req("specs", ["name"], "sf")])
+    s["dq_non_empty"] = """SELECT o_orderkey FROM orders o
+        WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey)"""
+    s["dq_unique"] = base + """SELECT flow_id, name, count(*) AS n, 'queue' AS kind FROM nq GROUP BY ALL HAVING count(*) > 1
+        UNION ALL SELECT flow_id, name, count(*), 'stage' FROM ns GROUP BY flow_id, name HAVING count(*) > 1
+        UNION ALL SELECT l_orderkey, CAST(l_linenumber AS VARCHAR), count(*), 'lineitem' FROM lineitem
+                  GROUP BY 1, 2 HAVING count(*) > 1"""
+    s["dq_min_value"] = base + "SELECT flow_id, pos, name, threads FROM ns WHERE threads < 1"
+    s["dq_foreign_key"] = base + """SELECT flow_id, pos, input_queue AS queue, 'input' AS side FROM ns
+            WHERE input_queue IS NOT NULL AND NOT EXISTS (SELECT 1 FROM qn WHERE qn.flow_id = ns.flow_id AND qn.name = ns.input_queue)
+        UNION ALL SELECT flow_id, pos, output_queue, 'output' FROM ns
+            WHERE output_queue IS NOT NULL AND NOT EXISTS (SELECT 1 FROM qn WHERE qn.flow_id = ns.flow_id AND qn.name = ns.output_queue)
+        UNION ALL SELECT l_orderkey, CAST(l_linenumber AS BIGINT), CAST(l_partkey AS VARCHAR), 'lineitem.l_partkey'
+            FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey)"""
+    s["dq_conditional"] = base + """SELECT flow_id, pos, name, 'queue schema_id is required: ' || name AS message
+        FROM nq WHERE schema_id = ''"""
+    s["row_fingerprint"] = """SELECT o_orderkey, sha256(concat_ws('~', CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR),
+        o_orderstatus, CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS VARCHAR), CAST(o_orderdate AS VARCHAR),
+        o_orderpriority)) AS fingerprint FROM orders"""
+    s["spec_diff"] = with_("spec_lines") + f""",
+        pa AS ({_spec_counts("(SELECT * FROM spec_lines WHERE shipdate < TIMESTAMP '1997-01-01 00:00:00')",
+                             "'f' || CAST(a.flow_id AS VARCHAR)")}),
+        ca AS ({_spec_counts("spec_lines", "a.flow")}),
+        j AS (SELECT pa.flow_id, pa.name AS a_name, pa.nq AS a_q, pa.ns AS a_s, ca.name AS b_name, ca.nq AS b_q, ca.ns AS b_s
+              FROM pa JOIN ca ON pa.flow_id = ca.flow_id)
+        SELECT flow_id, 'name: "' || a_name || '" → "' || b_name || '"' AS change FROM j WHERE a_name <> b_name
+        UNION ALL SELECT flow_id, 'queues: ' || a_q || ' → ' || b_q FROM j WHERE a_q <> b_q
+        UNION ALL SELECT flow_id, 'stages: ' || a_s || ' → ' || b_s FROM j WHERE a_s <> b_s"""
+    s["json_roundtrip"] = with_("spec_lines") + f""", c AS ({_spec_counts("spec_lines", "a.flow")})
+        SELECT flow_id, true AS roundtrip_ok, ns AS n_stages, nq AS n_queues FROM c"""
+    s["spec_load"] = with_("spec_lines") + f""", c AS ({_spec_counts("spec_lines", "a.flow")})
+        SELECT flow_id, name, ns AS n_stages, nq AS n_queues,
+               CASE WHEN flow_id % 50 = 0 THEN 'unknown field "extra"' END AS error FROM c"""
+    s["spec_validate"] = base + ", " + VIOL + " SELECT flow_id, field, message, ord FROM viol"
+    s["spec_first_error"] = base + ", " + VIOL + """ SELECT flow_id, arg_min(field, ord) AS field,
+        arg_min(message, ord) AS message FROM viol GROUP BY flow_id"""
+    s["spec_validation_summary"] = base + ", " + VIOL + """ SELECT
+        count(*) FILTER (WHERE flow_id NOT IN (SELECT flow_id FROM viol)) AS valid,
+        count(*) FILTER (WHERE flow_id IN (SELECT flow_id FROM viol)) AS invalid FROM sf"""
+    return s

@@ -167,6 +167,7 @@ def spec_lines(spark: SparkSession, d: str) -> DataFrame:
                F.concat(F.lit("q"), ((F.col("l_suppkey") + 1) % 10).cast("string"))).alias("output_queue"),
         (F.col("l_linenumber") % 5 != 0).alias("declares_queue"),
         ((F.col("l_linenumber") % 3) * 64).cast("long").alias("capacity"),
+        F.col("l_shipdate").alias("shipdate"),
     )
 
 
@@ -175,7 +176,11 @@ def specs(spark: SparkSession, d: str) -> DataFrame:
 
     Arrays are bounded by lines per order, so ``collect_list`` per key is a
     small, map-side-combinable aggregation."""
-    s = spec_lines(spark, d)
+    return specs_from_lines(spec_lines(spark, d))
+
+
+def specs_from_lines(s: DataFrame) -> DataFrame:
+    """Nest flat spec lines into one FlowSpec-shaped row per flow."""
     stages = F.struct(
         F.col("stage_name").alias("name"), F.col("stage_type").alias("type"),
         F.col("threads"), F.col("input_queue"), F.col("output_queue"), F.col("pos"))
