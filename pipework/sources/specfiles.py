@@ -51,7 +51,7 @@ def _yaml_to_json(batches):
 
 def read_spec_files(spark: SparkSession, path: str) -> DataFrame:
     """Load every ``*.json`` / ``*.yaml`` / ``*.yml`` file under ``path``."""
-    raw = (spark.read.option("wholetext", True).text(path)
+    raw = (spark.read.text(path, wholetext=True)
                 .withColumn("path", F.input_file_name()))
     is_yaml = F.lower(F.col("path")).rlike(r"\.ya?ml$")
     js = raw.where(~is_yaml).select("path", F.col("value").alias("json"))
