@@ -89,101 +89,111 @@ def conditional(df: DataFrame, when: Column, then: Column) -> DataFrame:
 
 # ---------------------------------------------------------------------------
 # flow spec rules
+#
+# A spec row carries its own queues and stages, so every rule is a
+# row-local expression over its arrays (sort, adjacent duplicate, membership):
+# no join, no window, no extra shuffle beyond building the spec rows.
 # ---------------------------------------------------------------------------
-def normalized_queues(specs: DataFrame, key: str = "flow_id") -> DataFrame:
-    """C1 for queues, flat: sorted by name (ties by capacity, schema id) with
-    capacity 0 → 128. The sort is a window per flow (a flow is small)."""
-    q = specs.select(key, F.explode("queues").alias("q")).select(key, "q.*")
-    w = Window.partitionBy(key).orderBy(F.col("name"), F.col("capacity"), F.col("schema_id").asc_nulls_first())
-    return q.select(key, (F.row_number().over(w) - 1).cast("long").alias("pos"), "name",
-                    F.coalesce(F.when(F.col("capacity") != 0, F.col("capacity")),
-                               F.lit(DEFAULT_CAPACITY).cast("long")).alias("capacity"),
-                    "schema_id")
+def sorted_queues(col: str = "queues") -> Column:
+    """Queues by (name, capacity, schema id) — struct order, nulls first."""
+    return F.array_sort(F.transform(col, lambda q: F.struct(
+        q["name"].alias("name"), q["capacity"].alias("capacity"), q["schema_id"].alias("schema_id"))))
 
 
-def normalized_stages(specs: DataFrame, key: str = "flow_id") -> DataFrame:
-    """C1 for stages, flat: sorted by name (ties by the remaining fields)."""
-    s = specs.select(key, F.explode("stages").alias("s")).select(key, "s.*")
-    w = Window.partitionBy(key).orderBy("name", "type", "threads", F.col("input_queue").asc_nulls_first(),
-                                        F.col("output_queue").asc_nulls_first())
-    return s.select(key, (F.row_number().over(w) - 1).cast("long").alias("pos"), "name", "type", "threads",
-                    "input_queue", "output_queue")
+def sorted_stages(col: str = "stages") -> Column:
+    """Stages by name (ties by type, threads, input, output)."""
+    return F.array_sort(F.transform(col, lambda s: F.struct(
+        s["name"].alias("name"), s["type"].alias("type"), s["threads"].alias("threads"),
+        s["input_queue"].alias("input_queue"), s["output_queue"].alias("output_queue"))))
+
+
+def _cap(c: Column) -> Column:
+    return F.coalesce(F.when(c != 0, c), F.lit(DEFAULT_CAPACITY).cast("long"))
 
 
 def normalize(specs: DataFrame, key: str = "flow_id") -> DataFrame:
-    """C1 in nested form: arrays re-collected in normalised order."""
-    q = normalized_queues(specs, key)
-    s = normalized_stages(specs, key)
-    qa = q.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name", "capacity", "schema_id"))),
-                                        lambda x: x.dropFields("pos")).alias("queues"))
-    sa = s.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(
-        F.struct("pos", "name", "type", "threads", "input_queue", "output_queue"))),
-        lambda x: x.dropFields("pos")).alias("stages"))
-    return (specs.select(key, "name").join(qa, key, "left").join(sa, key, "left")
-                 .select(key, "name", F.coalesce("queues", F.array().cast(qa.schema["queues"].dataType)).alias("queues"),
-                         F.coalesce("stages", F.array().cast(sa.schema["stages"].dataType)).alias("stages")))
+    """Queues and stages sorted by name, capacity 0/unset → 128. Pure
+    (the input rows are not changed)."""
+    q = F.transform(sorted_queues(), lambda x: x.withField("capacity", _cap(x["capacity"])))
+    return specs.select(key, "name", F.coalesce(q, F.array()).alias("queues"),
+                        F.coalesce(sorted_stages(), F.array()).alias("stages"))
+
+
+def normalized_queues(specs: DataFrame, key: str = "flow_id") -> DataFrame:
+    """C1 for queues, flat: one row per queue with its normalised position."""
+    n = normalize(specs, key)
+    return (n.select(key, F.posexplode("queues").alias("pos", "q"))
+             .select(key, F.col("pos").cast("long").alias("pos"), "q.name", "q.capacity", "q.schema_id"))
 
 
-def _v(key, field: str, message: Column, ord_: Column, src: DataFrame) -> DataFrame:
-    return src.select(key, F.lit(field).alias("field"), message.alias("message"), ord_.cast("long").alias("ord"))
+def normalized_stages(specs: DataFrame, key: str = "flow_id") -> DataFrame:
+    """C1 for stages, flat."""
+    n = normalize(specs, key)
+    return (n.select(key, F.posexplode("stages").alias("pos", "s"))
+             .select(key, F.col("pos").cast("long").alias("pos"), "s.*"))
+
+
+def _viol(field: str, message: Column, ord_: Column) -> Column:
+    return F.struct(F.lit(field).alias("field"), message.alias("message"), ord_.cast("long").alias("ord"))
+
+
+def violations(specs: DataFrame, key: str = "flow_id") -> Column:
+    """C2-C9 of one spec row as an array of (field, message, ord), ``ord``
+    following the reference's check order."""
+    q = sorted_queues()
+    st = sorted_stages()
+    names = F.transform(q, lambda x: x["name"])
+    empty = lambda c: F.coalesce(c, F.lit("")) == ""
+    flow = F.array(
+        F.when(F.col("name").isNull() & F.col("stages").isNull(), _viol("spec", F.lit(MSG_NIL), F.lit(0))),
+        F.when(empty(F.col("name")), _viol("name", F.lit(MSG_NAME), F.lit(1))),
+        F.when(F.coalesce(F.size("stages"), F.lit(0)) <= 0, _viol("stages", F.lit(MSG_STAGES), F.lit(2))))
+    qv = F.flatten(F.transform(q, lambda x, i: F.array(
+        F.when(empty(x["name"]), _viol("queues.name", F.lit(MSG_QUEUE_NAME), 10 + i * 3)),
+        F.when(~empty(x["name"]) & (F.get(q, i - 1)["name"] == x["name"]),
+               _viol("queues.name", F.format_string(MSG_QUEUE_DUP, quoted(x["name"])), 10 + i * 3 + 1)))))
+    sv = F.flatten(F.transform(st, lambda x, i: F.array(
+        F.when(empty(x["name"]), _viol("stages.name", F.lit(MSG_STAGE_NAME), 1_000_000 + i * 10)),
+        F.when(~empty(x["name"]) & (F.get(st, i - 1)["name"] == x["name"]),
+               _viol("stages.name", F.format_string(MSG_STAGE_DUP, quoted(x["name"])), 1_000_000 + i * 10 + 1)),
+        F.when(empty(x["type"]),
+               _viol("stages.type", F.format_string(MSG_TYPE, quoted(x["name"])), 1_000_000 + i * 10 + 2)),
+        F.when(F.coalesce(x["threads"], F.lit(0)) < 1,
+               _viol("stages.threads", F.format_string(MSG_THREADS, quoted(x["name"])), 1_000_000 + i * 10 + 3)),
+        F.when(x["input_queue"].isNotNull() & ~F.coalesce(F.array_contains(names, x["input_queue"]), F.lit(False)),
+               _viol("stages.input_queue", F.format_string(MSG_INPUT, quoted(x["name"]), quoted(x["input_queue"])),
+                     1_000_000 + i * 10 + 4)),
+        F.when(x["output_queue"].isNotNull() & ~F.coalesce(F.array_contains(names, x["output_queue"]), F.lit(False)),
+               _viol("stages.output_queue", F.format_string(MSG_OUTPUT, quoted(x["name"]), quoted(x["output_queue"])),
+                     1_000_000 + i * 10 + 5)))))
+    allv = F.concat(flow, F.coalesce(qv, F.array()), F.coalesce(sv, F.array()))
+    return F.filter(allv, lambda v: v.isNotNull())
 
 
 def validate(specs: DataFrame, key: str = "flow_id") -> DataFrame:
-    """Every violation of C2-C9 with the reference's message and an
-    ``ord`` that reproduces its check order (the reference stops at
-    ``min(ord)``; see :func:`first_errors`)."""
-    flows = specs.select(key, "name", F.size("stages").alias("n_stages"))
-    out = [
-        _v(key, "spec", F.lit(MSG_NIL), F.lit(0), flows.where(F.col("name").isNull() & F.col("n_stages").isNull())),
-        _v(key, "name", F.lit(MSG_NAME), F.lit(1), flows.where(F.coalesce("name", F.lit("")) == "")),
-        _v(key, "stages", F.lit(MSG_STAGES), F.lit(2), flows.where(F.coalesce("n_stages", F.lit(0)) == 0)),
-    ]
-    q = normalized_queues(specs, key)
-    qw = Window.partitionBy(key, "name").orderBy("pos")
-    q = q.withColumn("_nth", F.row_number().over(qw))
-    qbase = F.lit(10) + F.col("pos") * 3
-    out.append(_v(key, "queues.name", F.lit(MSG_QUEUE_NAME), qbase, q.where(F.coalesce("name", F.lit("")) == "")))
-    out.append(_v(key, "queues.name", F.format_string(MSG_QUEUE_DUP, quoted("name")), qbase + 1,
-                  q.where((F.coalesce("name", F.lit("")) != "") & (F.col("_nth") > 1))))
-    s = normalized_stages(specs, key)
-    s = s.withColumn("_nth", F.row_number().over(Window.partitionBy(key, "name").orderBy("pos")))
-    names = q.select(key, F.col("name").alias("_q")).distinct()
-    s = (s.join(names.withColumnRenamed("_q", "input_queue").withColumn("_in_ok", F.lit(True)),
-                [key, "input_queue"], "left")
-          .join(names.withColumnRenamed("_q", "output_queue").withColumn("_out_ok", F.lit(True)),
-                [key, "output_queue"], "left"))
-    base = F.lit(1_000_000) + F.col("pos") * 10
-    named = F.coalesce("name", F.lit("")) != ""
-    out += [
-        _v(key, "stages.name", F.lit(MSG_STAGE_NAME), base, s.where(~named)),
-        _v(key, "stages.name", F.format_string(MSG_STAGE_DUP, quoted("name")), base + 1,
-           s.where(named & (F.col("_nth") > 1))),
-        _v(key, "stages.type", F.format_string(MSG_TYPE, quoted("name")), base + 2,
-           s.where(F.coalesce("type", F.lit("")) == "")),
-        _v(key, "stages.threads", F.format_string(MSG_THREADS, quoted("name")), base + 3,
-           s.where(F.coalesce("threads", F.lit(0)) < 1)),
-        _v(key, "stages.input_queue", F.format_string(MSG_INPUT, quoted("name"), quoted("input_queue")), base + 4,
-           s.where(F.col("input_queue").isNotNull() & F.col("_in_ok").isNull())),
-        _v(key, "stages.output_queue", F.format_string(MSG_OUTPUT, quoted("name"), quoted("output_queue")), base + 5,
-           s.where(F.col("output_queue").isNotNull() & F.col("_out_ok").isNull())),
-    ]
-    res = out[0]
-    for o in out[1:]:
-        res = res.unionByName(o)
-    return res
-
-
-def first_errors(violations: DataFrame, key: str = "flow_id") -> DataFrame:
+    """Every violation (the reference stops at ``min(ord)``, see
+    :func:`first_errors`). One projection + explode per spec row."""
+    return (specs.select(key, F.explode(violations(specs, key)).alias("v"))
+                 .select(key, "v.field", "v.message", "v.ord"))
+
+
+def first_errors(violations_df: DataFrame, key: str = "flow_id") -> DataFrame:
     """What the reference returns: the first violation per spec."""
-    return violations.groupBy(key).agg(F.min_by(F.struct("field", "message"), F.col("ord")).alias("e")) \
-                     .select(key, "e.field", "e.message")
+    return violations_df.groupBy(key).agg(F.min_by(F.struct("field", "message"), F.col("ord")).alias("e")) \
+                        .select(key, "e.field", "e.message")
+
+
+def first_error(specs: DataFrame, key: str = "flow_id") -> DataFrame:
+    """Row-local form of :func:`first_errors` (no shuffle)."""
+    v = violations(specs, key)
+    first = F.aggregate(v, F.lit(None).cast(specs.select(F.get(v, 0).alias("x")).schema["x"].dataType),
+                        lambda acc, x: F.when(acc.isNull() | (x["ord"] < acc["ord"]), x).otherwise(acc))
+    return specs.select(key, first.alias("e")).where(F.col("e").isNotNull()).select(key, "e.field", "e.message")
 
 
-def validation_summary(specs: DataFrame, violations: DataFrame, key: str = "flow_id") -> DataFrame:
-    bad = violations.select(key).distinct().withColumn("_bad", F.lit(True))
-    j = specs.select(key).join(bad, key, "left")
-    return j.agg(F.count(F.when(F.col("_bad").isNull(), 1)).alias("valid"),
-                 F.count(F.when(F.col("_bad"), 1)).alias("invalid"))
+def validation_summary(specs: DataFrame, key: str = "flow_id") -> DataFrame:
+    bad = F.size(violations(specs, key)) > 0
+    return specs.agg(F.count(F.when(~bad, 1)).alias("valid"), F.count(F.when(bad, 1)).alias("invalid"))
 
 
 def fingerprint(cols: list[str], sep: str = "~") -> Column:

@@ -123,12 +123,11 @@ def spec_validate(spark, d):
 
 
 def spec_first_error(spark, d):
-    return Q.first_errors(Q.validate(_specs(spark, d)))
+    return Q.first_error(_specs(spark, d))
 
 
 def spec_validation_summary(spark, d):
-    s = _specs(spark, d)
-    return Q.validation_summary(s, Q.validate(s))
+    return Q.validation_summary(_specs(spark, d))
 
 
 CATALOGUE = {
