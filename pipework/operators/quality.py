@@ -206,18 +206,36 @@ def spec_fingerprint(normalized: DataFrame) -> Column:
     return F.sha2(F.to_json(F.struct("name", "queues", "stages")), 256)
 
 
-def diff(a: DataFrame, b: DataFrame, key: str = "flow_id") -> DataFrame:
-    """``field: a → b`` lines for name, queue count and stage count,
-    only for the fields that changed."""
-    j = a.select(key, F.col("name").alias("a_name"), F.size("queues").alias("a_q"), F.size("stages").alias("a_s")) \
-         .join(b.select(key, F.col("name").alias("b_name"), F.size("queues").alias("b_q"),
-                        F.size("stages").alias("b_s")), key, "inner")
+def diff_lines(pairs: DataFrame, key: str = "flow_id") -> DataFrame:
+    """C12 on a frame holding both versions side by side
+    (``a_name, a_q, a_s, b_name, b_q, b_s``): ``field: a → b`` lines, only
+    for the fields that changed."""
     lines = F.array(
         F.when(F.col("a_name") != F.col("b_name"),
                F.format_string("name: %s → %s", quoted("a_name"), quoted("b_name"))),
         F.when(F.col("a_q") != F.col("b_q"), F.format_string("queues: %d → %d", "a_q", "b_q")),
         F.when(F.col("a_s") != F.col("b_s"), F.format_string("stages: %d → %d", "a_s", "b_s")))
-    return j.select(key, F.explode(F.filter(lines, lambda x: x.isNotNull())).alias("change"))
+    return pairs.select(key, F.explode(F.filter(lines, lambda x: x.isNotNull())).alias("change"))
+
+
+def diff(a: DataFrame, b: DataFrame, key: str = "flow_id") -> DataFrame:
+    """C12 between two spec tables (joined on ``key``)."""
+    j = a.select(key, F.col("name").alias("a_name"), F.size("queues").alias("a_q"), F.size("stages").alias("a_s")) \
+         .join(b.select(key, F.col("name").alias("b_name"), F.size("queues").alias("b_q"),
+                        F.size("stages").alias("b_s")), key, "inner")
+    return diff_lines(j, key)
+
+
+def stage_references(specs: DataFrame, key: str = "flow_id") -> DataFrame:
+    """C8/C9 inside each spec: every normalised stage with flags telling
+    whether its input / output queue is declared by the same spec (a
+    membership test on the row's own queue names, no join)."""
+    names = F.transform("queues", lambda q: q["name"])
+    n = normalize(specs, key).withColumn("_names", names)
+    return (n.select(key, "_names", F.posexplode("stages").alias("pos", "s"))
+             .select(key, F.col("pos").cast("long").alias("pos"), "s.name", "s.input_queue", "s.output_queue",
+                     F.coalesce(F.array_contains("_names", F.col("s.input_queue")), F.lit(False)).alias("input_ok"),
+                     F.coalesce(F.array_contains("_names", F.col("s.output_queue")), F.lit(False)).alias("output_ok")))
 
 
 def json_roundtrip(specs: DataFrame, key: str = "flow_id") -> DataFrame:

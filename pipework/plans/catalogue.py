@@ -63,13 +63,11 @@ def dq_min_value(spark, d):
 
 
 def dq_foreign_key(spark, d):
-    s = _specs(spark, d)
-    q = Q.normalized_queues(s).select("flow_id", F.col("name").alias("queue")).distinct()
-    st = Q.normalized_stages(s)
-    i = Q.missing_reference(st.select("flow_id", "pos", F.col("input_queue").alias("queue")), q,
-                            ["flow_id", "queue"], ["flow_id", "queue"]).withColumn("side", F.lit("input"))
-    o = Q.missing_reference(st.select("flow_id", "pos", F.col("output_queue").alias("queue")), q,
-                            ["flow_id", "queue"], ["flow_id", "queue"]).withColumn("side", F.lit("output"))
+    refs = Q.stage_references(_specs(spark, d))
+    i = refs.where(F.col("input_queue").isNotNull() & ~F.col("input_ok")) \
+            .select("flow_id", "pos", F.col("input_queue").alias("queue"), F.lit("input").alias("side"))
+    o = refs.where(F.col("output_queue").isNotNull() & ~F.col("output_ok")) \
+            .select("flow_id", "pos", F.col("output_queue").alias("queue"), F.lit("output").alias("side"))
     li = load(spark, d, "lineitem")
     fk = Q.missing_reference(li.select(F.col("l_orderkey").alias("flow_id"), F.col("l_linenumber").cast("long").alias("pos"),
                                        F.col("l_partkey").cast("string").alias("queue")),
@@ -91,10 +89,20 @@ def row_fingerprint(spark, d):
 
 
 def spec_diff(spark, d):
+    """Previous version (lines shipped before SNAPSHOT, original names) vs
+    current, both counted in ONE aggregation over the lines."""
     lines = X.spec_lines(spark, d)
-    prev = X.specs_from_lines(lines.where(F.col("shipdate") < F.lit(SNAPSHOT).cast("timestamp_ntz"))
-                                   .withColumn("flow", F.concat(F.lit("f"), F.col("flow_id").cast("string"))))
-    return Q.diff(prev, X.specs_from_lines(lines))
+    prev = F.col("shipdate") < F.lit(SNAPSHOT).cast("timestamp_ntz")
+    queue = F.struct("input_queue", "capacity", X.queue_schema_id().alias("schema_id"))
+    per = lines.groupBy("flow_id", "flow").agg(
+        F.count(F.when(prev, 1)).alias("a_s"),
+        F.count(F.lit(1)).alias("b_s"),
+        F.size(F.array_distinct(F.collect_list(F.when(prev & F.col("declares_queue"), queue)))).alias("a_q"),
+        F.size(F.array_distinct(F.collect_list(F.when(F.col("declares_queue"), queue)))).alias("b_q"))
+    pairs = per.where(F.col("a_s") > 0).select(
+        "flow_id", F.concat(F.lit("f"), F.col("flow_id").cast("string")).alias("a_name"),
+        F.col("flow").alias("b_name"), "a_q", "a_s", "b_q", "b_s")
+    return Q.diff_lines(pairs)
 
 
 def json_roundtrip(spark, d):

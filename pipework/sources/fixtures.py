@@ -179,6 +179,12 @@ def specs(spark: SparkSession, d: str) -> DataFrame:
     return specs_from_lines(spec_lines(spark, d))
 
 
+def queue_schema_id():
+    """Queue schema of a spec line: '' (declared but empty) for line % 4 = 0,
+    'orders' for line % 4 = 1, none otherwise."""
+    return F.when(F.col("pos") % 4 == 0, F.lit("")).when(F.col("pos") % 4 == 1, F.lit("orders"))
+
+
 def specs_from_lines(s: DataFrame) -> DataFrame:
     """Nest flat spec lines into one FlowSpec-shaped row per flow."""
     stages = F.struct(
@@ -186,8 +192,7 @@ def specs_from_lines(s: DataFrame) -> DataFrame:
         F.col("threads"), F.col("input_queue"), F.col("output_queue"), F.col("pos"))
     queue = F.struct(
         F.col("input_queue").alias("name"), F.col("capacity"),
-        F.when(F.col("pos") % 4 == 0, F.lit("")).when(F.col("pos") % 4 == 1, F.lit("orders"))
-         .alias("schema_id"), F.col("pos"))
+        queue_schema_id().alias("schema_id"), F.col("pos"))
     grouped = s.groupBy("flow_id", "flow").agg(
         F.array_sort(F.collect_list(stages)).alias("stages"),
         F.array_sort(F.collect_list(F.when(F.col("declares_queue"), queue))).alias("queues"))
