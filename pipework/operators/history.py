@@ -48,14 +48,16 @@ def replay(oplog: DataFrame, key: str = "name", order=ORDER) -> DataFrame:
 
 def current_versions(replayed: DataFrame, key: str = "name", value: str = "spec") -> DataFrame:
     """All versions of the latest epoch with the active flag (deleted names
-    have no row)."""
-    last_epoch = F.max("epoch").over(Window.partitionBy(key))
-    cur = replayed.withColumn("_last", last_epoch).where(F.col("epoch") == F.col("_last"))
-    active = cur.groupBy(key).agg(F.max_by("active", F.struct(*ORDER)).alias("active_version"))
-    puts = cur.where(F.col("op") == "put").select(key, F.col("put_version").alias("version"), value)
-    return (puts.join(active, key, "inner")
-                .select(key, "version", value,
-                        (F.col("version") == F.col("active_version")).alias("is_active")))
+    have no row). The latest epoch and the final pointer come from whole-
+    partition windows over the same ``name`` partitioning as the replay, so
+    the replay is computed once and no join or extra shuffle is needed."""
+    whole = Window.partitionBy(key).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding,
+                                                                  Window.unboundedFollowing)
+    x = (replayed.withColumn("_last_epoch", F.last("epoch").over(whole))
+                 .withColumn("_final", F.last("active").over(whole)))
+    return (x.where((F.col("epoch") == F.col("_last_epoch")) & (F.col("op") == "put"))
+             .select(key, F.col("put_version").alias("version"), value,
+                     (F.col("put_version") == F.col("_final")).alias("is_active")))
 
 
 def active_pointer(replayed: DataFrame, key: str = "name") -> DataFrame:

@@ -104,14 +104,18 @@ def bucket_counts(df: DataFrame, value: str, bounds: Sequence[float], by=None,
 
 def cumulative_buckets(counts: DataFrame, by=None, count: str = "cnt") -> DataFrame:
     """Prometheus-style cumulative ``le`` series: one row per present bucket
-    plus the mandatory ``+Inf`` row (= total)."""
+    plus the mandatory ``+Inf`` row (= total). One aggregation per group; the
+    per-group bucket list is bounded by the number of declared bounds."""
     keys = _cols(by)
-    w = Window.partitionBy(*keys).orderBy("le").rowsBetween(Window.unboundedPreceding, 0)
-    finite = (counts.where(F.col("le") != F.lit(INF))
-                    .select(*keys, "le", F.sum(count).over(w).cast("long").alias("cum")))
-    total = counts.groupBy(*keys).agg(F.sum(count).cast("long").alias("cum")) \
-                  .select(*keys, F.lit(INF).alias("le"), "cum")
-    return finite.unionByName(total)
+    g = counts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("le", F.col(count).alias("n")))).alias("_b"))
+    finite = F.filter("_b", lambda x: x["le"] != F.lit(INF))
+    cum = F.transform(finite, lambda x, i: F.struct(
+        x["le"].alias("le"),
+        F.aggregate(F.slice(finite, 1, i + 1), F.lit(0).cast("long"), lambda acc, y: acc + y["n"]).alias("cum")))
+    total = F.struct(F.lit(INF).alias("le"),
+                     F.aggregate("_b", F.lit(0).cast("long"), lambda acc, y: acc + y["n"]).alias("cum"))
+    return (g.select(*keys, F.explode(F.concat(cum, F.array(total))).alias("_r"))
+             .select(*keys, "_r.le", F.col("_r.cum").cast("long").alias("cum")))
 
 
 # E11 --------------------------------------------------------------------
@@ -323,10 +327,10 @@ def threshold_state(value, threshold: float) -> Column:
 # E20 --------------------------------------------------------------------
 def time_range(df: DataFrame, hours: float = 6.0, ts: str = "ts") -> DataFrame:
     """Dashboard range ``now-6h .. now`` with ``now`` = newest sample. The
-    newest sample is a scalar subquery, not a join."""
-    newest = df.select(F.max(ts)).scalar()
-    lo = T.from_epoch_us(T.epoch_us(newest) - F.lit(int(hours * 3600 * 1_000_000)))
-    return df.where((F.col(ts) >= lo) & (F.col(ts) <= newest))
+    newest sample is one scalar subquery (a tiny aggregate), not a join;
+    ``ts <= now`` holds by definition."""
+    lo = df.select((T.epoch_us(F.max(ts)) - F.lit(int(hours * 3600 * 1_000_000))).alias("lo")).scalar()
+    return df.where(T.epoch_us(ts) >= lo)
 
 
 # E21 --------------------------------------------------------------------
