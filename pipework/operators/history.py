@@ -73,35 +73,65 @@ def rollback_errors(replayed: DataFrame, key: str = "name") -> DataFrame:
                             F.format_string(ROLLBACK_MISSING, F.col("version").cast("long")).alias("error")))
 
 
+def _pointer_scan(batches, key: str, value: str):
+    """Ordered fold of the store's code rule over a name-sorted partition.
+    State is (name, epoch, active, max version): constant memory, streamed
+    batch by batch (no group is ever materialised)."""
+    import pyarrow as pa
+    cur, epoch, active, top = None, 0, 0, 0
+    for b in batches:
+        cols = {n: b.column(n).to_pylist() for n in (key, "ts", "seq", "op", "version", value)}
+        out = {key: [], "ts": [], "seq": [], "epoch": [], "written": [], "active": [], value: []}
+        for i in range(b.num_rows):
+            name, op = cols[key][i], cols["op"][i]
+            if name != cur:
+                cur, epoch, active, top = name, 0, 0, 0
+            written = None
+            if op == "put":
+                active += 1
+                top = max(top, active)
+                written = active
+            elif op == "rollback":
+                v = cols["version"][i]
+                if v is not None and 1 <= v <= top:
+                    active = v
+            elif op == "delete":
+                epoch, active, top = epoch + 1, 0, 0
+            out[key].append(name)
+            out["ts"].append(cols["ts"][i])
+            out["seq"].append(cols["seq"][i])
+            out["epoch"].append(epoch)
+            out["written"].append(written)
+            out["active"].append(active if active else None)
+            out[value].append(cols[value][i])
+        types = {c: (b.schema.field(c).type if c in cols else pa.int64()) for c in out}
+        yield pa.RecordBatch.from_arrays([pa.array(out[c], type=types[c]) for c in out], names=list(out))
+
+
 def replay_pointer(oplog: DataFrame, key: str = "name", value: str = "spec") -> DataFrame:
-    """D2, the store's code rule: next version = active + 1 (may overwrite an
-    older version after a rollback). A delete resets the name, so the fold
-    runs per delete-epoch: epochs come from a window, then each epoch's ops
-    are folded in order with ``aggregate`` (state: active, version → value)."""
-    is_del = (F.col("op") == "delete").cast("long")
-    x = oplog.withColumn("epoch", F.sum(is_del).over(_w([key])))
-    last_epoch = x.groupBy(key).agg(F.max("epoch").alias("epoch"))
-    live = x.join(last_epoch, [key, "epoch"], "left_semi").where(F.col("op") != "delete")
-    ops = live.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct(*ORDER, "op", "version", value))).alias("ops"))
-    init = F.struct(F.lit(0).cast("long").alias("active"),
-                    F.create_map().cast(f"map<long,{_value_type(oplog, value)}>").alias("versions"))
-
-    def step(acc: Column, op: Column) -> Column:
-        nxt = acc["active"] + 1
-        put = F.struct(nxt.alias("active"),
-                       F.map_concat(F.map_filter(acc["versions"], lambda k, _: k != nxt),
-                                    F.create_map(nxt, op[value])).alias("versions"))
-        ok = F.map_contains_key(acc["versions"], op["version"].cast("long"))
-        rb = F.struct(F.when(ok, op["version"].cast("long")).otherwise(acc["active"]).alias("active"),
-                      acc["versions"].alias("versions"))
-        return F.when(op["op"] == "put", put).when(op["op"] == "rollback", rb).otherwise(acc)
-
-    folded = ops.select(key, F.aggregate("ops", init, step).alias("s"))
-    return (folded.select(key, F.col("s.active").alias("active_version"),
-                          F.explode("s.versions").alias("version", value))
-                  .select(key, "version", value,
-                          (F.col("version") == F.col("active_version")).alias("is_active")))
+    """D2, the store's code rule: next version = active + 1, so a put after a
+    rollback overwrites a newer version. The rule is a sequential fold per
+    name, done as a streaming scan over name-sorted partitions (constant
+    state, no per-name collect); the results are then reduced with partial
+    aggregations, which are skew-safe:
+
+    * a version's value = the last put that wrote it in the latest epoch;
+    * the active version = the pointer after the name's last op.
+    """
+    ts_type = oplog.schema["ts"].dataType.simpleString()
+    vt = _value_type(oplog, value)
+    out_schema = (f"{key} string, ts {ts_type}, seq bigint, epoch bigint, written bigint, "
+                  f"active bigint, {value} {vt}")
+    scanned = (oplog.select(key, "ts", "seq", "op", F.col("version").cast("long").alias("version"), value)
+                    .repartition(key).sortWithinPartitions(key, *ORDER)
+                    .mapInArrow(lambda it: _pointer_scan(it, key, value), out_schema))
+    order = F.struct(*ORDER)
+    last = scanned.groupBy(key).agg(F.max("epoch").alias("_e"), F.max_by("active", order).alias("active_version"))
+    writes = (scanned.where(F.col("written").isNotNull())
+                     .groupBy(key, "epoch", F.col("written").alias("version"))
+                     .agg(F.max_by(value, order).alias(value)))
+    return (writes.join(last, key, "inner").where(F.col("epoch") == F.col("_e"))
+                  .select(key, "version", value, (F.col("version") == F.col("active_version")).alias("is_active")))
 
 
 def _value_type(df: DataFrame, value: str) -> str:
