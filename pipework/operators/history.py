@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from pipework.functions import time as T
 from pipework.functions.scalars import key_name
+from pipework.operators.scan import hour_chunk
+from pipework.session import materialize
 
 # --- fixed values: messages and states -----------------------------------
 ROLLBACK_MISSING = "version %d does not exist"
@@ -26,44 +28,93 @@ def _w(keys, order=ORDER):
     return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
 
 
-def replay(oplog: DataFrame, key: str = "name", order=ORDER) -> DataFrame:
+def replay(oplog: DataFrame, key: str = "name", order=ORDER, chunk: Column | None = None,
+           materialize_local: bool = True) -> DataFrame:
     """D1 per-op replay under the documented rule: inside a delete-epoch each
     put takes the next integer and versions are immutable; a rollback is valid
     iff ``1 ≤ v ≤ puts so far``; a delete starts a new epoch.
 
-    Adds ``epoch``, ``put_version`` (puts), ``valid`` (rollbacks), ``active``
-    (pointer after the op, null once deleted)."""
+    Adds ``epoch``, ``puts`` (puts so far in the epoch), ``put_version``
+    (puts) and ``valid`` (rollbacks). The pointer is derived from these by
+    aggregation (:func:`final_pointer`) or per row (:func:`with_active`).
+
+    Skew-safe: a name is split into time chunks. Running deletes and
+    puts-since-the-last-delete are computed per ``(name, chunk)`` and carried
+    across chunks through a small per-chunk table (a segmented prefix sum),
+    so a hot name is spread over its chunks instead of one task; the big data
+    is shuffled once, by ``(name, chunk)``."""
+    keys, order = [key], list(order)
+    ch = chunk if chunk is not None else hour_chunk(order[0])
     is_put = (F.col("op") == "put").cast("long")
     is_del = (F.col("op") == "delete").cast("long")
-    x = oplog.withColumn("epoch", F.sum(is_del).over(_w([key], order)))
-    x = x.withColumn("_puts", F.sum(is_put).over(_w([key, "epoch"], order)))
-    valid = (F.col("op") == "rollback") & (F.col("version") >= 1) & (F.col("version") <= F.col("_puts"))
-    ptr = (F.when(F.col("op") == "put", F.col("_puts"))
-            .when(valid, F.col("version").cast("long")))
-    x = x.withColumn("put_version", F.when(F.col("op") == "put", F.col("_puts")))
-    x = x.withColumn("valid", F.when(F.col("op") == "rollback", valid))
-    x = x.withColumn("active", F.last(ptr, ignorenulls=True).over(_w([key, "epoch"], order)))
-    return x.drop("_puts")
+    ordc = F.struct(*order)
+
+    x = oplog.withColumn("_chunk", ch)
+    run = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    loc = (x.withColumn("_lE", F.sum(is_del).over(run))
+            .withColumn("_lP", F.sum(is_put).over(run))
+            .withColumn("_lD", F.last(F.when(F.col("op") == "delete", F.col("_lP")), ignorenulls=True).over(run)))
+    if materialize_local:
+        loc = materialize(loc)   # feeds both the chunk summary and the join back
+    # per chunk: deletes, puts, and puts after its last delete (null if none)
+    summ = loc.groupBy(*keys, "_chunk").agg(
+        F.max_by("_lE", ordc).alias("_cE"), F.max_by("_lP", ordc).alias("_cP"),
+        F.max_by(F.col("_lP") - F.col("_lD"), ordc).alias("_cAfter"))
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    s2 = (summ.withColumn("_pE", F.coalesce(F.sum("_cE").over(before), F.lit(0)))
+              .withColumn("_g", F.coalesce(F.sum((F.col("_cE") > 0).cast("long")).over(before), F.lit(0))))
+    # puts since the last delete before a chunk = puts after the delete in the
+    # last chunk holding one + all puts of the chunks since then
+    seg = Window.partitionBy(*keys, "_g").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    base = F.last(F.when(F.col("_cE") > 0, F.col("_cAfter")), ignorenulls=True).over(before)
+    carry = (s2.withColumn("_carry", F.coalesce(base, F.lit(0)) + F.coalesce(F.sum("_cP").over(seg), F.lit(0)))
+               .select(*keys, "_chunk", "_pE", "_carry"))
+    y = loc.join(carry, [*keys, "_chunk"], "inner")
+    puts = F.when(F.col("_lD").isNotNull(), F.col("_lP") - F.col("_lD")).otherwise(F.col("_carry") + F.col("_lP"))
+    y = y.withColumn("epoch", F.col("_pE") + F.col("_lE")).withColumn("puts", puts)
+    valid = (F.col("op") == "rollback") & (F.col("version") >= 1) & (F.col("version") <= F.col("puts"))
+    return (y.withColumn("put_version", F.when(F.col("op") == "put", F.col("puts")))
+             .withColumn("valid", F.when(F.col("op") == "rollback", valid))
+             .drop("_lE", "_lP", "_lD", "_pE", "_carry", "_chunk"))
+
+
+def final_pointer(replayed: DataFrame, key: str = "name") -> DataFrame:
+    """Active version after each name's last op, by partial aggregations
+    only (skew-safe). Between two puts of an epoch the pointer is the last
+    valid rollback since the put, else the put's own version; so it is fixed
+    by the last ``(epoch, puts)`` segment of the name."""
+    ordc = F.struct(*ORDER)
+    last = replayed.groupBy(key).agg(F.max_by(F.struct("epoch", "puts"), ordc).alias("_s"))
+    rb = (replayed.where(F.col("valid"))
+                  .groupBy(key, "epoch", "puts").agg(F.max_by("version", ordc).cast("long").alias("_rb")))
+    j = last.select(key, F.col("_s.epoch").alias("epoch"), F.col("_s.puts").alias("puts")) \
+            .join(rb, [key, "epoch", "puts"], "left")
+    act = F.coalesce(F.col("_rb"), F.when(F.col("puts") > 0, F.col("puts")))
+    return j.select(key, "epoch", act.alias("active_version"))
+
+
+def with_active(replayed: DataFrame, key: str = "name") -> DataFrame:
+    """Per-op pointer (null once deleted): the last valid rollback within the
+    row's ``(epoch, puts)`` segment, else the segment's put."""
+    seg = Window.partitionBy(key, "epoch", "puts").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    rb = F.last(F.when(F.col("valid"), F.col("version").cast("long")), ignorenulls=True).over(seg)
+    return replayed.withColumn("active", F.coalesce(rb, F.when(F.col("puts") > 0, F.col("puts"))))
 
 
 def current_versions(replayed: DataFrame, key: str = "name", value: str = "spec") -> DataFrame:
     """All versions of the latest epoch with the active flag (deleted names
-    have no row). The latest epoch and the final pointer come from whole-
-    partition windows over the same ``name`` partitioning as the replay, so
-    the replay is computed once and no join or extra shuffle is needed."""
-    whole = Window.partitionBy(key).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding,
-                                                                  Window.unboundedFollowing)
-    x = (replayed.withColumn("_last_epoch", F.last("epoch").over(whole))
-                 .withColumn("_final", F.last("active").over(whole)))
-    return (x.where((F.col("epoch") == F.col("_last_epoch")) & (F.col("op") == "put"))
-             .select(key, F.col("put_version").alias("version"), value,
-                     (F.col("put_version") == F.col("_final")).alias("is_active")))
+    have no row). The per-name pointer is one row per name; the join back is
+    left to AQE (broadcast when small, skewed partitions split)."""
+    ptr = final_pointer(replayed, key)
+    puts = replayed.where(F.col("op") == "put").select(key, "epoch", "put_version", value)
+    return (puts.join(ptr, [key, "epoch"], "inner")
+                .select(key, F.col("put_version").alias("version"), value,
+                        (F.col("put_version") == F.col("active_version")).alias("is_active")))
 
 
 def active_pointer(replayed: DataFrame, key: str = "name") -> DataFrame:
     """(name, active_version) for names whose latest op left a pointer."""
-    last = replayed.groupBy(key).agg(F.max_by("active", F.struct(*ORDER)).alias("active_version"))
-    return last.where(F.col("active_version").isNotNull())
+    return final_pointer(replayed, key).where(F.col("active_version").isNotNull()).drop("epoch")
 
 
 def rollback_errors(replayed: DataFrame, key: str = "name") -> DataFrame:

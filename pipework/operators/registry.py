@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pipework.functions.scalars import format_alias
+from pipework.operators.history import replay as history_replay
 
 # --- fixed values: validation messages -----------------------------------
 MSG_ID = "schema id is required"
@@ -40,15 +41,17 @@ def create_errors(ops: DataFrame) -> DataFrame:
                .where(F.col("error").isNotNull()).select("schema_id", "seq", "error"))
 
 
-def replay(ops: DataFrame, key: str = "schema_id", order=("seq",)) -> DataFrame:
+def replay(ops: DataFrame, key: str = "schema_id", order=("seq",), chunk_rows: int = 1 << 16) -> DataFrame:
     """Version numbers for every accepted create, with the epoch.
-    Rejected creates are filtered in the same pass (no join)."""
+    Rejected creates are filtered in the same pass (no join). Uses the
+    skew-safe segmented replay of the flow history (creates are puts, no
+    rollbacks), chunked by ``seq // chunk_rows``."""
     valid = (ops.where((F.col("op") != "put") | _error().isNull())
-                .withColumn("format", format_alias("format")))
-    is_del = (F.col("op") == "delete").cast("long")
-    x = valid.withColumn("epoch", F.sum(is_del).over(_w([key], order)))
-    ver = F.sum((F.col("op") == "put").cast("long")).over(_w([key, "epoch"], order))
-    return x.withColumn("version", F.when(F.col("op") == "put", ver))
+                .withColumn("format", format_alias("format"))
+                .withColumn("version", F.lit(None).cast("long")))
+    chunk = F.floor(F.col(order[0]) / F.lit(int(chunk_rows))).cast("long")
+    r = history_replay(valid, key, order, chunk)
+    return r.withColumn("version", F.col("put_version")).drop("put_version", "puts", "valid")
 
 
 def created_versions(replayed: DataFrame) -> DataFrame:
@@ -57,11 +60,13 @@ def created_versions(replayed: DataFrame) -> DataFrame:
 
 
 def current(replayed: DataFrame, key: str = "schema_id") -> DataFrame:
-    """All live versions (latest epoch) with the active flag."""
-    last = F.max("epoch").over(Window.partitionBy(key))
-    cur = replayed.withColumn("_last", last).where((F.col("epoch") == F.col("_last")) & (F.col("op") == "put"))
-    top = F.max("version").over(Window.partitionBy(key))
-    return cur.select(key, "version", "format", "raw_schema", (F.col("version") == top).alias("is_active"))
+    """All live versions (latest epoch) with the active flag. The latest
+    epoch and newest version per id are partial aggregations (skew-safe)."""
+    puts = replayed.where(F.col("op") == "put")
+    last = replayed.groupBy(key).agg(F.max("epoch").alias("epoch"))
+    top = puts.groupBy(key, "epoch").agg(F.max("version").alias("_top"))
+    cur = puts.join(last, [key, "epoch"], "left_semi").join(top, [key, "epoch"], "inner")
+    return cur.select(key, "version", "format", "raw_schema", (F.col("version") == F.col("_top")).alias("is_active"))
 
 
 def get(versions: DataFrame, requests: DataFrame, key: str = "schema_id") -> DataFrame:

@@ -68,3 +68,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     tables and streaming checkpoints (never a machine-local temp dir)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def materialize(df):
+    """Cut lineage where one intermediate feeds several branches (Spark would
+    otherwise recompute it per branch, since each branch prunes different
+    columns). Reliable ``checkpoint`` into the shared ``spark.checkpoint.dir``:
+    survives executor loss, never a machine-local folder."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
