@@ -7,8 +7,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # --- fixed values: key layout and schema-format aliases ------------------
-FLOWS_PREFIX = "/flowpipe/flows/"
-SCHEMAS_PREFIX = "/flowpipe/schemas/"
+FLOWS_PREFIX = "/pipelines/flows/"
+SCHEMAS_PREFIX = "/pipelines/schemas/"
 # alias (after trim + lower-case) → canonical format
 FORMAT_ALIASES = {
     "arrow": "IN_MEMORY_SCHEMA_FORMAT_ARROW", "apache-arrow": "IN_MEMORY_SCHEMA_FORMAT_ARROW",
@@ -26,7 +26,7 @@ def _c(c) -> Column:
 
 # G8 ----------------------------------------------------------------------
 def key_name(key) -> Column:
-    """``/flowpipe/flows/<name>/active`` → ``<name>`` (base of the dir)."""
+    """``/pipelines/flows/<name>/active`` → ``<name>`` (base of the dir)."""
     return F.element_at(F.split(_c(key), "/"), -2)
 
 

@@ -29,15 +29,15 @@ CTL_MAX_DEPTH = 100
 RT_DWELL_P95_MS = 5000
 RT_STAGE_ERRORS = 1
 RULES = {
-    "alert_api_errors": ("FlowPipeApiHighErrorRate", "api",
+    "alert_api_errors": ("ApiHighErrorRate", "api",
                          "Flow API 5xx error rate above \"0.05\""),
-    "alert_api_latency": ("FlowPipeApiHighLatency", "api", "Flow API p95 latency above 500ms"),
-    "alert_reconcile_failures": ("FlowPipeControllerReconcileFailures", "controller",
+    "alert_api_latency": ("ApiHighLatency", "api", "Flow API p95 latency above 500ms"),
+    "alert_reconcile_failures": ("ControllerReconcileFailures", "controller",
                                  "Flow controller reconcile failures detected"),
-    "alert_queue_depth": ("FlowPipeControllerQueueDepthHigh", "controller",
+    "alert_queue_depth": ("ControllerQueueDepthHigh", "controller",
                           "Flow controller queue depth above 100"),
-    "alert_dwell": ("FlowPipeRuntimeQueueDwellHigh", "runtime", "Runtime queue dwell p95 above 5000ms"),
-    "alert_stage_errors": ("FlowPipeRuntimeStageErrors", "runtime", "Runtime stage errors detected"),
+    "alert_dwell": ("RuntimeQueueDwellHigh", "runtime", "Runtime queue dwell p95 above 5000ms"),
+    "alert_stage_errors": ("RuntimeStageErrors", "runtime", "Runtime stage errors detected"),
 }
 # -------------------------------------------------------------------------
 

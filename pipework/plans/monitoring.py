@@ -20,7 +20,7 @@ def _rt(spark, d):
 
 
 def enqueue_samples(spark: SparkSession, d: str) -> DataFrame:
-    """Cumulative counter ``flowpipe_queue_enqueue_count_total{queue}``
+    """Cumulative counter ``queue_enqueue_count_total{queue}``
     sampled at each minute end with traffic; the process restarts daily, so
     the counter resets at every day boundary."""
     per = P.step_counts(_rt(spark, d).where("enqueued"), STEP_S, ["queue"], name="n")

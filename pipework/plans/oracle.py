@@ -31,7 +31,7 @@ FIX = {
         CASE WHEN k % 2 = 0 THEN 'GET' ELSE 'POST' END AS method,
         '/v1/' || event_type AS route,
         CAST(CASE WHEN k % 20 = 0 THEN 503 WHEN k % 10 = 5 THEN 404 ELSE 200 END AS BIGINT) AS status,
-        value AS latency_ms, '/flowpipe.v1.FlowService/' || event_type AS rpc_method,
+        value AS latency_ms, '/pipelines.v1.FlowService/' || event_type AS rpc_method,
         'flow-api' AS service
         FROM ev""",
     "reconcile": """SELECT ts, request_id, 'flow_' || CAST(user_id % 20 AS VARCHAR) AS flow_name,
@@ -53,7 +53,7 @@ FIX = {
         CASE WHEN o_orderstatus = 'O' THEN o_totalprice END AS spec
         FROM orders""",
     "kv": """SELECT o_orderdate AS ts, o_orderkey AS rev,
-        '/flowpipe/flows/flow_' || CAST(o_custkey AS VARCHAR) ||
+        '/pipelines/flows/flow_' || CAST(o_custkey AS VARCHAR) ||
           CASE WHEN o_orderkey % 4 = 0 THEN '/status' ELSE '/active' END AS key,
         CASE WHEN o_orderstatus = 'P' THEN 'delete' ELSE 'put' END AS op,
         CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS value
@@ -247,13 +247,13 @@ def panel_sql() -> dict[str, str]:
 # alert rules
 # ---------------------------------------------------------------------------
 RULES = {
-    "alert_api_errors": ("FlowPipeApiHighErrorRate", "api", 'Flow API 5xx error rate above "0.05"'),
-    "alert_api_latency": ("FlowPipeApiHighLatency", "api", "Flow API p95 latency above 500ms"),
-    "alert_reconcile_failures": ("FlowPipeControllerReconcileFailures", "controller",
+    "alert_api_errors": ("ApiHighErrorRate", "api", 'Flow API 5xx error rate above "0.05"'),
+    "alert_api_latency": ("ApiHighLatency", "api", "Flow API p95 latency above 500ms"),
+    "alert_reconcile_failures": ("ControllerReconcileFailures", "controller",
                                  "Flow controller reconcile failures detected"),
-    "alert_queue_depth": ("FlowPipeControllerQueueDepthHigh", "controller", "Flow controller queue depth above 100"),
-    "alert_dwell": ("FlowPipeRuntimeQueueDwellHigh", "runtime", "Runtime queue dwell p95 above 5000ms"),
-    "alert_stage_errors": ("FlowPipeRuntimeStageErrors", "runtime", "Runtime stage errors detected"),
+    "alert_queue_depth": ("ControllerQueueDepthHigh", "controller", "Flow controller queue depth above 100"),
+    "alert_dwell": ("RuntimeQueueDwellHigh", "runtime", "Runtime queue dwell p95 above 5000ms"),
+    "alert_stage_errors": ("RuntimeStageErrors", "runtime", "Runtime stage errors detected"),
 }
 
 
@@ -561,7 +561,7 @@ def state_sql() -> dict[str, str]:
         schema_id <> '' AS has_schema_id FROM payloads"""
     s["flag_bits"] = with_("payloads") + "SELECT event_id, flags, flags & 255 AS trace_flags FROM payloads"
     s["key_parse"] = with_("kv") + """SELECT rev, key, split_part(key, '/', 4) AS name, split_part(key, '/', 5) AS leaf,
-        '/flowpipe/flows/' || split_part(key, '/', 4) || '/versions/1' AS version_key FROM kv"""
+        '/pipelines/flows/' || split_part(key, '/', 4) || '/versions/1' AS version_key FROM kv"""
     s["format_alias"] = "WITH " + REGISTRY + f""" SELECT seq, format, {CANON.format(f='format')} AS canonical,
         CASE WHEN ({CANON.format(f='format')}) IS NULL
              THEN printf('unsupported schema format "%s" (use arrow, json, protobuf, flatbuffers)', format) END AS error

@@ -19,7 +19,7 @@ from pipework.sources.tables import load
 API_SERVICE = "flow-api"
 CONTROLLER_SERVICE = "flow-controller"
 RUNTIME_SERVICE = "flow-runtime"
-RPC_PREFIX = "/flowpipe.v1.FlowService/"
+RPC_PREFIX = "/pipelines.v1.FlowService/"
 QUEUE_SCHEMA_ID = "events"          # schema id declared on every event queue
 LOG_EPOCH = "2024-01-01 00:00:00"   # logs: ts = LOG_EPOCH + doc_id minutes
 N_FLOWS = 20                        # reconcile_log: flow_<user_id % 20>
@@ -138,12 +138,12 @@ def oplog(spark: SparkSession, d: str) -> DataFrame:
 
 
 def kv_log(spark: SparkSession, d: str) -> DataFrame:
-    """Key-value store change log from orders (``/flowpipe/flows/<name>/…``)."""
+    """Key-value store change log from orders (``/pipelines/flows/<name>/…``)."""
     o = load(spark, d, "orders")
     return o.select(
         F.col("o_orderdate").alias("ts"),
         F.col("o_orderkey").alias("rev"),
-        F.concat(F.lit("/flowpipe/flows/flow_"), F.col("o_custkey").cast("string"),
+        F.concat(F.lit("/pipelines/flows/flow_"), F.col("o_custkey").cast("string"),
                  F.when(F.col("o_orderkey") % 4 == 0, F.lit("/status"))
                   .otherwise(F.lit("/active"))).alias("key"),
         F.when(F.col("o_orderstatus") == "P", F.lit("delete")).otherwise(F.lit("put")).alias("op"),

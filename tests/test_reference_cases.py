@@ -163,10 +163,10 @@ def test_registry_lifecycle(spark):
 
 def test_watch_events(spark):
     kv = spark.createDataFrame([
-        ("2024-01-01", 1, "/flowpipe/flows/example/active", "put", 1.0),
-        ("2024-01-01", 2, "/flowpipe/flows/example/active", "put", 2.0),
-        ("2024-01-01", 3, "/flowpipe/flows/example/active", "delete", None),
-        ("2024-01-01", 4, "/flowpipe/flows/example/status", "put", 3.0),
+        ("2024-01-01", 1, "/pipelines/flows/example/active", "put", 1.0),
+        ("2024-01-01", 2, "/pipelines/flows/example/active", "put", 2.0),
+        ("2024-01-01", 3, "/pipelines/flows/example/active", "delete", None),
+        ("2024-01-01", 4, "/pipelines/flows/example/status", "put", 3.0),
     ], "ts string, rev long, key string, op string, value double")
     ev = [(r.rev, r.event_type, r.flow) for r in H.watch_events(kv).orderBy("rev").collect()]
     assert ev == [(1, "ADDED", "example"), (2, "UPDATED", "example"), (3, "DELETED", "example")]
