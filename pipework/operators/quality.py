@@ -137,12 +137,17 @@ def _viol(field: str, message: Column, ord_: Column) -> Column:
     return F.struct(F.lit(field).alias("field"), message.alias("message"), ord_.cast("long").alias("ord"))
 
 
+def with_sorted(specs: DataFrame) -> DataFrame:
+    """Project the sorted queue/stage arrays and queue names once, so the
+    per-element rules read columns instead of re-sorting per element."""
+    return (specs.withColumn("_q", sorted_queues()).withColumn("_st", sorted_stages())
+                 .withColumn("_names", F.transform("_q", lambda x: x["name"])))
+
+
 def violations(specs: DataFrame, key: str = "flow_id") -> Column:
     """C2-C9 of one spec row as an array of (field, message, ord), ``ord``
-    following the reference's check order."""
-    q = sorted_queues()
-    st = sorted_stages()
-    names = F.transform(q, lambda x: x["name"])
+    following the reference's check order. Expects :func:`with_sorted`."""
+    q, st, names = F.col("_q"), F.col("_st"), F.col("_names")
     empty = lambda c: F.coalesce(c, F.lit("")) == ""
     flow = F.array(
         F.when(F.col("name").isNull() & F.col("stages").isNull(), _viol("spec", F.lit(MSG_NIL), F.lit(0))),
@@ -173,8 +178,9 @@ def violations(specs: DataFrame, key: str = "flow_id") -> Column:
 def validate(specs: DataFrame, key: str = "flow_id") -> DataFrame:
     """Every violation (the reference stops at ``min(ord)``, see
     :func:`first_errors`). One projection + explode per spec row."""
-    return (specs.select(key, F.explode(violations(specs, key)).alias("v"))
-                 .select(key, "v.field", "v.message", "v.ord"))
+    w = with_sorted(specs)
+    return (w.select(key, F.explode(violations(w, key)).alias("v"))
+             .select(key, "v.field", "v.message", "v.ord"))
 
 
 def first_errors(violations_df: DataFrame, key: str = "flow_id") -> DataFrame:
@@ -185,15 +191,16 @@ def first_errors(violations_df: DataFrame, key: str = "flow_id") -> DataFrame:
 
 def first_error(specs: DataFrame, key: str = "flow_id") -> DataFrame:
     """Row-local form of :func:`first_errors` (no shuffle)."""
-    v = violations(specs, key)
-    first = F.aggregate(v, F.lit(None).cast(specs.select(F.get(v, 0).alias("x")).schema["x"].dataType),
+    w = with_sorted(specs).withColumn("_v", violations(specs, key))
+    first = F.aggregate("_v", F.lit(None).cast(w.schema["_v"].dataType.elementType),
                         lambda acc, x: F.when(acc.isNull() | (x["ord"] < acc["ord"]), x).otherwise(acc))
-    return specs.select(key, first.alias("e")).where(F.col("e").isNotNull()).select(key, "e.field", "e.message")
+    return w.select(key, first.alias("e")).where(F.col("e").isNotNull()).select(key, "e.field", "e.message")
 
 
 def validation_summary(specs: DataFrame, key: str = "flow_id") -> DataFrame:
-    bad = F.size(violations(specs, key)) > 0
-    return specs.agg(F.count(F.when(~bad, 1)).alias("valid"), F.count(F.when(bad, 1)).alias("invalid"))
+    w = with_sorted(specs)
+    bad = F.size(violations(w, key)) > 0
+    return w.agg(F.count(F.when(~bad, 1)).alias("valid"), F.count(F.when(bad, 1)).alias("invalid"))
 
 
 def fingerprint(cols: list[str], sep: str = "~") -> Column:
