@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pipework.functions import time as T
 from pipework.functions.scalars import key_name
-from pipework.operators.scan import hour_chunk
+from pipework.operators.scan import hour_chunk, ordered_scan
 from pipework.session import materialize
 
 # --- fixed values: messages and states -----------------------------------
@@ -215,9 +215,8 @@ def watch_events(kv: DataFrame) -> DataFrame:
     missing key emits nothing). Puts with no value cannot be resolved and are
     dropped; deleted events carry no spec."""
     act = kv.where(F.col("key").endswith("/active"))
-    w = Window.partitionBy("key").orderBy("ts", "rev")
-    prev = F.lag("op").over(w)
-    ev = act.withColumn("_prev", prev)
+    # previous op of the same key: skew-safe ordered scan (hot keys split by time)
+    ev = ordered_scan(act, ["key"], ["ts", "rev"], hour_chunk("ts"), prevs={"_prev": F.col("op")}, materialize=True)
     etype = (F.when(F.col("op") == "delete",
                     F.when(F.col("_prev") == "put", F.lit("DELETED")))
               .when(F.col("_prev").isNull() | (F.col("_prev") == "delete"), F.lit("ADDED"))
@@ -236,15 +235,14 @@ def watch_event_counts(events: DataFrame) -> DataFrame:
 # D11 ----------------------------------------------------------------------
 def coalesced_lag(work: DataFrame, key: str = "key") -> DataFrame:
     """Queue lag per ``get``: time since the *last* ``add`` of the key after
-    the previous ``get`` (re-adds overwrite the enqueue time); no add → 0."""
-    is_get = (F.col("op") == "get").cast("long")
-    w = _w([key])
-    x = work.withColumn("_seg", F.sum(is_get).over(w) - is_get)
-    last_add = F.max(F.when(F.col("op") == "add", F.col("ts"))).over(
-        Window.partitionBy(key, "_seg").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0))
-    x = x.withColumn("_add", last_add).where(F.col("op") == "get")
-    lag = (T.epoch_us("ts") - T.epoch_us("_add")) / F.lit(1e6)
-    return x.select("ts", "seq", key, F.coalesce(lag, F.lit(0.0)).alias("lag_s"))
+    the previous ``get`` (re-adds overwrite the enqueue time); no add → 0.
+    That last add, if any, is exactly the row before the ``get``, so this is
+    a previous-row lookup — done as a skew-safe ordered scan."""
+    x = ordered_scan(work, [key], list(ORDER), hour_chunk("ts"),
+                     prevs={"_pop": F.col("op"), "_pts": F.col("ts")}, materialize=True)
+    lag = (T.epoch_us("ts") - T.epoch_us("_pts")) / F.lit(1e6)
+    return (x.where(F.col("op") == "get")
+             .select("ts", "seq", key, F.when(F.col("_pop") == "add", lag).otherwise(F.lit(0.0)).alias("lag_s")))
 
 
 def queue_depth(work: DataFrame, step_s: int = 60, key: str = "key") -> DataFrame:
@@ -253,9 +251,10 @@ def queue_depth(work: DataFrame, step_s: int = 60, key: str = "key") -> DataFram
     Per key, pending toggles on ``add`` and off on ``get``; the ±1 transitions
     are summed per step (map-side), and only the per-step totals — one row
     per step, bounded by the time span, not by the data — get a running sum."""
-    w = Window.partitionBy(key).orderBy(*ORDER)
     pend = (F.col("op") == "add").cast("long")
-    x = work.withColumn("_p", pend).withColumn("_d", F.col("_p") - F.coalesce(F.lag("_p").over(w), F.lit(0)))
+    x = ordered_scan(work.withColumn("_p", pend), [key], list(ORDER), hour_chunk("ts"),
+                     prevs={"_pp": F.col("_p")}, materialize=True)
+    x = x.withColumn("_d", F.col("_p") - F.coalesce(F.col("_pp"), F.lit(0)))
     per = x.groupBy(T.bucket_index("ts", step_s).alias("_b")).agg(F.sum("_d").alias("_d"))
     run = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     return per.select(T.index_to_ts(F.col("_b") + 1, step_s).alias("ts"),

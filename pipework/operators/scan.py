@@ -33,7 +33,7 @@ def ordered_scan(df: DataFrame, key: list[str], order: list[str], chunk: Column
                  sums: dict[str, Column] | None = None,
                  lasts: dict[str, Column] | None = None,
                  prevs: dict[str, Column] | None = None,
-                 keep_chunk: bool = False) -> DataFrame:
+                 keep_chunk: bool = False, materialize: bool = False) -> DataFrame:
     """Add, per ``key`` in ``order``:
 
     * ``sums[n]``  – inclusive running sum of the column;
@@ -42,7 +42,9 @@ def ordered_scan(df: DataFrame, key: list[str], order: list[str], chunk: Column
 
     ``chunk`` must be non-decreasing along ``order`` within a key. Pass the
     name of an existing ``_chunk`` column (and ``keep_chunk``) to chain scans
-    on data already partitioned by ``(key, _chunk)`` without a new shuffle."""
+    on data already partitioned by ``(key, _chunk)`` without a new shuffle.
+    ``materialize`` checkpoints the chunk-local pass, which feeds both the
+    chunk summary and the join back (otherwise recomputed per branch)."""
     sums, lasts, prevs = sums or {}, lasts or {}, prevs or {}
     keys = list(key)
     ordc = F.struct(*order)
@@ -60,6 +62,9 @@ def ordered_scan(df: DataFrame, key: list[str], order: list[str], chunk: Column
         local = local.withColumn(f"_lp_{n}", F.lag(f"_in_{n}").over(part))
     if prevs:
         local = local.withColumn("_first", F.row_number().over(part) == 1)
+    if materialize:
+        from pipework.session import materialize as _mat
+        local = _mat(local)
 
     summary = local.groupBy(*keys, "_chunk").agg(
         *[F.max_by(f"_ls_{n}", ordc).alias(f"_ts_{n}") for n in sums],

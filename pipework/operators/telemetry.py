@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pipework.functions import time as T
 from pipework.operators import schema_gate as G
 from pipework.operators.promql import bucket_counts, cumulative_buckets
+from pipework.operators.scan import hour_chunk, ordered_scan
 
 ZERO_TRACE = "0" * 32
 
@@ -122,12 +123,13 @@ def span_status(access: DataFrame) -> DataFrame:
 def span_chain(payloads: DataFrame, order=("ts", "event_id")) -> DataFrame:
     """Each hop's span is a child of the span carried by the payload and then
     replaces it. An all-zero trace id means no valid context: parent null."""
-    w = Window.partitionBy("trace_id").orderBy(*order)
     valid = F.col("trace_id") != F.lit(ZERO_TRACE)
-    return payloads.select(
-        "trace_id", "span_id", *order,
-        F.when(valid, F.lag("span_id").over(w)).alias("parent_span_id"),
-        F.when(valid, F.row_number().over(w)).alias("hop"))
+    x = ordered_scan(payloads.select("trace_id", "span_id", *order), ["trace_id"], list(order),
+                     hour_chunk(order[0]), sums={"_hop": F.lit(1)}, prevs={"_parent": F.col("span_id")},
+                     materialize=True)
+    return x.select("trace_id", "span_id", *order,
+                    F.when(valid, F.col("_parent")).alias("parent_span_id"),
+                    F.when(valid, F.col("_hop").cast("int")).alias("hop"))
 
 
 def trace_summary(spans: DataFrame) -> DataFrame:

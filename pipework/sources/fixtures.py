@@ -107,11 +107,11 @@ def logs(spark: SparkSession, d: str) -> DataFrame:
 
 def spans(spark: SparkSession, d: str) -> DataFrame:
     """One span per payload; parent = previous span of the same trace."""
-    p = payloads(spark, d)
-    w = Window.partitionBy("trace_id").orderBy("ts", "event_id")
+    from pipework.operators.scan import hour_chunk, ordered_scan
+    p = ordered_scan(payloads(spark, d), ["trace_id"], ["ts", "event_id"], hour_chunk("ts"),
+                     prevs={"parent_span_id": F.col("span_id")}, materialize=True)
     return p.select(
-        "trace_id", "span_id",
-        F.lag("span_id").over(w).alias("parent_span_id"),
+        "trace_id", "span_id", "parent_span_id",
         F.lit("stage.process").alias("name"),
         F.col("event_type").alias("service"),
         F.col("ts").alias("start_ts"),
