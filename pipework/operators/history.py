@@ -24,9 +24,6 @@ STATUS_MESSAGE = "flow runtime created"
 ORDER = ("ts", "seq")
 
 
-def _w(keys, order=ORDER):
-    return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-
 
 def replay(oplog: DataFrame, key: str = "name", order=ORDER, chunk: Column | None = None,
            materialize_local: bool = True) -> DataFrame:
