@@ -22,6 +22,8 @@ DEFAULT_CONF = {
     "spark.ui.showConsoleProgress": "false",
     # parquet timestamps written without a zone stay NTZ end to end
     "spark.sql.parquet.inferTimestampNTZ.enabled": "true",
+    # reliable checkpoints (materialize) are removed once no longer referenced
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
