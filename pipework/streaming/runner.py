@@ -181,3 +181,41 @@ def csv_ingest_stream(spark: SparkSession, in_dir: str, ddl: str, out_path: str,
 
 __all__ = ["start_flow", "await_all", "stop_all", "run_job", "foreach_batch_sink", "stream_rate",
            "observed", "csv_ingest_stream", "admission_limit"]
+
+
+# ---------------------------------------------------------------------------
+# D9 on a stream: change classification with per-key state
+# ---------------------------------------------------------------------------
+WATCH_OUT = "ts timestamp_ntz, rev bigint, key string, flow string, event_type string, spec double"
+
+
+def _classify(key, pdfs, state):
+    """One key's rows of a micro-batch, in (ts, rev) order, classified with
+    the key's previous op carried in state (put on a missing key = ADDED,
+    later put = UPDATED, delete of a live key = DELETED)."""
+    import pandas as pd
+    prev = state.get[0] if state.exists else None
+    out = []
+    frames = [p for p in pdfs if len(p)]
+    if frames:
+        df = pd.concat(frames).sort_values(["ts", "rev"])
+        for r in df.itertuples(index=False):
+            if r.op == "delete":
+                ev = "DELETED" if prev == "put" else None
+            else:
+                ev = "ADDED" if prev in (None, "delete") else "UPDATED"
+            spec = r.value if r.op == "put" else None
+            if ev is not None and (ev == "DELETED" or spec is not None and not pd.isna(spec)):
+                out.append((r.ts, r.rev, r.key, r.key.split("/")[-2], ev, spec if ev != "DELETED" else None))
+            prev = r.op
+        state.update((prev,))
+    yield pd.DataFrame(out, columns=["ts", "rev", "key", "flow", "event_type", "spec"])
+
+
+def watch_events_stream(kv: DataFrame) -> DataFrame:
+    """Streaming D9 over a key-value change stream: ``groupBy(key)`` with
+    ``applyInPandasWithState`` (state = the key's last op). Rows of one key
+    must arrive in (ts, rev) order across micro-batches, as a change log does."""
+    act = kv.where(F.col("key").endswith("/active"))
+    return act.groupBy("key").applyInPandasWithState(
+        _classify, WATCH_OUT, "prev_op string", "append", "NoTimeout")

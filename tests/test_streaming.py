@@ -4,6 +4,7 @@ stop-on-failure, and windowed rates on streams."""
 import os
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import pipework.streaming.runner as S
@@ -82,3 +83,38 @@ def test_stream_rate_matches_batch(spark, scratch):
     ref = window_rate(spark.read.parquet(src), 3600, ["event_type"]).count()
     # the last window per key may stay open behind the watermark
     assert ref - 5 <= got <= ref
+
+
+def test_watch_events_stream_equals_batch(spark, scratch):
+    from pipework.operators.history import watch_events
+    src = os.path.join(scratch, "kv")
+    kv = X.kv_log(spark, SF001)
+    # change-log files in commit order: each file holds a later slice of revisions
+    # (a global ntile is fine for this 1.5k-row test fixture)
+    ordered = kv.withColumn("_slice", F.ntile(3).over(Window.orderBy("ts", "rev")))
+    for i in (1, 2, 3):
+        ordered.where(F.col("_slice") == i).drop("_slice").write.mode("append").parquet(src)
+    stream = spark.readStream.schema(kv.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = (S.watch_events_stream(stream).writeStream.format("memory").queryName("pw_watch")
+         .outputMode("append").option("checkpointLocation", os.path.join(scratch, "ckw"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = sorted((r.rev, r.event_type) for r in spark.sql("SELECT rev, event_type FROM pw_watch").collect())
+    want = sorted((r.rev, r.event_type) for r in watch_events(kv).collect())
+    assert got == want and len(got) > 0
+
+
+def test_streaming_mode_runs_until_stopped(spark, scratch):
+    src = os.path.join(scratch, "txt")
+    spark.createDataFrame([("a",), ("b",)], "value string").write.text(src)
+    spec = {"name": "live", "queues": [{"name": "q", "capacity": 8}],
+            "stages": [{"name": "src", "type": "file_source", "output_queue": "q",
+                        "config": {"path": src, "format": "text", "max_files_per_trigger": 1}},
+                       {"name": "sink", "type": "stdout_sink", "input_queue": "q"}]}
+    out = os.path.join(scratch, "live_out")
+    qs = S.start_flow(spark, spec, out, mode="streaming", interval="1 second", fmt="text", name="live")
+    for q in qs:
+        q.processAllAvailable()
+        assert q.isActive          # streaming mode keeps running when sources are drained
+    S.stop_all(qs)
+    assert sorted(r.value for r in spark.read.text(os.path.join(out, "sink")).collect()) == ["a", "b"]
