@@ -129,7 +129,7 @@ def span_chain(payloads: DataFrame, order=("ts", "event_id")) -> DataFrame:
                      materialize=True)
     return x.select("trace_id", "span_id", *order,
                     F.when(valid, F.col("_parent")).alias("parent_span_id"),
-                    F.when(valid, F.col("_hop").cast("int")).alias("hop"))
+                    F.when(valid, F.col("_hop").cast("long")).alias("hop"))
 
 
 def trace_summary(spans: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ def _finish(key: str, cond: DataFrame) -> DataFrame:
     name, component, summary = RULES[key]
     fired = P.alert_for(cond, STEP_S, FOR_S)
     return fired.select(F.lit(name).alias("alertname"), "ts",
-                        F.round("value", 6).alias("value"), "active_since", "state",
+                        F.round(F.col("value").cast("double"), 6).alias("value"), "active_since", "state",
                         F.lit("warning").alias("severity"), F.lit(component).alias("component"),
                         F.lit(summary).alias("summary"))
 

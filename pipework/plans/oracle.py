@@ -431,8 +431,8 @@ def monitoring_sql() -> dict[str, str]:
 def _replay_ctes(src: str = "oplog") -> str:
     return f"""r1 AS (SELECT *, sum(CAST(op = 'delete' AS BIGINT)) OVER (PARTITION BY name ORDER BY ts, seq
                   ROWS UNBOUNDED PRECEDING) AS epoch FROM {src}),
-    r2 AS (SELECT *, sum(CAST(op = 'put' AS BIGINT)) OVER (PARTITION BY name, epoch ORDER BY ts, seq
-                  ROWS UNBOUNDED PRECEDING) AS puts FROM r1),
+    r2 AS (SELECT *, CAST(sum(CAST(op = 'put' AS BIGINT)) OVER (PARTITION BY name, epoch ORDER BY ts, seq
+                  ROWS UNBOUNDED PRECEDING) AS BIGINT) AS puts FROM r1),
     r3 AS (SELECT *, CASE WHEN op = 'put' THEN puts
                           WHEN op = 'rollback' AND version >= 1 AND version <= puts THEN version END AS ptr,
                   CASE WHEN op = 'rollback' THEN version >= 1 AND version <= puts END AS valid FROM r2),
@@ -468,8 +468,8 @@ REGISTRY = f"""sops AS (SELECT p_brand AS schema_id, p_partkey AS seq,
            WHERE op <> 'put' OR error IS NULL),
     sr1 AS (SELECT *, sum(CAST(op = 'delete' AS BIGINT)) OVER (PARTITION BY schema_id ORDER BY seq
                   ROWS UNBOUNDED PRECEDING) AS epoch FROM sv),
-    sr2 AS (SELECT *, CASE WHEN op = 'put' THEN sum(CAST(op = 'put' AS BIGINT)) OVER (PARTITION BY schema_id, epoch
-                  ORDER BY seq ROWS UNBOUNDED PRECEDING) END AS version FROM sr1),
+    sr2 AS (SELECT *, CASE WHEN op = 'put' THEN CAST(sum(CAST(op = 'put' AS BIGINT)) OVER (PARTITION BY schema_id, epoch
+                  ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) END AS version FROM sr1),
     scur0 AS (SELECT *, max(epoch) OVER (PARTITION BY schema_id) AS last_epoch FROM sr2),
     scur1 AS (SELECT * FROM scur0 WHERE epoch = last_epoch AND op = 'put'),
     scur AS (SELECT schema_id, version, format, raw_schema,
