@@ -182,9 +182,14 @@ class FlowRun:
         return fan_in(parts)
 
 
-def run_flow(spark: SparkSession, spec: dict, set_schema: bool = False) -> FlowRun:
+def run_flow(spark: SparkSession, spec: dict, set_schema: bool = False,
+             share_queues: bool = False) -> FlowRun:
     """Compose the flow's DataFrames. ``set_schema=True`` lets transforms
-    stamp their output queue's schema id instead of inheriting it."""
+    stamp their output queue's schema id instead of inheriting it.
+
+    A queue read by several consumers is otherwise recomputed once per
+    consumer when the sinks are written; ``share_queues=True`` (batch only)
+    checkpoints such queues once into the shared checkpoint dir first."""
     check_spec(spec)
     queues = {q["name"]: q for q in spec.get("queues") or []}
     stages = list(spec.get("stages") or [])
@@ -209,7 +214,11 @@ def run_flow(spark: SparkSession, spec: dict, set_schema: bool = False) -> FlowR
         frames = [stage_out(p, stack + (qname,)) for p in producers.get(qname, [])]
         if not frames:
             raise FlowError(f"queue {qname!r} has no producer")
-        run.queues[qname] = fan_in(frames)
+        merged = fan_in(frames)
+        if share_queues and len(consumers.get(qname, [])) > 1 and not merged.isStreaming:
+            from pipework.session import materialize
+            merged = materialize(merged)
+        run.queues[qname] = merged
         return run.queues[qname]
 
     def stage_in(s: dict, stack) -> DataFrame:

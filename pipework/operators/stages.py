@@ -31,18 +31,25 @@ def sequence_rows(spark: SparkSession, message: str, threads: int, max_messages:
         raise FlowError("batch sequence source needs max_messages > 0 (0 = unlimited is streaming only)")
     msg = message or DEFAULT_SOURCE_MESSAGE
     n = int(threads) * int(max_messages)
-    r = spark.range(0, n, 1, numPartitions=max(1, min(int(threads), spark.sparkContext.defaultParallelism)))
+    # rows are generated on the executors; partitions follow the row count
+    # (~1M rows each), not the worker count
+    parts = max(spark.sparkContext.defaultParallelism, -(-n // 1_000_000))
+    r = spark.range(0, n, 1, numPartitions=min(parts, max(1, n)))
     return r.select((F.col("id") % threads).alias("worker"), F.floor(F.col("id") / threads).alias("seq")) \
             .select("worker", "seq", F.concat(F.lit(msg + " #"), F.col("seq").cast("string")).alias("text"))
 
 
-def text_envelope(df: DataFrame, text: str = "text") -> DataFrame:
-    """Wrap a text column as an envelope row (no schema id, no trace)."""
+def text_envelope(df: DataFrame, text: str = "text", span_key=None) -> DataFrame:
+    """Wrap a text column as an envelope row (no schema id, no trace). Each
+    record gets a span id derived from ``span_key`` (default: the text), so
+    competing consumers, which split on it, actually share the load."""
     body = F.col(text)
+    key = span_key if span_key is not None else body
     return df.select("*", F.encode(body, "UTF-8").alias("payload"),
                      F.octet_length(body).cast("long").alias("size"),
                      F.current_timestamp().cast("timestamp_ntz").alias("enqueue_ts"),
-                     F.lit(ZERO_TRACE).alias("trace_id"), F.lit("0" * 16).alias("span_id"),
+                     F.lit(ZERO_TRACE).alias("trace_id"),
+                     F.substring(F.md5(key.cast("string")), 1, 16).alias("span_id"),
                      F.lit(0).cast("long").alias("flags"), F.lit("").alias("schema_id"),
                      F.lit(None).cast("map<string,string>").alias("attrs"))
 
@@ -50,7 +57,8 @@ def text_envelope(df: DataFrame, text: str = "text") -> DataFrame:
 @stage("noop_source", "source", NoopSourceConfig)
 def _noop_source(spark, cfg: NoopSourceConfig):
     def produce(threads: int) -> DataFrame:
-        return text_envelope(sequence_rows(spark, cfg.message, threads, cfg.max_messages))
+        rows = sequence_rows(spark, cfg.message, threads, cfg.max_messages)
+        return text_envelope(rows, "text", F.concat_ws(":", "worker", "seq"))
     return produce
 
 

@@ -83,7 +83,7 @@ def test_fanout_disjoint_and_complete(spark):
     run = run_flow(spark, spec)
     a = [r.value for r in run.sinks["sink_a"].collect()]
     b = [r.value for r in run.sinks["sink_b"].collect()]
-    assert len(a) + len(b) == 20 and not set(a) & set(b)
+    assert len(a) + len(b) == 20 and not set(a) & set(b) and a and b
 
 
 def test_schema_sample_flow_counters(spark):
@@ -185,3 +185,17 @@ def test_rollback_rules(spark):
                           .withColumn("ts", F.lit(0)))
     errs = H.rollback_errors(H.replay(bad)).collect()
     assert [e.error for e in errs] == ["version 9 does not exist"]
+
+
+def test_shared_queue_checkpointed_once(spark):
+    spec = {"queues": [{"name": "q_in", "capacity": 8}, {"name": "q_a", "capacity": 8}, {"name": "q_b", "capacity": 8}],
+            "stages": [{"name": "source", "type": "noop_source", "output_queue": "q_in",
+                        "config": {"message": "M", "max_messages": 50}},
+                       {"name": "a", "type": "noop_transform", "input_queue": "q_in", "output_queue": "q_a"},
+                       {"name": "b", "type": "noop_transform", "input_queue": "q_in", "output_queue": "q_b"},
+                       {"name": "sink_a", "type": "stdout_sink", "input_queue": "q_a"},
+                       {"name": "sink_b", "type": "stdout_sink", "input_queue": "q_b"}]}
+    run = run_flow(spark, spec, share_queues=True)
+    a = {r.value for r in run.sinks["sink_a"].collect()}
+    b = {r.value for r in run.sinks["sink_b"].collect()}
+    assert len(a) + len(b) == 50 and not a & b and a and b   # split, disjoint, complete
