@@ -90,15 +90,16 @@ def row_fingerprint(spark, d):
 
 def spec_diff(spark, d):
     """Previous version (lines shipped before SNAPSHOT, original names) vs
-    current, both counted in ONE aggregation over the lines."""
+    current, both counted in ONE aggregation over the lines (exact distinct
+    counts, planned as partial aggregations — no per-flow collect)."""
     lines = X.spec_lines(spark, d)
     prev = F.col("shipdate") < F.lit(SNAPSHOT).cast("timestamp_ntz")
     queue = F.struct("input_queue", "capacity", X.queue_schema_id().alias("schema_id"))
     per = lines.groupBy("flow_id", "flow").agg(
         F.count(F.when(prev, 1)).alias("a_s"),
         F.count(F.lit(1)).alias("b_s"),
-        F.size(F.array_distinct(F.collect_list(F.when(prev & F.col("declares_queue"), queue)))).alias("a_q"),
-        F.size(F.array_distinct(F.collect_list(F.when(F.col("declares_queue"), queue)))).alias("b_q"))
+        F.count_distinct(F.when(prev & F.col("declares_queue"), queue)).alias("a_q"),
+        F.count_distinct(F.when(F.col("declares_queue"), queue)).alias("b_q"))
     pairs = per.where(F.col("a_s") > 0).select(
         "flow_id", F.concat(F.lit("f"), F.col("flow_id").cast("string")).alias("a_name"),
         F.col("flow").alias("b_name"), "a_q", "a_s", "b_q", "b_s")
