@@ -68,11 +68,11 @@ def dq_foreign_key(spark, d):
             .select("flow_id", "pos", F.col("input_queue").alias("queue"), F.lit("input").alias("side"))
     o = refs.where(F.col("output_queue").isNotNull() & ~F.col("output_ok")) \
             .select("flow_id", "pos", F.col("output_queue").alias("queue"), F.lit("output").alias("side"))
-    li = load(spark, d, "lineitem")
-    fk = Q.missing_reference(li.select(F.col("l_orderkey").alias("flow_id"), F.col("l_linenumber").cast("long").alias("pos"),
-                                       F.col("l_partkey").cast("string").alias("queue")),
-                             load(spark, d, "part").select(F.col("p_partkey").cast("string").alias("queue")),
-                             ["queue"], ["queue"]).withColumn("side", F.lit("lineitem.l_partkey"))
+    li = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("flow_id"),
+                                           F.col("l_linenumber").cast("long").alias("pos"), "l_partkey")
+    fk = (Q.missing_reference(li, load(spark, d, "part"), ["l_partkey"], ["p_partkey"])
+           .select("flow_id", "pos", F.col("l_partkey").cast("string").alias("queue"),
+                   F.lit("lineitem.l_partkey").alias("side")))
     return i.unionByName(o).unionByName(fk)
 
 
