@@ -142,3 +142,23 @@ def trace_summary(spans: DataFrame) -> DataFrame:
         F.round(dur, 3).alias("duration_ms"),
         F.count(F.when(F.col("status") == "error", 1)).alias("error_spans"),
         F.count(F.when(F.col("parent_span_id").isNull(), 1)).alias("roots"))
+
+
+# planned metrics (drops, depth) ----------------------------------------------
+def drops(rejected: DataFrame, by=("queue", "reason")) -> DataFrame:
+    """Dropped rows per queue and reason (the quarantine's size)."""
+    return rejected.groupBy(*by).agg(F.count(F.lit(1)).alias("dropped"))
+
+
+def queue_depth_by_queue(points: DataFrame, step_s: int = 60) -> DataFrame:
+    """Per-queue depth at each step end = enqueued − dequeued so far. Both
+    sides are counted per (queue, step) first; the running sum then runs over
+    per-step rows of one queue (bounded by the time span)."""
+    enq = points.where("enqueued").select("queue", T.bucket_index("ts", step_s).alias("_b"),
+                                          F.lit(1).cast("long").alias("_d"))
+    deq = points.where(F.col("dequeue_ts").isNotNull()).select(
+        "queue", T.bucket_index("dequeue_ts", step_s).alias("_b"), F.lit(-1).cast("long").alias("_d"))
+    per = enq.unionByName(deq).groupBy("queue", "_b").agg(F.sum("_d").alias("_d"))
+    run = Window.partitionBy("queue").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    return per.select("queue", T.index_to_ts(F.col("_b") + 1, step_s).alias("ts"),
+                      F.sum("_d").over(run).cast("long").alias("depth"))

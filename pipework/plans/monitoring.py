@@ -202,7 +202,21 @@ def trace_summary(spark, d):
     return M.trace_summary(X.spans(spark, d))
 
 
+def m_drops(spark, d):
+    """Planned metric: drops = schema rejects per queue and reason."""
+    from pipework.operators import schema_gate as G
+    rej = G.rejects(X.payloads(spark, d).withColumn("queue", F.col("event_type")), X.QUEUE_SCHEMA_ID,
+                    stage_input=False)
+    return M.drops(rej)
+
+
+def m_queue_depth(spark, d):
+    """Planned metric: per-queue depth = running enqueue − dequeue."""
+    return M.queue_depth_by_queue(_rt(spark, d))
+
+
 MONITORING = {
+    "m_drops": m_drops, "m_queue_depth": m_queue_depth,
     "sel_eq": sel_eq, "sel_regex": sel_regex, "increase_10m": increase_10m, "rate_1m": rate_1m,
     "max_over_time": max_over_time, "sum_all": sum_all, "sum_by": sum_by, "max_all": max_all,
     "error_ratio": error_ratio, "vector_and": vector_and, "hist_p95": hist_p95, "bucketize": bucketize,

@@ -418,6 +418,15 @@ def monitoring_sql() -> dict[str, str]:
         CASE WHEN trace_id <> repeat('0', 32) THEN lag(span_id) OVER (PARTITION BY trace_id ORDER BY ts, event_id) END AS parent_span_id,
         CASE WHEN trace_id <> repeat('0', 32) THEN row_number() OVER (PARTITION BY trace_id ORDER BY ts, event_id) END AS hop
         FROM payloads"""
+    s["m_drops"] = with_("payloads") + """SELECT event_type AS queue, 'schema_mismatch' AS reason, count(*) AS dropped
+        FROM payloads WHERE schema_id NOT IN ('', 'events') GROUP BY event_type"""
+    s["m_queue_depth"] = with_("rt") + """, e AS (
+        SELECT queue, CAST(floor(epoch_us(ts) / 60000000.0) AS BIGINT) AS b, 1 AS d FROM rt WHERE enqueued
+        UNION ALL SELECT queue, CAST(floor(epoch_us(dequeue_ts) / 60000000.0) AS BIGINT), -1 FROM rt
+        WHERE dequeue_ts IS NOT NULL),
+        p AS (SELECT queue, b, sum(d) AS d FROM e GROUP BY queue, b)
+        SELECT queue, make_timestamp((b + 1) * 60000000) AS ts,
+               CAST(sum(d) OVER (PARTITION BY queue ORDER BY b ROWS UNBOUNDED PRECEDING) AS BIGINT) AS depth FROM p"""
     s["trace_summary"] = with_("spans") + """SELECT trace_id, count(*) AS spans, min(start_ts) AS start_ts,
         max(end_ts) AS end_ts, round((epoch_us(max(end_ts)) - epoch_us(min(start_ts))) / 1000.0, 3) AS duration_ms,
         count(CASE WHEN status = 'error' THEN 1 END) AS error_spans,
