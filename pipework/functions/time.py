@@ -1,5 +1,7 @@
-"""Time helpers. Event time stays ``TIMESTAMP_NTZ`` end to end; the session
-zone is UTC, so casting to ``TIMESTAMP`` for epoch arithmetic is exact."""
+"""Time helpers. Event time stays ``TIMESTAMP_NTZ`` end to end, and epoch
+arithmetic is done on NTZ values directly (``timestamp_diff`` /
+``timestamp_add`` against the NTZ epoch), so results never depend on the
+session time zone."""
 
 from __future__ import annotations
 
@@ -11,12 +13,17 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _epoch() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
 def epoch_us(ts) -> Column:
-    return F.unix_micros(_c(ts).cast("timestamp"))
+    """Microseconds since 1970-01-01 of a wall-clock (NTZ) timestamp."""
+    return F.timestamp_diff("MICROSECOND", _epoch(), _c(ts).cast("timestamp_ntz"))
 
 
 def from_epoch_us(us) -> Column:
-    return F.timestamp_micros(_c(us)).cast("timestamp_ntz")
+    return F.timestamp_add("MICROSECOND", _c(us), _epoch())
 
 
 def floor_to(ts, seconds: int) -> Column:
