@@ -176,13 +176,13 @@ def test_rollback_rules(spark):
     ops = spark.createDataFrame([
         ("f", 1, "put", None, 1.0), ("f", 2, "put", None, 2.0), ("f", 3, "put", None, 3.0),
         ("f", 4, "rollback", 1, None), ("f", 5, "put", None, 5.0)],
-        "name string, seq long, op string, version long, spec double").withColumn("ts", F.lit(0))
+        "name string, seq long, op string, version long, spec double").withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
     imm = {r.version: (r.spec, r.is_active) for r in H.current_versions(H.replay(ops)).collect()}
     assert imm[4] == (5.0, True) and len(imm) == 4
     ptr = {r.version: (r.spec, r.is_active) for r in H.replay_pointer(ops).collect()}
     assert ptr[2] == (5.0, True) and sorted(ptr) == [1, 2, 3]
     bad = ops.unionByName(spark.createDataFrame([("f", 6, "rollback", 9, None)], ops.drop("ts").schema)
-                          .withColumn("ts", F.lit(0)))
+                          .withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")))
     errs = H.rollback_errors(H.replay(bad)).collect()
     assert [e.error for e in errs] == ["version 9 does not exist"]
 

@@ -43,7 +43,7 @@ def test_chunked_replay_matches_sequential(spark):
     for seed in (1, 2, 3):
         ops = _random_ops(seed)
         df = spark.createDataFrame(ops, "name string, seq long, op string, version long, spec double") \
-                  .withColumn("ts", F.lit(0))
+                  .withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
         for chunk_rows in (7, 50, 10_000):
             chunk = F.floor(F.col("seq") / chunk_rows).cast("long")
             got = {(r.name, r.version, r.spec, r.is_active)
