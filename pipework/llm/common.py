@@ -132,3 +132,25 @@ def words(data: np.ndarray, off: np.ndarray, gap: np.ndarray = SPACE):
     after[last] = False
     ends = np.flatnonzero(inside & ~after) + 1
     return starts, ends, np.searchsorted(starts, off)
+
+
+# ---- keys and order ---------------------------------------------------------
+
+def unit_hash(*cols) -> "F.Column":
+    """A number in [0, 1) that only the columns decide."""
+    return F.pmod(F.xxhash64(*cols), F.lit(1 << 52)) / F.lit(float(1 << 52))
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> tuple[DataFrame, list]:
+    """``df`` sorted over partitions, kept, with ``chunk`` and ``idx`` (the place
+    within the chunk); and the rows of every chunk in order, one driver row for
+    each partition. No row passes through the driver."""
+    d = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("idx", F.monotonically_increasing_id())
+    d = keep(d, name)
+    d = d.withColumn("chunk", F.shiftright("idx", 33)).withColumn("idx", F.col("idx").bitwiseAND(F.lit((1 << 33) - 1)))
+    return d, sorted((r.chunk, r.n) for r in d.groupBy("chunk").agg(F.count("*").alias("n")).collect())
+
+
+def maybe_broadcast(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """For broadcast if it has at most ``rows`` (narrow) rows; as it is otherwise."""
+    return F.broadcast(df) if small(df, rows) else df

@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op02_chat, op06_decontaminate, op10_exact
+from . import op01_shard, op02_chat, op03_mix, op06_decontaminate, op10_exact
 from .common import table
 
 
+def op1_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op01_shard.shard(table(spark, sf_dir, "documents"))
+
+
+def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op03_mix.mix(table(spark, sf_dir, "documents"))
+
+
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = op02_chat.with_probe(table(spark, sf_dir, "conversations"))
     return op02_chat.digest(op02_chat.format_chats(rows))
@@ -21,5 +29,5 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_chat, op6_decontaminate, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_shard, op2_chat, op3_mix, op6_decontaminate, op10_exact_dedup)}
 ORACLE = {"op2_chat": op02_chat.SQL, "op6_decontaminate": op06_decontaminate.SQL, "op10_exact_dedup": op10_exact.SQL}
