@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op01_shard, op02_chat, op03_mix, op06_decontaminate, op10_exact
+from . import op01_shard, op02_chat, op03_mix, op06_decontaminate, op07_toxicity, op08_quality, op09_language, op10_exact
 from .common import table
 
 
@@ -25,9 +25,22 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op06_decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op07_toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op08_quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op09_language.language_id(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_shard, op2_chat, op3_mix, op6_decontaminate, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_shard, op2_chat, op3_mix, op6_decontaminate, op7_toxicity,
+                                  op8_quality, op9_language, op10_exact_dedup)}
 ORACLE = {"op2_chat": op02_chat.SQL, "op6_decontaminate": op06_decontaminate.SQL, "op10_exact_dedup": op10_exact.SQL}
