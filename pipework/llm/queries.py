@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op01_shard, op02_chat, op03_mix, op06_decontaminate, op07_toxicity, op08_quality, op09_language, op10_exact
+from . import (op01_shard, op02_chat, op03_mix, op04_jaccard, op05_substrings, op06_decontaminate, op07_toxicity,
+               op08_quality, op09_language, op10_exact)
 from .common import table
 
 
@@ -21,6 +22,14 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op02_chat.digest(op02_chat.format_chats(rows))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op04_jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op05_substrings.cut_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op06_decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -41,6 +50,6 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_shard, op2_chat, op3_mix, op6_decontaminate, op7_toxicity,
+QUERIES = {f.__name__: f for f in (op1_shard, op2_chat, op3_mix, op4_ngram_jaccard, op5_suffix_dedup, op6_decontaminate, op7_toxicity,
                                   op8_quality, op9_language, op10_exact_dedup)}
-ORACLE = {"op2_chat": op02_chat.SQL, "op6_decontaminate": op06_decontaminate.SQL, "op10_exact_dedup": op10_exact.SQL}
+ORACLE = {"op2_chat": op02_chat.SQL, "op4_ngram_jaccard": op04_jaccard.SQL, "op6_decontaminate": op06_decontaminate.SQL, "op10_exact_dedup": op10_exact.SQL}
