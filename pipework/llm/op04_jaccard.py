@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, ODD, byte_chunks, columns, keep, mix, run_hashes, words
+from .common import LOWER, ODD, byte_chunks, columns, keep, maybe_broadcast, mix, run_hashes, words
 from .components import components
 
 SHINGLE = 5
@@ -198,7 +198,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, name: str) -
     side = lambda c: e.select(F.col("doc").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
     pairs = keep(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_could_link, "a long, b long"), f"{name}-may")
     docs = keep(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), f"{name}-docs")
-    sets = keep(texts.join(docs, "doc", "left_semi").mapInArrow(_set_rows, "doc long, set binary"), f"{name}-sets")
+    sets = keep(texts.join(maybe_broadcast(docs, 500_000), "doc", "left_semi").mapInArrow(_set_rows, "doc long, set binary"), f"{name}-sets")
     side = lambda c: sets.select(F.col("doc").alias(c), F.col("set").alias(f"set_{c}"))
     return keep(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_do_link, "a long, b long").distinct(), f"{name}-links")
 
