@@ -11,13 +11,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, keep, small
+from .common import columns, keep, maybe_broadcast, small
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Sides of the joins with at most this many rows (of a few hundred bytes) are broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 100_000
+#: Up to so many documents with shared fingerprints are picked out by a broadcast
+#: of their keys, so that only their texts are shuffled; with more, all texts are.
+CANDIDATES = 200_000
 
 
 def words(text: Column) -> Column:
@@ -91,7 +94,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="
         runs = tokens.limit(0).select("key", F.lit(None).cast("struct<len:int,at:int,to:int>").alias("run"))
     runs = keep(runs.groupBy("key").agg(F.collect_set("run").alias("runs")), "runs")
     # extend: every run that a shared fingerprint serves, compared word for word
-    near = texts.join(runs, "key").dropDuplicates(["key"]).select("key", "runs", words(F.col("text")).alias("words"))
+    near = texts.join(maybe_broadcast(runs.select("key"), CANDIDATES), "key", "left_semi").join(runs, "key").dropDuplicates(["key"]).select("key", "runs", words(F.col("text")).alias("words"))
     near = near.select("key", "words", F.explode_outer("runs").alias("r"))
     near = near.select("key", F.explode_outer(F.transform(F.sequence(F.col("r.at"), F.col("r.to") - 1), lambda i: F.struct(
         i.alias("at"), F.array_join(F.slice("words", i + 1, F.col("r.len")), " ").alias("win")))).alias("s")).select("key", "s.*")
