@@ -72,7 +72,8 @@ def most_shared(nx: int, ny: int, bx: bytes, by: bytes) -> int:
 
 
 def _sets(b):
-    """doc, row's set of a batch; only the first of equal sets (by doc), with the rest as (doc, first doc)."""
+    """Ids and set sizes of a batch in order of id; (row, set) for the first of equal
+    sets only; (row, first row) for the others."""
     ids = b.column("doc").to_numpy(zero_copy_only=False)
     order = np.argsort(ids, kind="stable")
     ids, text = ids[order], b.column("text").take(pa.array(order))
@@ -81,18 +82,18 @@ def _sets(b):
         sizes[i] = len(x)
         key = (len(x), int(x.sum(dtype=np.uint64)), int(mix(x + ODD[9]).sum(dtype=np.uint64)))
         if key in seen:
-            copies.append((int(ids[i]), seen[key]))
+            copies.append((i, seen[key]))
         else:
-            seen[key] = int(ids[i])
+            seen[key] = i
             out.append((i, x))
     return ids, sizes, out, copies
 
 
 def _survey(batches):
     for b in batches:
-        ids, sizes, out, _ = _sets(b)
-        # a copy's bitmap is never needed: it is linked to the first of its set
+        ids, sizes, out, copies = _sets(b)
         bits = {i: bitmap(x) for i, x in out}
+        bits.update({i: bits[j] for i, j in copies})
         n = len(ids)
         yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(ids, pa.int64()), pa.array(sizes.astype(np.int32)),
                                           pa.array([bits.get(i) for i in range(n)], pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())],
@@ -113,7 +114,7 @@ def _entries(batches, common):
     for b in batches:
         ids, _, out, copies = _sets(b)
         if copies:
-            doc, rep = np.array(copies, np.int64).T
+            doc, rep = (ids[x] for x in np.array(copies).T)
             z = np.zeros(len(doc), np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(z == 0), pa.array(rep), pa.array(z), pa.array(doc), pa.array(z), pa.array(z)], names=names)
         parts = []

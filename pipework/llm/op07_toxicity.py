@@ -257,3 +257,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fold: i
     """doc_id, held_out, score, predicted for all of ``docs``; see train and score."""
     out = score(docs, train(docs, labels, fold=fold, held=held), threshold=threshold)
     return out.select("doc_id", (crc_rest(F.col("doc_id"), fold) == held).alias("held_out"), "score", "predicted")
+
+
+def clean(docs: DataFrame, model: dict, text_col="text", threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score below the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(probabilities(shared.value, b.column(text_col)) < threshold, pa.bool_()))
+    return docs.mapInArrow(run, docs.schema)

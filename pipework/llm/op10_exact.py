@@ -17,14 +17,16 @@ from .common import columns, keep
 #: A key with more than this share of the rows counts as hot; there can be at
 #: most as many hot keys as this number.
 HOT_KEYS = 1000
+#: A key with fewer rows is never hot.
+HOT_FLOOR = 64
 
 
 def _hot_hashes(keyed: DataFrame, key: str) -> list[int]:
     """Hashes of the keys that hold over 1/HOT_KEYS of the rows: under HOT_KEYS of them."""
     seen = Observation()
     counts = keyed.groupBy(F.xxhash64(key).alias("h")).agg(F.count("*").alias("c"))
-    counts = keep(counts.observe(seen, F.sum("c").alias("rows")).where("c > 64"), "counts")
-    floor = max((seen.get["rows"] or 0) // HOT_KEYS, 64)
+    counts = keep(counts.observe(seen, F.sum("c").alias("rows")).where(F.col("c") > HOT_FLOOR), "counts")
+    floor = max((seen.get["rows"] or 0) // HOT_KEYS, HOT_FLOOR)
     return [r.h for r in counts.where(F.col("c") > floor).select("h").collect()]
 
 
