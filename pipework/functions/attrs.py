@@ -87,7 +87,8 @@ def to_envelope(df: DataFrame, payload_cols: list[str], ts: str | None = None,
         F.octet_length(body).cast("long").alias("size"),
         enq.alias("enqueue_ts"),
         F.lit(ZERO_TRACE).alias("trace_id"),
-        F.lit("0" * 16).alias("span_id"),
+        # of the whole row: competing consumers split on it
+        F.substring(F.md5(F.to_json(F.struct("*"))), 1, 16).alias("span_id"),
         F.lit(0).cast("long").alias("flags"),
         F.lit(schema_id).alias("schema_id"),
         F.lit(None).cast("map<string,string>").alias("attrs"),

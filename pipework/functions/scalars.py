@@ -27,11 +27,11 @@ def _c(c) -> Column:
 # G8 ----------------------------------------------------------------------
 def key_name(key) -> Column:
     """``/pipelines/flows/<name>/active`` → ``<name>`` (base of the dir)."""
-    return F.element_at(F.split(_c(key), "/"), -2)
+    return F.try_element_at(F.split(_c(key), "/"), F.lit(-2))
 
 
 def key_leaf(key) -> Column:
-    return F.element_at(F.split(_c(key), "/"), -1)
+    return F.try_element_at(F.split(_c(key), "/"), F.lit(-1))
 
 
 def active_key(name) -> Column:
@@ -39,7 +39,7 @@ def active_key(name) -> Column:
 
 
 def version_key(name, version) -> Column:
-    return F.concat(F.lit(FLOWS_PREFIX), _c(name), F.lit("/versions/"), _c(version).cast("string"))
+    return F.concat(F.lit(FLOWS_PREFIX), _c(name), F.lit("/versions/"), _c(version).cast("string"), F.lit("/spec"))
 
 
 def status_key(name) -> Column:
@@ -53,7 +53,7 @@ def schema_version_key(schema_id, version) -> Column:
 # G9 ----------------------------------------------------------------------
 def format_alias(fmt) -> Column:
     """Schema-format alias parse (trim + lower-case). Unknown → null."""
-    s = F.lower(F.trim(_c(fmt)))
+    s = F.lower(F.regexp_replace(_c(fmt), r"^\s+|\s+$", ""))
     expr = None
     for alias, canon in FORMAT_ALIASES.items():
         expr = F.when(s == alias, F.lit(canon)) if expr is None else expr.when(s == alias, F.lit(canon))
@@ -67,8 +67,10 @@ def format_error(fmt) -> Column:
 
 # G10 ---------------------------------------------------------------------
 def _parse_u32(text) -> Column:
+    """Digits of any number, leading zeros included; out of range stays a number above the limit."""
     t = _c(text)
-    return F.when(t.rlike("^[0-9]{1,10}$"), t.cast("long"))
+    short = F.regexp_replace(t, "^0+(?=[0-9])", "")
+    return F.when(t.rlike("^[0-9]+$"), F.when(F.length(short) <= 10, short.try_cast("long")).otherwise(F.lit(UINT32_MAX + 1)))
 
 
 def version_parse(text) -> Column:

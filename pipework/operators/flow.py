@@ -90,22 +90,25 @@ def parse_config(cls: type | None, raw: dict | None):
 # ---------------------------------------------------------------------------
 # edges: competing split (A5) and fan-in
 # ---------------------------------------------------------------------------
-def split_hash(key: Column) -> Column:
-    """Stable 32-bit hash of the key: first 8 hex digits of its MD5."""
-    return F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long")
+def split_hash(key: Column, queue: str = "") -> Column:
+    """Stable 32-bit hash of queue and key: first 8 hex digits of their MD5. The
+    queue's name is part of it, so that a queue after another one is split
+    anew; a null key counts as empty."""
+    text = F.concat(F.lit(queue), F.coalesce(key.cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
-def competing_split(df: DataFrame, n: int, key: Column | str) -> list[DataFrame]:
+def competing_split(df: DataFrame, n: int, key: Column | str, queue: str = "") -> list[DataFrame]:
     """Partition rows among ``n`` competing consumers: disjoint and complete.
     Each branch is a filter on the same lineage (no shuffle)."""
     k = F.col(key) if isinstance(key, str) else key
-    h = split_hash(k)
+    h = split_hash(k, queue)
     return [df.where(F.pmod(h, F.lit(n)) == i) for i in range(n)]
 
 
-def assign_consumer(df: DataFrame, n: int, key: Column | str, name: str = "consumer") -> DataFrame:
+def assign_consumer(df: DataFrame, n: int, key: Column | str, name: str = "consumer", queue: str = "") -> DataFrame:
     k = F.col(key) if isinstance(key, str) else key
-    return df.withColumn(name, F.pmod(split_hash(k), F.lit(n)))
+    return df.withColumn(name, F.pmod(split_hash(k, queue), F.lit(n)))
 
 
 def fan_in(frames: list[DataFrame]) -> DataFrame:
@@ -131,6 +134,11 @@ def _queue_schema(q: dict) -> str | None:
 
 
 def check_spec(spec: dict) -> None:
+    names = [s.get("name") or "" for s in spec.get("stages") or []]
+    if "" in names:
+        raise FlowError("stage name is required")
+    if len(set(names)) < len(names):   # edges go by stage name
+        raise FlowError(f"duplicate stage name: {next(n for n in names if names.count(n) > 1)}")
     queues: dict[str, dict] = {}
     for q in spec.get("queues") or []:
         name = q.get("name", "")
@@ -165,31 +173,41 @@ def check_spec(spec: dict) -> None:
 class FlowRun:
     queues: dict[str, DataFrame] = field(default_factory=dict)
     sinks: dict[str, DataFrame] = field(default_factory=dict)
-    # per stage: (stage name, type, kind, rows seen before gating, in/out queue schema)
+    # per stage: (stage name, type, kind, rows seen before gating, rows produced, in/out queue schema)
     trace: list = field(default_factory=list)
 
     def metrics(self) -> DataFrame:
         """§2.F counters per stage (label ``stage`` = stage type, behaviour 7)."""
+        counters = ("dequeue", "process", "error", "enqueue")
         parts = []
-        for name, typ, kind, seen, in_s, out_s in self.trace:
-            a = account(seen, kind, in_s, out_s)
-            na = {"source": "dequeue", "sink": "enqueue"}.get(kind)
-            sums = [(F.lit(None).cast("long") if c == na else F.coalesce(F.sum(c), F.lit(0).cast("long"))).alias(c)
-                    for c in ("dequeue", "process", "error", "enqueue")]
-            parts.append(a.agg(*sums)
-                          .select(F.lit(name).alias("stage_name"), F.lit(typ).alias("stage"),
-                                  "dequeue", "process", "error", "enqueue"))
-        return fan_in(parts)
+        for name, typ, kind, seen, produced, in_s, out_s in self.trace:
+            if kind == "transform":   # input is judged on what it saw, output on what it produced
+                halves = [account(seen, "sink", in_s).withColumn("enqueue", F.lit(0).cast("long")),
+                          account(produced, "source", None, out_s).withColumns(
+                              {"dequeue": F.lit(0).cast("long"), "process": F.lit(0).cast("long")})]
+            else:
+                halves = [account(seen, kind, in_s, out_s)]
+            for half in halves:
+                parts.append(half.agg(*[F.sum(c).alias(c) for c in counters]).select(
+                    F.lit(name).alias("stage_name"), F.lit(typ).alias("stage"), F.lit(kind).alias("_kind"), *counters))
+        na = {"dequeue": "source", "enqueue": "sink"}
+        return (fan_in(parts).groupBy("stage_name", "stage", "_kind").agg(*[F.sum(c).alias(c) for c in counters])
+                .select("stage_name", "stage", *[F.when(F.col("_kind") != na.get(c, ""), F.coalesce(c, F.lit(0).cast("long"))).alias(c)
+                                                 for c in counters]))
 
 
 def run_flow(spark: SparkSession, spec: dict, set_schema: bool = False,
-             share_queues: bool = False) -> FlowRun:
+             share_queues: bool = False, clock: Callable[[dict, DataFrame], Column] | None = None) -> FlowRun:
     """Compose the flow's DataFrames. ``set_schema=True`` lets transforms
     stamp their output queue's schema id instead of inheriting it.
 
     A queue read by several consumers is otherwise recomputed once per
     consumer when the sinks are written; ``share_queues=True`` (batch only)
-    checkpoints such queues once into the shared checkpoint dir first."""
+    checkpoints such queues once into the shared checkpoint dir first.
+
+    Every push by a source or transform stamps ``enqueue_ts`` (A18) with
+    ``clock(stage, rows)``, by default the current time."""
+    clock = clock or (lambda _stage, _rows: F.current_timestamp().cast("timestamp_ntz"))
     check_spec(spec)
     queues = {q["name"]: q for q in spec.get("queues") or []}
     stages = list(spec.get("stages") or [])
@@ -229,7 +247,7 @@ def run_flow(spark: SparkSession, spec: dict, set_schema: bool = False,
         group = consumers[q]
         if len(group) > 1:
             idx = [c["name"] for c in group].index(s["name"])
-            df = competing_split(df, len(group), _default_split_key(df))[idx]
+            df = competing_split(df, len(group), _default_split_key(df), q)[idx]
         inputs[s["name"]] = df
         return df
 
@@ -242,15 +260,17 @@ def run_flow(spark: SparkSession, spec: dict, set_schema: bool = False,
         out_schema = _queue_schema(queues[s["output_queue"]])
         if st.kind == "source":
             raw = fn(int(s.get("threads", 1) or 1))
-            run.trace.append((s["name"], s["type"], "source", raw, None, out_schema))
+            run.trace.append((s["name"], s["type"], "source", raw, raw, None, out_schema))
             produced = raw
         else:
             in_schema = _queue_schema(queues[s["input_queue"]])
             seen = stage_in(s, stack)
-            run.trace.append((s["name"], s["type"], "transform", seen, in_schema, out_schema))
             produced = fn(G.gate_input(seen, in_schema))
             if set_schema and out_schema:
                 produced = produced.withColumn("schema_id", F.lit(out_schema))
+            run.trace.append((s["name"], s["type"], "transform", seen, produced, in_schema, out_schema))
+        if "enqueue_ts" in produced.columns:
+            produced = produced.withColumn("enqueue_ts", clock(s, produced))
         outputs[s["name"]] = G.stamp_output(produced, out_schema)
         return outputs[s["name"]]
 
@@ -260,7 +280,7 @@ def run_flow(spark: SparkSession, spec: dict, set_schema: bool = False,
             fn = st.build(spark, parse_config(st.config, s.get("config")))
             seen = stage_in(s, ())
             in_schema = _queue_schema(queues[s["input_queue"]])
-            run.trace.append((s["name"], s["type"], "sink", seen, in_schema, None))
+            run.trace.append((s["name"], s["type"], "sink", seen, seen, in_schema, None))
             run.sinks[s["name"]] = fn(G.gate_input(seen, in_schema))
     for q in queues:
         if q in producers:

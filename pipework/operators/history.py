@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 
 from pipework.functions import time as T
 from pipework.functions.scalars import key_name
-from pipework.operators.scan import hour_chunk, ordered_scan
-from pipework.session import materialize
+from pipework.operators.scan import hour_chunk, ordered_scan, split_heavy
 
 # --- fixed values: messages and states -----------------------------------
 ROLLBACK_MISSING = "version %d does not exist"
@@ -26,16 +25,37 @@ ORDER = ("ts", "seq")
 
 
 def replay(oplog: DataFrame, key: str = "name", order=ORDER, chunk: Column | None = None,
-           materialize_local: bool = True) -> DataFrame:
+           heavy_rows: int | None = None) -> DataFrame:
     """D1 per-op replay under the documented rule: inside a delete-epoch each
     put takes the next integer and versions are immutable; a rollback is valid
     iff ``1 ≤ v ≤ puts so far``; a delete starts a new epoch.
 
     Adds ``epoch``, ``puts`` (puts so far in the epoch), ``put_version``
     (puts) and ``valid`` (rollbacks). The pointer is derived from these by
-    aggregation (:func:`final_pointer`) or per row (:func:`with_active`).
+    aggregation (:func:`final_pointer`).
+
+    Ordinary names are replayed by one window each; names of over ``heavy_rows``
+    ops by :func:`_chunked_replay`, with the same result."""
+    light, heavy = split_heavy(oplog, [key], heavy_rows)
+    run = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    puts = F.sum((F.col("op") == "put").cast("long")).over(run)
+    x = light.withColumns({"epoch": F.sum((F.col("op") == "delete").cast("long")).over(run), "_p": puts})
+    # puts of the epoch = puts so far less those up to the last delete
+    gone = F.last(F.when(F.col("op") == "delete", F.col("_p")), ignorenulls=True).over(run)
+    x = _judged(x.withColumn("puts", F.col("_p") - F.coalesce(gone, F.lit(0))).drop("_p"))
+    if heavy is None:
+        return x
+    return x.unionByName(_chunked_replay(heavy, key, order, chunk).select(*x.columns))
+
+
+def _judged(y: DataFrame) -> DataFrame:
+    valid = (F.col("op") == "rollback") & (F.col("version") >= 1) & (F.col("version") <= F.col("puts"))
+    return (y.withColumn("put_version", F.when(F.col("op") == "put", F.col("puts")))
+             .withColumn("valid", F.when(F.col("op") == "rollback", F.coalesce(valid, F.lit(False)))))
+
 
-    Skew-safe: a name is split into time chunks. Running deletes and
+def _chunked_replay(oplog: DataFrame, key: str, order, chunk: Column | None) -> DataFrame:
+    """The replay of heavy names. A name is split into time chunks. Running deletes and
     puts-since-the-last-delete are computed per ``(name, chunk)`` and carried
     across chunks through a small per-chunk table (a segmented prefix sum),
     so a hot name is spread over its chunks instead of one task; the big data
@@ -51,8 +71,6 @@ def replay(oplog: DataFrame, key: str = "name", order=ORDER, chunk: Column | Non
     loc = (x.withColumn("_lE", F.sum(is_del).over(run))
             .withColumn("_lP", F.sum(is_put).over(run))
             .withColumn("_lD", F.last(F.when(F.col("op") == "delete", F.col("_lP")), ignorenulls=True).over(run)))
-    if materialize_local:
-        loc = materialize(loc)   # feeds both the chunk summary and the join back
     # per chunk: deletes, puts, and puts after its last delete (null if none)
     summ = loc.groupBy(*keys, "_chunk").agg(
         F.max_by("_lE", ordc).alias("_cE"), F.max_by("_lP", ordc).alias("_cP"),
@@ -66,21 +84,19 @@ def replay(oplog: DataFrame, key: str = "name", order=ORDER, chunk: Column | Non
     base = F.last(F.when(F.col("_cE") > 0, F.col("_cAfter")), ignorenulls=True).over(before)
     carry = (s2.withColumn("_carry", F.coalesce(base, F.lit(0)) + F.coalesce(F.sum("_cP").over(seg), F.lit(0)))
                .select(*keys, "_chunk", "_pE", "_carry"))
-    y = loc.join(carry, [*keys, "_chunk"], "inner")
+    carry = carry.select(F.col(key).alias("_key"), F.col("_chunk").alias("_at"), "_pE", "_carry")
+    y = loc.join(carry, F.col(key).eqNullSafe(F.col("_key")) & F.col("_chunk").eqNullSafe(F.col("_at")), "inner").drop("_key", "_at")
     puts = F.when(F.col("_lD").isNotNull(), F.col("_lP") - F.col("_lD")).otherwise(F.col("_carry") + F.col("_lP"))
     y = y.withColumn("epoch", F.col("_pE") + F.col("_lE")).withColumn("puts", puts)
-    valid = (F.col("op") == "rollback") & (F.col("version") >= 1) & (F.col("version") <= F.col("puts"))
-    return (y.withColumn("put_version", F.when(F.col("op") == "put", F.col("puts")))
-             .withColumn("valid", F.when(F.col("op") == "rollback", valid))
-             .drop("_lE", "_lP", "_lD", "_pE", "_carry", "_chunk"))
+    return _judged(y).drop("_lE", "_lP", "_lD", "_pE", "_carry", "_chunk")
 
 
-def final_pointer(replayed: DataFrame, key: str = "name") -> DataFrame:
+def final_pointer(replayed: DataFrame, key: str = "name", order=ORDER) -> DataFrame:
     """Active version after each name's last op, by partial aggregations
     only (skew-safe). Between two puts of an epoch the pointer is the last
     valid rollback since the put, else the put's own version; so it is fixed
     by the last ``(epoch, puts)`` segment of the name."""
-    ordc = F.struct(*ORDER)
+    ordc = F.struct(*order)
     last = replayed.groupBy(key).agg(F.max_by(F.struct("epoch", "puts"), ordc).alias("_s"))
     rb = (replayed.where(F.col("valid"))
                   .groupBy(key, "epoch", "puts").agg(F.max_by("version", ordc).cast("long").alias("_rb")))
@@ -90,14 +106,6 @@ def final_pointer(replayed: DataFrame, key: str = "name") -> DataFrame:
     return j.select(key, "epoch", act.alias("active_version"))
 
 
-def with_active(replayed: DataFrame, key: str = "name") -> DataFrame:
-    """Per-op pointer (null once deleted): the last valid rollback within the
-    row's ``(epoch, puts)`` segment, else the segment's put."""
-    seg = Window.partitionBy(key, "epoch", "puts").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    rb = F.last(F.when(F.col("valid"), F.col("version").cast("long")), ignorenulls=True).over(seg)
-    return replayed.withColumn("active", F.coalesce(rb, F.when(F.col("puts") > 0, F.col("puts"))))
-
-
 def current_versions(replayed: DataFrame, key: str = "name", value: str = "spec") -> DataFrame:
     """All versions of the latest epoch with the active flag (deleted names
     have no row). The per-name pointer is one row per name; the join back is
@@ -121,58 +129,47 @@ def rollback_errors(replayed: DataFrame, key: str = "name") -> DataFrame:
                             F.format_string(ROLLBACK_MISSING, F.col("version").cast("long")).alias("error")))
 
 
-def _pointer_scan(batches, key: str, value: str):
-    """Ordered fold of the store's code rule over a name-sorted partition.
+def _pointer_scan(batches, key: str):
+    """Ordered fold of the store's code rule over rows sorted by (name, epoch).
     State is (name, epoch, active, max version): constant memory, streamed
-    batch by batch (no group is ever materialised)."""
+    batch by batch. Only op and version are looked at; the other columns pass
+    through as they came."""
     import pyarrow as pa
-    cur, epoch, active, top = None, 0, 0, 0
+    cur, active, top = None, 0, 0
     for b in batches:
-        cols = {n: b.column(n).to_pylist() for n in (key, "ts", "seq", "op", "version", value)}
-        out = {key: [], "ts": [], "seq": [], "epoch": [], "written": [], "active": [], value: []}
-        for i in range(b.num_rows):
-            name, op = cols[key][i], cols["op"][i]
-            if name != cur:
-                cur, epoch, active, top = name, 0, 0, 0
-            written = None
+        names, epochs, ops, versions = (b.column(n).to_pylist() for n in (key, "epoch", "op", "version"))
+        written, pointer = [], []
+        for name, epoch, op, v in zip(names, epochs, ops, versions, strict=True):
+            if (name, epoch) != cur:
+                cur, active, top = (name, epoch), 0, 0
+            put = None
             if op == "put":
                 active += 1
                 top = max(top, active)
-                written = active
-            elif op == "rollback":
-                v = cols["version"][i]
-                if v is not None and 1 <= v <= top:
-                    active = v
-            elif op == "delete":
-                epoch, active, top = epoch + 1, 0, 0
-            out[key].append(name)
-            out["ts"].append(cols["ts"][i])
-            out["seq"].append(cols["seq"][i])
-            out["epoch"].append(epoch)
-            out["written"].append(written)
-            out["active"].append(active if active else None)
-            out[value].append(cols[value][i])
-        types = {c: (b.schema.field(c).type if c in cols else pa.int64()) for c in out}
-        yield pa.RecordBatch.from_arrays([pa.array(out[c], type=types[c]) for c in out], names=list(out))
+                put = active
+            elif op == "rollback" and v is not None and 1 <= v <= top:
+                active = v
+            written.append(put)
+            pointer.append(active or None)
+        cols = [b.column(n) for n in b.schema.names] + [pa.array(written, pa.int64()), pa.array(pointer, pa.int64())]
+        yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, "written", "active"])
 
 
 def replay_pointer(oplog: DataFrame, key: str = "name", value: str = "spec") -> DataFrame:
     """D2, the store's code rule: next version = active + 1, so a put after a
-    rollback overwrites a newer version. The rule is a sequential fold per
-    name, done as a streaming scan over name-sorted partitions (constant
-    state, no per-name collect); the results are then reduced with partial
-    aggregations, which are skew-safe:
+    rollback overwrites a newer version. The rule is a sequential fold between
+    two deletes of a name: a streaming scan over rows partitioned by
+    ``(name, delete epoch)`` (a delete opens its epoch, so it only resets). The
+    results are then reduced with partial aggregations:
 
     * a version's value = the last put that wrote it in the latest epoch;
     * the active version = the pointer after the name's last op.
     """
-    ts_type = oplog.schema["ts"].dataType.simpleString()
-    vt = _value_type(oplog, value)
-    out_schema = (f"{key} string, ts {ts_type}, seq bigint, epoch bigint, written bigint, "
-                  f"active bigint, {value} {vt}")
-    scanned = (oplog.select(key, "ts", "seq", "op", F.col("version").cast("long").alias("version"), value)
-                    .repartition(key).sortWithinPartitions(key, *ORDER)
-                    .mapInArrow(lambda it: _pointer_scan(it, key, value), out_schema))
+    ops = ordered_scan(oplog.select(key, *ORDER, "op", F.col("version").cast("long").alias("version"), value), [key], list(ORDER),
+                       hour_chunk(ORDER[0]), sums={"epoch": (F.col("op") == "delete").cast("long")})
+    out_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ops.schema) + ", written bigint, active bigint"
+    scanned = (ops.repartition(key, "epoch").sortWithinPartitions(key, "epoch", *ORDER)
+                  .mapInArrow(lambda it: _pointer_scan(it, key), out_schema))
     order = F.struct(*ORDER)
     last = scanned.groupBy(key).agg(F.max("epoch").alias("_e"), F.max_by("active", order).alias("active_version"))
     writes = (scanned.where(F.col("written").isNotNull())
@@ -182,10 +179,6 @@ def replay_pointer(oplog: DataFrame, key: str = "name", value: str = "spec") ->
                   .select(key, "version", value, (F.col("version") == F.col("active_version")).alias("is_active")))
 
 
-def _value_type(df: DataFrame, value: str) -> str:
-    return df.schema[value].dataType.simpleString()
-
-
 # D5 / D6 / D7 / D8 --------------------------------------------------------
 def flow_list(versions: DataFrame, key: str = "name") -> DataFrame:
     """Names with a resolvable active pointer → active spec."""
@@ -199,10 +192,12 @@ def flow_summaries(flows: DataFrame, status: DataFrame, key: str = "name") -> Da
 
 
 def flow_get(requests: DataFrame, flows: DataFrame, status: DataFrame, key: str = "name") -> DataFrame:
-    """D5 in bulk: pointer → spec → optional status; unknown names are
-    'not found' and yield no row."""
-    hit = requests.select(key).distinct().join(flows, key, "inner")
-    return hit.join(status.select(key, "state", "workload"), key, "left")
+    """D5 in bulk: pointer → spec → optional status; a name without a resolvable
+    pointer is 'not found'."""
+    hit = requests.select(key).distinct().join(flows, key, "left")
+    found = F.when(F.col("active_version").isNull(), F.lit("not found")).otherwise(F.lit("ok"))
+    return (hit.join(status.select(key, "state", "workload"), key, "left").withColumn("result", found)
+               .withColumns({c: F.when(F.col("result") == "ok", F.col(c)) for c in ("state", "workload")}))
 
 
 # D9 / D10 -----------------------------------------------------------------
@@ -213,7 +208,7 @@ def watch_events(kv: DataFrame) -> DataFrame:
     dropped; deleted events carry no spec."""
     act = kv.where(F.col("key").endswith("/active"))
     # previous op of the same key: skew-safe ordered scan (hot keys split by time)
-    ev = ordered_scan(act, ["key"], ["ts", "rev"], hour_chunk("ts"), prevs={"_prev": F.col("op")}, materialize=True)
+    ev = ordered_scan(act, ["key"], ["ts", "rev"], hour_chunk("ts"), prevs={"_prev": F.col("op")})
     etype = (F.when(F.col("op") == "delete",
                     F.when(F.col("_prev") == "put", F.lit("DELETED")))
               .when(F.col("_prev").isNull() | (F.col("_prev") == "delete"), F.lit("ADDED"))
@@ -236,7 +231,7 @@ def coalesced_lag(work: DataFrame, key: str = "key") -> DataFrame:
     That last add, if any, is exactly the row before the ``get``, so this is
     a previous-row lookup — done as a skew-safe ordered scan."""
     x = ordered_scan(work, [key], list(ORDER), hour_chunk("ts"),
-                     prevs={"_pop": F.col("op"), "_pts": F.col("ts")}, materialize=True)
+                     prevs={"_pop": F.col("op"), "_pts": F.col("ts")})
     lag = (T.epoch_us("ts") - T.epoch_us("_pts")) / F.lit(1e6)
     return (x.where(F.col("op") == "get")
              .select("ts", "seq", key, F.when(F.col("_pop") == "add", lag).otherwise(F.lit(0.0)).alias("lag_s")))
@@ -246,16 +241,37 @@ def queue_depth(work: DataFrame, step_s: int = 60, key: str = "key") -> DataFram
     """Work-queue depth (distinct pending keys) sampled at each step end.
 
     Per key, pending toggles on ``add`` and off on ``get``; the ±1 transitions
-    are summed per step (map-side), and only the per-step totals — one row
-    per step, bounded by the time span, not by the data — get a running sum."""
+    are summed per step (map-side), and the per-step totals are a :func:`gauge`."""
     pend = (F.col("op") == "add").cast("long")
     x = ordered_scan(work.withColumn("_p", pend), [key], list(ORDER), hour_chunk("ts"),
-                     prevs={"_pp": F.col("_p")}, materialize=True)
+                     prevs={"_pp": F.col("_p")})
     x = x.withColumn("_d", F.col("_p") - F.coalesce(F.col("_pp"), F.lit(0)))
     per = x.groupBy(T.bucket_index("ts", step_s).alias("_b")).agg(F.sum("_d").alias("_d"))
-    run = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    return per.select(T.index_to_ts(F.col("_b") + 1, step_s).alias("ts"),
-                      F.sum("_d").over(run).cast("long").alias("depth"))
+    return gauge(per, step_s, "depth")
+
+
+def gauge(per: DataFrame, step_s: int, name: str) -> DataFrame:
+    """Running sum of ``_d`` over steps ``_b`` as a gauge: it keeps its value in
+    steps without a change, from the first step to the last. Steps are summed
+    within days; only the daily totals (one row a day) are one series."""
+    steps = max(1, 86_400 // step_s)
+    x = per.withColumn("_day", F.floor(F.col("_b") / F.lit(steps)).cast("long"))
+    days = x.groupBy("_day").agg(F.sum("_d").alias("_t"), F.min("_b").alias("_first"))
+    w = Window.orderBy("_day")
+    days = days.select(F.col("_day"), F.coalesce(F.sum("_t").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+                       F.lead("_first").over(w).alias("_after"))
+    d = Window.partitionBy("_day").orderBy("_b")
+    x = x.join(days, "_day").select(
+        "_b", (F.col("_before") + F.sum("_d").over(d.rowsBetween(Window.unboundedPreceding, 0))).cast("long").alias(name),
+        F.coalesce(F.lead("_b").over(d), F.col("_after"), F.col("_b") + 1).alias("_next"))
+    x = x.select(name, F.explode(F.sequence(F.col("_b"), F.col("_next") - 1)).alias("_b"))
+    return x.select(T.index_to_ts(F.col("_b") + 1, step_s).alias("ts"), name)
+
+
+def flows_as_of(replayed: DataFrame, before: Column, key: str = "name") -> DataFrame:
+    """:func:`flow_list` of the log's prefix ``before``, from a replay of the whole
+    log: what the replay adds to a row depends on earlier rows only."""
+    return flow_list(current_versions(replayed.where(before), key), key)
 
 
 # D12 ----------------------------------------------------------------------

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pipework.functions import time as T
+from pipework.operators.scan import ordered_scan
 
 INF = float("inf")
 
@@ -76,10 +77,9 @@ def le_of(value, bounds: Sequence[float]) -> Column:
     """Upper bound of the bucket holding ``value`` (``+Inf`` overflow).
     A CASE chain: stays in codegen, no join with the bound list."""
     v = F.col(value) if isinstance(value, str) else value
-    expr = None
+    expr = F.when(v.isNull(), F.lit(None).cast("double"))   # no observation, no bucket
     for b in sorted(bounds):
-        expr = F.when(v <= F.lit(float(b)), F.lit(float(b))) if expr is None \
-            else expr.when(v <= F.lit(float(b)), F.lit(float(b)))
+        expr = expr.when(v <= F.lit(float(b)), F.lit(float(b)))
     return expr.otherwise(F.lit(INF))
 
 
@@ -97,7 +97,7 @@ def bucket_counts(df: DataFrame, value: str, bounds: Sequence[float], by=None,
     """Non-cumulative per-bucket observation counts (present buckets only).
     Partial aggregation happens map-side, so the shuffle carries
     ``groups × buckets`` rows, not raw observations."""
-    return (df.withColumn("le", le_of(value, bounds))
+    return (df.where(F.col(value).isNotNull()).withColumn("le", le_of(value, bounds))
               .groupBy(*_cols(by), "le")
               .agg(F.count(F.lit(1)).alias(count_name)))
 
@@ -173,11 +173,19 @@ def rate(samples: DataFrame, window_s: int, series, ts: str = "ts",
 # E6 ---------------------------------------------------------------------
 def max_over_time(samples: DataFrame, window_s: int, series=None, ts: str = "ts",
                   value: str = "value", name: str = "max_over_time") -> DataFrame:
+    """Trailing maximum at every sample. Time is cut into spans of many windows;
+    a sample also goes, as history only, to the next span if it lies within a
+    window of its end. So a series (or the lack of one) is never one task."""
     keys = _cols(series)
     w_us = int(window_s) * 1_000_000
-    rng = Window.partitionBy(*keys).orderBy("_us").rangeBetween(-(w_us - 1), 0)
-    return (samples.select(*keys, ts, value, T.epoch_us(ts).alias("_us"))
-                   .select(*keys, ts, F.max(value).over(rng).alias(name)))
+    span = max(w_us * 8, 86_400_000_000)
+    rng = Window.partitionBy(*keys, "_span").orderBy("_us").rangeBetween(-(w_us - 1), 0)
+    x = samples.select(*keys, ts, value, T.epoch_us(ts).alias("_us"))
+    x = x.withColumn("_own", F.floor(F.col("_us") / F.lit(span)).cast("long"))
+    late = (F.col("_own") + 1) * F.lit(span) - F.col("_us") < F.lit(w_us)
+    x = x.withColumn("_span", F.explode(F.when(late, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))))
+    return (x.withColumn(name, F.max(value).over(rng)).where(F.col("_span") == F.col("_own"))
+             .select(*keys, ts, name))
 
 
 # E5 on raw observations -------------------------------------------------
@@ -245,13 +253,14 @@ def alert_for(df: DataFrame, step_s: int, for_s: int, series=None, ts: str = "ts
     """``for:`` on a regular evaluation grid. ``df`` holds the instants where
     the condition is *true* (absent = false). Consecutive grid instants form an
     island; an instant is ``firing`` once ``ts - island_start >= for``, else
-    ``pending``. One window partitioned by series."""
+    ``pending``. Scanned by days, so a condition without series labels is not
+    one task either."""
     keys = _cols(series)
     idx = F.floor(T.epoch_us(ts) / F.lit(int(step_s) * 1_000_000)).cast("long")
-    w = Window.partitionBy(*keys).orderBy("_i")
-    isl = df.withColumn("_i", idx).withColumn("_g", F.col("_i") - F.row_number().over(w))
-    start = F.min(ts).over(Window.partitionBy(*keys, "_g"))
-    out = isl.withColumn("active_since", start)
+    day = T.bucket_index(ts, 86_400)
+    isl = ordered_scan(df.withColumn("_i", idx), keys, ["_i"], day, prevs={"_g": F.col("_i")})
+    begins = F.when(F.col("_g").isNull() | (F.col("_g") < F.col("_i") - 1), F.col(ts))
+    out = ordered_scan(isl, keys, ["_i"], day, lasts={"active_since": begins})
     held = T.epoch_us(ts) - T.epoch_us("active_since")
     return (out.withColumn("state", F.when(held >= F.lit(int(for_s) * 1_000_000), F.lit("firing"))
                                      .otherwise(F.lit("pending")))
@@ -263,6 +272,8 @@ def eval_grid(per_step: DataFrame, step_s: int, window_s: int, ts: str = "ts") -
     evaluation instant ``t`` whose trailing window ``(t-w, t]`` covers them.
     The fan-out is the constant ``window/step`` on already-aggregated rows;
     callers re-aggregate by the new ``ts``."""
+    if window_s < step_s or window_s % step_s:
+        raise ValueError(f"window {window_s}s must be a multiple of the step {step_s}s")
     n = int(window_s // step_s)
     k = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     others = [c for c in per_step.columns if c != ts]
@@ -291,30 +302,31 @@ def last_not_null(df: DataFrame, by=None, ts: str = "ts", value: str = "value",
 
 
 # E17 --------------------------------------------------------------------
-def logs_recent(logs: DataFrame, service: str, limit: int = 1000) -> DataFrame:
-    """``{service_name="$service"}``: newest first, Grafana's line limit.
-    ``orderBy().limit()`` plans as a distributed top-k (TakeOrderedAndProject)."""
-    return (logs.where(F.col("service") == F.lit(service))
-                .orderBy(F.col("ts").desc(), F.col("doc_id").desc())
-                .limit(int(limit)))
+def logs_recent(logs: DataFrame, service: str, limit: int | None = None) -> DataFrame:
+    """``{service_name="$service"}``: every line, newest first. Only a panel that
+    states a ``limit`` has one (then a distributed top-k)."""
+    out = (logs.where(F.col("service") == F.lit(service))
+               .orderBy(F.col("ts").desc(), F.col("doc_id").desc()))
+    return out if limit is None else out.limit(int(limit))
 
 
 # E18 --------------------------------------------------------------------
-def traces_recent(spans: DataFrame, service: str, limit: int = 20) -> DataFrame:
+def traces_recent(spans: DataFrame, service: str, limit: int | None = 20) -> DataFrame:
     """``{ service.name = "$service" }``: traces with a matching span, latest
-    ``limit`` by trace start (Tempo's default search limit)."""
-    hit = spans.where(F.col("service") == F.lit(service)).select("trace_id").distinct()
-    per_trace = (spans.join(hit, "trace_id", "left_semi")
-                      .groupBy("trace_id")
-                      .agg(F.min("start_ts").alias("start_ts"),
+    ``limit`` by trace start (None: all of them). One scan and one aggregation:
+    whether a span matches is part of it."""
+    per_trace = (spans.groupBy("trace_id")
+                      .agg(F.max(F.col("service") == F.lit(service)).alias("_hit"),
+                           F.min("start_ts").alias("start_ts"),
                            F.max("end_ts").alias("end_ts"),
                            F.count(F.lit(1)).alias("span_count"),
-                           F.min_by("service", F.struct("start_ts", "span_id")).alias("root_service")))
+                           F.min_by("service", F.struct("start_ts", "span_id")).alias("root_service"))
+                      .where("_hit"))
     dur = (T.epoch_us("end_ts") - T.epoch_us("start_ts")) / F.lit(1000.0)
-    return (per_trace.select("trace_id", "root_service", "start_ts", "span_count",
-                             dur.alias("duration_ms"))
-                     .orderBy(F.col("start_ts").desc(), F.col("trace_id").desc())
-                     .limit(int(limit)))
+    out = (per_trace.select("trace_id", "root_service", "start_ts", "span_count",
+                            dur.alias("duration_ms"))
+                    .orderBy(F.col("start_ts").desc(), F.col("trace_id").desc()))
+    return out if limit is None else out.limit(int(limit))
 
 
 # E19 --------------------------------------------------------------------
@@ -328,9 +340,11 @@ def threshold_state(value, threshold: float) -> Column:
 def time_range(df: DataFrame, hours: float = 6.0, ts: str = "ts") -> DataFrame:
     """Dashboard range ``now-6h .. now`` with ``now`` = newest sample. The
     newest sample is one scalar subquery (a tiny aggregate), not a join;
-    ``ts <= now`` holds by definition."""
-    lo = df.select((T.epoch_us(F.max(ts)) - F.lit(int(hours * 3600 * 1_000_000))).alias("lo")).scalar()
-    return df.where(T.epoch_us(ts) >= lo)
+    ``ts <= now`` holds by definition. The column itself is compared, so that
+    the bound reaches the scan."""
+    back = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(float(hours) * 3600).cast("decimal(18,6)"))
+    lo = df.select((F.max(ts) - back).alias("lo")).scalar()
+    return df.where(F.col(ts) >= lo)
 
 
 # E21 --------------------------------------------------------------------

@@ -133,8 +133,12 @@ def normalized_stages(specs: DataFrame, key: str = "flow_id") -> DataFrame:
              .select(key, F.col("pos").cast("long").alias("pos"), "s.*"))
 
 
-def _viol(field: str, message: Column, ord_: Column) -> Column:
-    return F.struct(F.lit(field).alias("field"), message.alias("message"), ord_.cast("long").alias("ord"))
+def _viol(field: str, message: Column, section: int, pos, rule: int) -> Column:
+    """A violation and its place in the reference's order of checks: section
+    (0 flow, 1 queues, 2 stages), position of the element, rule."""
+    pos = pos if isinstance(pos, Column) else F.lit(pos)
+    return F.struct(F.lit(field).alias("field"), message.alias("message"), F.lit(section).cast("long").alias("section"),
+                    pos.cast("long").alias("position"), F.lit(rule).cast("long").alias("rule"))
 
 
 def with_sorted(specs: DataFrame) -> DataFrame:
@@ -145,53 +149,53 @@ def with_sorted(specs: DataFrame) -> DataFrame:
 
 
 def violations(specs: DataFrame, key: str = "flow_id") -> Column:
-    """C2-C9 of one spec row as an array of (field, message, ord), ``ord``
-    following the reference's check order. Expects :func:`with_sorted`."""
+    """C2-C9 of one spec row as an array of (field, message, section,
+    position, rule), the last three giving the reference's check order. Expects :func:`with_sorted`."""
     q, st, names = F.col("_q"), F.col("_st"), F.col("_names")
     empty = lambda c: F.coalesce(c, F.lit("")) == ""
     flow = F.array(
-        F.when(F.col("name").isNull() & F.col("stages").isNull(), _viol("spec", F.lit(MSG_NIL), F.lit(0))),
-        F.when(empty(F.col("name")), _viol("name", F.lit(MSG_NAME), F.lit(1))),
-        F.when(F.coalesce(F.size("stages"), F.lit(0)) <= 0, _viol("stages", F.lit(MSG_STAGES), F.lit(2))))
+        F.when(F.col("name").isNull() & F.col("stages").isNull(), _viol("spec", F.lit(MSG_NIL), 0, 0, 0)),
+        F.when(empty(F.col("name")), _viol("name", F.lit(MSG_NAME), 0, 0, 1)),
+        F.when(F.coalesce(F.size("stages"), F.lit(0)) <= 0, _viol("stages", F.lit(MSG_STAGES), 0, 0, 2)))
     qv = F.flatten(F.transform(q, lambda x, i: F.array(
-        F.when(empty(x["name"]), _viol("queues.name", F.lit(MSG_QUEUE_NAME), 10 + i * 3)),
+        F.when(empty(x["name"]), _viol("queues.name", F.lit(MSG_QUEUE_NAME), 1, i, 0)),
         F.when(~empty(x["name"]) & (F.get(q, i - 1)["name"] == x["name"]),
-               _viol("queues.name", F.format_string(MSG_QUEUE_DUP, quoted(x["name"])), 10 + i * 3 + 1)))))
+               _viol("queues.name", F.format_string(MSG_QUEUE_DUP, quoted(x["name"])), 1, i, 1)))))
     sv = F.flatten(F.transform(st, lambda x, i: F.array(
-        F.when(empty(x["name"]), _viol("stages.name", F.lit(MSG_STAGE_NAME), 1_000_000 + i * 10)),
+        F.when(empty(x["name"]), _viol("stages.name", F.lit(MSG_STAGE_NAME), 2, i, 0)),
         F.when(~empty(x["name"]) & (F.get(st, i - 1)["name"] == x["name"]),
-               _viol("stages.name", F.format_string(MSG_STAGE_DUP, quoted(x["name"])), 1_000_000 + i * 10 + 1)),
+               _viol("stages.name", F.format_string(MSG_STAGE_DUP, quoted(x["name"])), 2, i, 1)),
         F.when(empty(x["type"]),
-               _viol("stages.type", F.format_string(MSG_TYPE, quoted(x["name"])), 1_000_000 + i * 10 + 2)),
+               _viol("stages.type", F.format_string(MSG_TYPE, quoted(x["name"])), 2, i, 2)),
         F.when(F.coalesce(x["threads"], F.lit(0)) < 1,
-               _viol("stages.threads", F.format_string(MSG_THREADS, quoted(x["name"])), 1_000_000 + i * 10 + 3)),
+               _viol("stages.threads", F.format_string(MSG_THREADS, quoted(x["name"])), 2, i, 3)),
         F.when(x["input_queue"].isNotNull() & ~F.coalesce(F.array_contains(names, x["input_queue"]), F.lit(False)),
                _viol("stages.input_queue", F.format_string(MSG_INPUT, quoted(x["name"]), quoted(x["input_queue"])),
-                     1_000_000 + i * 10 + 4)),
+                     2, i, 4)),
         F.when(x["output_queue"].isNotNull() & ~F.coalesce(F.array_contains(names, x["output_queue"]), F.lit(False)),
                _viol("stages.output_queue", F.format_string(MSG_OUTPUT, quoted(x["name"]), quoted(x["output_queue"])),
-                     1_000_000 + i * 10 + 5)))))
+                     2, i, 5)))))
     allv = F.concat(flow, F.coalesce(qv, F.array()), F.coalesce(sv, F.array()))
     return F.filter(allv, lambda v: v.isNotNull())
 
 
 def validate(specs: DataFrame, key: str = "flow_id") -> DataFrame:
-    """Every violation (the reference stops at ``min(ord)``, see
+    """Every violation (the reference stops at the first in order, see
     :func:`first_errors`). One projection + explode per spec row."""
     w = with_sorted(specs)
     return (w.select(key, F.explode(violations(w, key)).alias("v"))
-             .select(key, "v.field", "v.message", "v.ord"))
+             .select(key, "v.field", "v.message", "v.section", "v.position", "v.rule"))
 
 
 def first_errors(violations_df: DataFrame, key: str = "flow_id") -> DataFrame:
     """What the reference returns: the first violation per spec."""
-    return violations_df.groupBy(key).agg(F.min_by(F.struct("field", "message"), F.col("ord")).alias("e")) \
+    return violations_df.groupBy(key).agg(F.min_by(F.struct("field", "message"), F.struct("section", "position", "rule")).alias("e")) \
                         .select(key, "e.field", "e.message")
 
 
 def first_error(specs: DataFrame, key: str = "flow_id") -> DataFrame:
     """The reference's answer per spec: the violation with the smallest
-    ``ord``, via a partial aggregation over the (small) violations frame.
+    place in that order, via a partial aggregation over the (small) violations frame.
     Computing it row-locally would make Catalyst inline the whole rule set
     once per extracted field."""
     return first_errors(validate(specs, key), key)
@@ -204,14 +208,25 @@ def validation_summary(specs: DataFrame, key: str = "flow_id") -> DataFrame:
                      F.count(F.when(F.col("_bad"), 1)).alias("invalid"))
 
 
-def fingerprint(cols: list[str], sep: str = "~") -> Column:
-    """C11 for rows: SHA-256 hex of the canonical ``sep``-joined text."""
-    return F.sha2(F.concat_ws(sep, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]), 256)
+def _sealed(c: Column) -> Column:
+    """A value as text that can't run into its neighbours: length, colon, text; null is its own mark."""
+    t = c.cast("string")
+    return F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-"))
 
 
-def spec_fingerprint(normalized: DataFrame) -> Column:
-    """C11 for specs: SHA-256 of the canonical JSON of the normalised spec."""
-    return F.sha2(F.to_json(F.struct("name", "queues", "stages")), 256)
+def fingerprint(cols: list[str]) -> Column:
+    """C11 for rows: SHA-256 hex, equal only for rows equal in every column."""
+    return F.sha2(F.concat(*[_sealed(F.col(c)) for c in cols]), 256)
+
+
+def spec_fingerprint(specs: DataFrame, key: str = "flow_id") -> DataFrame:
+    """C11 for specs: SHA-256 of the normalised spec, so that the order of
+    declarations and an unset capacity don't matter."""
+    n = normalize(specs, key)
+    part = lambda x, names: F.concat(*[_sealed(x[c]) for c in names])
+    q = F.concat_ws(";", F.transform("queues", lambda x: part(x, ("name", "capacity", "schema_id"))))
+    st = F.concat_ws(";", F.transform("stages", lambda x: part(x, ("name", "type", "threads", "input_queue", "output_queue"))))
+    return n.select(key, F.sha2(F.concat(_sealed(F.col("name")), _sealed(q), _sealed(st)), 256).alias("fingerprint"))
 
 
 def diff_lines(pairs: DataFrame, key: str = "flow_id") -> DataFrame:

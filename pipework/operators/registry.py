@@ -68,13 +68,14 @@ def current(replayed: DataFrame, key: str = "schema_id") -> DataFrame:
 
 def get(versions: DataFrame, requests: DataFrame, key: str = "schema_id") -> DataFrame:
     """Exact (id, version) lookups; version 0 / null means active.
-    Not-found requests yield no row (the API returns an error)."""
+    A request that can't be resolved is 'not found'."""
     act = versions.where("is_active").select(key, F.col("version").alias("_active"))
     r = requests.join(act, key, "left").withColumn(
         "_want", F.coalesce(F.when(F.col("version") != 0, F.col("version")), F.col("_active")))
-    return (r.join(versions.withColumnRenamed("version", "_want"), [key, "_want"], "inner")
-             .select(key, F.col("version").alias("requested_version"), F.col("_want").alias("version"),
-                     "format", "raw_schema"))
+    found = versions.withColumnRenamed("version", "_want").withColumn("_hit", F.lit(True))
+    return (r.join(found, [key, "_want"], "left")
+             .select(key, F.col("version").alias("requested_version"), F.when(F.col("_hit"), F.col("_want")).alias("version"),
+                     "format", "raw_schema", F.when(F.col("_hit"), F.lit("ok")).otherwise(F.lit("not found")).alias("result")))
 
 
 def resolve(refs: DataFrame, versions: DataFrame, key: str = "schema_id") -> DataFrame:

@@ -1,19 +1,16 @@
 """Skew-safe ordered scans (running sums, last non-null, previous row).
 
 A window ``partitionBy(key).orderBy(ts, seq)`` sends every row of a key to
-one task; a key holding a third of the data would then be a third of the job
-in one task. ``ordered_scan`` splits each key into *chunks* (a column that is
-monotone in the order, e.g. the hour of ``ts``) and computes
+one task. For most keys that is right: one shuffle, nothing else. Only a
+*heavy* key (a partial count per key finds them; there are at most
+``HEAVY_KEYS``) is split into chunks along the order:
 
 1. local scans with windows partitioned by ``(key, chunk)``;
-2. one summary row per ``(key, chunk)`` (chunk totals / last values) —
-   computed from the already-partitioned local result, no extra shuffle;
-3. an exclusive prefix over the chunk summaries of each key (tiny: one row
-   per chunk);
+2. one summary row per ``(key, chunk)`` (chunk totals / last values);
+3. an exclusive prefix over the chunk summaries of each key (one row per chunk);
 4. the local result joined with its chunk's prefix on ``(key, chunk)``.
 
-The big data is shuffled once, by ``(key, chunk)``, exactly as often as the
-plain window would shuffle it by ``key``; only chunk summaries move again.
+Both ways give the same rows. Nothing is checkpointed.
 """
 
 from __future__ import annotations
@@ -29,22 +26,60 @@ def hour_chunk(ts: str = "ts", seconds: int = 3600) -> Column:
     return T.bucket_index(ts, seconds)
 
 
+#: A key is heavy with more than this many rows, and more than 1/HEAVY_KEYS of all rows.
+HEAVY_ROWS = 1_000_000
+HEAVY_KEYS = 1000
+
+
+def split_heavy(df: DataFrame, key: list[str], heavy_rows: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of ordinary keys, rows of heavy keys or None). One partial count per
+    key; the driver gets the heavy keys only, fewer than HEAVY_KEYS."""
+    heavy_rows = HEAVY_ROWS if heavy_rows is None else heavy_rows
+    many = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > heavy_rows)
+    heavy = many.orderBy(F.desc("_n")).limit(HEAVY_KEYS).collect()
+    if not heavy:
+        return df, None
+    hit = F.lit(False)
+    for r in heavy:
+        one = F.lit(True)
+        for k in key:
+            one = one & F.col(k).eqNullSafe(F.lit(r[k]))
+        hit = hit | one
+    return df.where(~hit), df.where(hit)
+
+
 def ordered_scan(df: DataFrame, key: list[str], order: list[str], chunk: Column | str,
                  sums: dict[str, Column] | None = None,
                  lasts: dict[str, Column] | None = None,
-                 prevs: dict[str, Column] | None = None,
-                 keep_chunk: bool = False, materialize: bool = False) -> DataFrame:
+                 prevs: dict[str, Column] | None = None, heavy_rows: int | None = None) -> DataFrame:
+    """Add ``sums``, ``lasts`` and ``prevs`` (see :func:`chunked_scan`) per ``key``
+    in ``order``: by plain windows, and by chunks for keys of over
+    ``heavy_rows`` rows. Without a key all rows are one series, by chunks."""
+    if not key:
+        return chunked_scan(df, key, order, chunk, sums, lasts, prevs)
+    light, heavy = split_heavy(df, key, heavy_rows)
+    w = Window.partitionBy(*key).orderBy(*order)
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    new = {n: F.sum(c).over(run) for n, c in (sums or {}).items()}
+    new |= {n: F.last(c, ignorenulls=True).over(run) for n, c in (lasts or {}).items()}
+    new |= {n: F.lag(c).over(w) for n, c in (prevs or {}).items()}
+    out = light.withColumns(new)
+    if heavy is None:
+        return out
+    return out.unionByName(chunked_scan(heavy, key, order, chunk, sums, lasts, prevs).select(*out.columns))
+
+
+def chunked_scan(df: DataFrame, key: list[str], order: list[str], chunk: Column | str,
+                 sums: dict[str, Column] | None = None,
+                 lasts: dict[str, Column] | None = None,
+                 prevs: dict[str, Column] | None = None) -> DataFrame:
     """Add, per ``key`` in ``order``:
 
     * ``sums[n]``  – inclusive running sum of the column;
     * ``lasts[n]`` – inclusive last non-null value;
     * ``prevs[n]`` – value on the previous row (null on the key's first row).
 
-    ``chunk`` must be non-decreasing along ``order`` within a key. Pass the
-    name of an existing ``_chunk`` column (and ``keep_chunk``) to chain scans
-    on data already partitioned by ``(key, _chunk)`` without a new shuffle.
-    ``materialize`` checkpoints the chunk-local pass, which feeds both the
-    chunk summary and the join back (otherwise recomputed per branch)."""
+    ``chunk`` must be non-decreasing along ``order`` within a key."""
     sums, lasts, prevs = sums or {}, lasts or {}, prevs or {}
     keys = list(key)
     ordc = F.struct(*order)
@@ -62,9 +97,6 @@ def ordered_scan(df: DataFrame, key: list[str], order: list[str], chunk: Column
         local = local.withColumn(f"_lp_{n}", F.lag(f"_in_{n}").over(part))
     if prevs:
         local = local.withColumn("_first", F.row_number().over(part) == 1)
-    if materialize:
-        from pipework.session import materialize as _mat
-        local = _mat(local)
 
     summary = local.groupBy(*keys, "_chunk").agg(
         *[F.max_by(f"_ls_{n}", ordc).alias(f"_ts_{n}") for n in sums],
@@ -78,7 +110,12 @@ def ordered_scan(df: DataFrame, key: list[str], order: list[str], chunk: Column
         *[F.last(f"_tl_{n}", ignorenulls=True).over(before).alias(f"_pl_{n}") for n in lasts],
         *[F.lag(f"_tp_{n}").over(chunk_w).alias(f"_pp_{n}") for n in prevs])
 
-    out = local.join(prefix, [*keys, "_chunk"], "inner")
+    for k in keys:   # a null key is a key
+        prefix = prefix.withColumnRenamed(k, f"_key_{k}")
+    same = F.col("_chunk").eqNullSafe(F.col("_at"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    out = local.join(prefix.withColumnRenamed("_chunk", "_at"), same, "inner").drop("_at", *[f"_key_{k}" for k in keys])
     for n in sums:
         out = out.withColumn(n, F.col(f"_ls_{n}") + F.col(f"_ps_{n}"))
     for n in lasts:
@@ -87,4 +124,4 @@ def ordered_scan(df: DataFrame, key: list[str], order: list[str], chunk: Column
         out = out.withColumn(n, F.when(F.col("_first"), F.col(f"_pp_{n}")).otherwise(F.col(f"_lp_{n}")))
     drop = [c for c in out.columns if c.startswith(("_in_", "_ls_", "_ll_", "_lp_", "_ps_", "_pl_", "_pp_"))]
     out = out.drop(*drop, "_first")
-    return out if keep_chunk else out.drop("_chunk")
+    return out.drop("_chunk")

@@ -83,10 +83,9 @@ def _table_source(spark, cfg: TableSourceConfig):
             else:
                 df = to_envelope(df, cfg.payload_cols or df.columns, cfg.ts)
         # threads = independent workers reading the same table (behaviour 2)
-        out = df
-        for _ in range(1, threads):
-            out = out.unionByName(df)
-        return out
+        if threads == 1:
+            return df
+        return df.withColumn("_worker", F.explode(F.sequence(F.lit(1), F.lit(threads)))).drop("_worker")
     return produce
 
 

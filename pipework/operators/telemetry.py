@@ -125,8 +125,7 @@ def span_chain(payloads: DataFrame, order=("ts", "event_id")) -> DataFrame:
     replaces it. An all-zero trace id means no valid context: parent null."""
     valid = F.col("trace_id") != F.lit(ZERO_TRACE)
     x = ordered_scan(payloads.select("trace_id", "span_id", *order), ["trace_id"], list(order),
-                     hour_chunk(order[0]), sums={"_hop": F.lit(1)}, prevs={"_parent": F.col("span_id")},
-                     materialize=True)
+                     hour_chunk(order[0]), sums={"_hop": F.lit(1)}, prevs={"_parent": F.col("span_id")})
     return x.select("trace_id", "span_id", *order,
                     F.when(valid, F.col("_parent")).alias("parent_span_id"),
                     F.when(valid, F.col("_hop").cast("long")).alias("hop"))

@@ -17,12 +17,19 @@ def _specs(spark, d):
     return X.specs(spark, d)
 
 
+def _both_sides(specs):
+    """Normalised queues and stages as rows of one explode: the specs are built once."""
+    side = lambda kind, col, cap: F.transform(col, lambda x, i: F.struct(
+        F.lit(kind).alias("kind"), i.cast("long").alias("pos"), x["name"].alias("name"), cap(x).alias("capacity")))
+    n = Q.normalize(specs)
+    rows = F.concat(side("queue", "queues", lambda x: x["capacity"]), side("stage", "stages", lambda x: F.lit(None).cast("long")))
+    return n.select("flow_id", F.explode(rows).alias("r")).select("flow_id", "r.*")
+
+
 def spec_normalize(spark, d):
     s = _specs(spark, d)
-    q = Q.normalized_queues(s).select("flow_id", F.lit("queue").alias("kind"), "pos", "name", "capacity")
-    st = Q.normalized_stages(s).select("flow_id", F.lit("stage").alias("kind"), "pos", "name",
-                                       F.lit(None).cast("long").alias("capacity"))
-    return q.unionByName(st)
+    both = _both_sides(s)
+    return both.select("flow_id", "kind", "pos", "name", "capacity")
 
 
 def dq_not_null(spark, d):
@@ -48,13 +55,11 @@ def dq_non_empty(spark, d):
 
 
 def dq_unique(spark, d):
-    s = _specs(spark, d)
-    q = Q.duplicates(Q.normalized_queues(s), ["flow_id", "name"]).withColumn("kind", F.lit("queue"))
-    st = Q.duplicates(Q.normalized_stages(s), ["flow_id", "name"]).withColumn("kind", F.lit("stage"))
+    own = Q.duplicates(_both_sides(_specs(spark, d)), ["flow_id", "kind", "name"])
     li = Q.duplicates(load(spark, d, "lineitem").select(F.col("l_orderkey").alias("flow_id"),
                                                         F.col("l_linenumber").cast("string").alias("name")),
                       ["flow_id", "name"]).withColumn("kind", F.lit("lineitem"))
-    return q.unionByName(st).unionByName(li)
+    return own.unionByName(li)
 
 
 def dq_min_value(spark, d):
@@ -64,16 +69,16 @@ def dq_min_value(spark, d):
 
 def dq_foreign_key(spark, d):
     refs = Q.stage_references(_specs(spark, d))
-    i = refs.where(F.col("input_queue").isNotNull() & ~F.col("input_ok")) \
-            .select("flow_id", "pos", F.col("input_queue").alias("queue"), F.lit("input").alias("side"))
-    o = refs.where(F.col("output_queue").isNotNull() & ~F.col("output_ok")) \
-            .select("flow_id", "pos", F.col("output_queue").alias("queue"), F.lit("output").alias("side"))
+    sides = F.array(*[F.struct(F.col(f"{x}_queue").alias("queue"), F.lit(x).alias("side"), F.col(f"{x}_ok").alias("ok"))
+                      for x in ("input", "output")])
+    own = refs.select("flow_id", "pos", F.explode(sides).alias("r")).select("flow_id", "pos", "r.*")
+    own = own.where(F.col("queue").isNotNull() & ~F.col("ok")).drop("ok")
     li = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("flow_id"),
                                            F.col("l_linenumber").cast("long").alias("pos"), "l_partkey")
     fk = (Q.missing_reference(li, load(spark, d, "part"), ["l_partkey"], ["p_partkey"])
            .select("flow_id", "pos", F.col("l_partkey").cast("string").alias("queue"),
                    F.lit("lineitem.l_partkey").alias("side")))
-    return i.unionByName(o).unionByName(fk)
+    return own.unionByName(fk)
 
 
 def dq_conditional(spark, d):
@@ -88,6 +93,10 @@ def row_fingerprint(spark, d):
     return o.select("o_orderkey", Q.fingerprint(cols).alias("fingerprint"))
 
 
+def spec_fingerprint(spark, d):
+    return Q.spec_fingerprint(_specs(spark, d))
+
+
 def spec_diff(spark, d):
     """Previous version (lines shipped before SNAPSHOT, original names) vs
     current, both counted in ONE aggregation over the lines (exact distinct
@@ -143,6 +152,7 @@ CATALOGUE = {
     "spec_normalize": spec_normalize, "dq_not_null": dq_not_null, "dq_required": dq_required,
     "dq_non_empty": dq_non_empty, "dq_unique": dq_unique, "dq_min_value": dq_min_value,
     "dq_foreign_key": dq_foreign_key, "dq_conditional": dq_conditional, "row_fingerprint": row_fingerprint,
+    "spec_fingerprint": spec_fingerprint,
     "spec_diff": spec_diff, "json_roundtrip": json_roundtrip, "spec_load": spec_load,
     "spec_validate": spec_validate, "spec_first_error": spec_first_error,
     "spec_validation_summary": spec_validation_summary,

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 import pipework.operators.stages  # noqa: F401  (registers the built-in stage types)
 from pipework.functions import time as T
-from pipework.operators.flow import assign_consumer, run_flow
+from pipework.operators.flow import competing_split as split_rows
+from pipework.operators.flow import fan_in as merge
+from pipework.operators.flow import run_flow
 from pipework.sources import fixtures as X
-from pipework.sources import plugin
 from pipework.sources.sequence import sequence_from_configs
-from pipework.sources.tables import load, table_path
+from pipework.sources.tables import load
 
 ORDERS_DDL = "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE"
 
@@ -53,7 +54,10 @@ def text_sink(spark, d):
 
 
 def competing_split(spark, d):
-    return assign_consumer(X.payloads(spark, d), 2, "event_id").select("event_id", "consumer")
+    """Both branches of the operator itself, on a key that is null for every third row."""
+    p = X.payloads(spark, d).withColumn("_key", F.when(F.col("event_id") % 3 != 0, F.col("event_id")))
+    parts = split_rows(p, 2, "_key", "q")
+    return merge([x.select("event_id", F.lit(i).cast("long").alias("consumer")) for i, x in enumerate(parts)])
 
 
 def fan_in(spark, d):
@@ -132,25 +136,22 @@ def csv_ingest(spark, d):
 
 
 def enqueue_stamp(spark, d):
-    """Every push stamps ``enqueue_ts``: the source at event time, the
-    transform when it finishes (event time + dwell + processing)."""
-    p = X.payloads(spark, d)
-    src = p.select("event_id", F.lit("source").alias("hop"), F.col("ts").alias("enqueue_ts"))
-    tr = p.select("event_id", F.lit("transform").alias("hop"),
-                  T.add_ms("ts", F.col("value") * 2).alias("enqueue_ts"))
-    return src.unionByName(tr)
-
-
-def plugin_source(spark, d):
-    """A custom source plugin reading row groups in parallel."""
-    plugin.register(spark)
-    return (spark.read.format("pipework_parquet_rows")
-                 .option("path", table_path(d, "documents")).option("columns", "doc_id,n_chars").load())
+    """Every push of the runner stamps ``enqueue_ts``, here by event time: the
+    source at it, the transform when it finishes (dwell + processing later)."""
+    v = _payload_view(spark, d)
+    run = run_flow(spark, _spec([
+        {"name": "src", "type": "table_source", "output_queue": "q1", "config": {"table": v}},
+        {"name": "t", "type": "noop_transform", "input_queue": "q1", "output_queue": "q2"},
+        {"name": "out", "type": "table_sink", "input_queue": "q2"}], ["q1", "q2"]),
+        clock=lambda s, rows: F.col("ts") if s["name"] == "src" else T.add_ms("ts", F.col("value") * 2))
+    hops = [run.queues["q1"].select("event_id", F.lit("source").alias("hop"), "enqueue_ts"),
+            run.sinks["out"].select("event_id", F.lit("transform").alias("hop"), "enqueue_ts")]
+    return merge(hops)
 
 
 FLOWS = {
     "seq_source": seq_source, "pass_through": pass_through, "text_sink": text_sink,
     "competing_split": competing_split, "fan_in": fan_in, "flow_simple_pipeline": flow_simple_pipeline,
     "flow_fanout": flow_fanout, "flow_job_mode": flow_job_mode, "custom_transform": custom_transform,
-    "csv_ingest": csv_ingest, "enqueue_stamp": enqueue_stamp, "plugin_source": plugin_source,
+    "csv_ingest": csv_ingest, "enqueue_stamp": enqueue_stamp,
 }

@@ -141,7 +141,7 @@ def logs_recent(spark, d):
 
 
 def traces_recent(spark, d):
-    t = P.traces_recent(X.spans(spark, d), "error")
+    t = P.traces_recent(X.span_times(spark, d), "error")
     return t.withColumn("duration_ms", F.round("duration_ms", 3))
 
 

@@ -163,8 +163,10 @@ DEPTH = """depth_d AS (
              - coalesce(lag(CAST(op = 'add' AS BIGINT)) OVER (PARTITION BY key ORDER BY ts, seq), 0) AS d
         FROM work),
     depth_m AS (SELECT CAST(floor(epoch_us(ts) / 60000000.0) AS BIGINT) AS b, sum(d) AS d FROM depth_d GROUP BY b),
-    depth AS (SELECT make_timestamp((b + 1) * 60000000) AS ts,
-                     CAST(sum(d) OVER (ORDER BY b ROWS UNBOUNDED PRECEDING) AS BIGINT) AS depth FROM depth_m)"""
+    depth_r AS (SELECT unnest(range((SELECT min(b) FROM depth_m), (SELECT max(b) FROM depth_m) + 1)) AS b),
+    depth AS (SELECT make_timestamp((r.b + 1) * 60000000) AS ts,
+                     CAST(sum(coalesce(m.d, 0)) OVER (ORDER BY r.b ROWS UNBOUNDED PRECEDING) AS BIGINT) AS depth
+              FROM depth_r r LEFT JOIN depth_m m ON m.b = r.b)"""
 
 LAG = """lag_seg AS (
         SELECT *, sum(CAST(op = 'get' AS BIGINT)) OVER (PARTITION BY key ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)
@@ -188,17 +190,17 @@ WATCH = """w_prev AS (
 
 def _logs_sql(service: str) -> str:
     return with_("logs") + f"""SELECT ts, service, severity, message, doc_id FROM logs
-        WHERE service = '{service}' ORDER BY ts DESC, doc_id DESC LIMIT 1000"""
+        WHERE service = '{service}' ORDER BY ts DESC, doc_id DESC"""
 
 
-def _traces_sql(service: str) -> str:
+def _traces_sql(service: str, limit: int | None = 20) -> str:
     return with_("spans") + f""", hit AS (SELECT DISTINCT trace_id FROM spans WHERE service = '{service}'),
     t AS (SELECT trace_id, min(start_ts) AS start_ts, max(end_ts) AS end_ts, count(*) AS span_count,
                  arg_min(service, (start_ts, span_id)) AS root_service
           FROM spans WHERE trace_id IN (SELECT trace_id FROM hit) GROUP BY trace_id)
     SELECT trace_id, root_service, start_ts, span_count,
            round((epoch_us(end_ts) - epoch_us(start_ts)) / 1000.0, 3) AS duration_ms
-    FROM t ORDER BY start_ts DESC, trace_id DESC LIMIT 20"""
+    FROM t ORDER BY start_ts DESC, trace_id DESC""" + (f" LIMIT {limit}" if limit else "")
 
 
 def panel_sql() -> dict[str, str]:
@@ -238,7 +240,7 @@ def panel_sql() -> dict[str, str]:
             , l AS (SELECT max(ts) AS ts, arg_max(depth, ts) AS v FROM depth)
             SELECT ts, round(v, 6) AS value, {_state('round(v, 6)', 10)} AS state FROM l""",
         "api_logs": _logs_sql("src1"), "ctl_logs": _logs_sql("src2"), "rt_logs": _logs_sql("src3"),
-        "api_traces": _traces_sql("click"), "ctl_traces": _traces_sql("view"), "rt_traces": _traces_sql("purchase"),
+        "api_traces": _traces_sql("click"), "ctl_traces": _traces_sql("view"), "rt_traces": _traces_sql("purchase", None),
     }
     return s
 
@@ -246,6 +248,7 @@ def panel_sql() -> dict[str, str]:
 # ---------------------------------------------------------------------------
 # alert rules
 # ---------------------------------------------------------------------------
+# fixed values, stated a second time on purpose: an oracle shares nothing with the code it checks
 RULES = {
     "alert_api_errors": ("ApiHighErrorRate", "api", 'Flow API 5xx error rate above "0.05"'),
     "alert_api_latency": ("ApiHighLatency", "api", "Flow API p95 latency above 500ms"),
@@ -518,8 +521,9 @@ def state_sql() -> dict[str, str]:
         SELECT fl.name, fl.active_version, st.state, st.message FROM fl LEFT JOIN st ON fl.name = st.name"""
     s["flow_get"] = with_("oplog", "reconcile") + ", " + _replay_ctes() + ", " + STATUS + """,
         req AS (SELECT DISTINCT 'flow_' || CAST(c_custkey AS VARCHAR) AS name FROM customer)
-        SELECT fl.name, fl.active_version, fl.spec, st.state, st.workload
-        FROM req JOIN fl ON req.name = fl.name LEFT JOIN st ON fl.name = st.name"""
+        SELECT req.name, fl.active_version, fl.spec, st.state, st.workload,
+               CASE WHEN fl.name IS NULL THEN 'not found' ELSE 'ok' END AS result
+        FROM req LEFT JOIN fl ON req.name = fl.name LEFT JOIN st ON fl.name = st.name"""
     s["watch_events"] = with_("kv") + ", " + WATCH + " SELECT rev, flow, event_type, spec FROM watch"
     s["watch_event_counts"] = with_("kv") + ", " + WATCH + """ SELECT event_type, flow, count(*) AS events
         FROM watch GROUP BY ALL"""
@@ -538,9 +542,10 @@ def state_sql() -> dict[str, str]:
     s["schema_create"] = reg + "SELECT schema_id, seq, version FROM sr2 WHERE op = 'put'"
     s["schema_create_errors"] = reg + "SELECT schema_id, seq, error FROM serr WHERE op = 'put' AND error IS NOT NULL"
     s["schema_get"] = reg + """, req AS (SELECT DISTINCT p_brand AS schema_id, CAST(p_size % 3 + 1 AS BIGINT) AS version FROM part)
-        SELECT req.schema_id, req.version AS requested_version, scur.version, scur.format
+        SELECT req.schema_id, req.version AS requested_version, scur.version, scur.format,
+               CASE WHEN scur.version IS NULL THEN 'not found' ELSE 'ok' END AS result
         FROM req LEFT JOIN sact ON req.schema_id = sact.schema_id
-        JOIN scur ON scur.schema_id = req.schema_id
+        LEFT JOIN scur ON scur.schema_id = req.schema_id
                  AND scur.version = coalesce(CASE WHEN req.version <> 0 THEN req.version END, sact.active)"""
     s["schema_active"] = reg + "SELECT schema_id, version, format, raw_schema FROM scur WHERE is_active"
     s["schema_resolve"] = reg + """, refs AS (SELECT DISTINCT p_brand AS schema_id, CAST(p_size % 4 AS BIGINT) AS version FROM part),
@@ -570,14 +575,14 @@ def state_sql() -> dict[str, str]:
         schema_id <> '' AS has_schema_id FROM payloads"""
     s["flag_bits"] = with_("payloads") + "SELECT event_id, flags, flags & 255 AS trace_flags FROM payloads"
     s["key_parse"] = with_("kv") + """SELECT rev, key, split_part(key, '/', 4) AS name, split_part(key, '/', 5) AS leaf,
-        '/pipelines/flows/' || split_part(key, '/', 4) || '/versions/1' AS version_key FROM kv"""
+        '/pipelines/flows/' || split_part(key, '/', 4) || '/versions/1/spec' AS version_key FROM kv"""
     s["format_alias"] = "WITH " + REGISTRY + f""" SELECT seq, format, {CANON.format(f='format')} AS canonical,
         CASE WHEN ({CANON.format(f='format')}) IS NULL
              THEN printf('unsupported schema format "%s" (use arrow, json, protobuf, flatbuffers)', format) END AS error
         FROM sops"""
     s["version_parse"] = """WITH v AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN p_brand
                                    ELSE CAST(p_size - 3 AS VARCHAR) END AS text FROM part),
-        p AS (SELECT *, CASE WHEN regexp_full_match(text, '[0-9]{1,10}') THEN CAST(text AS BIGINT) END AS n FROM v)
+        p AS (SELECT *, CASE WHEN regexp_full_match(text, '[0-9]+') THEN CAST(text AS BIGINT) END AS n FROM v)
         SELECT p_partkey, text, CASE WHEN n > 0 AND n <= 4294967295 THEN n END AS version,
                CASE WHEN n IS NULL OR n > 4294967295 THEN printf('invalid schema version "%s"', text)
                     WHEN n = 0 THEN 'schema version must be greater than 0' END AS error FROM p"""
@@ -587,8 +592,8 @@ def state_sql() -> dict[str, str]:
 # ---------------------------------------------------------------------------
 # record flows
 # ---------------------------------------------------------------------------
-def _h(key: str) -> str:
-    return f"CAST(('0x' || substr(md5(CAST({key} AS VARCHAR)), 1, 8)) AS BIGINT)"
+def _h(key: str, queue: str) -> str:
+    return f"CAST(('0x' || substr(md5('{queue}' || coalesce(CAST({key} AS VARCHAR), '')), 1, 8)) AS BIGINT)"
 
 
 def flow_sql() -> dict[str, str]:
@@ -599,11 +604,12 @@ def flow_sql() -> dict[str, str]:
              LATERAL (SELECT unnest(range(0, p_size % 5 + 1)) AS seq) q"""
     s["pass_through"] = with_("payloads") + "SELECT event_id, schema_id, flags, trace_id, span_id FROM payloads"
     s["text_sink"] = with_("payloads") + "SELECT decode(payload) AS value FROM payloads WHERE size > 0"
-    s["competing_split"] = with_("payloads") + f"SELECT event_id, {_h('event_id')} % 2 AS consumer FROM payloads"
+    s["competing_split"] = with_("payloads") + f"""SELECT event_id,
+        {_h('CASE WHEN event_id % 3 <> 0 THEN event_id END', 'q')} % 2 AS consumer FROM payloads"""
     s["fan_in"] = with_("payloads") + "SELECT event_id, schema_id FROM payloads"
     s["flow_simple_pipeline"] = "SELECT text AS value FROM documents WHERE octet_length(encode(text)) > 0"
     s["flow_fanout"] = with_("payloads") + f"""SELECT decode(payload) AS value,
-        CASE WHEN {_h('span_id')} % 2 = 0 THEN 'sink_a' ELSE 'sink_b' END AS sink FROM payloads WHERE size > 0"""
+        CASE WHEN {_h('span_id', 'q_in')} % 2 = 0 THEN 'sink_a' ELSE 'sink_b' END AS sink FROM payloads WHERE size > 0"""
     s["flow_job_mode"] = with_("payloads") + """, c AS (SELECT count(CASE WHEN schema_id IN ('', 'events') THEN 1 END) AS ok,
             count(CASE WHEN schema_id NOT IN ('', 'events') THEN 1 END) AS bad FROM payloads)
         SELECT 'source' AS stage_name, 'table_source' AS stage, CAST(NULL AS BIGINT) AS dequeue, ok AS process,
@@ -615,7 +621,6 @@ def flow_sql() -> dict[str, str]:
     s["enqueue_stamp"] = with_("payloads") + """SELECT event_id, 'source' AS hop, ts AS enqueue_ts FROM payloads
         UNION ALL SELECT event_id, 'transform' AS hop,
             make_timestamp(epoch_us(ts) + CAST(round(value * 2 * 1000.0) AS BIGINT)) AS enqueue_ts FROM payloads"""
-    s["plugin_source"] = "SELECT doc_id, n_chars FROM documents"
     return s
 
 
@@ -636,21 +641,22 @@ SPEC_CTES = """sf AS (SELECT DISTINCT flow_id, flow AS name FROM spec_lines),
 VIOL = """vq AS (SELECT *, row_number() OVER (PARTITION BY flow_id, name ORDER BY pos) AS nth FROM nq),
     vs AS (SELECT *, row_number() OVER (PARTITION BY flow_id, name ORDER BY pos) AS nth FROM ns),
     viol AS (
-      SELECT flow_id, 'name' AS field, 'flow name is required' AS message, CAST(1 AS BIGINT) AS ord FROM sf WHERE name = ''
-      UNION ALL SELECT flow_id, 'queues.name', 'duplicate queue name "' || name || '"', 10 + pos * 3 + 1
+      SELECT flow_id, 'name' AS field, 'flow name is required' AS message, CAST(0 AS BIGINT) AS section,
+             CAST(0 AS BIGINT) AS position, CAST(1 AS BIGINT) AS rule FROM sf WHERE name = ''
+      UNION ALL SELECT flow_id, 'queues.name', 'duplicate queue name "' || name || '"', 1, pos, 1
                 FROM vq WHERE name <> '' AND nth > 1
-      UNION ALL SELECT flow_id, 'stages.name', 'duplicate stage "' || name || '"', 1000000 + pos * 10 + 1
+      UNION ALL SELECT flow_id, 'stages.name', 'duplicate stage "' || name || '"', 2, pos, 1
                 FROM vs WHERE name <> '' AND nth > 1
-      UNION ALL SELECT flow_id, 'stages.type', 'stage "' || name || '" missing type', 1000000 + pos * 10 + 2
+      UNION ALL SELECT flow_id, 'stages.type', 'stage "' || name || '" missing type', 2, pos, 2
                 FROM vs WHERE type = ''
       UNION ALL SELECT flow_id, 'stages.threads', 'stage "' || name || '" must declare at least one thread',
-                1000000 + pos * 10 + 3 FROM vs WHERE threads < 1
+                2, pos, 3 FROM vs WHERE threads < 1
       UNION ALL SELECT flow_id, 'stages.input_queue',
-                'stage "' || name || '" references unknown input queue "' || input_queue || '"', 1000000 + pos * 10 + 4
+                'stage "' || name || '" references unknown input queue "' || input_queue || '"', 2, pos, 4
                 FROM vs WHERE input_queue IS NOT NULL
                   AND NOT EXISTS (SELECT 1 FROM qn WHERE qn.flow_id = vs.flow_id AND qn.name = vs.input_queue)
       UNION ALL SELECT flow_id, 'stages.output_queue',
-                'stage "' || name || '" references unknown output queue "' || output_queue || '"', 1000000 + pos * 10 + 5
+                'stage "' || name || '" references unknown output queue "' || output_queue || '"', 2, pos, 5
                 FROM vs WHERE output_queue IS NOT NULL
                   AND NOT EXISTS (SELECT 1 FROM qn WHERE qn.flow_id = vs.flow_id AND qn.name = vs.output_queue))"""
 
@@ -702,9 +708,15 @@ def catalogue_sql() -> dict[str, str]:
             FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey)"""
     s["dq_conditional"] = base + """SELECT flow_id, pos, name, 'queue schema_id is required: ' || name AS message
         FROM nq WHERE schema_id = ''"""
-    s["row_fingerprint"] = """SELECT o_orderkey, sha256(concat_ws('~', CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR),
-        o_orderstatus, CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS VARCHAR), CAST(o_orderdate AS VARCHAR),
-        o_orderpriority)) AS fingerprint FROM orders"""
+    seal = lambda c: f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    s["row_fingerprint"] = "SELECT o_orderkey, sha256(" + " || ".join(seal(c) for c in (
+        "o_orderkey", "o_custkey", "o_orderstatus", "CAST(o_totalprice AS DECIMAL(18, 2))", "o_orderdate", "o_orderpriority")) + \
+        ") AS fingerprint FROM orders"
+    side = lambda t, cols: f"""(SELECT string_agg({' || '.join(seal(c) for c in cols)}, ';' ORDER BY pos) AS x, flow_id
+        FROM {t} GROUP BY flow_id)"""
+    s["spec_fingerprint"] = base + f"""SELECT sf.flow_id, sha256({seal('sf.name')} || {seal("coalesce(q.x, '')")} || {seal("coalesce(st.x, '')")}) AS fingerprint
+        FROM sf LEFT JOIN {side('nq', ('name', 'capacity', 'schema_id'))} q ON q.flow_id = sf.flow_id
+        LEFT JOIN {side('ns', ('name', 'type', 'threads', 'input_queue', 'output_queue'))} st ON st.flow_id = sf.flow_id"""
     s["spec_diff"] = with_("spec_lines") + f""",
         pa AS ({_spec_counts("(SELECT * FROM spec_lines WHERE shipdate < TIMESTAMP '1997-01-01 00:00:00')",
                              "'f' || CAST(a.flow_id AS VARCHAR)")}),
@@ -719,9 +731,9 @@ def catalogue_sql() -> dict[str, str]:
     s["spec_load"] = with_("spec_lines") + f""", c AS ({_spec_counts("spec_lines", "a.flow")})
         SELECT flow_id, name, ns AS n_stages, nq AS n_queues,
                CASE WHEN flow_id % 50 = 0 THEN 'unknown field "extra"' END AS error FROM c"""
-    s["spec_validate"] = base + ", " + VIOL + " SELECT flow_id, field, message, ord FROM viol"
-    s["spec_first_error"] = base + ", " + VIOL + """ SELECT flow_id, arg_min(field, ord) AS field,
-        arg_min(message, ord) AS message FROM viol GROUP BY flow_id"""
+    s["spec_validate"] = base + ", " + VIOL + " SELECT flow_id, field, message, section, position, rule FROM viol"
+    s["spec_first_error"] = base + ", " + VIOL + """ SELECT flow_id, arg_min(field, (section, position, rule)) AS field,
+        arg_min(message, (section, position, rule)) AS message FROM viol GROUP BY flow_id"""
     s["spec_validation_summary"] = base + ", " + VIOL + """ SELECT
         count(*) FILTER (WHERE flow_id NOT IN (SELECT flow_id FROM viol)) AS valid,
         count(*) FILTER (WHERE flow_id IN (SELECT flow_id FROM viol)) AS invalid FROM sf"""

@@ -180,9 +180,13 @@ def _logs(kind):
     return q
 
 
+# fixed values: the API and controller trace panels state a limit, the runtime one doesn't
+TRACE_LIMIT = {"api": 20, "ctl": 20, "rt": None}
+
+
 def _traces(kind):
     def q(spark: SparkSession, d: str) -> DataFrame:
-        t = P.traces_recent(X.spans(spark, d), TRACE_SERVICE[kind])
+        t = P.traces_recent(X.span_times(spark, d), TRACE_SERVICE[kind], TRACE_LIMIT[kind])
         return t.withColumn("duration_ms", F.round("duration_ms", 3))
     return q
 

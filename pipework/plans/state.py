@@ -65,10 +65,11 @@ def coalesced_lag(spark, d):
 
 
 def desired_state_plan(spark, d):
-    op = X.oplog(spark, d)
-    actual = _flows(spark, d, op.where(F.col("ts") < F.lit(SNAPSHOT).cast("timestamp_ntz")))
+    replayed = H.replay(X.oplog(spark, d))   # the snapshot is a prefix of the same log
+    desired = H.flow_list(H.current_versions(replayed))
+    actual = H.flows_as_of(replayed, F.col("ts") < F.lit(SNAPSHOT).cast("timestamp_ntz"))
     render = lambda f: f.withColumn("rendered", F.col("spec").cast("decimal(18,2)").cast("string"))
-    return H.desired_state_plan(render(_flows(spark, d, op)), render(actual), rendered="rendered")
+    return H.desired_state_plan(render(desired), render(actual), rendered="rendered")
 
 
 def latest_status(spark, d):
@@ -91,7 +92,7 @@ def schema_create_errors(spark, d):
 def schema_get(spark, d):
     p = load(spark, d, "part")
     req = p.select(F.col("p_brand").alias("schema_id"), (F.col("p_size") % 3 + 1).cast("long").alias("version")).distinct()
-    return R.get(_registry(spark, d), req).select("schema_id", "requested_version", "version", "format")
+    return R.get(_registry(spark, d), req).select("schema_id", "requested_version", "version", "format", "result")
 
 
 def schema_active(spark, d):

@@ -8,8 +8,10 @@ cluster always wins over a local scratch folder.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 DEFAULT_CONF = {
@@ -33,8 +35,11 @@ def get_spark(master: str | None = None, app: str = "pipework",
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+    given = SparkConf()   # what spark-submit or the cluster has set stays
+    running = SparkSession.getActiveSession()
     for k, v in DEFAULT_CONF.items():
-        builder = builder.config(k, v)
+        if not given.contains(k) and (running is None or running.conf.get(k, None) is None):
+            builder = builder.config(k, v)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in (extra or {}).items():
@@ -59,6 +64,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     (local tests) fall back to a fresh scratch folder."""
     d = checkpoint_dir(spark)
     if not d:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="pipework-ckpt-", dir=os.environ.get("PIPEWORK_SCRATCH", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     if not spark.sparkContext.getCheckpointDir():

@@ -108,10 +108,19 @@ def logs(spark: SparkSession, d: str) -> DataFrame:
 def spans(spark: SparkSession, d: str) -> DataFrame:
     """One span per payload; parent = previous span of the same trace."""
     from pipework.operators.scan import hour_chunk, ordered_scan
-    p = ordered_scan(payloads(spark, d), ["trace_id"], ["ts", "event_id"], hour_chunk("ts"),
-                     prevs={"parent_span_id": F.col("span_id")}, materialize=True)
+    p = payloads(spark, d).select("trace_id", "span_id", "event_type", "ts", "value", "event_id")
+    return _span(ordered_scan(p, ["trace_id"], ["ts", "event_id"], hour_chunk("ts"),
+                              prevs={"parent_span_id": F.col("span_id")}), "parent_span_id")
+
+
+def span_times(spark: SparkSession, d: str) -> DataFrame:
+    """The same spans without their parents: a plain projection."""
+    return _span(payloads(spark, d))
+
+
+def _span(p: DataFrame, *parent: str) -> DataFrame:
     return p.select(
-        "trace_id", "span_id", "parent_span_id",
+        "trace_id", "span_id", *parent,
         F.lit("stage.process").alias("name"),
         F.col("event_type").alias("service"),
         F.col("ts").alias("start_ts"),
@@ -175,7 +184,7 @@ def specs(spark: SparkSession, d: str) -> DataFrame:
     """One nested flow spec per order.
 
     Arrays are bounded by lines per order, so ``collect_list`` per key is a
-    small, map-side-combinable aggregation."""
+    small aggregation (of one order each, not combined map-side)."""
     return specs_from_lines(spec_lines(spark, d))
 
 

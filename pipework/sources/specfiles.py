@@ -21,19 +21,43 @@ SPEC_DDL = (
     "schema: STRUCT<format: STRING, schema_id: STRING, version: BIGINT, registry_url: STRING>, type: STRING>>, "
     "labels MAP<STRING, STRING>, env MAP<STRING, STRING>, observability STRING, kubernetes STRING"
 )
+STAGE_FIELDS = ["name", "type", "threads", "input_queue", "output_queue", "config", "plugin", "realtime_priority"]
+QUEUE_FIELDS = ["name", "capacity", "schema", "type"]
+SCHEMA_FIELDS = ["format", "schema_id", "version", "registry_url"]
 KNOWN_FIELDS = ["name", "version", "execution", "stages", "queues", "labels", "env", "observability", "kubernetes"]
 
 
+def _fields(js, known: list[str]):
+    """Keys of the JSON objects in ``js`` (an array of objects, as text) that are not known."""
+    rows = F.from_json(js, "array<map<string,string>>")
+    keys = F.flatten(F.transform(rows, lambda m: F.map_keys(m)))
+    return F.coalesce(F.array_except(keys, F.array(*[F.lit(k) for k in known])), F.array().cast("array<string>"))
+
+
 def parse_specs(df: DataFrame, col: str = "json") -> DataFrame:
-    """Decode JSON spec text; adds ``spec``, ``unknown_fields`` and ``error``
-    (null when the spec loads)."""
+    """Decode JSON spec text, strictly; adds ``spec``, ``unknown_fields`` (of the
+    spec, its stages, queues and queue schemas) and ``error`` (null when the
+    spec loads): invalid JSON, an unknown field, or a value of a wrong type."""
+    at = lambda path: F.get_json_object(F.col(col), path)
     keys = F.json_object_keys(F.col(col))
-    unknown = F.array_sort(F.array_except(keys, F.array(*[F.lit(k) for k in KNOWN_FIELDS])))
-    err = (F.when(keys.isNull(), F.lit("invalid JSON"))
-            .when(F.size(unknown) > 0,
-                  F.concat(F.lit("unknown field "), F.concat_ws(", ", F.transform(unknown, lambda k: F.concat(F.lit('"'), k, F.lit('"')))))))
-    return df.withColumn("spec", F.from_json(F.col(col), SPEC_DDL)) \
-             .withColumn("unknown_fields", unknown).withColumn("error", err)
+    top = F.array_except(keys, F.array(*[F.lit(k) for k in KNOWN_FIELDS]))
+    mode = F.array_except(F.json_object_keys(at("$.execution")), F.array(F.lit("mode")))
+    schemas = F.transform(F.from_json(at("$.queues"), "array<map<string,string>>"),
+                          lambda q: F.json_object_keys(F.try_element_at(q, F.lit("schema"))))
+    schemas = F.array_except(F.flatten(F.filter(schemas, lambda k: k.isNotNull())), F.array(*[F.lit(k) for k in SCHEMA_FIELDS]))
+    empty = F.array().cast("array<string>")
+    unknown = F.array_sort(F.array_distinct(F.concat(
+        F.coalesce(top, empty), F.coalesce(mode, empty), _fields(at("$.stages"), STAGE_FIELDS),
+        _fields(at("$.queues"), QUEUE_FIELDS), F.coalesce(schemas, empty))))
+    # a value that its type can't hold makes the whole text a corrupt record
+    whole = F.from_json(F.col(col), SPEC_DDL + ", _corrupt STRING", {"columnNameOfCorruptRecord": "_corrupt"})
+    out = df.withColumn("_keys", keys).withColumn("unknown_fields", unknown).withColumn("spec", whole)
+    err = (F.when(F.col("_keys").isNull(), F.lit("invalid JSON"))
+            .when(F.size("unknown_fields") > 0,
+                  F.concat(F.lit("unknown field "), F.concat_ws(", ", F.transform("unknown_fields", lambda k: F.concat(F.lit('"'), k, F.lit('"'))))))
+            .when(F.col("spec._corrupt").isNotNull(), F.lit("invalid value")))
+    out = out.withColumn("error", err).withColumn("spec", F.col("spec").dropFields("_corrupt"))
+    return out.select(*df.columns, "spec", "unknown_fields", "error")
 
 
 def _yaml_to_json(batches):
@@ -43,8 +67,8 @@ def _yaml_to_json(batches):
         out = []
         for text in pdf["value"]:
             try:
-                out.append(json.dumps(yaml.safe_load(text)))
-            except yaml.YAMLError:
+                out.append(json.dumps(yaml.safe_load(text), default=str))   # dates as text
+            except (yaml.YAMLError, TypeError, ValueError):
                 out.append(None)
         yield pd.DataFrame({"path": pdf["path"], "json": out})
 

@@ -19,6 +19,7 @@ Checkpoints live under the session's shared ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -56,7 +57,8 @@ def _file_source(spark, cfg: FileSourceConfig):
         df = r.load(cfg.path)
         if cfg.payload_col or cfg.format == "text":
             df = text_envelope(df, cfg.payload_col or "value")
-        return df
+        # threads = independent workers reading the same folder, as for a table
+        return df if threads == 1 else df.withColumn("_worker", F.explode(F.sequence(F.lit(1), F.lit(threads)))).drop("_worker")
     return produce
 
 
@@ -105,11 +107,19 @@ def start_flow(spark: SparkSession, spec: dict, out_dir: str, mode: str = "job",
 
 
 def await_all(queries: list[StreamingQuery], timeout_s: float | None = None) -> None:
-    """Wait for every query; the first failure stops all the others and
-    is re-raised."""
+    """Wait for all queries at once; the first failure of any of them stops
+    all the others and is re-raised. Returns when all have ended, or after
+    ``timeout_s``."""
+    end = None if timeout_s is None else time.monotonic() + timeout_s
     try:
-        for q in queries:
-            q.awaitTermination(timeout_s) if timeout_s else q.awaitTermination()
+        while True:
+            for q in queries:
+                if (failure := q.exception()) is not None:
+                    raise failure
+            running = [q for q in queries if q.isActive]
+            if not running or (end is not None and time.monotonic() >= end):
+                return
+            running[0].awaitTermination(1)
     except Exception:
         stop_all(queries)
         raise
@@ -193,23 +203,22 @@ def _classify(key, pdfs, state):
     """One key's rows of a micro-batch, in (ts, rev) order, classified with
     the key's previous op carried in state (put on a missing key = ADDED,
     later put = UPDATED, delete of a live key = DELETED)."""
+    import numpy as np
     import pandas as pd
     prev = state.get[0] if state.exists else None
-    out = []
     frames = [p for p in pdfs if len(p)]
+    out = pd.DataFrame([], columns=["ts", "rev", "key", "flow", "event_type", "spec"])
     if frames:
-        df = pd.concat(frames).sort_values(["ts", "rev"])
-        for r in df.itertuples(index=False):
-            if r.op == "delete":
-                ev = "DELETED" if prev == "put" else None
-            else:
-                ev = "ADDED" if prev in (None, "delete") else "UPDATED"
-            spec = r.value if r.op == "put" else None
-            if ev is not None and (ev == "DELETED" or spec is not None and not pd.isna(spec)):
-                out.append((r.ts, r.rev, r.key, r.key.split("/")[-2], ev, spec if ev != "DELETED" else None))
-            prev = r.op
-        state.update((prev,))
-    yield pd.DataFrame(out, columns=["ts", "rev", "key", "flow", "event_type", "spec"])
+        df = pd.concat(frames).sort_values(["ts", "rev"]).reset_index(drop=True)
+        before = df["op"].shift(1)
+        before.iloc[0] = prev
+        put, live = df["op"] == "put", before == "put"
+        df["event_type"] = np.select([put & live, put & ~live, ~put & live], ["UPDATED", "ADDED", "DELETED"], "")
+        df["flow"] = df["key"].str.split("/").str[-2]
+        df["spec"] = df["value"].where(put)
+        out = df[(df["event_type"] == "DELETED") | (put & df["spec"].notna())][list(out.columns)]
+        state.update((df["op"].iloc[-1],))
+    yield out
 
 
 def watch_events_stream(kv: DataFrame) -> DataFrame:

@@ -47,8 +47,9 @@ def test_chunked_replay_matches_sequential(spark):
         for chunk_rows in (7, 50, 10_000):
             chunk = F.floor(F.col("seq") / chunk_rows).cast("long")
             got = {(r.name, r.version, r.spec, r.is_active)
-                   for r in H.current_versions(H.replay(df, chunk=chunk, materialize_local=False)).collect()}
+                   for r in H.current_versions(H.replay(df, chunk=chunk, heavy_rows=100)).collect()}
             assert got == _python_replay(ops), (seed, chunk_rows)
+        assert {tuple(r) for r in H.current_versions(H.replay(df)).select("name", "version", "spec", "is_active").collect()} == _python_replay(ops)
 
 
 def test_ordered_scan_matches_windows(spark):
@@ -56,7 +57,7 @@ def test_ordered_scan_matches_windows(spark):
     rows = [("k" if rnd.random() < 0.7 else "j", i, rnd.choice([None, 1, 2, 3])) for i in range(400)]
     df = spark.createDataFrame(rows, "k string, seq long, v long")
     got = ordered_scan(df, ["k"], ["seq"], F.floor(F.col("seq") / 9).cast("long"),
-                       sums={"s": F.coalesce("v", F.lit(0))}, lasts={"l": F.col("v")}, prevs={"p": F.col("v")})
+                       sums={"s": F.coalesce("v", F.lit(0))}, lasts={"l": F.col("v")}, prevs={"p": F.col("v")}, heavy_rows=200)
     w = Window.partitionBy("k").orderBy("seq")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     want = df.select("k", "seq", F.sum(F.coalesce("v", F.lit(0))).over(run).alias("s"),
