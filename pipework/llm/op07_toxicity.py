@@ -22,13 +22,19 @@ from pyspark.sql import functions as F
 from .common import byte_chunks, columns
 from .training import crc_rest, sample
 
-DECAY = 0.7
+DECAY = 0.5
 GAPS = [(a, b) for a in range(1, 5) for b in range(1, 5) if a + b <= 5]
-WINDOW = 12  # letters of a word that are judged together
-LANDMARKS = 160
+WINDOW = 13  # letters of a word (with the mark) that are judged together
+STEMS = (5, 6, 7)  # lengths of word beginnings (with the mark) that are counted as words of their own
+#: A word is taken for a bad one from this log-likelihood ratio (times 2) on.
+EVIDENCE = 24
+LANDMARKS = 320
+#: Clean words, picked at random, among which those that the machine gets wrong are looked for; and how many are added a time.
+MINED, ADDED = 100_000, 1500
 #: Labelled rows of each class that are trained on.
 PER_CLASS = 1500
 
+MARK = 63
 _SKIP, _BREAK = 0, 255
 _CODE = np.zeros(256, np.uint8)
 _CODE[97:123] = np.arange(1, 27)
@@ -57,7 +63,8 @@ def letters(data: np.ndarray, off: np.ndarray):
     # neighbouring single letters of a text are one spaced-out word
     join = np.r_[False, (size[1:] == 1) & (size[:-1] == 1) & (wrow[1:] == wrow[:-1])]
     index = np.cumsum(~join) - 1
-    return code, np.repeat(index, size), wrow[~join]
+    first = start[~join]  # every word begins with a mark of its own
+    return np.insert(code, first, MARK), np.insert(np.repeat(index, size), first, np.arange(len(first))), wrow[~join]
 
 
 def subsequences(code: np.ndarray, word: np.ndarray):
@@ -104,13 +111,16 @@ def document_features(model: dict, column: pa.Array) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, 3))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge=0.05) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, share: float, ridge=0.05) -> np.ndarray:
+    """Weights, with a bias last; rows count so that ``share`` of them is toxic."""
+    n = max(y.sum(), 1.0)
+    part = np.where(y > 0, share * len(y) / n, (1 - share) * len(y) / max(len(y) - n, 1.0))
     x = np.c_[x, np.ones(len(x))]
     w = np.zeros(x.shape[1])
     for _ in range(60):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (q - y) + ridge * w
-        h = (x * (q * (1 - q) + 1e-6)[:, None]).T @ x + ridge * np.eye(len(w))
+        g = x.T @ (part * (q - y)) + ridge * w
+        h = (x * (part * (q * (1 - q) + 1e-6))[:, None]).T @ x + ridge * np.eye(len(w))
         w = w - np.clip(np.linalg.solve(h, g), -3, 3)
     return w
 
@@ -138,7 +148,7 @@ def _word_keys(text: str) -> set[bytes]:
         return set()
     raw = code.astype(np.uint8).tobytes()
     cut = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]).tolist() + [len(code)]
-    return {raw[i:j] for i, j in zip(cut, cut[1:], strict=False) if j - i >= 3}
+    return {raw[i:j] for i, j in zip(cut, cut[1:], strict=False) if j - i >= 4}
 
 
 def _maps(keys: list[bytes]):
@@ -156,7 +166,35 @@ def _maps(keys: list[bytes]):
     return out
 
 
-def fit(rows: list[tuple[int, str]]) -> dict:
+def _dense(maps):
+    """Subsequences of the maps, their matrix (a last row of zeros), and the row of every subsequence."""
+    used = np.unique(np.concatenate([i for i, _ in maps] + [np.zeros(1, np.int64)]))
+    place = np.full(1 << 18, len(used))
+    place[used] = np.arange(len(used))
+    table = np.zeros((len(used) + 1, len(maps)), np.float32)
+    for j, (i, x) in enumerate(maps):
+        np.add.at(table[:, j], place[i], x)
+    return used, table, place
+
+
+def _landmarks(keys: list[bytes]) -> list[bytes]:
+    """Words that span the others' kernel best: pivots of an incomplete Cholesky factorisation."""
+    _, x, _ = _dense(_maps(keys))
+    gram = (x.T @ x).astype(float)
+    left, rows, out = gram.diagonal().copy(), np.zeros((0, len(keys))), []
+    for _ in range(min(LANDMARKS, len(keys))):
+        j = int(left.argmax())
+        if left[j] < 1e-3:
+            break
+        row = (gram[j] - rows[:, j] @ rows) / np.sqrt(left[j])
+        rows = np.r_[rows, row[None]]
+        left = np.maximum(left - row * row, 0)
+        left[j] = -1
+        out.append(j)
+    return [keys[j] for j in out]
+
+
+def fit(rows: list[tuple[int, str]], share: float = 0.5) -> dict:
     """Model from (toxic, text) rows. Words (and word beginnings) that stand almost
     only in toxic texts are the positive examples, words of clean texts the
     negative ones; clean words the machine gets wrong are added and it is
@@ -168,7 +206,7 @@ def fit(rows: list[tuple[int, str]]) -> dict:
     bad, good = Counter(), Counter()
     for docs, count in ((toxic, bad), (clean, good)):
         for d in docs:
-            count.update({k[:n] for k in d for n in (4, 5, 6)} | d)
+            count.update({k[:n] for k in d for n in STEMS} | d)
     nt, nc = len(toxic), len(clean)
 
     def evidence(k):  # signed log-likelihood ratio of the word against the classes' shares
@@ -179,47 +217,45 @@ def fit(rows: list[tuple[int, str]]) -> dict:
         term = lambda x, e: x * np.log(x / e) if x else 0.0
         return 2 * (term(a, nt * p) + term(c, nc * p) + term(nt - a, nt * (1 - p)) + term(nc - c, nc * (1 - p))) if 0 < n < nt + nc else 0.0
 
-    strong = {k: e for k in bad if bad[k] >= 3 and (e := evidence(k)) > 18}
-    weight_of = lambda k: max(strong.get(k, 0.0), *(strong.get(k[:n], 0.0) for n in (4, 5, 6)))
+    strong = {k: e for k in bad if bad[k] >= 3 and (e := evidence(k)) > EVIDENCE}
+    weight_of = lambda k: max(strong.get(k, 0.0), *(strong.get(k[:n], 0.0) for n in STEMS))
     words = {k for d in toxic for k in d}
     pos = sorted((k for k in words if weight_of(k) > 0), key=lambda k: (-bad[k], k))[:1500]
     if not pos:
         return empty
-    negs = sorted(k for k in good if weight_of(k) == 0 and 3 <= len(k))
-    common = sorted(negs, key=lambda k: (-good[k], k))[:1500]
+    negs = sorted(k for k in good if weight_of(k) == 0 and len(k) >= 4)
     rng = np.random.default_rng(3)
-    neg = sorted(set(common) | set(negs[i] for i in rng.permutation(len(negs))[:4000]))
-    half = LANDMARKS // 2
-    marks = sorted(strong, key=lambda k: (-strong[k], k))[:half] + [neg[i] for i in rng.permutation(len(neg))[:half]]
+    pool = [negs[i] for i in rng.permutation(len(negs))[:MINED]]
+    neg = sorted(set(sorted(negs, key=lambda k: (-good[k], k))[:1500]) | set(pool[:3000]))
+    marks = _landmarks(pos[:600] + [neg[i] for i in rng.permutation(len(neg))[:600]])
     lm = _maps(marks)
-    used = np.unique(np.concatenate([i for i, _ in lm] + [np.zeros(1, np.int64)]))
-    table = np.zeros((len(used) + 1, len(lm)))
-    place = np.full(1 << 18, len(used))
-    place[used] = np.arange(len(used))
-    for j, (i, val) in enumerate(lm):
-        np.add.at(table[:, j], place[i], val)
-    table[-1] = 0
+    used, table, place = _dense(lm)
     gram = table.T @ table
     val, vec = np.linalg.eigh(gram + 1e-6 * np.eye(len(lm)))
     root = vec @ np.diag(1 / np.sqrt(np.maximum(val, 1e-6))) @ vec.T
-    kernel = lambda keys: np.array([table[place[i]].T @ x if len(i) else np.zeros(len(lm)) for i, x in _maps(keys)])
+    kernel = lambda keys: np.array([x @ table[place[i]] for i, x in _maps(keys)]).reshape(len(keys), len(lm))
     zp, zn = kernel(pos) @ root, kernel(neg) @ root
-    for turn in range(3):
+    often = np.array([float(bad[k]) for k in pos])  # a bad word counts by the texts it is in
+    often = (often / often.sum() + 1 / len(pos)) / 2
+    for turn in range(4):
         y = np.r_[np.ones(len(zp)), -np.ones(len(zn))]
-        w = _svm(np.r_[zp, zn], y, np.r_[np.full(len(zp), 2 / len(zp)), np.full(len(zn), 4 / len(zn))] * len(zp))
-        beta = root @ w[:-1]
+        w = _svm(np.r_[zp, zn], y, np.r_[often, np.full(len(zn), 2 / len(zn))] * len(zp))
         v = np.zeros(1 << 18)
-        v[used] = table[:-1] @ beta
+        v[used] = table[:-1] @ (root @ w[:-1])
         model = {"v": v.astype(np.float32), "b": float(w[-1])}
-        if turn < 2:  # hard negatives
-            all_z = [(float((v[i] * x).sum()) + w[-1], k) for k, (i, x) in zip(negs, _maps(negs), strict=True)] if len(negs) <= 60_000 else []
-            hard = [k for s, k in sorted(all_z, reverse=True)[:400] if s > -0.7 and k not in set(neg)]
+        if turn < 3:  # clean words on the wrong side, or near it
+            code = np.frombuffer(b"".join(pool), np.uint8).astype(np.int64)
+            f, word = window_scores(code, np.repeat(np.arange(len(pool)), [len(k) for k in pool]), model["v"])
+            worst = np.full(len(pool), -9.0)
+            np.maximum.at(worst, word, f + model["b"])
+            there = set(neg)
+            hard = [pool[i] for i in np.argsort(-worst, kind="stable")[:3 * ADDED] if worst[i] > -0.9 and pool[i] not in there][:ADDED]
             if not hard:
-                continue
+                break
             neg = neg + hard
             zn = np.r_[zn, kernel(hard) @ root]
     x = document_features(model, pa.array([t for _, t in rows]))
-    model["doc"] = _logistic(x, np.array([float(bool(y)) for y, _ in rows]))
+    model["doc"] = _logistic(x, np.array([float(bool(y)) for y, _ in rows]), share)
     return model
 
 
@@ -250,7 +286,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
     lab = columns(labels, doc_id=id_col, toxic=label_col).where((crc_rest(F.col("doc_id"), fold) != held) & F.col("toxic").isNotNull())
     lab = lab.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = columns(docs, doc_id=id_col, text=text_col).join(lab, "doc_id")
-    return fit([(r[1], r[2]) for r in sample(rows, "toxic", per_class)])
+    bad, n = lab.agg(F.sum((F.col("toxic") > 0).cast("int")), F.count("*")).first()
+    return fit([(r[1], r[2]) for r in sample(rows, "toxic", per_class)], (bad or 0) / n if n else 0.5)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fold: int = 4, held: int = 2) -> DataFrame:
