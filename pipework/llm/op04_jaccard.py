@@ -56,8 +56,8 @@ def shingle_sets(column: pa.Array):
 
 
 def bitmap(x: np.ndarray) -> bytes:
-    """Parity bitmap of a set, of 2 to 4 bits a member."""
-    size = max(64, 1 << int(2 * len(x) - 1).bit_length())
+    """Parity bitmap of a set, of 1 to 2 bits a member."""
+    size = max(64, 1 << int(len(x) - 1).bit_length())
     return np.packbits((np.bincount((x & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)).tobytes()
 
 
@@ -71,6 +71,16 @@ def most_shared(nx: int, ny: int, bx: bytes, by: bytes) -> int:
     return (nx + ny - int(np.bitwise_count(p ^ q).sum())) // 2
 
 
+#: Rows whose sets a task holds at once.
+ROWS = 3000
+
+
+def _parts(batches):
+    for b in batches:
+        for i in range(0, b.num_rows, ROWS):
+            yield b.slice(i, ROWS)
+
+
 def _sets(b):
     """Ids and set sizes of a batch in order of id; (row, set) for the first of equal
     sets only; (row, first row) for the others."""
@@ -90,7 +100,7 @@ def _sets(b):
 
 
 def _survey(batches):
-    for b in batches:
+    for b in _parts(batches):
         ids, sizes, out, copies = _sets(b)
         bits = {i: bitmap(x) for i, x in out}
         bits.update({i: bits[j] for i, j in copies})
@@ -111,7 +121,7 @@ def _entries(batches, common):
     """First-block entries of the matrix, and links between equal sets of a batch."""
     known, rank = common.value
     names = [f.split()[0] for f in ENTRY.split(", ")]
-    for b in batches:
+    for b in _parts(batches):
         ids, _, out, copies = _sets(b)
         if copies:
             doc, rep = (ids[x] for x in np.array(copies).T)
