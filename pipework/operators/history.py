@@ -290,12 +290,17 @@ def desired_state_plan(desired: DataFrame, actual: DataFrame, key: str = "name",
 
 
 # D13 ----------------------------------------------------------------------
-def latest_status(reconciles: DataFrame, key: str = "flow_name") -> DataFrame:
-    """Status written by the last successful reconcile of each flow."""
+def latest_status(reconciles: DataFrame, flows: DataFrame | None = None, key: str = "flow_name") -> DataFrame:
+    """Status written by the last successful reconcile of each flow; with
+    ``flows`` (name, active_version) also the version that is active (null if
+    the flow has no spec any more)."""
     ok = reconciles.where("ok")
     last = ok.groupBy(key).agg(F.max("ts").alias("last_updated"))
-    return last.select(F.col(key).alias("name"),
-                       F.lit(STATUS_STATE).alias("state"),
-                       F.lit(STATUS_MESSAGE).alias("message"),
-                       F.concat(F.col(key), F.lit("-runtime")).alias("workload"),
-                       "last_updated")
+    out = last.select(F.col(key).alias("name"),
+                      F.lit(STATUS_STATE).alias("state"),
+                      F.lit(STATUS_MESSAGE).alias("message"),
+                      F.concat(F.col(key), F.lit("-runtime")).alias("workload"),
+                      "last_updated")
+    if flows is None:
+        return out
+    return out.join(flows.select("name", "active_version"), "name", "left")

@@ -28,27 +28,31 @@ CTL_FAILURES = 1
 CTL_MAX_DEPTH = 100
 RT_DWELL_P95_MS = 5000
 RT_STAGE_ERRORS = 1
+# (name, component, summary, description); summaries state the threshold
 RULES = {
-    "alert_api_errors": ("ApiHighErrorRate", "api",
-                         "Flow API 5xx error rate above \"0.05\""),
-    "alert_api_latency": ("ApiHighLatency", "api", "Flow API p95 latency above 500ms"),
-    "alert_reconcile_failures": ("ControllerReconcileFailures", "controller",
-                                 "Flow controller reconcile failures detected"),
-    "alert_queue_depth": ("ControllerQueueDepthHigh", "controller",
-                          "Flow controller queue depth above 100"),
-    "alert_dwell": ("RuntimeQueueDwellHigh", "runtime", "Runtime queue dwell p95 above 5000ms"),
-    "alert_stage_errors": ("RuntimeStageErrors", "runtime", "Runtime stage errors detected"),
+    "alert_api_errors": ("ApiHighErrorRate", "api", f'Flow API 5xx error rate above "{API_ERROR_RATIO}"',
+                         "The Flow API is returning elevated 5xx responses over the last 10m."),
+    "alert_api_latency": ("ApiHighLatency", "api", f"Flow API p95 latency above {API_P95_MS}ms",
+                          "The Flow API 95th percentile latency is higher than expected."),
+    "alert_reconcile_failures": ("ControllerReconcileFailures", "controller", "Flow controller reconcile failures detected",
+                                 "Flow controller reconcile failures were observed in the last 10m."),
+    "alert_queue_depth": ("ControllerQueueDepthHigh", "controller", f"Flow controller queue depth above {CTL_MAX_DEPTH}",
+                          "The controller work queue depth is elevated."),
+    "alert_dwell": ("RuntimeQueueDwellHigh", "runtime", f"Runtime queue dwell p95 above {RT_DWELL_P95_MS}ms",
+                    "Runtime queues are taking longer than expected to process items."),
+    "alert_stage_errors": ("RuntimeStageErrors", "runtime", "Runtime stage errors detected",
+                           "Stage errors were detected in the last 10m."),
 }
 # -------------------------------------------------------------------------
 
 
 def _finish(key: str, cond: DataFrame) -> DataFrame:
-    name, component, summary = RULES[key]
+    name, component, summary, description = RULES[key]
     fired = P.alert_for(cond, STEP_S, FOR_S)
     return fired.select(F.lit(name).alias("alertname"), "ts",
                         F.round(F.col("value").cast("double"), 6).alias("value"), "active_since", "state",
                         F.lit("warning").alias("severity"), F.lit(component).alias("component"),
-                        F.lit(summary).alias("summary"))
+                        F.lit(summary).alias("summary"), F.lit(description).alias("description"))
 
 
 def _windowed_sum(per_min: DataFrame, window_s: int, cols: list[str]) -> DataFrame:

@@ -250,13 +250,18 @@ def panel_sql() -> dict[str, str]:
 # ---------------------------------------------------------------------------
 # fixed values, stated a second time on purpose: an oracle shares nothing with the code it checks
 RULES = {
-    "alert_api_errors": ("ApiHighErrorRate", "api", 'Flow API 5xx error rate above "0.05"'),
-    "alert_api_latency": ("ApiHighLatency", "api", "Flow API p95 latency above 500ms"),
-    "alert_reconcile_failures": ("ControllerReconcileFailures", "controller",
-                                 "Flow controller reconcile failures detected"),
-    "alert_queue_depth": ("ControllerQueueDepthHigh", "controller", "Flow controller queue depth above 100"),
-    "alert_dwell": ("RuntimeQueueDwellHigh", "runtime", "Runtime queue dwell p95 above 5000ms"),
-    "alert_stage_errors": ("RuntimeStageErrors", "runtime", "Runtime stage errors detected"),
+    "alert_api_errors": ("ApiHighErrorRate", "api", 'Flow API 5xx error rate above "0.05"',
+                         "The Flow API is returning elevated 5xx responses over the last 10m."),
+    "alert_api_latency": ("ApiHighLatency", "api", "Flow API p95 latency above 500ms",
+                          "The Flow API 95th percentile latency is higher than expected."),
+    "alert_reconcile_failures": ("ControllerReconcileFailures", "controller", "Flow controller reconcile failures detected",
+                                 "Flow controller reconcile failures were observed in the last 10m."),
+    "alert_queue_depth": ("ControllerQueueDepthHigh", "controller", "Flow controller queue depth above 100",
+                          "The controller work queue depth is elevated."),
+    "alert_dwell": ("RuntimeQueueDwellHigh", "runtime", "Runtime queue dwell p95 above 5000ms",
+                    "Runtime queues are taking longer than expected to process items."),
+    "alert_stage_errors": ("RuntimeStageErrors", "runtime", "Runtime stage errors detected",
+                           "Stage errors were detected in the last 10m."),
 }
 
 
@@ -266,14 +271,14 @@ def _bucket(ts: str = "ts") -> str:
 
 def _alert_tail(key: str, cond: str) -> str:
     """``cond`` is a CTE (e BIGINT minute-end index, v DOUBLE) of true instants."""
-    name, comp, summ = RULES[key]
+    name, comp, summ, text = RULES[key]
     summ = summ.replace("'", "''")
     return f""", isl AS (SELECT e, v, e - row_number() OVER (ORDER BY e) AS g FROM {cond}),
     fa AS (SELECT e, v, min(e) OVER (PARTITION BY g) AS s FROM isl)
     SELECT '{name}' AS alertname, make_timestamp(e * 60000000) AS ts, round(v, 6) AS value,
            make_timestamp(s * 60000000) AS active_since,
            CASE WHEN (e - s) * 60 >= 600 THEN 'firing' ELSE 'pending' END AS state,
-           'warning' AS severity, '{comp}' AS component, '{summ}' AS summary
+           'warning' AS severity, '{comp}' AS component, '{summ}' AS summary, '{text}' AS description
     FROM fa"""
 
 
@@ -516,7 +521,9 @@ def state_sql() -> dict[str, str]:
     ex AS (SELECT name, active, vers, unnest(range(1, len(vers) + 1)) AS i FROM fin)
     SELECT name, CAST(i AS BIGINT) AS version, vers[i] AS spec, i = active AS is_active FROM ex"""
     s["flow_list"] = with_("oplog") + ", " + _replay_ctes() + " SELECT * FROM fl"
-    s["latest_status"] = with_("reconcile") + ", " + STATUS + " SELECT * FROM st"
+    s["latest_status"] = with_("oplog", "reconcile") + ", " + _replay_ctes() + ", " + STATUS + """
+        SELECT st.name, st.state, st.message, fl.active_version, st.workload, st.last_updated
+        FROM st LEFT JOIN fl ON fl.name = st.name"""
     s["flow_summaries"] = with_("oplog", "reconcile") + ", " + _replay_ctes() + ", " + STATUS + """
         SELECT fl.name, fl.active_version, st.state, st.message FROM fl LEFT JOIN st ON fl.name = st.name"""
     s["flow_get"] = with_("oplog", "reconcile") + ", " + _replay_ctes() + ", " + STATUS + """,

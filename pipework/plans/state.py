@@ -73,7 +73,7 @@ def desired_state_plan(spark, d):
 
 
 def latest_status(spark, d):
-    return _status(spark, d)
+    return H.latest_status(X.reconcile_log(spark, d), _flows(spark, d))
 
 
 # B ------------------------------------------------------------------------
