@@ -256,7 +256,9 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
     centre = F.min(F.struct("pos", "n", "doc")).alias("c")
     centres = keep(entries.groupBy("h").agg(centre, F.max("doc").alias("hi"), F.min("doc").alias("lo"), (F.max("salt") > 0).alias("common")).where("hi > lo"), "centres")
     star = _per_column(entries.withColumn("e", F.struct("pos", "n", "doc")).select("h", "salt", "e"), centres.select("h", "c", "common"))
-    star = star.where((F.col("e.doc") != F.col("c.doc")) & _reach("e", "c")).select(*pair("e", "c")).distinct()
+    # at first only pairs that share several columns, or are short; whatever else links is found below
+    star = star.where((F.col("e.doc") != F.col("c.doc")) & _reach("e", "c")).groupBy(*pair("e", "c")).agg(
+        F.count("*").alias("shared"), F.max("e.n").alias("n")).where("shared > 1 OR n <= 20").select("a", "b")
     found = links.unionByName(_verified(star, texts, sizes, "star"))
     comps = components(found)
 
