@@ -28,3 +28,17 @@ def sample(rows: DataFrame, label: str, per_label: int) -> list:
     picked = rows.where(unit_hash("doc_id", F.lit("train")) < share)
     most = int(1.5 * per_label * max(1, len(counts)))
     return sorted(picked.select("doc_id", label, "text").limit(most).collect(), key=lambda r: (r[0], r[2]))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: int) -> list:
+    """The same for labels kept apart from the texts (labels: doc_id, label; one row
+    an id): the ids are chosen first and broadcast, at most 1.5 * ``per_label`` of
+    each label, so that no text is shuffled."""
+    counts = {r[0]: r[1] for r in labels.groupBy(label).agg(F.count("*")).orderBy(F.desc("count(1)")).limit(1000).collect()}
+    share = F.lit(0.0)
+    for value, n in counts.items():
+        share = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, per_label / n))).otherwise(share)
+    most = int(1.5 * per_label * max(1, len(counts)))
+    picked = labels.where(unit_hash("doc_id", F.lit("train")) < share).limit(most)
+    rows = docs.where(F.col("text").isNotNull() & (F.octet_length("text") <= MAX_BYTES)).join(F.broadcast(picked), "doc_id")
+    return sorted(rows.select("doc_id", label, "text").limit(most).collect(), key=lambda r: (r[0], r[2]))
