@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, SPACE, byte_chunks, columns, keep, maybe_broadcast, run_hashes, words
-from .training import crc_rest, sample
+from .training import crc_rest, labelled_sample
 
 #: Labelled rows of each class that the classifier is trained on.
 PER_CLASS = 2000
@@ -114,7 +114,7 @@ def quality(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text"
     d = columns(docs, doc_id=id_col, text=text_col, host=host_col, path=path_col)
     lab = columns(labels, doc_id=id_col, label=label_col).where((crc_rest(F.col("doc_id"), fold) != held) & F.col("label").isNotNull())
     lab = keep(lab.groupBy("doc_id").agg(F.max("label").cast("int").alias("label")), "labels")
-    model = fit([(r[1], r[2]) for r in sample(d.select("doc_id", "text").join(lab, "doc_id"), "label", PER_CLASS)])
+    model = fit([(r[1], r[2]) for r in labelled_sample(d.select("doc_id", "text"), lab, "label", PER_CLASS)])
     base = lab.agg(F.sum("label"), F.count("*")).first()
     prior = ((base[0] or 0) + 0.5) / (base[1] + 1)
     centre = float(np.log(prior / (1 - prior)))
