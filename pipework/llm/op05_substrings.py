@@ -16,8 +16,8 @@ only the first (smallest doc, then start) goes on; the rest are removed.
 Names are composed from hashes of adjacent pieces, and a name only counts
 within its bucket, which is a hash of other bytes of the same string. Sorted
 buckets are streamed with constant memory; buckets with many different
-members are salted (a bucket needs two members to be refined, so two of them
-are also left under the plain key, where they mark it).
+members are salted (a bucket needs two members to be refined, so copies of two
+of them are left under the plain key, where they mark it and go no further).
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ BLOCK = 8
 HOT = 32  # different members of a bucket within one batch from which they are salted
 SALTS = 256
 _PLACE = np.uint64((1 << 28) - 1)
-ROWS = "dup boolean, k long, salt int, e long, doc long, s int, len int, a int, names binary"
+ROWS = "dup boolean, mark boolean, k long, salt int, e long, doc long, s int, len int, a int, names binary"
 OPEN = "dup boolean, k long, doc long, s int, len int, a int, names binary"
 
 
@@ -69,7 +69,7 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int):
 def _batches(cols: dict, names=None, step: int = 100_000):
     n = len(cols["doc"])
     order = [f.split()[0] for f in ROWS.split(", ")]
-    kinds = {"dup": pa.bool_(), "salt": pa.int32(), "s": pa.int32(), "len": pa.int32(), "a": pa.int32()}
+    kinds = {"dup": pa.bool_(), "mark": pa.bool_(), "salt": pa.int32(), "s": pa.int32(), "len": pa.int32(), "a": pa.int32()}
     arrays = [names if c == "names" else pa.array(cols[c], kinds.get(c, pa.int64())) for c in order]
     if names is None:
         arrays[-1] = pa.nulls(n, pa.binary())
@@ -78,7 +78,7 @@ def _batches(cols: dict, names=None, step: int = 100_000):
         yield whole.slice(i, step)
 
 
-def _emit(k, e, doc, s, count, a, names=None):
+def _emit(hot, k, e, doc, s, count, a, names=None):
     """Rows for the shuffle. Repeats within the batch (rows come in order of
     doc and start) are settled here and leave as merged stretches."""
     x = mix(k.astype(np.uint64) ^ mix(e.astype(np.uint64)))
@@ -93,7 +93,7 @@ def _emit(k, e, doc, s, count, a, names=None):
         total = np.add.reduceat(count[d], f)
         spread = mix(doc[d][f].astype(np.uint64)).astype(np.int64)
         z = np.zeros(len(f), np.int64)
-        yield from _batches({"dup": np.ones(len(f), bool), "k": spread, "salt": z, "e": z, "doc": doc[d][f], "s": s[d][f], "len": total, "a": z})
+        yield from _batches({"dup": np.ones(len(f), bool), "mark": np.zeros(len(f), bool), "k": spread, "salt": z, "e": z, "doc": doc[d][f], "s": s[d][f], "len": total, "a": z})
     r = np.flatnonzero(~dup)
     if not len(r):
         return
@@ -103,17 +103,17 @@ def _emit(k, e, doc, s, count, a, names=None):
     first = np.flatnonzero(new)
     size = np.diff(np.r_[first, len(kr)])
     rank = np.arange(len(kr)) - np.repeat(first, size)
-    hot = np.repeat(size >= HOT, size)
+    many = np.repeat(size >= hot, size)
     salt = np.zeros(len(kr), np.int64)
-    salt[order[hot]] = 1 + (mix(e[r][order[hot]].astype(np.uint64)) % np.uint64(SALTS)).astype(np.int64)
-    marks = order[hot & (rank < 2)]
+    salt[order[many]] = 1 + (mix(e[r][order[many]].astype(np.uint64)) % np.uint64(SALTS)).astype(np.int64)
+    marks = order[many & (rank < 2)]
     rows = np.r_[r, r[marks]]
-    cols = {"dup": np.zeros(len(rows), bool), "k": k[rows], "salt": np.r_[salt, np.zeros(len(marks), np.int64)], "e": e[rows],
+    cols = {"dup": np.zeros(len(rows), bool), "mark": np.arange(len(rows)) >= len(r), "k": k[rows], "salt": np.r_[salt, np.zeros(len(marks), np.int64)], "e": e[rows],
             "doc": doc[rows], "s": s[rows], "len": count[rows], "a": a[rows]}
     yield from _batches(cols, None if names is None else names.take(pa.array(rows)))
 
 
-def _level_one(batches, length: int):
+def _level_one(batches, length: int, hot: int):
     for b in batches:
         ids = b.column("doc").to_numpy(zero_copy_only=False)
         order = np.argsort(ids, kind="stable")
@@ -127,10 +127,10 @@ def _level_one(batches, length: int):
             e = run_hashes(data, s, s + count + length - 1).astype(np.int64)
             parts.append((k, e, ids[lo + row], s - off[row], count, a - off[row]))
         if parts:
-            yield from _emit(*[np.concatenate(x) for x in zip(*parts, strict=True)])
+            yield from _emit(hot, *[np.concatenate(x) for x in zip(*parts, strict=True)])
 
 
-def _level_two(batches, length: int):
+def _level_two(batches, length: int, hot: int):
     """Blocks of open stretches, named by the bytes all their strings share."""
     for b in batches:
         ids = b.column("doc").to_numpy(zero_copy_only=False)
@@ -159,10 +159,10 @@ def _level_two(batches, length: int):
             order = np.lexsort((s, doc))
             ends = np.cumsum(m) * 8
             names = pa.Array.from_buffers(pa.binary(), len(m), [None, pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(w.tobytes())])
-            yield from _emit(*[x[order] for x in (k, e, doc, s, count, a)], names.take(pa.array(order)))
+            yield from _emit(hot, *[x[order] for x in (k, e, doc, s, count, a)], names.take(pa.array(order)))
 
 
-def _level_three(batches):
+def _level_three(batches, hot: int):
     for b in batches:
         raw = np.frombuffer(b"".join(x.as_py() for x in b.column("names")), np.int64)
         n = b.column("len").to_numpy()
@@ -171,12 +171,13 @@ def _level_three(batches):
         k, doc, s = col("k"), col("doc"), col("s") + at
         order = np.lexsort((s, doc))
         one = np.ones(len(k), np.int64)
-        yield from _emit(k[order], raw[order], doc[order], s[order], one, one)
+        yield from _emit(hot, k[order], raw[order], doc[order], s[order], one, one)
 
 
 def _refine(batches):
     """Streams rows sorted by (k, salt, e, doc, s): settles the later members of
     each (k, e), and passes on the first ones of buckets that have several names.
+    Marks count as names but are never passed on, as their own rows are salted.
     Holds one row over from batch to batch."""
     cols = [f.split()[0] for f in OPEN.split(", ")]
     key, name, held = None, None, None
@@ -188,6 +189,7 @@ def _refine(batches):
         n = b.num_rows
         if not n:
             continue
+        mark = b.column("mark").to_numpy(zero_copy_only=False).astype(bool)
         k, salt, e = (b.column(c).to_numpy() for c in ("k", "salt", "e"))
         newk = np.r_[(int(k[0]), int(salt[0])) != key, (k[1:] != k[:-1]) | (salt[1:] != salt[:-1])]
         newe = newk | np.r_[int(e[0]) != name, e[1:] != e[:-1]]
@@ -197,8 +199,8 @@ def _refine(batches):
             yield held
             held = None
         # salted members are known to have company
-        go = newe & ((firsts[run] >= 2) | (run == 0) | (salt > 0))
-        state = ~newe
+        go = newe & ~mark & ((firsts[run] >= 2) | (run == 0) | (salt > 0))
+        state = ~newe & ~mark
         if state.any():
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(int(state.sum()), bool))] + [b.column(c).filter(pa.array(state)) for c in cols[1:]], names=cols)
         if go.any():
@@ -207,7 +209,7 @@ def _refine(batches):
             held = None
             if firsts[-1] == 1 and salt[-1] == 0:
                 at = int(np.flatnonzero(newe)[-1])
-                held = b.slice(at, 1).select(cols)
+                held = None if mark[at] else b.slice(at, 1).select(cols)
         key, name = (int(k[-1]), int(salt[-1])), int(e[-1])
 
 
@@ -254,14 +256,16 @@ def _gather(rows: DataFrame, merge: int) -> DataFrame:
     return d.mapInArrow(pack, "doc long, spots binary")
 
 
-def cut_repeats(docs: DataFrame, id_col="doc_id", text_col="text", length: int = 100) -> DataFrame:
+def cut_repeats(docs: DataFrame, id_col="doc_id", text_col="text", length: int = 100, hot: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary); one row per row of ``docs``.
 
     A byte goes if a ``length``-byte string that covers it also starts earlier:
     in a document of smaller doc_id, or before in its own. Null text is empty;
     null ids come before all others, and rows that share an id stand in the
     order of their texts (repeated rows lose all to the first). Other columns
-    are not read. Documents of up to 256 MB are handled whole."""
+    are not read. Documents of up to 256 MB are handled whole. ``hot`` (HOT if
+    None) only says how the work is dealt, not what comes out."""
+    hot = HOT if hot is None else hot
     d = columns(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
     odd = d.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count()
     if odd:
@@ -270,10 +274,10 @@ def cut_repeats(docs: DataFrame, id_col="doc_id", text_col="text", length: int =
     else:
         d = d.withColumn("doc", F.col("doc_id").cast("long"))
     texts = d.select("doc", "text")
-    one = _refined(texts.where(F.octet_length("text") >= length).mapInArrow(lambda b: _level_one(b, length), ROWS), "level1")
+    one = _refined(texts.where(F.octet_length("text") >= length).mapInArrow(lambda b: _level_one(b, length, hot), ROWS), "level1")
     spots = _gather(one.where(~F.col("dup")), 0)
-    two = _refined(texts.join(spots, "doc").mapInArrow(lambda b: _level_two(b, length), ROWS), "level2")
-    three = _refined(two.where(~F.col("dup")).mapInArrow(_level_three, ROWS), "level3")
+    two = _refined(texts.join(spots, "doc").mapInArrow(lambda b: _level_two(b, length, hot), ROWS), "level2")
+    three = _refined(two.where(~F.col("dup")).mapInArrow(lambda b: _level_three(b, hot), ROWS), "level3")
     dups = [x.where("dup") for x in (one, two, three)]
     ranges = _gather(dups[0].unionByName(dups[1]).unionByName(dups[2]), length)
 

@@ -273,6 +273,35 @@ def test_repeats(which, hot, request, monkeypatch):
     assert got == want and sum(w[2] for w in want) > 1000
 
 
+def removed(rows, length=100):
+    """doc_id -> bytes that go, by brute force; rows in order of doc_id."""
+    seen, out = set(), {}
+    for i, t in rows:
+        b = t.encode()
+        gone = bytearray(len(b))
+        for s in range(len(b) - length + 1):
+            if b[s:s + length] in seen:
+                gone[s:s + length] = b"\1" * length
+            seen.add(b[s:s + length])
+        out[i] = sum(gone)
+    return out
+
+
+def around(rng, passage, n, first=0):
+    """Documents around one passage, all with other surroundings of their own."""
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(12))
+    return [(first + i, " ".join(word() for _ in range(14)) + passage + " ".join(word() for _ in range(14))) for i in range(n)]
+
+
+@pytest.mark.parametrize("hot", [None, 3])
+def test_repeats_in_many_documents_of_a_batch(spark, hot):
+    rng = random.Random(3)
+    rows = around(rng, "".join(rng.choice("qrstuvwxyz") for _ in range(130)), 50) + around(rng, "".join(rng.choice("qrstuvwxyz") for _ in range(70)), 50, 100)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.n_removed for r in op05_substrings.cut_repeats(docs, **({} if hot is None else {"hot": hot})).collect()}
+    assert got == removed(rows) and sum(got.values()) >= 49 * 130 and got[120] == 0
+
+
 # ---- 6 ----------------------------------------------------------------------
 
 @pytest.mark.parametrize("which", ["odd", "repeated"])
