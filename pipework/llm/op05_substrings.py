@@ -18,6 +18,8 @@ within its bucket, which is a hash of other bytes of the same string. Sorted
 buckets are streamed with constant memory; buckets with many different
 members are salted (a bucket needs two members to be refined, so copies of two
 of them are left under the plain key, where they mark it and go no further).
+A string that is salted in one batch and plain in another stays open for the
+next level; the last level has none, so it deals by bucket and name together.
 """
 
 from __future__ import annotations
@@ -80,7 +82,8 @@ def _batches(cols: dict, names=None, step: int = 100_000):
 
 def _emit(hot, k, e, doc, s, count, a, names=None):
     """Rows for the shuffle. Repeats within the batch (rows come in order of
-    doc and start) are settled here and leave as merged stretches."""
+    doc and start) are settled here and leave as merged stretches. No bucket is
+    salted if ``hot`` is None."""
     x = mix(k.astype(np.uint64) ^ mix(e.astype(np.uint64)))
     order = np.argsort(x, kind="stable")
     same = np.r_[False, x[order][1:] == x[order][:-1]] if len(x) else np.zeros(0, bool)
@@ -103,7 +106,7 @@ def _emit(hot, k, e, doc, s, count, a, names=None):
     first = np.flatnonzero(new)
     size = np.diff(np.r_[first, len(kr)])
     rank = np.arange(len(kr)) - np.repeat(first, size)
-    many = np.repeat(size >= hot, size)
+    many = np.repeat(size >= hot, size) if hot is not None else np.zeros(len(kr), bool)
     salt = np.zeros(len(kr), np.int64)
     salt[order[many]] = 1 + (mix(e[r][order[many]].astype(np.uint64)) % np.uint64(SALTS)).astype(np.int64)
     marks = order[many & (rank < 2)]
@@ -162,7 +165,7 @@ def _level_two(batches, length: int, hot: int):
             yield from _emit(hot, *[x[order] for x in (k, e, doc, s, count, a)], names.take(pa.array(order)))
 
 
-def _level_three(batches, hot: int):
+def _level_three(batches):
     for b in batches:
         raw = np.frombuffer(b"".join(x.as_py() for x in b.column("names")), np.int64)
         n = b.column("len").to_numpy()
@@ -171,7 +174,7 @@ def _level_three(batches, hot: int):
         k, doc, s = col("k"), col("doc"), col("s") + at
         order = np.lexsort((s, doc))
         one = np.ones(len(k), np.int64)
-        yield from _emit(hot, k[order], raw[order], doc[order], s[order], one, one)
+        yield from _emit(None, k[order], raw[order], doc[order], s[order], one, one)
 
 
 def _refine(batches):
@@ -213,6 +216,24 @@ def _refine(batches):
         key, name = (int(k[-1]), int(salt[-1])), int(e[-1])
 
 
+def _settle(batches):
+    """Streams rows sorted by (k, e, doc, s): settles the later members of each (k, e), passes on nothing else."""
+    cols = [f.split()[0] for f in OPEN.split(", ")]
+    last = None
+    for b in batches:
+        dup = b.column("dup").to_numpy(zero_copy_only=False).astype(bool)
+        if dup.any():
+            yield b.filter(pa.array(dup)).select(cols)
+            b = b.filter(pa.array(~dup))
+        if not b.num_rows:
+            continue
+        k, e = (b.column(c).to_numpy() for c in ("k", "e"))
+        again = np.r_[(int(k[0]), int(e[0])) == last, (k[1:] == k[:-1]) & (e[1:] == e[:-1])]
+        last = int(k[-1]), int(e[-1])
+        if again.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(int(again.sum()), bool))] + [b.column(c).filter(pa.array(again)) for c in cols[1:]], names=cols)
+
+
 def _refined(rows: DataFrame, name: str) -> DataFrame:
     d = rows.repartition("k", "salt").sortWithinPartitions("k", "salt", "e", "doc", "s")
     return keep(d.mapInArrow(_refine, OPEN), name)
@@ -277,7 +298,8 @@ def cut_repeats(docs: DataFrame, id_col="doc_id", text_col="text", length: int =
     one = _refined(texts.where(F.octet_length("text") >= length).mapInArrow(lambda b: _level_one(b, length, hot), ROWS), "level1")
     spots = _gather(one.where(~F.col("dup")), 0)
     two = _refined(texts.join(spots, "doc").mapInArrow(lambda b: _level_two(b, length, hot), ROWS), "level2")
-    three = _refined(two.where(~F.col("dup")).mapInArrow(lambda b: _level_three(b, hot), ROWS), "level3")
+    three = two.where(~F.col("dup")).mapInArrow(_level_three, ROWS).repartition("k", "e").sortWithinPartitions("k", "e", "doc", "s")
+    three = keep(three.mapInArrow(_settle, OPEN), "level3")
     dups = [x.where("dup") for x in (one, two, three)]
     ranges = _gather(dups[0].unionByName(dups[1]).unionByName(dups[2]), length)
 

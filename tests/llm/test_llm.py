@@ -302,6 +302,25 @@ def test_repeats_in_many_documents_of_a_batch(spark, hot):
     assert got == removed(rows) and sum(got.values()) >= 49 * 130 and got[120] == 0
 
 
+@pytest.mark.parametrize("batch", [1, 6])
+def test_repeats_across_batches(spark, batch):
+    """Buckets that are salted in some batches and plain in others, down to the last level."""
+    rng = random.Random(batch)
+    passage = "".join(rng.choice("qrstuvwxyz") for _ in range(260))
+    rows = around(rng, passage, 6)
+    for i in range(1, 60, 2):  # documents that begin or end in the passage: short blocks, which are not salted
+        rows.append((2 * i + 10, passage[i:] + around(rng, "", 1)[0][1]))
+        rows.append((2 * i + 11, around(rng, "", 1)[0][1] + passage[:-i]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        got = {r.doc_id: r.n_removed for r in op05_substrings.cut_repeats(docs, hot=4).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == removed(rows)
+
+
 # ---- 6 ----------------------------------------------------------------------
 
 @pytest.mark.parametrize("which", ["odd", "repeated"])
