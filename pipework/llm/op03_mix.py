@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import columns, keep, maybe_broadcast, numbered, unit_hash
+from .common import columns, keep, maybe_broadcast, numbered, small, unit_hash
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -79,36 +79,66 @@ def balance(sizes: DataFrame, goal: DataFrame, prior=None, cap: float = 2.0, ste
 
 
 def copies(sizes: DataFrame, lam: DataFrame, prior=None, cap: float = 2.0, fills: int = 5) -> DataFrame:
-    """sizes with copies. Whole parts of the rates are copies; the fractions are
-    dealt in order of hash / fraction until the source's remaining words are
-    used up; then single documents that bring the source nearer to its target
-    get one copy more or fewer."""
+    """sizes with copies. Whole parts of the rates are copies. The fractions are
+    dealt by size class (powers of two), largest first: each class gets its
+    share of the source's remaining words and what larger classes left over, in
+    order of hash / fraction, and one document more if the smaller classes
+    can't make up for it. Then single documents that bring the source nearer to
+    its target get one copy more or fewer."""
     prior = F.lit(1.0) if prior is None else prior
     rate = F.when(F.col("target") > 0, F.least(F.lit(cap), prior * F.exp("lam"))).otherwise(0.0)
     d = sizes.join(maybe_broadcast(lam), "sk").withColumn("rate", rate).withColumn("base", F.floor(F.col("rate") + 1e-9))
-    d = d.withColumn("p", unit_hash("doc_id", F.lit("mix")) / F.greatest(F.col("rate") - F.col("base"), F.lit(1e-12)))
+    d = d.withColumn("part", F.greatest(F.col("rate") - F.col("base"), F.lit(1e-12))).withColumn("p", unit_hash("doc_id", F.lit("mix")) / F.col("part"))
     buckets = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / BUCKET_ROWS))
     spot = F.when(F.col("p") <= 1, F.col("p")).otherwise(2 - 1 / F.col("p"))  # keeps the order of p, below 2
-    d = keep(d.select("doc_id", "sk", "size", "rid", "source_size", "target", "base", "p",
-                      F.floor(spot * buckets).alias("b"), (F.col("rate") - F.col("base") > 1e-9).alias("may")), "dealt")
-    per = d.groupBy("sk", "b").agg(F.sum(F.when(F.col("may"), F.col("size")).otherwise(0)).alias("s"),
-                                   F.sum(F.col("base") * F.col("size")).alias("whole"), F.max("target").alias("target"))
-    before = W.partitionBy("sk").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
-    per = per.select("sk", "b", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("before"),
-                     (F.col("target") - F.sum("whole").over(W.partitionBy("sk"))).alias("extra"))
-    w = W.partitionBy("sk", "b").orderBy("p", "doc_id", "rid")
-    d = d.join(maybe_broadcast(per), ["sk", "b"])
-    used = F.col("before") + F.sum(F.when(F.col("may"), F.col("size")).otherwise(0)).over(w)
-    d = keep(d.withColumn("more", (F.col("may") & (used <= F.col("extra"))).cast("int")), "prefix")
+    d = keep(d.select("doc_id", "sk", "size", "rid", "source_size", "target", "base", "p", "part",
+                      F.floor(spot * buckets).alias("b"), (F.length(F.bin("size")) - 1).alias("cls"),
+                      (F.col("rate") - F.col("base") > 1e-9).alias("may")), "dealt")
+    deal = F.col("may") & (F.col("size") > 0)
+    extra = d.groupBy("sk").agg((F.max("target") - F.sum(F.col("base") * F.col("size"))).alias("extra"))
+    per = keep(d.where(deal).groupBy("sk", "cls", "b").agg(F.sum("size").alias("s"), F.sum(F.col("size") * F.col("part")).alias("q")), "buckets")
+    before = per.select("sk", "cls", "b", F.coalesce(F.sum("s").over(
+        W.partitionBy("sk", "cls").orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    smaller = W.partitionBy("sk").orderBy("cls").rowsBetween(W.unboundedPreceding, -1)
+    shares = per.groupBy("sk", "cls").agg(F.sum("s").alias("s"), F.sum("q").alias("q")).join(extra, "sk").select(
+        "sk", "cls", "extra", F.coalesce(F.sum("s").over(smaller), F.lit(0)).alias("room"),
+        (F.coalesce(F.sum("q").over(smaller), F.lit(0.0)) / F.sum("q").over(W.partitionBy("sk")) * F.col("extra")).alias("due"))
+    shares = keep(shares, "shares")
+    w = W.partitionBy("sk", "cls", "b").orderBy("p", "doc_id", "rid")
+    run = d.where(deal).join(maybe_broadcast(before), ["sk", "cls", "b"]).withColumn("used", F.col("before") + F.sum("size").over(w))
+    run = keep(run.select("doc_id", "sk", "size", "rid", "source_size", "target", "base", "p", "cls", "used"), "prefix")
+
+    few = small(shares, 100_000)
+    near = F.broadcast if few else (lambda x: x)
+    state = shares.groupBy("sk").agg(F.max("extra").alias("left")).withColumn("cuts", F.expr("CAST(array() AS array<struct<cls: int, upto: bigint>>)"))
+    state = keep(state.coalesce(1) if few else state, "left")
+    miss = lambda rest: F.greatest(rest - F.col("room"), -rest, F.lit(0.0))  # noqa: E731  what the smaller classes can't mend
+    for c in sorted((r.cls for r in shares.select("cls").distinct().collect()), reverse=True):
+        now = state.join(near(shares.where(F.col("cls") == c)), "sk").select("sk", "left", "room", F.round(F.col("left") - F.col("due"), 3).alias("top"))
+        got = run.where(F.col("cls") == c).join(near(now), "sk").groupBy("sk").agg(
+            F.max("left").alias("l"), F.max("room").alias("room"),
+            F.coalesce(F.max(F.when(F.col("used") <= F.col("top"), F.col("used"))), F.lit(0)).alias("fit"),
+            F.min(F.when(F.col("used") > F.col("top"), F.col("used"))).alias("next"))
+        upto = F.when(F.col("next").isNotNull() & (miss(F.col("l") - F.col("next")) < miss(F.col("l") - F.col("fit"))), F.col("next")).otherwise(F.col("fit"))
+        cut = F.array(F.struct(F.lit(c).alias("cls"), F.col("upto")))
+        state = keep(state.join(near(got.select("sk", upto.alias("upto"))), "sk", "left").select(
+            "sk", (F.col("left") - F.coalesce("upto", F.lit(0))).alias("left"),
+            F.when(F.col("upto").isNull(), F.col("cuts")).otherwise(F.concat("cuts", cut)).alias("cuts")), "left")
+    cuts = state.join(extra, "sk").select("sk", "extra", F.explode("cuts").alias("c")).select("sk", "extra", "c.cls", "c.upto")
+    cuts = keep(cuts, "cuts")
+    one = keep(run.join(near(cuts), ["sk", "cls"]).withColumn("more", (F.col("used") <= F.col("upto")).cast("int")), "dealt-more")
     for _ in range(fills):  # one more or one fewer copy of the document that brings the source nearest to its target
-        gap = d.groupBy("sk").agg((F.max("extra") - F.sum(F.col("more") * F.col("size"))).alias("gap"))
+        gap = one.groupBy("sk").agg((F.max("extra") - F.sum(F.col("more") * F.col("size"))).alias("gap"))
         after = F.abs(F.col("gap") - F.when(F.col("more") == 0, F.col("size")).otherwise(-F.col("size")))
-        fit = d.join(maybe_broadcast(gap), "sk").where(F.col("may") & (F.col("size") > 0)).withColumn("after", after)
+        fit = one.join(maybe_broadcast(gap), "sk").withColumn("after", after)
         best = fit.where(F.col("after") < F.abs("gap")).groupBy("sk").agg(F.min(F.struct("after", "p", "rid"))["rid"].alias("rid"))
         best = keep(best.withColumn("turn", F.lit(1)), "turn")
-        d = d.join(maybe_broadcast(best), ["sk", "rid"], "left").withColumn(
+        one = one.join(maybe_broadcast(best), ["sk", "rid"], "left").withColumn(
             "more", F.abs(F.col("more") - F.coalesce("turn", F.lit(0)))).drop("turn")
-    return d.withColumn("copies", (F.col("base") + F.col("more")).cast("int"))
+    # rows without a fraction or without words are not dealt; the latter go by their own hash
+    rest = d.where(~deal).withColumn("more", (F.col("may") & (F.col("p") <= 1)).cast("int"))
+    out = ["doc_id", "sk", "size", "rid", "source_size", "target", "base", "more"]
+    return one.select(*out).unionByName(rest.select(*out)).withColumn("copies", (F.col("base") + F.col("more")).cast("int"))
 
 
 def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS,

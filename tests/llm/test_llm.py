@@ -199,6 +199,19 @@ def test_mix(which, request):
         assert again == {r.doc_id: r.copies for r in out}
 
 
+@pytest.mark.parametrize("long_id", range(3))
+def test_mix_long_documents(spark, long_id):
+    """One long document among many short ones, wherever it comes in the order:
+    the short ones alone, or with it, make up the words that are wanted."""
+    rows = [(-1 - long_id, "w " * 30_000, "en", "a")] + [(i, "w " * 10, "en", "a") for i in range(2000)] + [(5000 + i, "w " * 7, "en", "b") for i in range(3000)]
+    sizes = op03_mix.measured(make(spark, rows))
+    goal = op03_mix.targets(sizes, weights=(1, 1), share=1.4).withColumn("target", F.when(F.col("sk") == "sa", F.lit(70_000.0)).otherwise(F.lit(29_400.0)))
+    got = {r.sk: r for r in op03_mix.copies(sizes, op03_mix.balance(sizes, goal)).groupBy("sk").agg(
+        F.sum(F.col("copies") * F.col("size")).alias("taken"), F.max("target").alias("target"), F.count("*").alias("n")).collect()}
+    assert {k: r.n for k, r in got.items()} == {"sa": 2001, "sb": 3000}
+    assert all(abs(r.taken - r.target) <= 5 for r in got.values()), got
+
+
 # ---- 4 ----------------------------------------------------------------------
 
 def shingles(t):
