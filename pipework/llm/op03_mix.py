@@ -78,6 +78,18 @@ def balance(sizes: DataFrame, goal: DataFrame, prior=None, cap: float = 2.0, ste
     return lam
 
 
+def bucketed(d: DataFrame) -> DataFrame:
+    """d with b, buckets in order of p = hash / part within (sk, cls), of about
+    BUCKET_ROWS rows: the share of rows up to p follows from the parts, of which
+    those within a factor of two count as one."""
+    parts = d.groupBy("sk", "cls", F.floor(F.log2("part")).alias("kind")).agg(F.count("*").alias("n"), F.avg("part").alias("f"))
+    parts = keep(parts.groupBy("sk", "cls").agg(F.collect_list(F.struct("n", "f")).alias("parts"), F.sum("n").alias("rows")), "parts")
+    below = F.aggregate("parts", F.lit(0.0), lambda x, k: x + k["n"] * F.least(F.lit(1.0), k["f"] * F.col("p")))
+    n = F.ceil(F.col("rows") / BUCKET_ROWS)
+    b = F.least(n - 1, F.floor(below / F.col("rows") * n)).alias("b")
+    return d.join(maybe_broadcast(parts), ["sk", "cls"]).select(*[d[c] for c in d.columns], b)
+
+
 def copies(sizes: DataFrame, lam: DataFrame, prior=None, cap: float = 2.0, fills: int = 5) -> DataFrame:
     """sizes with copies. Whole parts of the rates are copies. The fractions are
     dealt by size class (powers of two), largest first: each class gets its
@@ -89,14 +101,13 @@ def copies(sizes: DataFrame, lam: DataFrame, prior=None, cap: float = 2.0, fills
     rate = F.when(F.col("target") > 0, F.least(F.lit(cap), prior * F.exp("lam"))).otherwise(0.0)
     d = sizes.join(maybe_broadcast(lam), "sk").withColumn("rate", rate).withColumn("base", F.floor(F.col("rate") + 1e-9))
     d = d.withColumn("part", F.greatest(F.col("rate") - F.col("base"), F.lit(1e-12))).withColumn("p", unit_hash("doc_id", F.lit("mix")) / F.col("part"))
-    buckets = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / BUCKET_ROWS))
-    spot = F.when(F.col("p") <= 1, F.col("p")).otherwise(2 - 1 / F.col("p"))  # keeps the order of p, below 2
     d = keep(d.select("doc_id", "sk", "size", "rid", "source_size", "target", "base", "p", "part",
-                      F.floor(spot * buckets).alias("b"), (F.length(F.bin("size")) - 1).alias("cls"),
+                      (F.length(F.bin("size")) - 1).alias("cls"),
                       (F.col("rate") - F.col("base") > 1e-9).alias("may")), "dealt")
     deal = F.col("may") & (F.col("size") > 0)
     extra = d.groupBy("sk").agg((F.max("target") - F.sum(F.col("base") * F.col("size"))).alias("extra"))
-    per = keep(d.where(deal).groupBy("sk", "cls", "b").agg(F.sum("size").alias("s"), F.sum(F.col("size") * F.col("part")).alias("q")), "buckets")
+    dealt = bucketed(d.where(deal))
+    per = keep(dealt.groupBy("sk", "cls", "b").agg(F.sum("size").alias("s"), F.sum(F.col("size") * F.col("part")).alias("q")), "buckets")
     before = per.select("sk", "cls", "b", F.coalesce(F.sum("s").over(
         W.partitionBy("sk", "cls").orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     smaller = W.partitionBy("sk").orderBy("cls").rowsBetween(W.unboundedPreceding, -1)
@@ -105,7 +116,7 @@ def copies(sizes: DataFrame, lam: DataFrame, prior=None, cap: float = 2.0, fills
         (F.coalesce(F.sum("q").over(smaller), F.lit(0.0)) / F.sum("q").over(W.partitionBy("sk")) * F.col("extra")).alias("due"))
     shares = keep(shares, "shares")
     w = W.partitionBy("sk", "cls", "b").orderBy("p", "doc_id", "rid")
-    run = d.where(deal).join(maybe_broadcast(before), ["sk", "cls", "b"]).withColumn("used", F.col("before") + F.sum("size").over(w))
+    run = dealt.join(maybe_broadcast(before), ["sk", "cls", "b"]).withColumn("used", F.col("before") + F.sum("size").over(w))
     run = keep(run.select("doc_id", "sk", "size", "rid", "source_size", "target", "base", "p", "cls", "used"), "prefix")
 
     few = small(shares, 100_000)

@@ -212,6 +212,17 @@ def test_mix_long_documents(spark, long_id):
     assert all(abs(r.taken - r.target) <= 5 for r in got.values()), got
 
 
+def test_mix_buckets(spark, monkeypatch):
+    """Small, large and mixed fractions make buckets of about the same size, in order of p."""
+    monkeypatch.setattr(op03_mix, "BUCKET_ROWS", 100)
+    part = F.when(F.col("sk") == "s0", 0.001).when(F.col("sk") == "s1", 0.9).otherwise(F.when(F.col("id") % 2 == 0, 0.01).otherwise(0.5))
+    d = spark.range(6000).withColumn("sk", F.concat(F.lit("s"), F.col("id") % 3)).withColumn("cls", F.lit(5)).withColumn("part", part)
+    out = op03_mix.bucketed(d.withColumn("p", op03_mix.unit_hash("id") / F.col("part")))
+    per = out.groupBy("sk", "b").agg(F.count("*").alias("n"), F.min("p").alias("low"), F.max("p").alias("high")).orderBy("sk", "b").collect()
+    assert len(per) == 60 and max(r.n for r in per) <= 200
+    assert all(x.high < y.low for x, y in zip(per, per[1:], strict=False) if x.sk == y.sk)
+
+
 # ---- 4 ----------------------------------------------------------------------
 
 def shingles(t):
