@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (op01_shard, op02_chat, op03_mix, op04_jaccard, op05_substrings, op06_decontaminate, op07_toxicity,
-               op08_quality, op09_language, op10_exact)
+               op08_quality, op09_language, op10_exact, op11_topk)
 from .common import table
 
 
@@ -50,6 +50,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_shard, op2_chat, op3_mix, op4_ngram_jaccard, op5_suffix_dedup, op6_decontaminate, op7_toxicity,
-                                  op8_quality, op9_language, op10_exact_dedup)}
-ORACLE = {"op2_chat": op02_chat.SQL, "op4_ngram_jaccard": op04_jaccard.SQL, "op6_decontaminate": op06_decontaminate.SQL, "op10_exact_dedup": op10_exact.SQL}
+                                  op8_quality, op9_language, op10_exact_dedup, op11_topk_search)}
+ORACLE = {"op2_chat": op02_chat.SQL, "op4_ngram_jaccard": op04_jaccard.SQL, "op6_decontaminate": op06_decontaminate.SQL, "op10_exact_dedup": op10_exact.SQL,
+          "op11_topk_search": op11_topk.SQL}
