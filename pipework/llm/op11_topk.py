@@ -117,11 +117,11 @@ def _best(q, score, vec, rid, k):
     return order[np.arange(len(qs)) - first < k]
 
 
-def _blocks(batches, dims):
-    """(rid, vec_id, vectors) of ROWS rows at most."""
+def _blocks(batches, dims, rows):
+    """(rid, vec_id, vectors) of so many rows at most."""
     for b in batches:
-        for i in range(0, b.num_rows, ROWS):
-            x = b.slice(i, ROWS)
+        for i in range(0, b.num_rows, rows):
+            x = b.slice(i, rows)
             yield x.column("rid").to_numpy(), x.column("vec_id").to_numpy(), matrix(x.column("v"), dims)
 
 
@@ -132,7 +132,7 @@ def searcher(queries, dims: int, k: int):
         least = least.copy()
         most_q = mass(qv).max(initial=0.0)
         held = [np.zeros(0, np.int64)] * 4  # query, score, vec_id, rid
-        for rid, vec, v in _blocks(batches, dims):
+        for rid, vec, v in _blocks(batches, dims, ROWS):
             kind = number_type(most_q, mass(v).max(initial=0.0))
             c = np.ascontiguousarray(v.T).astype(kind)
             found = [held]
