@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (op01_shard, op02_chat, op03_mix, op04_jaccard, op05_substrings, op06_decontaminate, op07_toxicity,
-               op08_quality, op09_language, op10_exact, op11_topk, op13_trie)
+               op08_quality, op09_language, op10_exact, op11_topk, op12_alignment, op13_trie)
 from .common import table
 
 
@@ -54,11 +54,15 @@ def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op11_topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_alignment.digest(op12_alignment.alignment(table(spark, sf_dir, "documents")))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op13_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
 QUERIES = {f.__name__: f for f in (op1_shard, op2_chat, op3_mix, op4_ngram_jaccard, op5_suffix_dedup, op6_decontaminate, op7_toxicity,
-                                  op8_quality, op9_language, op10_exact_dedup, op11_topk_search, op13_prefix_trie)}
+                                  op8_quality, op9_language, op10_exact_dedup, op11_topk_search, op12_token_alignment, op13_prefix_trie)}
 ORACLE = {"op2_chat": op02_chat.SQL, "op4_ngram_jaccard": op04_jaccard.SQL, "op6_decontaminate": op06_decontaminate.SQL, "op10_exact_dedup": op10_exact.SQL,
           "op11_topk_search": op11_topk.SQL, "op13_prefix_trie": op13_trie.SQL}
