@@ -26,12 +26,13 @@ from .common import columns
 
 BYTE_TOKENIZER, PIECE_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: Text bytes encoded and tokens aligned at once (one document at least); longer texts are encoded in parts.
-CHUNK_BYTES, CHUNK_TOKENS, PART_CHARS = 1 << 20, 400_000, 1 << 18
+CHUNK_BYTES, CHUNK_TOKENS, PART_CHARS = 1 << 20, 200_000, 1 << 18
 #: Pair counts that a task holds before it hands them on.
 HELD_PAIRS = 500_000
 #: At most so many pairs, the most frequent ones, are broadcast with their counts; the others' counts are joined by a shuffle.
 BROADCAST_PAIRS = 1_000_000
-ENCODED = "rid long, doc_id long, a array<int>, b array<int>"
+#: a and b hold a document's token ids as 32-bit numbers (little endian), or 16-bit ones where both vocabularies allow it.
+ENCODED = "rid long, doc_id long, a binary, b binary"
 ALIGNED = ("rid long, doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string, "
            "pair long, links long")
 
@@ -128,30 +129,39 @@ def _data(x: pa.LargeBinaryArray) -> memoryview:
     return memoryview(x.buffers()[2])[off[0]:off[-1]]
 
 
-def _lists(rows: list) -> pa.ListArray:
-    off = np.r_[0, np.cumsum([len(x) for x in rows])].astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([np.zeros(0, np.int32), *rows]), pa.int32()))
+def _id_type(byte, piece):
+    return np.dtype("<u2") if max(len(byte.tokens), len(piece.tokens)) <= 1 << 16 else np.dtype("<i4")
+
+
+def _lists(packed: pa.BinaryArray, kind: np.dtype) -> pa.ListArray:
+    """The id lists of packed rows."""
+    packed = packed.cast(pa.large_binary())
+    off = np.frombuffer(packed.buffers()[1], np.int64)[packed.offset:packed.offset + len(packed) + 1]
+    data = packed.buffers()[2]
+    ids = np.frombuffer(data, kind, (off[-1] - off[0]) // kind.itemsize, off[0]) if data is not None else np.zeros(0, kind)
+    return pa.ListArray.from_arrays(pa.array(((off - off[0]) // kind.itemsize).astype(np.int32)), pa.array(ids.astype(np.int32)))
 
 
 def _encoder(files):
     """For mapInArrow: the token ids of every text; none if a side's joined bytes differ from " " + text."""
     def run(batches):
         byte, piece = _load(files)
+        kind = _id_type(byte, piece)
         table = [pa.array(t.tokens, pa.large_binary()) for t in (byte, piece)]
 
         def out(rows):
-            rid, doc, a, b = zip(*rows)
-            return pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(doc, pa.int64()), _lists(a), _lists(b)], names=[f.split()[0] for f in ENCODED.split(", ")])
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=[f.split()[0] for f in ENCODED.split(", ")])
         for batch in batches:
             rows, size = [], 0
             for rid, doc, text in zip(batch.column("rid").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text")):
                 text = text.as_py() or ""
-                ids = [np.zeros(0, np.int32)] * 2
+                ids = [b"", b""]
                 if text:
-                    ids = [np.array(x, np.int32) for x in encode_text(text, byte, piece)]
+                    sides = [np.array(x, kind) for x in encode_text(text, byte, piece)]
                     want = (" " + text).encode()
-                    if any(bytes(_joined(t, x)) != want for t, x in zip(table, ids)):
-                        ids = [np.zeros(0, np.int32)] * 2
+                    if all(bytes(_joined(t, x)) == want for t, x in zip(table, sides)):
+                        ids = [x.tobytes() for x in sides]
                 rows.append((rid, doc, *ids))
                 size += len(text)
                 if size >= CHUNK_BYTES:
@@ -184,29 +194,32 @@ def _pairs(t: pa.Table) -> pa.ChunkedArray:
     return pc.bit_wise_or(pc.shift_left(t["a"].cast(pa.int64()), 32), t["b"].cast(pa.int64()))
 
 
-def _chunks(batches):
-    """Runs of rows of about CHUNK_TOKENS tokens (one row at least)."""
+def _chunks(batches, kind: np.dtype):
+    """Runs of rows of about CHUNK_TOKENS tokens (one row at least), with their id lists."""
     for batch in batches:
-        size = np.r_[0, np.cumsum(batch.column("a").value_lengths().to_numpy() + batch.column("b").value_lengths().to_numpy().astype(np.int64))]
+        size = np.r_[0, np.cumsum(sum(pc.binary_length(batch.column(c)).to_numpy().astype(np.int64) for c in "ab") // kind.itemsize)]
         i = 0
         while i < batch.num_rows:
             j = max(i + 1, int(np.searchsorted(size, size[i] + CHUNK_TOKENS, side="right")) - 1)
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in batch.slice(i, j - i).columns], names=batch.schema.names)
+            part = batch.slice(i, j - i)
+            yield part, _lists(part.column("a"), kind), _lists(part.column("b"), kind)
             i = j
 
 
 def _sizes(files):
-    return [pa.array([len(x) for x in t.tokens], pa.int64()) for t in _load(files)]
+    """Bytes of every token of both sides, and the type of packed ids."""
+    both = _load(files)
+    return [pa.array([len(x) for x in t.tokens], pa.int64()) for t in both], _id_type(*both)
 
 
 def _counter(files):
     """For mapInArrow over encoded rows: partial counts of linked id pairs."""
     def run(batches):
-        size = _sizes(files)
+        size, kind = _sizes(files)
         total = lambda ts: pa.concat_tables(ts).group_by("pair", use_threads=False).aggregate([("links", "sum")]).rename_columns(["pair", "links"])
         held, n = [], 0
-        for x in _chunks(batches):
-            t = pa.table({"pair": _pairs(stretches(x.column("a"), x.column("b"), *size))})
+        for _, a, b in _chunks(batches, kind):
+            t = pa.table({"pair": _pairs(stretches(a, b, *size))})
             t = t.group_by("pair", use_threads=False).aggregate([([], "count_all")]).rename_columns(["pair", "links"])
             held, n = [*held, t], n + t.num_rows
             if n > HELD_PAIRS:
@@ -228,21 +241,21 @@ def _texts(first: np.ndarray, ids: pa.Array, names: pa.Array) -> pa.Array:
 def _aligner(files, known):
     """For mapInArrow over encoded rows: a row for each document, and one for each (document, pair) whose count isn't broadcast."""
     def run(batches):
-        size = _sizes(files)
+        size, kind = _sizes(files)
         keys, counts, best = known.value
         names = [pa.array([str(i) for i in range(len(s))], pa.large_string()) for s in size]
         cols = [f.split()[0] for f in ALIGNED.split(", ")]
-        for x in _chunks(batches):
+        for x, a, b in _chunks(batches, kind):
             n = x.num_rows
-            t = stretches(x.column("a"), x.column("b"), *size).combine_chunks()
+            t = stretches(a, b, *size).combine_chunks()
             doc = pc.shift_right(t["key"], 40).to_numpy()
             first = np.searchsorted(doc, np.arange(n + 1))  # of every document's stretches
             new_a, new_b = (t[c].to_numpy() for c in ("new_a", "new_b"))
             closed = np.flatnonzero(new_a & new_b)          # last stretch of every group
             groups = np.searchsorted(closed, first)         # first group of every document
             till = lambda new: np.r_[0, np.cumsum(new)[closed]]
-            text = pc.binary_join_element_wise(_texts(till(new_a), pc.list_flatten(x.column("a")), names[0]),
-                                               _texts(till(new_b), pc.list_flatten(x.column("b")), names[1]), BAR)
+            text = pc.binary_join_element_wise(_texts(till(new_a), pc.list_flatten(a), names[0]),
+                                               _texts(till(new_b), pc.list_flatten(b), names[1]), BAR)
             text = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(groups.astype(np.int64)), text), SEMICOLON)
             pair = _pairs(t).combine_chunks().dictionary_encode()
             code, ids = pair.indices.to_numpy(), pair.dictionary.to_numpy()
@@ -252,7 +265,7 @@ def _aligner(files, known):
             value = np.where(there, counts[at], 0) if len(keys) else np.zeros(len(ids), np.int64)
             top = there & best[at] if len(keys) else there
             rid, doc_id = x.column("rid"), x.column("doc_id")
-            sums = [x.column("a").value_lengths().cast(pa.int64()), x.column("b").value_lengths().cast(pa.int64()), np.diff(groups), np.diff(first), total(top[code].astype(np.int64)), total(value[code])]
+            sums = [a.value_lengths().cast(pa.int64()), b.value_lengths().cast(pa.int64()), np.diff(groups), np.diff(first), total(top[code].astype(np.int64)), total(value[code])]
             yield pa.RecordBatch.from_arrays([rid, doc_id, *[pa.array(s, pa.int64()) for s in sums], text.cast(pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=cols)
             rare = ~there[code]
             if rare.any():
@@ -312,7 +325,7 @@ def alignment(docs: DataFrame, id_col="doc_id", text_col="text", byte_path: str
     d = columns(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     encoded = _kept(d.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(_encoder(files), ENCODED), "encoded")
 
-    counts = encoded.select("a", "b").mapInArrow(_counter(files), "pair long, links long").groupBy("pair").agg(F.sum("links").alias("links"))
+    counts = encoded.mapInArrow(_counter(files), "pair long, links long").groupBy("pair").agg(F.sum("links").alias("links"))
     counts = _kept(counts.withColumn("b", F.col("pair").bitwiseAND(F.lit((1 << 32) - 1))), "pairs")
     most = counts.groupBy("b").agg(F.max("links").alias("most"))
     counts = counts.join(most, "b").select("pair", "links", (F.col("links") == F.col("most")).alias("best"))
