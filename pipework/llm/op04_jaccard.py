@@ -1,11 +1,13 @@
 """N-gram Jaccard join as a blocked sparse matrix product.
 
 Rows of the incidence matrix are documents, columns their 5-word shingles. All
-columns have one order, the common ones last. The first block of a row holds
-as many columns as a pair must share one of to reach the bound; only pairs that
-meet in a first block can, and size, place and bitmap bounds on the overlap
-discard most of those. The remaining blocks of the product are accumulated
-for what is left, exactly.
+columns have one order, rare ones first: by a table of counts of fixed size,
+then by hash. The first block of a row holds as many columns as a pair must
+share one of to reach the bound; only pairs that meet in a first block can, and
+size, place and bitmap bounds on the overlap discard most of those. For the
+pairs left the product is accumulated slice by slice of the columns: grouped
+sums of shared columns, and after each block pairs are dropped whose count and
+columns still to come can't reach the bound from their sizes.
 
 A column is not multiplied out: first each of its documents is paired with
 one centre; then only columns whose documents are not yet all linked are
@@ -18,10 +20,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, ODD, byte_chunks, columns, keep, maybe_broadcast, mix, run_hashes, words
+from .common import LOWER, ODD, byte_chunks, columns, keep, maybe_broadcast, mix, word_hashes, words
 from .components import components
 
 SHINGLE = 5
@@ -31,6 +34,10 @@ SHINGLE = 5
 COMMON = 500
 MOST = 100_000
 SALTS = 64
+#: Counts of columns are kept by hash modulo SLOTS, in rows of SLOT_ROW; they too only decide the order.
+SLOTS, SLOT_ROW = 1 << 20, 1 << 12
+#: The columns in slices by hash, and the slices of each block in which the product is accumulated.
+SLICES, BLOCKS = 8, ((0, 1), (2, 3, 4, 5, 6, 7))
 SEEN = "kind int, doc long, n int, bits binary, h long, c long"
 ENTRY = "link boolean, h long, salt int, doc long, n int, pos int"
 
@@ -39,7 +46,7 @@ def shingle_sets(column: pa.Array):
     """(row, sorted distinct shingle hashes) of every row with words."""
     for lo, _, data, off in byte_chunks(column):
         s, e, first = words(data, off)
-        h = run_hashes(LOWER[data], s, e)
+        h = word_hashes(LOWER[data], s, e)
         full = np.zeros(0, np.uint64)
         if len(h) >= SHINGLE:
             full = np.full(len(h) - SHINGLE + 1, SHINGLE, np.uint64) * ODD[14]
@@ -61,24 +68,18 @@ def bitmap(x: np.ndarray) -> bytes:
     return np.packbits((np.bincount((x & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)).tobytes()
 
 
-def most_shared(nx: int, ny: int, bx: bytes, by: bytes) -> int:
-    """No two sets of these sizes and bitmaps share more members."""
-    p, q = np.frombuffer(bx, np.uint8), np.frombuffer(by, np.uint8)
-    if len(p) < len(q):
-        p, q = q, p
-    if len(p) > len(q):  # a bitmap of half the size is the exclusive or of the halves
-        p = np.bitwise_xor.reduce(p.reshape(-1, len(q)), axis=0)
-    return (nx + ny - int(np.bitwise_count(p ^ q).sum())) // 2
-
-
-#: Rows whose sets a task holds at once.
-ROWS = 3000
+#: Text bytes whose sets a task holds at once (one document at least).
+PART_BYTES = 4 << 20
 
 
 def _parts(batches):
     for b in batches:
-        for i in range(0, b.num_rows, ROWS):
-            yield b.slice(i, ROWS)
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy().astype(np.int64))
+        i = 0
+        while i < b.num_rows:
+            j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + PART_BYTES, side="right")))
+            yield b.slice(i, j - i)
+            i = j
 
 
 def _sets(b):
@@ -100,6 +101,8 @@ def _sets(b):
 
 
 def _survey(batches):
+    names = [f.split()[0] for f in SEEN.split(", ")]
+    slots = np.zeros(SLOTS, np.int64)
     for b in _parts(batches):
         ids, sizes, out, copies = _sets(b)
         bits = {i: bitmap(x) for i, x in out}
@@ -110,6 +113,7 @@ def _survey(batches):
                                          names=[f.split()[0] for f in SEEN.split(", ")])
         if out:
             h, c = np.unique(np.concatenate([x for _, x in out]), return_counts=True)
+            np.add.at(slots, (h & np.uint64(SLOTS - 1)).astype(np.int64), c)
             on = c >= max(4, len(out) // COMMON)
             m = int(on.sum())
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()),
@@ -117,9 +121,40 @@ def _survey(batches):
                                              names=[f.split()[0] for f in SEEN.split(", ")])
 
 
+    if slots.any():
+        rows = np.minimum(slots, 65535).astype("<u2").reshape(-1, SLOT_ROW)
+        n = len(rows)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, 2, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary()),
+                                          pa.array(np.arange(n)), pa.nulls(n, pa.int64())], names=names)
+
+
+def _slot_sums(batches):
+    """Streams rows of counts sorted by place; one byte a slot comes out: its count, logarithmically."""
+    at, total = None, None
+    pack = lambda: pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([np.minimum(255, 8 * np.log2(1 + total)).astype(np.uint8).tobytes()], pa.binary())], names=["h", "bits"])
+    for b in batches:
+        for h, bits in zip(b.column("h").to_pylist(), b.column("bits")):
+            if h != at:
+                if total is not None:
+                    yield pack()
+                at, total = h, np.zeros(SLOT_ROW, np.int64)
+            total += np.frombuffer(bits.as_buffer(), "<u2")
+    if total is not None:
+        yield pack()
+
+
+def frequencies(seen: DataFrame) -> np.ndarray:
+    """One byte for each of SLOTS slots, 1 MB in all."""
+    rows = seen.where("kind = 2").select("h", "bits").repartition("h").sortWithinPartitions("h").mapInArrow(_slot_sums, "h long, bits binary").collect()
+    out = np.zeros((SLOTS // SLOT_ROW, SLOT_ROW), np.uint8)
+    for r in rows:
+        out[r.h] = np.frombuffer(r.bits, np.uint8)
+    return out.ravel()
+
+
 def _entries(batches, common):
     """First-block entries of the matrix, and links between equal sets of a batch."""
-    known, rank = common.value
+    known, rank, often = common.value
     names = [f.split()[0] for f in ENTRY.split(", ")]
     for b in _parts(batches):
         ids, _, out, copies = _sets(b)
@@ -136,7 +171,8 @@ def _entries(batches, common):
                 on = known[at] == x
             else:
                 on = np.zeros(n, bool)
-            light = x[~on][:size]
+            light = x[~on]
+            light = light[np.argsort(often[(light & np.uint64(SLOTS - 1)).astype(np.int64)], kind="stable")][:size]
             heavy = x[on][np.argsort(rank[at[on]])][:size - len(light)] if on.any() else x[:0]
             h = np.r_[light, heavy]
             salt = np.zeros(len(h), np.int32)
@@ -177,41 +213,91 @@ def _shared_columns(batches):
         key = int(h[-1])
 
 
+def _stacked(column: pa.Array):
+    """Bytes and row offsets of a binary column."""
+    column = column.cast(pa.large_binary())
+    off = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
+    return data, off
+
+
 def _could_link(batches):
+    """Drops pairs whose bitmaps leave too little overlap; all pairs of the same two bitmap sizes at once."""
+    for b in batches:
+        n, m = (b.column(c).to_numpy().astype(np.int64) for c in ("n_a", "n_b"))
+        (p, po), (q, qo) = _stacked(b.column("bits_a")), _stacked(b.column("bits_b"))
+        sizes, ok = np.stack([np.diff(po), np.diff(qo)]), np.zeros(b.num_rows, bool)
+        for u, v in np.unique(sizes, axis=1).T:
+            at = np.flatnonzero((sizes[0] == u) & (sizes[1] == v))
+            for i in range(0, len(at), max(1, (8 << 20) // int(max(u, v)))):
+                j = at[i:i + max(1, (8 << 20) // int(max(u, v)))]
+                x, y = p[po[j, None] + np.arange(u)], q[qo[j, None] + np.arange(v)]
+                if u < v:
+                    x, y = y, x
+                if u != v:  # a bitmap of half the size is the exclusive or of the halves
+                    x = np.bitwise_xor.reduce(x.reshape(len(j), -1, y.shape[1]), axis=1)
+                differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+                ok[j] = 9 * ((n[j] + m[j] - differ) // 2) >= 4 * (n[j] + m[j])
+        yield b.select(["a", "b"]).filter(pa.array(ok))
+
+
+SLICE = "doc long, r long, k int, n int, past int, cols binary"
+COUNT = "a long, b long, ra long, rb long, got int, n int, m int, left_a int, left_b int"
+
+
+def _slices(batches):
+    """Every set in slices of the columns, with its size and how many columns come before the slice's end."""
+    names = [f.split()[0] for f in SLICE.split(", ")]
     for b in batches:
-        p, q, n, m = (b.column(c).to_pylist() for c in ("bits_a", "bits_b", "n_a", "n_b"))
-        ok = [x is not None and y is not None and 9 * most_shared(i, j, x, y) >= 4 * (i + j) for x, y, i, j in zip(p, q, n, m, strict=True)]
-        yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        ids, rids = b.column("doc").to_numpy(), b.column("r").to_numpy()
+        for i, x in shingle_sets(b.column("text")):
+            cut = np.searchsorted(x, np.arange(1, SLICES, dtype=np.uint64) << np.uint64(61))
+            ends = np.r_[cut, len(x)]
+            rows = [x[p:q].tobytes() for p, q in zip(np.r_[0, cut], ends)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(SLICES, ids[i])), pa.array(np.full(SLICES, rids[i])), pa.array(np.arange(SLICES, dtype=np.int32)),
+                                              pa.array(np.full(SLICES, len(x), np.int32)), pa.array(ends.astype(np.int32)), pa.array(rows, pa.binary())], names=names)
 
 
-def _do_link(batches):
+def _shared(batches):
+    """Shared columns of each pair in one slice."""
     for b in batches:
-        ok = []
-        for x, y in zip(b.column("set_a"), b.column("set_b"), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            if len(x) > len(y):
-                x, y = y, x
-            both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-            ok.append(100 * both >= 80 * (len(x) + len(y) - both))
-        yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        (p, po), (q, qo) = ((d.view(np.uint64) if len(d) else np.zeros(0, np.uint64), o // 8) for d, o in (_aligned(b.column(c)) for c in ("cols_a", "cols_b")))
+        row = [np.repeat(np.arange(b.num_rows), np.diff(o)) for o in (po, qo)]
+        # a row's hashes get a tag of the row, so that one pass compares all rows
+        x, y = (d + mix(r.astype(np.uint64) + ODD[8]) for d, r in ((p, row[0]), (q, row[1])))
+        got = np.bincount(row[0][np.isin(x, y)], minlength=b.num_rows)
+        yield pa.RecordBatch.from_arrays([b.column(c) for c in ("a", "b", "ra", "rb")] + [pa.array(got.astype(np.int32))]
+                                         + [b.column(c) for c in ("n", "m", "left_a", "left_b")], names=[f.split()[0] for f in COUNT.split(", ")])
 
 
-def _set_rows(batches):
-    for b in batches:
-        ids = b.column("doc").to_numpy()
-        for i, x in shingle_sets(b.column("text")):
-            yield pa.RecordBatch.from_arrays([pa.array([int(ids[i])], pa.int64()), pa.array([x.tobytes()], pa.binary())], names=["doc", "set"])
+def _aligned(column: pa.Array):
+    data, off = _stacked(column)
+    return np.ascontiguousarray(data[off[0]:off[-1]]), off - off[0]
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, name: str) -> DataFrame:
-    """The pairs (a, b) that are links: bitmap bound first, then the whole overlap."""
+    """The pairs (a, b) that are links: bitmap bound first, then the overlap, block by block.
+    Rows of one id are looked at one by one (ra, rb)."""
     e = sizes.where("bits IS NOT NULL")
     side = lambda c: e.select(F.col("doc").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
-    pairs = keep(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_could_link, "a long, b long"), f"{name}-may")
+    pairs = keep(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_could_link, "a long, b long").distinct(), f"{name}-may")
     docs = keep(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), f"{name}-docs")
-    sets = keep(texts.join(maybe_broadcast(docs, 500_000), "doc", "left_semi").mapInArrow(_set_rows, "doc long, set binary"), f"{name}-sets")
-    side = lambda c: sets.select(F.col("doc").alias(c), F.col("set").alias(f"set_{c}"))
-    return keep(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_do_link, "a long, b long").distinct(), f"{name}-links")
+    rows = texts.join(maybe_broadcast(docs, 500_000), "doc", "left_semi").withColumn("r", F.monotonically_increasing_id())
+    sets = keep(rows.mapInArrow(_slices, SLICE), f"{name}-sets")
+    counted, on = pairs, {"a": ("a", "doc"), "b": ("b", "doc")}
+    for i, block in enumerate(BLOCKS):
+        part = sets.where(F.col("k").isin(*block))
+        x = part.select(F.col(on["a"][1]).alias(on["a"][0]), *([F.col("r").alias("ra")] if not i else []), "k", "n", F.col("cols").alias("cols_a"), (F.col("n") - F.col("past")).alias("left_a"))
+        y = part.select(F.col(on["b"][1]).alias(on["b"][0]), *([F.col("r").alias("rb")] if not i else []), "k", F.col("n").alias("m"), F.col("cols").alias("cols_b"), (F.col("n") - F.col("past")).alias("left_b"))
+        before = counted.select("a", "b", "ra", "rb", F.col("got").alias("before")) if i else None
+        met = (counted.select("a", "b", "ra", "rb") if i else counted).join(x, on["a"][0]).join(y, [on["b"][0], "k"])
+        met = met.mapInArrow(_shared, COUNT).groupBy("a", "b", "ra", "rb").agg(
+            F.sum("got").alias("got"), F.max("n").alias("n"), F.max("m").alias("m"), F.least(F.min("left_a"), F.min("left_b")).alias("left"))
+        if i:
+            met = met.join(before, ["a", "b", "ra", "rb"]).withColumn("got", F.col("got") + F.col("before"))
+        counted = keep(met.where(9 * (F.col("got") + F.col("left")) >= 4 * (F.col("n") + F.col("m"))), f"{name}-block")
+        on = {"a": ("ra", "r"), "b": ("rb", "r")}
+    return counted.select("a", "b").distinct()
 
 
 def _reach(x: str, y: str):
@@ -234,6 +320,7 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
     Words are runs of characters other than ASCII white space, A-Z lower-cased;
     fewer than five make one shingle. Documents link at a Jaccard similarity of
     0.8 or more. Null or wordless texts have no shingles and link with nothing.
+    Words and shingles are known by 64-bit hashes, which decide. An empty table gives no rows.
     Rows that share an id are one node with the links of all of them (each row
     has its own n_shingles); rows with a null id have a null component and no
     links. Other columns are not read."""
@@ -245,7 +332,7 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
            .orderBy("c", "h").select("h").collect())
     order = np.array([r.h for r in top], np.int64).astype(np.uint64)
     at = np.argsort(order)
-    common = spark.sparkContext.broadcast((order[at], at))  # MOST numbers at most
+    common = spark.sparkContext.broadcast((order[at], at, frequencies(seen)))  # MOST numbers and SLOTS bytes at most
     texts = d.where("doc IS NOT NULL AND text IS NOT NULL")
     entries = texts.mapInArrow(lambda bs: _entries(bs, common), ENTRY).repartition("h", "salt").sortWithinPartitions("h", "salt")
     entries = keep(entries.mapInArrow(_shared_columns, ENTRY), "entries")
