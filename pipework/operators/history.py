@@ -11,11 +11,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pipework.functions import time as T
-from pipework.functions.scalars import key_name
+from pipework.functions.scalars import key_leaf, key_name
+from pipework.operators.asof import asof_join
 from pipework.operators.scan import hour_chunk, ordered_scan, split_heavy
 
 # --- fixed values: messages and states -----------------------------------
 ROLLBACK_MISSING = "version %d does not exist"
+FLOW_NOT_FOUND = 'flow "%s" not found'
+BAD_POINTER = "invalid active version"
+SPEC_MISSING = 'spec missing for "%s" version %s'
+NAME_REQUIRED = "flow name is required"
+MAX_VERSION = "18446744073709551615"   # unsigned 64 bits
 STATUS_STATE = "FLOW_STATE_DEPLOYING"
 STATUS_MESSAGE = "flow runtime created"
 # -------------------------------------------------------------------------
@@ -191,33 +197,72 @@ def flow_summaries(flows: DataFrame, status: DataFrame, key: str = "name") -> Da
                 .select(key, "active_version", "state", "message")
 
 
-def flow_get(requests: DataFrame, flows: DataFrame, status: DataFrame, key: str = "name") -> DataFrame:
-    """D5 in bulk: pointer → spec → optional status; a name without a resolvable
-    pointer is 'not found'."""
-    hit = requests.select(key).distinct().join(flows, key, "left")
-    found = F.when(F.col("active_version").isNull(), F.lit("not found")).otherwise(F.lit("ok"))
-    return (hit.join(status.select(key, "state", "workload"), key, "left").withColumn("result", found)
-               .withColumns({c: F.when(F.col("result") == "ok", F.col(c)) for c in ("state", "workload")}))
+def flow_get(requests: DataFrame, kv: DataFrame, status: DataFrame, key: str = "name", order=("ts", "rev")) -> DataFrame:
+    """D5 in bulk on the store's final state: pointer → spec → optional status.
+    ``result`` is ``ok`` or the store's error: no pointer, a pointer that is no
+    version, or a pointer to a version without a spec."""
+    last = kv.groupBy("key").agg(F.max_by(F.struct("op", "value"), F.struct(*order)).alias("_v"))
+    live = last.where(F.col("_v.op") == "put").select("key", F.col("_v.value").alias("value"))
+    pointer = live.where(F.col("key").endswith("/active")).select(
+        key_name("key").alias(key), F.lit(True).alias("_there"), pointer_version("value").alias("version"))
+    spec = version_specs(live).select(F.col("name").alias(key), "version", F.col("value").alias("spec"))
+    x = requests.select(key).distinct().join(pointer, key, "left").join(spec, [key, "version"], "left")
+    error = (F.when(F.col("_there").isNull(), F.format_string(FLOW_NOT_FOUND, F.col(key)))
+              .when(F.col("version").isNull(), F.lit(BAD_POINTER))
+              .when(F.col("spec").isNull(), F.format_string(SPEC_MISSING, F.col(key), F.col("version"))))
+    x = x.join(status.select(key, "state", "workload"), key, "left").withColumn("result", F.coalesce(error, F.lit("ok")))
+    ok = F.col("result") == "ok"
+    return x.select(key, F.when(ok, F.col("version")).try_cast("long").alias("active_version"), "spec",
+                    *[F.when(ok, F.col(c)).alias(c) for c in ("state", "workload")], "result")
+
+
+def upserts(requests: DataFrame) -> DataFrame:
+    """The name each request writes under. An update takes its argument
+    (``name``) over the spec's own name; a create takes the spec's name and
+    fails without one. Adds ``target`` and ``error``."""
+    own = F.when(F.coalesce("spec_name", F.lit("")) != "", F.col("spec_name"))
+    update = F.col("op") == "update"
+    return (requests.withColumn("target", F.when(update, F.col("name")).otherwise(own))
+                    .withColumn("error", F.when(~update & own.isNull(), F.lit(NAME_REQUIRED))))
 
 
 # D9 / D10 -----------------------------------------------------------------
-def watch_events(kv: DataFrame) -> DataFrame:
+def pointer_version(value) -> Column:
+    """An active pointer's text as a version (digits without leading zeros), or
+    null: base-10 digits only, unsigned 64 bits."""
+    v = F.col(value) if isinstance(value, str) else value
+    digits = F.regexp_replace(v, r"^0+(?=[0-9])", "")
+    fits = (F.length(digits) <= 20) & (digits.try_cast("decimal(20,0)") <= F.lit(MAX_VERSION).cast("decimal(20,0)"))
+    return F.when(v.rlike(r"\A[0-9]+\z") & fits, digits)
+
+
+def version_specs(kv: DataFrame) -> DataFrame:
+    """Rows of ``…/<name>/versions/<n>/spec`` keys, with name and version."""
+    parts = F.split("key", "/")
+    at = lambda i: F.try_element_at(parts, F.lit(i))
+    return kv.where((key_leaf("key") == "spec") & (at(-3) == "versions")).withColumns({"name": at(-4), "version": at(-2)})
+
+
+def watch_events(kv: DataFrame, heavy_rows: int | None = None) -> DataFrame:
     """Change events for ``…/active`` keys. A put on a missing key is
     ADDED, a later put UPDATED, a delete of a live key DELETED (deleting a
-    missing key emits nothing). Puts with no value cannot be resolved and are
-    dropped; deleted events carry no spec."""
+    missing key emits nothing). A put's value names a version: the event
+    carries the spec that this version has at that revision (none if it has
+    none then). Puts whose value is no version are dropped; deleted events
+    carry neither."""
     act = kv.where(F.col("key").endswith("/active"))
     # previous op of the same key: skew-safe ordered scan (hot keys split by time)
-    ev = ordered_scan(act, ["key"], ["ts", "rev"], hour_chunk("ts"), prevs={"_prev": F.col("op")})
+    ev = ordered_scan(act, ["key"], ["ts", "rev"], hour_chunk("ts"), prevs={"_prev": F.col("op")}, heavy_rows=heavy_rows)
     etype = (F.when(F.col("op") == "delete",
                     F.when(F.col("_prev") == "put", F.lit("DELETED")))
               .when(F.col("_prev").isNull() | (F.col("_prev") == "delete"), F.lit("ADDED"))
               .otherwise(F.lit("UPDATED")))
-    out = ev.select("ts", "rev", "key", key_name("key").alias("flow"),
-                    etype.alias("event_type"),
-                    F.when(F.col("op") == "put", F.col("value")).alias("spec"))
-    return out.where(F.col("event_type").isNotNull() &
-                     ((F.col("event_type") == "DELETED") | F.col("spec").isNotNull()))
+    ev = ev.select("ts", "rev", "key", key_name("key").alias("name"), etype.alias("event_type"),
+                   F.when(F.col("op") == "put", pointer_version("value")).alias("version"))
+    ev = ev.where(F.col("event_type").isNotNull() & ((F.col("event_type") == "DELETED") | F.col("version").isNotNull()))
+    ev = asof_join(ev, version_specs(kv), ["name", "version"], ["ts", "rev"], ["op", "value"], "_at", hour_chunk("ts"), heavy_rows)
+    return ev.select("ts", "rev", "key", F.col("name").alias("flow"), "event_type", F.col("version").try_cast("long").alias("version"),
+                     F.when(F.col("_at.op") == "put", F.col("_at.value")).alias("spec"))
 
 
 def watch_event_counts(events: DataFrame) -> DataFrame:
@@ -290,17 +335,22 @@ def desired_state_plan(desired: DataFrame, actual: DataFrame, key: str = "name",
 
 
 # D13 ----------------------------------------------------------------------
-def latest_status(reconciles: DataFrame, flows: DataFrame | None = None, key: str = "flow_name") -> DataFrame:
-    """Status written by the last successful reconcile of each flow; with
-    ``flows`` (name, active_version) also the version that is active (null if
-    the flow has no spec any more)."""
-    ok = reconciles.where("ok")
-    last = ok.groupBy(key).agg(F.max("ts").alias("last_updated"))
-    out = last.select(F.col(key).alias("name"),
-                      F.lit(STATUS_STATE).alias("state"),
-                      F.lit(STATUS_MESSAGE).alias("message"),
-                      F.concat(F.col(key), F.lit("-runtime")).alias("workload"),
-                      "last_updated")
-    if flows is None:
-        return out
-    return out.join(flows.select("name", "active_version"), "name", "left")
+def latest_status(reconciles: DataFrame, kv: DataFrame | None = None, key: str = "flow_name", heavy_rows: int | None = None) -> DataFrame:
+    """Status written by the last successful reconcile of each flow. With ``kv``
+    a reconcile reads the pointer and its spec as they are at its time, and
+    writes a status with that version only if there is a spec: flows that never
+    had one at a reconcile have no row."""
+    ok = reconciles.where("ok").select(F.col(key).alias("name"), "ts")
+    out = [F.col("name"), F.lit(STATUS_STATE).alias("state"), F.lit(STATUS_MESSAGE).alias("message"),
+           F.concat("name", F.lit("-runtime")).alias("workload"), F.col("last_updated")]
+    if kv is None:
+        return ok.groupBy("name").agg(F.max("ts").alias("last_updated")).select(*out)
+    order = ["ts", "rev"]
+    ok = ok.withColumn("rev", F.lit(2**63 - 1))   # after the store's changes of the same instant
+    pointers = kv.where(F.col("key").endswith("/active")).withColumn("name", key_name("key"))
+    seen = asof_join(ok, pointers, ["name"], order, ["op", "value"], "_ptr", hour_chunk("ts"), heavy_rows)
+    seen = seen.withColumn("version", F.when(F.col("_ptr.op") == "put", pointer_version(F.col("_ptr.value")))).drop("_ptr")
+    seen = asof_join(seen.where(F.col("version").isNotNull()), version_specs(kv), ["name", "version"], order, ["op", "value"], "_at", hour_chunk("ts"), heavy_rows)
+    seen = seen.where((F.col("_at.op") == "put") & F.col("_at.value").isNotNull())
+    last = seen.groupBy("name").agg(F.max("ts").alias("last_updated"), F.max_by("version", "ts").alias("version"))
+    return last.select(*out, F.col("version").try_cast("long").alias("active_version"))

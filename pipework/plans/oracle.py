@@ -52,11 +52,13 @@ FIX = {
         CASE WHEN o_orderstatus = 'F' THEN o_orderkey % 3 + 1 END AS version,
         CASE WHEN o_orderstatus = 'O' THEN o_totalprice END AS spec
         FROM orders""",
-    "kv": """SELECT o_orderdate AS ts, o_orderkey AS rev,
+    "kv": """SELECT TIMESTAMP '2024-01-01 00:00:00' + to_seconds((o_orderkey * 7919) % 2592000) AS ts, o_orderkey AS rev,
         '/pipelines/flows/flow_' || CAST(o_custkey AS VARCHAR) ||
-          CASE WHEN o_orderkey % 4 = 0 THEN '/status' ELSE '/active' END AS key,
+          CASE o_orderkey % 4 WHEN 0 THEN '/status' WHEN 1 THEN '/active'
+               ELSE '/versions/' || CAST(1 + (o_orderkey // 4) % 3 AS VARCHAR) || '/spec' END AS key,
         CASE WHEN o_orderstatus = 'P' THEN 'delete' ELSE 'put' END AS op,
-        CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS value
+        CASE WHEN o_orderstatus = 'P' THEN NULL WHEN o_orderkey % 4 <> 1 THEN CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR)
+             WHEN o_orderkey % 29 = 0 THEN 'latest' ELSE CAST(1 + (o_orderkey // 4) % 3 AS VARCHAR) END AS value
         FROM orders""",
     "spec_lines": """SELECT l_orderkey AS flow_id,
         CASE WHEN l_orderkey % 97 = 0 THEN '' ELSE 'f' || CAST(l_orderkey AS VARCHAR) END AS flow,
@@ -177,15 +179,22 @@ LAG = """lag_seg AS (
     lags AS (SELECT ts, seq, key, coalesce((epoch_us(ts) - epoch_us(last_add)) / 1e6, 0.0) AS lag_s
              FROM lag_add WHERE op = 'get')"""
 
-WATCH = """w_prev AS (
-        SELECT *, lag(op) OVER (PARTITION BY key ORDER BY ts, rev) AS prev FROM kv WHERE key LIKE '%/active'),
+VERSIONS = """kv_n AS (SELECT *, split_part(key, '/', 4) AS name, row_number() OVER (ORDER BY ts, rev) AS n FROM kv),
+    vers AS (SELECT name, split_part(key, '/', 6) AS version, n, ts, op, value FROM kv_n WHERE key LIKE '%/versions/%/spec')"""
+
+WATCH = VERSIONS + """,
+    w_prev AS (
+        SELECT *, lag(op) OVER (PARTITION BY key ORDER BY n) AS prev FROM kv_n WHERE key LIKE '%/active'),
     w_ev AS (
-        SELECT ts, rev, key, split_part(key, '/', 4) AS flow,
+        SELECT ts, rev, n, name AS flow,
                CASE WHEN op = 'delete' THEN CASE WHEN prev = 'put' THEN 'DELETED' END
                     WHEN prev IS NULL OR prev = 'delete' THEN 'ADDED' ELSE 'UPDATED' END AS event_type,
-               CASE WHEN op = 'put' THEN value END AS spec
+               CASE WHEN op = 'put' AND regexp_full_match(value, '[0-9]+') THEN value END AS version
         FROM w_prev),
-    watch AS (SELECT * FROM w_ev WHERE event_type IS NOT NULL AND (event_type = 'DELETED' OR spec IS NOT NULL))"""
+    watch AS (
+        SELECT e.ts, e.rev, e.flow, e.event_type, CAST(e.version AS BIGINT) AS version, CASE WHEN v.op = 'put' THEN v.value END AS spec
+        FROM (SELECT * FROM w_ev WHERE event_type IS NOT NULL AND (event_type = 'DELETED' OR version IS NOT NULL)) e
+        ASOF LEFT JOIN vers v ON e.flow = v.name AND e.version = v.version AND e.n >= v.n)"""
 
 
 def _logs_sql(service: str) -> str:
@@ -521,17 +530,35 @@ def state_sql() -> dict[str, str]:
     ex AS (SELECT name, active, vers, unnest(range(1, len(vers) + 1)) AS i FROM fin)
     SELECT name, CAST(i AS BIGINT) AS version, vers[i] AS spec, i = active AS is_active FROM ex"""
     s["flow_list"] = with_("oplog") + ", " + _replay_ctes() + " SELECT * FROM fl"
-    s["latest_status"] = with_("oplog", "reconcile") + ", " + _replay_ctes() + ", " + STATUS + """
-        SELECT st.name, st.state, st.message, fl.active_version, st.workload, st.last_updated
-        FROM st LEFT JOIN fl ON fl.name = st.name"""
+    s["latest_status"] = with_("kv", "reconcile") + ", " + VERSIONS + """,
+        rec AS (SELECT flow_name AS name, ts FROM reconcile WHERE ok),
+        ptr AS (SELECT name, ts, op, value FROM kv_n WHERE key LIKE '%/active'),
+        seen AS (SELECT r.name, r.ts, CASE WHEN p.op = 'put' AND regexp_full_match(p.value, '[0-9]+') THEN p.value END AS version
+                 FROM rec r ASOF JOIN ptr p ON r.name = p.name AND r.ts >= p.ts),
+        done AS (SELECT s.name, s.ts, s.version FROM seen s ASOF JOIN vers v ON s.name = v.name AND s.version = v.version AND s.ts >= v.ts
+                 WHERE v.op = 'put')
+        SELECT name, 'FLOW_STATE_DEPLOYING' AS state, 'flow runtime created' AS message, name || '-runtime' AS workload,
+               max(ts) AS last_updated, CAST(arg_max(version, ts) AS BIGINT) AS active_version FROM done GROUP BY name"""
+    s["flow_upsert"] = """WITH r AS (SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 2 = 0 THEN 'create' ELSE 'update' END AS op,
+               'flow_' || CAST(o_custkey AS VARCHAR) AS name,
+               CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE 'spec_' || CAST(o_orderkey % 100 AS VARCHAR) END AS spec_name FROM orders)
+        SELECT seq, op, CASE WHEN op = 'update' THEN name ELSE nullif(spec_name, '') END AS target,
+               CASE WHEN op = 'create' AND spec_name = '' THEN 'flow name is required' END AS error FROM r"""
     s["flow_summaries"] = with_("oplog", "reconcile") + ", " + _replay_ctes() + ", " + STATUS + """
         SELECT fl.name, fl.active_version, st.state, st.message FROM fl LEFT JOIN st ON fl.name = st.name"""
-    s["flow_get"] = with_("oplog", "reconcile") + ", " + _replay_ctes() + ", " + STATUS + """,
-        req AS (SELECT DISTINCT 'flow_' || CAST(c_custkey AS VARCHAR) AS name FROM customer)
-        SELECT req.name, fl.active_version, fl.spec, st.state, st.workload,
-               CASE WHEN fl.name IS NULL THEN 'not found' ELSE 'ok' END AS result
-        FROM req LEFT JOIN fl ON req.name = fl.name LEFT JOIN st ON fl.name = st.name"""
-    s["watch_events"] = with_("kv") + ", " + WATCH + " SELECT rev, flow, event_type, spec FROM watch"
+    s["flow_get"] = with_("kv", "reconcile") + ", " + VERSIONS + ", " + STATUS + """,
+        req AS (SELECT DISTINCT 'flow_' || CAST(c_custkey AS VARCHAR) AS name FROM customer),
+        fin AS (SELECT key, any_value(name) AS name, arg_max(op, n) AS op, arg_max({'v': value}, n).v AS value FROM kv_n GROUP BY key),
+        ptr AS (SELECT name, CASE WHEN regexp_full_match(value, '[0-9]+') THEN value END AS version FROM fin WHERE key LIKE '%/active' AND op = 'put'),
+        spc AS (SELECT name, split_part(key, '/', 6) AS version, value AS spec FROM fin WHERE key LIKE '%/versions/%/spec' AND op = 'put'),
+        got AS (SELECT req.name, p.version, s.spec, CASE WHEN p.name IS NULL THEN 'flow "' || req.name || '" not found'
+                       WHEN p.version IS NULL THEN 'invalid active version'
+                       WHEN s.spec IS NULL THEN 'spec missing for "' || req.name || '" version ' || p.version ELSE 'ok' END AS result
+                FROM req LEFT JOIN ptr p ON p.name = req.name LEFT JOIN spc s ON s.name = p.name AND s.version = p.version)
+        SELECT g.name, CASE WHEN result = 'ok' THEN CAST(version AS BIGINT) END AS active_version, spec,
+               CASE WHEN result = 'ok' THEN st.state END AS state, CASE WHEN result = 'ok' THEN st.workload END AS workload, result
+        FROM got g LEFT JOIN st ON st.name = g.name"""
+    s["watch_events"] = with_("kv") + ", " + WATCH + " SELECT rev, flow, event_type, version, spec FROM watch"
     s["watch_event_counts"] = with_("kv") + ", " + WATCH + """ SELECT event_type, flow, count(*) AS events
         FROM watch GROUP BY ALL"""
     s["coalesced_lag"] = with_("work") + ", " + LAG + " SELECT key, seq, ts, round(lag_s, 6) AS lag_s FROM lags"
@@ -581,8 +608,8 @@ def state_sql() -> dict[str, str]:
     s["is_empty"] = with_("payloads") + """SELECT event_id, payload IS NULL OR size = 0 AS is_empty,
         schema_id <> '' AS has_schema_id FROM payloads"""
     s["flag_bits"] = with_("payloads") + "SELECT event_id, flags, flags & 255 AS trace_flags FROM payloads"
-    s["key_parse"] = with_("kv") + """SELECT rev, key, split_part(key, '/', 4) AS name, split_part(key, '/', 5) AS leaf,
-        '/pipelines/flows/' || split_part(key, '/', 4) || '/versions/1/spec' AS version_key FROM kv"""
+    s["key_parse"] = with_("kv") + """SELECT rev, key, string_split(key, '/')[-2] AS name, string_split(key, '/')[-1] AS leaf,
+        '/pipelines/flows/' || string_split(key, '/')[-2] || '/versions/1/spec' AS version_key FROM kv"""
     s["format_alias"] = "WITH " + REGISTRY + f""" SELECT seq, format, {CANON.format(f='format')} AS canonical,
         CASE WHEN ({CANON.format(f='format')}) IS NULL
              THEN printf('unsupported schema format "%s" (use arrow, json, protobuf, flatbuffers)', format) END AS error

@@ -48,11 +48,15 @@ def flow_summaries(spark, d):
 
 def flow_get(spark, d):
     req = load(spark, d, "customer").select(F.concat(F.lit("flow_"), F.col("c_custkey").cast("string")).alias("name"))
-    return H.flow_get(req, _flows(spark, d), _status(spark, d))
+    return H.flow_get(req, X.kv_log(spark, d), _status(spark, d))
 
 
 def watch_events(spark, d):
-    return H.watch_events(X.kv_log(spark, d)).select("rev", "flow", "event_type", "spec")
+    return H.watch_events(X.kv_log(spark, d)).select("rev", "flow", "event_type", "version", "spec")
+
+
+def flow_upsert(spark, d):
+    return H.upserts(X.upsert_requests(spark, d)).select("seq", "op", "target", "error")
 
 
 def watch_event_counts(spark, d):
@@ -73,7 +77,7 @@ def desired_state_plan(spark, d):
 
 
 def latest_status(spark, d):
-    return H.latest_status(X.reconcile_log(spark, d), _flows(spark, d))
+    return H.latest_status(X.reconcile_log(spark, d), X.kv_log(spark, d))
 
 
 # B ------------------------------------------------------------------------
@@ -207,7 +211,7 @@ def version_parse(spark, d):
 STATE = {
     "history_replay": history_replay, "history_replay_pointer": history_replay_pointer,
     "rollback_errors": rollback_errors, "flow_list": flow_list, "flow_summaries": flow_summaries,
-    "flow_get": flow_get, "watch_events": watch_events, "watch_event_counts": watch_event_counts,
+    "flow_get": flow_get, "flow_upsert": flow_upsert, "watch_events": watch_events, "watch_event_counts": watch_event_counts,
     "coalesced_lag": coalesced_lag, "desired_state_plan": desired_state_plan, "latest_status": latest_status,
     "schema_create": schema_create, "schema_create_errors": schema_create_errors,
     "schema_get": schema_get, "schema_active": schema_active,

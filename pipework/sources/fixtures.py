@@ -147,19 +147,34 @@ def oplog(spark: SparkSession, d: str) -> DataFrame:
 
 
 def kv_log(spark: SparkSession, d: str) -> DataFrame:
-    """Key-value store change log from orders (``/pipelines/flows/<name>/…``)."""
+    """Key-value store change log from orders, dealt over the thirty days of the
+    events (one order a second, no two at once): status keys, active pointers
+    (a version, or a text for every 29th) and ``versions/<n>/spec`` keys."""
     o = load(spark, d, "orders")
+    k = F.col("o_orderkey")
+    version = (1 + F.floor(k / 4) % 3).cast("string")
+    leaf = (F.when(k % 4 == 0, F.lit("/status")).when(k % 4 == 1, F.lit("/active"))
+             .otherwise(F.concat(F.lit("/versions/"), version, F.lit("/spec"))))
+    value = (F.when(k % 4 != 1, F.floor("o_totalprice").cast("string"))
+              .when(k % 29 == 0, F.lit("latest")).otherwise(version))
     return o.select(
-        F.col("o_orderdate").alias("ts"),
-        F.col("o_orderkey").alias("rev"),
-        F.concat(F.lit("/pipelines/flows/flow_"), F.col("o_custkey").cast("string"),
-                 F.when(F.col("o_orderkey") % 4 == 0, F.lit("/status"))
-                  .otherwise(F.lit("/active"))).alias("key"),
+        F.expr("timestampadd(SECOND, CAST((o_orderkey * 7919) % 2592000 AS INT), TIMESTAMP_NTZ'2024-01-01 00:00:00')").alias("ts"),
+        k.alias("rev"),
+        F.concat(F.lit("/pipelines/flows/flow_"), F.col("o_custkey").cast("string"), leaf).alias("key"),
         F.when(F.col("o_orderstatus") == "P", F.lit("delete")).otherwise(F.lit("put")).alias("op"),
-        F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("value"),
+        F.when(F.col("o_orderstatus") != "P", value).alias("value"),
     )
 
 
+def upsert_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Create and update requests from orders: even keys create, every seventh spec has no name."""
+    o = load(spark, d, "orders")
+    return o.select(
+        F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderkey") % 2 == 0, F.lit("create")).otherwise(F.lit("update")).alias("op"),
+        F.concat(F.lit("flow_"), F.col("o_custkey").cast("string")).alias("name"),
+        F.when(F.col("o_orderkey") % 7 == 0, F.lit("")).otherwise(F.concat(F.lit("spec_"), (F.col("o_orderkey") % 100).cast("string"))).alias("spec_name"))
+
+
 def spec_lines(spark: SparkSession, d: str) -> DataFrame:
     """Flat stage/queue declarations derived from lineitem (one per line)."""
     li = load(spark, d, "lineitem")

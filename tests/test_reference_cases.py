@@ -1,5 +1,6 @@
 """Small cases read from the reference's own tests (FIXTURES.md §2)."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from pipework.functions import attrs as A
@@ -161,15 +162,53 @@ def test_registry_lifecycle(spark):
     assert [r.version for r in R.current(R.replay(again)).collect()] == [1]
 
 
-def test_watch_events(spark):
-    kv = spark.createDataFrame([
-        ("2024-01-01", 1, "/pipelines/flows/example/active", "put", 1.0),
-        ("2024-01-01", 2, "/pipelines/flows/example/active", "put", 2.0),
-        ("2024-01-01", 3, "/pipelines/flows/example/active", "delete", None),
-        ("2024-01-01", 4, "/pipelines/flows/example/status", "put", 3.0),
-    ], "ts string, rev long, key string, op string, value double")
-    ev = [(r.rev, r.event_type, r.flow) for r in H.watch_events(kv).orderBy("rev").collect()]
-    assert ev == [(1, "ADDED", "example"), (2, "UPDATED", "example"), (3, "DELETED", "example")]
+KV = "ts string, rev long, key string, op string, value string"
+
+
+def _kv(spark, rows):
+    """(rev, key below the flow's folder, value; None deletes)"""
+    out = [("2024-01-01 00:%02d:%02d" % divmod(rev, 60), rev, f"/pipelines/flows/{key}", "delete" if v is None else "put", v) for rev, key, v in rows]
+    return spark.createDataFrame(out, KV).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@pytest.mark.parametrize("heavy", [None, 0])
+def test_watch_events(spark, heavy):
+    kv = _kv(spark, [
+        (1, "a/versions/1/spec", "one"), (2, "a/active", "1"), (3, "a/versions/1/spec", "one again"), (4, "a/active", "01"),
+        (5, "a/versions/1/spec", None), (6, "a/active", "1"), (7, "a/active", "2"), (8, "a/versions/2/spec", "two, too late"),
+        (9, "a/active", None), (10, "a/active", None), (11, "a/active", "latest"), (12, "a/active", "2"), (13, "a/status", "x"),
+        (14, "b/active", "-1"), (15, "b/active", ""), (16, "b/active", "18446744073709551616"), (17, "b/versions/2/spec", "b two"), (18, "b/active", "2"),
+        (19, "b/versions/02/spec", "never looked up"), (20, "c/active", None)])
+    ev = [(r.rev, r.event_type, r.flow, r.version, r.spec) for r in H.watch_events(kv, heavy).orderBy("rev").collect()]
+    assert ev == [(2, "ADDED", "a", 1, "one"), (4, "UPDATED", "a", 1, "one again"), (6, "UPDATED", "a", 1, None), (7, "UPDATED", "a", 2, None),
+                  (9, "DELETED", "a", None, None), (12, "UPDATED", "a", 2, "two, too late"), (18, "UPDATED", "b", 2, "b two")]
+
+
+@pytest.mark.parametrize("heavy", [None, 0])
+def test_status_holds_the_version_of_its_reconcile(spark, heavy):
+    kv = _kv(spark, [(10, "a/versions/1/spec", "one"), (20, "a/active", "1"), (30, "a/versions/2/spec", "two"), (40, "a/active", "2"), (50, "a/versions/2/spec", None),
+                     (10, "b/active", "7"), (10, "c/versions/1/spec", "x"), (20, "c/active", "1"), (30, "c/active", None)])
+    rec = spark.createDataFrame([("a", 15, True), ("a", 20, True), ("a", 35, True), ("a", 45, False), ("a", 55, True), ("b", 60, True), ("c", 25, True), ("c", 60, True), ("d", 60, True)],
+                                "flow_name string, at int, ok boolean")
+    rec = rec.withColumn("ts", F.expr("timestampadd(SECOND, at, TIMESTAMP_NTZ'2024-01-01 00:00:00')"))
+    got = {r.name: (r.active_version, r.last_updated.minute * 60 + r.last_updated.second) for r in H.latest_status(rec, kv, heavy_rows=heavy).collect()}
+    assert got == {"a": (1, 35), "c": (1, 25)}
+
+
+def test_get_reports_the_stores_errors(spark):
+    kv = _kv(spark, [(1, "a/versions/1/spec", "one"), (2, "a/active", "1"), (3, "b/active", "4"), (4, "c/active", "v1"), (5, "d/active", "1"), (6, "d/active", None)])
+    req = spark.createDataFrame([(n,) for n in "abcdda"], "name string")
+    st = spark.createDataFrame([("a", "UP", "a-runtime"), ("b", "UP", "b-runtime")], "name string, state string, workload string")
+    got = {r.name: (r.active_version, r.spec, r.state, r.result) for r in H.flow_get(req, kv, st).collect()}
+    assert got == {"a": (1, "one", "UP", "ok"), "b": (None, None, None, 'spec missing for "b" version 4'), "c": (None, None, None, "invalid active version"),
+                   "d": (None, None, None, 'flow "d" not found')}
+
+
+def test_upsert_names(spark):
+    r = spark.createDataFrame([(1, "create", "arg", "own"), (2, "create", "arg", ""), (3, "create", "arg", None), (4, "update", "arg", "own"), (5, "update", "arg", None)],
+                              "seq int, op string, name string, spec_name string")
+    got = {x.seq: (x.target, x.error) for x in H.upserts(r).collect()}
+    assert got == {1: ("own", None), 2: (None, "flow name is required"), 3: (None, "flow name is required"), 4: ("arg", None), 5: ("arg", None)}
 
 
 def test_rollback_rules(spark):
