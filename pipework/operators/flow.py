@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pipework.operators import schema_gate as G
+from pipework.operators import wiring as R
 from pipework.operators.telemetry import account
 
 DEFAULT_CAPACITY = 128
@@ -144,21 +145,18 @@ def check_spec(spec: dict) -> None:
         name = q.get("name", "")
         cap = q.get("capacity", DEFAULT_CAPACITY)
         if not cap or cap <= 0:
-            raise FlowError(f"queue capacity must be > 0: {name}")
+            raise FlowError(R.MSG_CAPACITY % name)
         if "schema" in q and q["schema"] is not None and not (q["schema"] or {}).get("schema_id"):
-            raise FlowError(f"queue schema_id is required: {name}")
+            raise FlowError(R.MSG_SCHEMA_ID % name)
         if name in queues:
-            raise FlowError(f"duplicate queue name: {name}")
-        if q.get("type", "QUEUE_TYPE_IN_MEMORY") not in ("QUEUE_TYPE_UNSPECIFIED", "QUEUE_TYPE_IN_MEMORY", None):
-            raise FlowError(f"unsupported queue type for queue: {name}")
+            raise FlowError(R.MSG_QUEUE_TWICE % name)
+        if q.get("type") not in (*R.QUEUE_TYPES, None):
+            raise FlowError(R.MSG_QUEUE_TYPE % name)
         queues[name] = q
     for s in spec.get("stages") or []:
         st = registered(s.get("type", ""))
-        has_in, has_out = bool(s.get("input_queue")), bool(s.get("output_queue"))
-        ok = {"source": (not has_in and has_out), "transform": (has_in and has_out),
-              "sink": (has_in and not has_out)}[st.kind]
-        if not ok:
-            raise FlowError(f"invalid {st.kind} stage wiring: {s.get('name')}")
+        if (bool(s.get("input_queue")), bool(s.get("output_queue"))) != R.WIRING[st.kind]:
+            raise FlowError(R.MSG_WIRING % (st.kind, s.get("name")))
         for side in ("input_queue", "output_queue"):
             if s.get(side) and s[side] not in queues:
                 raise FlowError(f"unknown queue {s[side]!r} for stage {s.get('name')}")
@@ -197,7 +195,8 @@ class FlowRun:
 
 
 def run_flow(spark: SparkSession, spec: dict, set_schema: bool = False,
-             share_queues: bool = False, clock: Callable[[dict, DataFrame], Column] | None = None) -> FlowRun:
+             share_queues: bool = False, clock: Callable[[dict, DataFrame], Column] | None = None,
+             sources: dict[str, DataFrame] | None = None) -> FlowRun:
     """Compose the flow's DataFrames. ``set_schema=True`` lets transforms
     stamp their output queue's schema id instead of inheriting it.
 
@@ -205,6 +204,9 @@ def run_flow(spark: SparkSession, spec: dict, set_schema: bool = False,
     consumer when the sinks are written; ``share_queues=True`` (batch only)
     checkpoints such queues once into the shared checkpoint dir first.
 
+    ``sources`` gives rows of source stages (by name) in place of what they would
+    produce, for one micro-batch of a stream.
+
     Every push by a source or transform stamps ``enqueue_ts`` (A18) with
     ``clock(stage, rows)``, by default the current time."""
     clock = clock or (lambda _stage, _rows: F.current_timestamp().cast("timestamp_ntz"))
@@ -255,11 +257,11 @@ def run_flow(spark: SparkSession, spec: dict, set_schema: bool = False,
         if s["name"] in outputs:
             return outputs[s["name"]]
         st = registered(s["type"])
-        cfg = parse_config(st.config, s.get("config"))
-        fn = st.build(spark, cfg)
         out_schema = _queue_schema(queues[s["output_queue"]])
+        given = (sources or {}).get(s["name"]) if st.kind == "source" else None
+        fn = st.build(spark, parse_config(st.config, s.get("config"))) if given is None else None
         if st.kind == "source":
-            raw = fn(int(s.get("threads", 1) or 1))
+            raw = given if given is not None else fn(int(s.get("threads", 1) or 1))
             run.trace.append((s["name"], s["type"], "source", raw, raw, None, out_schema))
             produced = raw
         else:
@@ -288,11 +290,81 @@ def run_flow(spark: SparkSession, spec: dict, set_schema: bool = False,
     return run
 
 
-def write_sinks(run: FlowRun, base_path: str, fmt: str = "parquet", mode: str = "overwrite") -> dict[str, str]:
-    """Job mode (A8): drain every sink to ``base_path/<sink>``."""
-    paths = {}
-    for name, df in run.sinks.items():
-        p = f"{base_path.rstrip('/')}/{name}"
-        (df.write.mode(mode).format(fmt).save(p))
-        paths[name] = p
-    return paths
+def source_frames(spark: SparkSession, spec: dict) -> dict[str, DataFrame]:
+    """What each source stage produces, by stage name."""
+    out = {}
+    for s in spec.get("stages") or []:
+        st = registered(s.get("type", ""))
+        if st.kind == "source":
+            out[s["name"]] = st.build(spark, parse_config(st.config, s.get("config")))(int(s.get("threads", 1) or 1))
+    return out
+
+
+def admission_limits(spec: dict) -> dict[str, int]:
+    """A10: for each source the smallest capacity of a queue on any of its ways to a
+    sink (0 if none declares one): the tightest queue holds back the source."""
+    caps = {q["name"]: q.get("capacity") or 0 for q in spec.get("queues") or []}
+    stages = spec.get("stages") or []
+    out = {}
+    for s in stages:
+        if registered(s.get("type", "")).kind != "source":
+            continue
+        seen, ahead = set(), [s["output_queue"]]
+        while ahead:
+            q = ahead.pop()
+            if q not in seen:
+                seen.add(q)
+                ahead += [t["output_queue"] for t in stages if t.get("input_queue") == q and t.get("output_queue")]
+        out[s["name"]] = min((caps[q] for q in seen if caps.get(q, 0) > 0), default=0)
+    return out
+
+
+# ---------------------------------------------------------------------------
+# all sinks or none
+# ---------------------------------------------------------------------------
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) of any store that Spark reaches."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _finish_publish(spark: SparkSession, base: str) -> None:
+    """Move what a manifest names from staging to its place; repeatable at any point."""
+    fs, manifest = hadoop_path(spark, f"{base}/_publish")
+    if not fs.exists(manifest):
+        return
+    for entry in fs.listStatus(manifest):
+        name = entry.getPath().getName()
+        staged, place = (hadoop_path(spark, f"{base}/{x}")[1] for x in (f"_staging/{name}", name))
+        if fs.exists(staged):   # else it has been moved already
+            fs.delete(place, True)
+            if not fs.rename(staged, place):
+                raise FlowError(f"cannot publish sink {name!r}")
+    fs.delete(manifest, True)
+
+
+def write_sinks(run: FlowRun, base_path: str, fmt: str = "parquet") -> dict[str, str]:
+    """Job mode (A8): drain every sink to ``base_path/<sink>``, all of them or none.
+
+    Every sink is written to a staging folder first; a manifest of their names,
+    put in place by one rename, is the point of commit; then the folders are
+    moved. A failing sink leaves the outputs as they were. A run that ended
+    after its commit is finished by the next one."""
+    base = base_path.rstrip("/")
+    spark = next(iter(run.sinks.values())).sparkSession
+    _finish_publish(spark, base)
+    fs, staging = hadoop_path(spark, f"{base}/_staging")
+    fs.delete(staging, True)
+    try:
+        for name, df in run.sinks.items():
+            df.write.format(fmt).save(f"{base}/_staging/{name}")
+        for name in run.sinks:
+            fs.create(hadoop_path(spark, f"{base}/_staging/_manifest/{name}")[1]).close()
+    except Exception:
+        fs.delete(staging, True)
+        raise
+    if not fs.rename(hadoop_path(spark, f"{base}/_staging/_manifest")[1], hadoop_path(spark, f"{base}/_publish")[1]):
+        raise FlowError("cannot commit the outputs")
+    _finish_publish(spark, base)
+    fs.delete(staging, True)
+    return {name: f"{base}/{name}" for name in run.sinks}

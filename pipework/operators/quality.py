@@ -12,6 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pipework.operators import wiring as R
+from pipework.operators.wiring import MSG_SCHEMA_ID  # noqa: F401
+
 DEFAULT_CAPACITY = 128
 
 # --- fixed values: validation messages (verbatim) ------------------------
@@ -26,7 +29,6 @@ MSG_TYPE = "stage %s missing type"
 MSG_THREADS = "stage %s must declare at least one thread"
 MSG_INPUT = "stage %s references unknown input queue %s"
 MSG_OUTPUT = "stage %s references unknown output queue %s"
-MSG_SCHEMA_ID = "queue schema_id is required: %s"
 # -------------------------------------------------------------------------
 
 
@@ -135,7 +137,7 @@ def normalized_stages(specs: DataFrame, key: str = "flow_id") -> DataFrame:
 
 def _viol(field: str, message: Column, section: int, pos, rule: int) -> Column:
     """A violation and its place in the reference's order of checks: section
-    (0 flow, 1 queues, 2 stages), position of the element, rule."""
+    (0 flow, 1 queues, 2 stages, then the runtime's: 3 queues, 4 stages), position of the element, rule."""
     pos = pos if isinstance(pos, Column) else F.lit(pos)
     return F.struct(F.lit(field).alias("field"), message.alias("message"), F.lit(section).cast("long").alias("section"),
                     pos.cast("long").alias("position"), F.lit(rule).cast("long").alias("rule"))
@@ -144,13 +146,40 @@ def _viol(field: str, message: Column, section: int, pos, rule: int) -> Column:
 def with_sorted(specs: DataFrame) -> DataFrame:
     """Project the sorted queue/stage arrays and queue names once, so the
     per-element rules read columns instead of re-sorting per element."""
-    return (specs.withColumn("_q", sorted_queues()).withColumn("_st", sorted_stages())
+    typed = "type" in specs.schema["queues"].dataType.elementType.names
+    kind = F.array_sort(F.transform("queues", lambda q: F.struct(
+        q["name"].alias("name"), q["capacity"].alias("capacity"), q["schema_id"].alias("schema_id"),
+        (q["type"] if typed else F.lit(None).cast("string")).alias("type"))))
+    return (specs.withColumn("_q", kind).withColumn("_st", sorted_stages())
                  .withColumn("_names", F.transform("_q", lambda x: x["name"])))
 
 
-def violations(specs: DataFrame, key: str = "flow_id") -> Column:
-    """C2-C9 of one spec row as an array of (field, message, section,
-    position, rule), the last three giving the reference's check order. Expects :func:`with_sorted`."""
+def runtime_violations(kinds: dict[str, str]) -> tuple[Column, Column]:
+    """C10, the runtime's rules on queues and wiring; ``kinds`` has the kind of each
+    stage type (of other types the wiring isn't judged)."""
+    q, st = F.col("_q"), F.col("_st")
+    said = lambda c: F.coalesce(c, F.lit("")) != ""
+    qv = F.flatten(F.transform(q, lambda x, i: F.array(
+        F.when(F.coalesce(x["capacity"], F.lit(0)) <= 0, _viol("queues.capacity", F.format_string(R.MSG_CAPACITY, x["name"]), 3, i, 0)),
+        F.when(x["schema_id"] == "", _viol("queues.schema", F.format_string(R.MSG_SCHEMA_ID, x["name"]), 3, i, 1)),
+        F.when(x["type"].isNotNull() & ~x["type"].isin(*R.QUEUE_TYPES),
+               _viol("queues.type", F.format_string(R.MSG_QUEUE_TYPE, x["name"]), 3, i, 2)))))
+
+    def wrong(x, i):
+        hit = F.lit(None)
+        for kind, (has_in, has_out) in R.WIRING.items():
+            types = [t for t, k in kinds.items() if k == kind]
+            if types:
+                bad = (said(x["input_queue"]) != F.lit(has_in)) | (said(x["output_queue"]) != F.lit(has_out))
+                hit = F.when(x["type"].isin(*types) & bad, F.lit(kind)).otherwise(hit)
+        return F.when(hit.isNotNull(), _viol("stages.wiring", F.format_string(R.MSG_WIRING, hit, x["name"]), 4, i, 0))
+    return qv, F.transform(st, wrong)
+
+
+def violations(specs: DataFrame, key: str = "flow_id", kinds: dict[str, str] | None = None) -> Column:
+    """C2-C9, and C10 with ``kinds`` (:func:`runtime_violations`), of one spec row as an array of
+    (field, message, section, position, rule), the last three giving the reference's check order:
+    the spec's own rules first, the runtime's after them. Expects :func:`with_sorted`."""
     q, st, names = F.col("_q"), F.col("_st"), F.col("_names")
     empty = lambda c: F.coalesce(c, F.lit("")) == ""
     flow = F.array(
@@ -175,15 +204,16 @@ def violations(specs: DataFrame, key: str = "flow_id") -> Column:
         F.when(x["output_queue"].isNotNull() & ~F.coalesce(F.array_contains(names, x["output_queue"]), F.lit(False)),
                _viol("stages.output_queue", F.format_string(MSG_OUTPUT, quoted(x["name"]), quoted(x["output_queue"])),
                      2, i, 5)))))
-    allv = F.concat(flow, F.coalesce(qv, F.array()), F.coalesce(sv, F.array()))
+    more = runtime_violations(kinds) if kinds is not None else ()
+    allv = F.concat(flow, *[F.coalesce(v, F.array()) for v in (qv, sv, *more)])
     return F.filter(allv, lambda v: v.isNotNull())
 
 
-def validate(specs: DataFrame, key: str = "flow_id") -> DataFrame:
+def validate(specs: DataFrame, key: str = "flow_id", kinds: dict[str, str] | None = None) -> DataFrame:
     """Every violation (the reference stops at the first in order, see
     :func:`first_errors`). One projection + explode per spec row."""
     w = with_sorted(specs)
-    return (w.select(key, F.explode(violations(w, key)).alias("v"))
+    return (w.select(key, F.explode(violations(w, key, kinds)).alias("v"))
              .select(key, "v.field", "v.message", "v.section", "v.position", "v.rule"))
 
 
@@ -193,17 +223,17 @@ def first_errors(violations_df: DataFrame, key: str = "flow_id") -> DataFrame:
                         .select(key, "e.field", "e.message")
 
 
-def first_error(specs: DataFrame, key: str = "flow_id") -> DataFrame:
+def first_error(specs: DataFrame, key: str = "flow_id", kinds: dict[str, str] | None = None) -> DataFrame:
     """The reference's answer per spec: the violation with the smallest
     place in that order, via a partial aggregation over the (small) violations frame.
     Computing it row-locally would make Catalyst inline the whole rule set
     once per extracted field."""
-    return first_errors(validate(specs, key), key)
+    return first_errors(validate(specs, key, kinds), key)
 
 
-def validation_summary(specs: DataFrame, key: str = "flow_id") -> DataFrame:
+def validation_summary(specs: DataFrame, key: str = "flow_id", kinds: dict[str, str] | None = None) -> DataFrame:
     w = with_sorted(specs)
-    flags = w.select((F.size(violations(w, key)) > 0).alias("_bad"))
+    flags = w.select((F.size(violations(w, key, kinds)) > 0).alias("_bad"))
     return flags.agg(F.count(F.when(~F.col("_bad"), 1)).alias("valid"),
                      F.count(F.when(F.col("_bad"), 1)).alias("invalid"))
 

@@ -137,15 +137,15 @@ def spec_load(spark, d):
 
 
 def spec_validate(spark, d):
-    return Q.validate(_specs(spark, d))
+    return Q.validate(X.typed_specs(spark, d), kinds=X.STAGE_KINDS)
 
 
 def spec_first_error(spark, d):
-    return Q.first_error(_specs(spark, d))
+    return Q.first_error(X.typed_specs(spark, d), kinds=X.STAGE_KINDS)
 
 
 def spec_validation_summary(spark, d):
-    return Q.validation_summary(_specs(spark, d))
+    return Q.validation_summary(X.typed_specs(spark, d), kinds=X.STAGE_KINDS)
 
 
 CATALOGUE = {

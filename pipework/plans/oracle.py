@@ -666,7 +666,7 @@ SPEC_CTES = """sf AS (SELECT DISTINCT flow_id, flow AS name FROM spec_lines),
                   CASE WHEN pos % 4 = 0 THEN '' WHEN pos % 4 = 1 THEN 'orders' END AS schema_id
            FROM spec_lines WHERE declares_queue),
     nq AS (SELECT flow_id, row_number() OVER (PARTITION BY flow_id ORDER BY name, capacity, schema_id NULLS FIRST) - 1 AS pos,
-                  name, CASE WHEN capacity <> 0 THEN capacity ELSE 128 END AS capacity, schema_id FROM sq),
+                  name, CASE WHEN capacity <> 0 THEN capacity ELSE 128 END AS capacity, schema_id, sq.capacity AS raw FROM sq),
     ns AS (SELECT flow_id, row_number() OVER (PARTITION BY flow_id ORDER BY name, type, threads,
                   input_queue NULLS FIRST, output_queue NULLS FIRST) - 1 AS pos, name, type, threads, input_queue, output_queue
            FROM (SELECT flow_id, stage_name AS name, stage_type AS type, threads, input_queue, output_queue FROM spec_lines)),
@@ -692,7 +692,14 @@ VIOL = """vq AS (SELECT *, row_number() OVER (PARTITION BY flow_id, name ORDER B
       UNION ALL SELECT flow_id, 'stages.output_queue',
                 'stage "' || name || '" references unknown output queue "' || output_queue || '"', 2, pos, 5
                 FROM vs WHERE output_queue IS NOT NULL
-                  AND NOT EXISTS (SELECT 1 FROM qn WHERE qn.flow_id = vs.flow_id AND qn.name = vs.output_queue))"""
+                  AND NOT EXISTS (SELECT 1 FROM qn WHERE qn.flow_id = vs.flow_id AND qn.name = vs.output_queue)
+      UNION ALL SELECT flow_id, 'queues.capacity', 'queue capacity must be > 0: ' || name, 3, pos, 0 FROM vq WHERE raw = 0
+      UNION ALL SELECT flow_id, 'queues.schema', 'queue schema_id is required: ' || name, 3, pos, 1 FROM vq WHERE schema_id = ''
+      UNION ALL SELECT flow_id, 'queues.type', 'unsupported queue type for queue: ' || name, 3, pos, 2 FROM vq WHERE name = 'q7'
+      UNION ALL SELECT flow_id, 'stages.wiring', 'invalid source stage wiring: ' || name, 4, pos, 0
+                FROM vs WHERE type = 'A' AND NOT (input_queue IS NULL AND output_queue IS NOT NULL)
+      UNION ALL SELECT flow_id, 'stages.wiring', 'invalid transform stage wiring: ' || name, 4, pos, 0
+                FROM vs WHERE type = 'N' AND NOT (input_queue IS NOT NULL AND output_queue IS NOT NULL))"""
 
 TABLE_COLS = {
     "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",

@@ -203,6 +203,16 @@ def specs(spark: SparkSession, d: str) -> DataFrame:
     return specs_from_lines(spec_lines(spark, d))
 
 
+#: Kinds of the stage types that spec lines have ("" is no type).
+STAGE_KINDS = {"A": "source", "N": "transform"}
+
+
+def typed_specs(spark: SparkSession, d: str) -> DataFrame:
+    """:func:`specs` whose queues say a type: q7 a kind that no runtime has, q8 none, the others in memory."""
+    kind = lambda q: F.when(q["name"] == "q7", F.lit("QUEUE_TYPE_DURABLE")).when(q["name"] != "q8", F.lit("QUEUE_TYPE_IN_MEMORY"))
+    return specs(spark, d).withColumn("queues", F.transform("queues", lambda q: q.withField("type", kind(q))))
+
+
 def queue_schema_id():
     """Queue schema of a spec line: '' (declared but empty) for line % 4 = 0,
     'orders' for line % 4 = 1, none otherwise."""

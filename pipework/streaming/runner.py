@@ -3,11 +3,13 @@ E5 on streams).
 
 The same :func:`pipework.operators.flow.run_flow` builder composes streaming
 DataFrames: stamps, gates, competing splits (filters) and fan-in (union) are
-all stateless, so a flow is one streaming query per sink.
+all stateless, so a flow is one streaming query: its graph runs over each
+micro-batch, and all sinks of a batch are written before the next.
 
 * job mode (A8) = ``trigger(availableNow=True)`` then wait: drain, exit;
 * streaming mode (A9) = ``trigger(processingTime=…)`` until stopped;
-* bounded admission (A10) = ``maxFilesPerTrigger`` / rate, never results;
+* bounded admission (A10) = the tightest queue behind a source, as
+  ``maxFilesPerTrigger``; never changes results;
 * stop on first failure (A11) = any query failing stops the others; its
   checkpoint makes the input replayable (better than the reference, which
   loses buffered rows);
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pipework.operators.history import pointer_version
-from pipework.operators.flow import FlowRun, run_flow, stage
+from pipework.operators.flow import admission_limits, check_spec, hadoop_path, registered, run_flow, source_frames, stage
 from pipework.operators.stages import text_envelope
 from pipework.session import scratch_path
 from pipework.sources.sequence import rate_sequence
@@ -74,37 +76,85 @@ class RateSourceConfig:
 def _rate_source(spark, cfg: RateSourceConfig):
     """A2: the paced sequence source as a stream."""
     def produce(threads: int) -> DataFrame:
-        return text_envelope(rate_sequence(spark, cfg.message, threads, cfg.delay_ms, cfg.max_messages))
+        rows = rate_sequence(spark, cfg.message, threads, cfg.delay_ms, cfg.max_messages)
+        return text_envelope(rows.drop("enqueue_ts"))   # the envelope has one of its own
     return produce
 
 
 # ---------------------------------------------------------------------------
 # running
 # ---------------------------------------------------------------------------
-def admission_limit(spec: dict) -> int:
-    """A10: the smallest queue capacity on the flow (0 when none declared)."""
-    caps = [q.get("capacity") or 0 for q in spec.get("queues") or []]
-    caps = [c for c in caps if c > 0]
-    return min(caps) if caps else 0
+SOURCE = "_source"
+
+
+def _admitted(spec: dict) -> dict:
+    """A10 applied: file sources without a limit of their own take at most as many
+    files per micro-batch as their tightest queue holds (a file has a row at least)."""
+    limits = admission_limits(spec)
+
+    def one(s: dict) -> dict:
+        cfg = dict(s.get("config") or {})
+        if registered(s["type"]).config is FileSourceConfig and limits.get(s["name"]) and not cfg.get("max_files_per_trigger"):
+            cfg["max_files_per_trigger"] = limits[s["name"]]
+            return {**s, "config": cfg}
+        return s
+    return {**spec, "stages": [one(s) for s in spec.get("stages") or []]}
+
+
+def _tagged_sources(sources: dict[str, DataFrame]) -> DataFrame:
+    """All sources as one stream: the stage's name, and its rows as a struct of that name."""
+    frames = [df.select(F.lit(name).alias(SOURCE), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)) for name, df in sources.items()]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out
 
 
 def start_flow(spark: SparkSession, spec: dict, out_dir: str, mode: str = "job",
                interval: str = "10 seconds", fmt: str = "parquet", name: str | None = None,
                set_schema: bool = False) -> list[StreamingQuery]:
-    """Start one streaming query per sink writing ``out_dir/<sink>``.
-    ``mode="job"`` drains what is available and stops; ``"streaming"`` runs
-    until :func:`stop_all`."""
-    run: FlowRun = run_flow(spark, spec, set_schema=set_schema)
-    flow = name or spec.get("name") or "flow"
-    qs = []
-    for sink, df in run.sinks.items():
-        w = (df.writeStream.format(fmt)
-               .option("path", f"{out_dir.rstrip('/')}/{sink}")
-               .option("checkpointLocation", scratch_path(spark, f"streams/{flow}/{sink}"))
-               .queryName(f"{flow}.{sink}"))
-        w = w.trigger(availableNow=True) if mode == "job" else w.trigger(processingTime=interval)
-        qs.append(w.start())
-    return qs
+    """Start the flow as one streaming query, however many sinks it has.
+
+    The sources are read once, as one stream. Each micro-batch is kept while the
+    flow's graph runs over it and every sink writes its rows to
+    ``out_dir/<sink>/batch_id=<n>``; then ``out_dir/_batches/<n>`` marks the batch.
+    All sinks therefore stand at the same batch whenever the flow stops. A batch
+    that is replayed after its mark is skipped, one without a mark overwrites its
+    own folders. :func:`read_sink` reads the marked batches. ``mode="job"`` drains
+    what is available and stops; ``"streaming"`` runs until :func:`stop_all`."""
+    check_spec(spec)
+    spec = _admitted(spec)
+    flow, base = name or spec.get("name") or "flow", out_dir.rstrip("/")
+    sources = source_frames(spark, spec)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        own = batch.sparkSession
+        fs, mark = hadoop_path(own, f"{base}/_batches/{batch_id}")
+        if fs.exists(mark):
+            return
+        batch = batch.persist()
+        try:
+            rows = {n: batch.where(F.col(SOURCE) == n).select(F.col(f"`{n}`.*")) for n in sources}
+            for sink, df in run_flow(own, spec, set_schema=set_schema, sources=rows).sinks.items():
+                df.write.mode("overwrite").format(fmt).save(f"{base}/{sink}/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
+        fs.create(mark).close()
+
+    w = (_tagged_sources(sources).writeStream.foreachBatch(write).queryName(flow)
+         .option("checkpointLocation", scratch_path(spark, f"streams/{flow}")))
+    w = w.trigger(availableNow=True) if mode == "job" else w.trigger(processingTime=interval)
+    return [w.start()]
+
+
+def read_sink(spark: SparkSession, out_dir: str, sink: str, fmt: str = "parquet") -> DataFrame | None:
+    """A sink's rows of all marked batches; None before the first."""
+    base = out_dir.rstrip("/")
+    fs, marks = hadoop_path(spark, f"{base}/_batches")
+    if not fs.exists(marks):
+        return None
+    done = [f"{base}/{sink}/batch_id={m.getPath().getName()}" for m in fs.listStatus(marks)]
+    return spark.read.format(fmt).load(done) if done else None
 
 
 def await_all(queries: list[StreamingQuery], timeout_s: float | None = None) -> None:
@@ -191,7 +241,7 @@ def csv_ingest_stream(spark: SparkSession, in_dir: str, ddl: str, out_path: str,
 
 
 __all__ = ["start_flow", "await_all", "stop_all", "run_job", "foreach_batch_sink", "stream_rate",
-           "observed", "csv_ingest_stream", "admission_limit"]
+           "observed", "csv_ingest_stream", "read_sink"]
 
 
 # ---------------------------------------------------------------------------

@@ -238,3 +238,35 @@ def test_shared_queue_checkpointed_once(spark):
     a = {r.value for r in run.sinks["sink_a"].collect()}
     b = {r.value for r in run.sinks["sink_b"].collect()}
     assert len(a) + len(b) == 50 and not a & b and a and b   # split, disjoint, complete
+
+
+def test_runtime_rules_on_a_table_of_specs_and_on_one(spark):
+    """The catalogue and the runner say the same of queue types, capacities and wiring."""
+    import pytest as pt
+    from pipework.operators.flow import FlowError, check_spec
+    kinds = {"noop_source": "source", "noop_transform": "transform", "stdout_sink": "sink"}
+    good = ([("q", 8, None, "QUEUE_TYPE_IN_MEMORY"), ("r", 1, "s", None)],
+            [("a", "noop_source", 1, None, "q"), ("b", "noop_transform", 1, "q", "r"), ("c", "stdout_sink", 1, "r", None)])
+    bad = {
+        "queue capacity must be > 0: q": lambda q, s: (q.__setitem__(0, ("q", 0, None, None))),
+        "queue schema_id is required: r": lambda q, s: (q.__setitem__(1, ("r", 1, "", None))),
+        "unsupported queue type for queue: r": lambda q, s: (q.__setitem__(1, ("r", 1, None, "QUEUE_TYPE_KAFKA"))),
+        "invalid source stage wiring: a": lambda q, s: (s.__setitem__(0, ("a", "noop_source", 1, "q", "q"))),
+        "invalid transform stage wiring: b": lambda q, s: (s.__setitem__(1, ("b", "noop_transform", 1, "q", None))),
+        "invalid sink stage wiring: c": lambda q, s: (s.__setitem__(2, ("c", "stdout_sink", 1, "r", "q"))),
+    }
+    rows, want = [(0, "f", *good)], {}
+    for i, (message, change) in enumerate(bad.items(), 1):
+        q, s = list(good[0]), list(good[1])
+        change(q, s)
+        rows.append((i, "f", q, s))
+        want[i] = message
+        spec = {"name": "f", "queues": [{"name": n, "capacity": c, **({"schema": {"schema_id": i}} if i is not None else {}), **({"type": t} if t else {})} for n, c, i, t in q],
+                "stages": [{"name": n, "type": t, "threads": k, "input_queue": a, "output_queue": b} for n, t, k, a, b in s]}
+        with pt.raises(FlowError, match=message.replace("> 0", "> 0")):
+            check_spec(spec)
+    specs = spark.createDataFrame(rows, "flow_id long, name string, queues array<struct<name:string,capacity:long,schema_id:string,type:string>>, "
+                                        "stages array<struct<name:string,type:string,threads:long,input_queue:string,output_queue:string>>")
+    assert {r.flow_id: r.message for r in Q.validate(specs, kinds=kinds).collect()} == want
+    assert {r.flow_id: r.message for r in Q.first_error(specs, kinds=kinds).collect()} == want
+    assert Q.validate(specs).count() == 0   # without kinds only the spec's own rules

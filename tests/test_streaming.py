@@ -33,11 +33,11 @@ def test_job_mode_equals_batch(spark, scratch):
     qs = S.run_job(spark, _spec({"path": src, "format": "parquet", "schema": ddl, "max_files_per_trigger": 1}),
                    out, name="gate_job")
     assert all(not q.isActive for q in qs)
-    streamed = spark.read.parquet(os.path.join(out, "sink"))
+    streamed = S.read_sink(spark, out, "sink")
     cols = ["event_id", "schema_id", "flags", "trace_id"]
     assert sorted(streamed.select(*cols).collect()) == sorted(batch.select(*cols).collect())
     assert streamed.count() == spark.read.parquet(src).where(F.col("schema_id").isin("", "events")).count()
-    assert S.admission_limit(_spec({})) == 4
+    assert S.admission_limits(_spec({}, "file_source")) == {"src": 4}
 
 
 def test_foreach_batch_idempotent(spark, scratch):
@@ -118,7 +118,7 @@ def test_streaming_mode_runs_until_stopped(spark, scratch):
         q.processAllAvailable()
         assert q.isActive          # streaming mode keeps running when sources are drained
     S.stop_all(qs)
-    assert sorted(r.value for r in spark.read.text(os.path.join(out, "sink")).collect()) == ["a", "b"]
+    assert sorted(r.value for r in S.read_sink(spark, out, "sink", "text").collect()) == ["a", "b"]
 
 
 def test_rate_source_paced_sequence(spark, scratch):
@@ -137,10 +137,79 @@ def test_rate_source_paced_sequence(spark, scratch):
         deadline = time.time() + 60
         while time.time() < deadline:
             time.sleep(2)
-            sink = os.path.join(out, "sink")
-            if os.path.exists(os.path.join(sink, "_spark_metadata")) and spark.read.text(sink).count() >= 10:
+            rows = S.read_sink(spark, out, "sink", "text")
+            if rows is not None and rows.count() >= 10:
                 break
     finally:
         S.stop_all(qs)
-    lines = [r.value for r in spark.read.text(os.path.join(out, "sink")).collect()]
+    lines = [r.value for r in S.read_sink(spark, out, "sink", "text").collect()]
     assert sorted(lines) == sorted([f"DEADBEEF #{i}" for i in range(5)] * 2)
+
+
+FAN = {"name": "fan", "queues": [{"name": "in", "capacity": 7}, {"name": "a", "capacity": 2}, {"name": "b", "capacity": 5}],
+       "stages": [{"name": "src", "type": "file_source", "output_queue": "in"},
+                  {"name": "left", "type": "noop_transform", "input_queue": "in", "output_queue": "a"},
+                  {"name": "right", "type": "noop_transform", "input_queue": "in", "output_queue": "b"},
+                  {"name": "sink_a", "type": "stdout_sink", "input_queue": "a"},
+                  {"name": "sink_b1", "type": "stdout_sink", "input_queue": "b"},
+                  {"name": "sink_b2", "type": "stdout_sink", "input_queue": "b"}]}
+
+
+def _fan(path):
+    stages = [{**s, "config": {"path": path, "format": "text"}} if s["name"] == "src" else s for s in FAN["stages"]]
+    return {**FAN, "stages": stages}
+
+
+def test_one_query_reads_the_source_once_for_all_sinks(spark, scratch):
+    src, out = os.path.join(scratch, "txt"), os.path.join(scratch, "out")
+    lines = [f"line {i}" for i in range(60)]
+    spark.createDataFrame([(x,) for x in lines], "value string").repartition(7).write.text(src)
+    assert S.admission_limits(_fan(src)) == {"src": 2}
+    (q,) = S.run_job(spark, _fan(src), out, fmt="text", name="fan_once")
+    batches = [p for p in q.recentProgress if p["numInputRows"]]
+    assert sum(p["numInputRows"] for p in batches) == 60          # not once for each sink
+    assert len(batches) == 4                                      # 7 files, 2 at a time
+    rows = {s: [r.value for r in S.read_sink(spark, out, s, "text").collect()] for s in ("sink_a", "sink_b1", "sink_b2")}
+    assert sorted(sum(rows.values(), [])) == sorted(lines)        # none lost, none twice
+    assert all(rows.values())
+    marks = set(os.listdir(os.path.join(out, "_batches")))
+    marks = {m for m in marks if not m.startswith(".")}
+    for s in rows:   # every sink stands at the same batches
+        assert {d.removeprefix("batch_id=") for d in os.listdir(os.path.join(out, s)) if d.startswith("batch_id=")} == marks
+
+
+def test_replayed_batches_change_nothing(spark, scratch):
+    src, out = os.path.join(scratch, "txt"), os.path.join(scratch, "out")
+    spark.createDataFrame([(f"line {i}",) for i in range(20)], "value string").repartition(2).write.text(src)
+    S.run_job(spark, _fan(src), out, fmt="text", name="fan_first")
+    files = lambda: {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, fs in os.walk(out) for f in fs}
+    before = files()
+    S.run_job(spark, _fan(src), out, fmt="text", name="fan_second")   # a new checkpoint sees the same batches again
+    assert files() == before
+    # a batch that ended before its mark is written anew, over its own folders
+    mark = next(f for f in before if f.endswith("_batches/0"))
+    os.remove(mark)
+    S.run_job(spark, _fan(src), out, fmt="text", name="fan_third")
+    got = sorted(r.value for s in ("sink_a", "sink_b1", "sink_b2") for r in S.read_sink(spark, out, s, "text").collect())
+    assert got == sorted(f"line {i}" for i in range(20))
+
+
+def test_batch_sinks_are_published_together(spark, scratch):
+    from pipework.operators import flow as L
+    out = os.path.join(scratch, "job")
+    good = spark.range(5).select(F.col("id").cast("string").alias("value"))
+    bad = good.select(F.raise_error(F.lit("boom")).cast("string").alias("value"))
+    L.write_sinks(L.FlowRun(sinks={"one": good, "two": good.limit(2)}), out, "text")
+    assert [spark.read.text(f"{out}/{s}").count() for s in ("one", "two")] == [5, 2]
+    with pytest.raises(Exception, match="boom"):
+        L.write_sinks(L.FlowRun(sinks={"one": good.limit(1), "two": bad}), out, "text")
+    assert [spark.read.text(f"{out}/{s}").count() for s in ("one", "two")] == [5, 2]   # as they were
+    # a run that died after its commit is finished by the next one
+    good.limit(3).write.text(f"{out}/_staging/one")
+    os.makedirs(f"{out}/_publish")
+    open(f"{out}/_publish/one", "w").close()
+    L._finish_publish(spark, out)
+    assert [spark.read.text(f"{out}/{s}").count() for s in ("one", "two")] == [3, 2]
+    L.write_sinks(L.FlowRun(sinks={"one": good, "two": good}), out, "text")
+    assert [spark.read.text(f"{out}/{s}").count() for s in ("one", "two")] == [5, 5]
+    assert not [d for d in os.listdir(out) if d.startswith("_")]
