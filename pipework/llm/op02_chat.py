@@ -109,7 +109,7 @@ def read_back(formatted: Column, template=TEMPLATE) -> Column:
 
 
 def digest(chats: DataFrame) -> DataFrame:
-    """Columns read back from the output of format_chats."""
+    """Columns read back from the output of format_chats, and its verdict on the order of turns."""
     back = chats.withColumn("turns", read_back(F.col("formatted")))
     masked = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
     back = back.withColumn("masked", masked)
@@ -118,7 +118,7 @@ def digest(chats: DataFrame) -> DataFrame:
         "conv_id", F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
         F.length("masked").cast("long").alias("loss_chars"), F.sha2("masked", 256).alias("loss_sha256"),
-        F.length("formatted").cast("long").alias("formatted_chars"))
+        F.length("formatted").cast("long").alias("formatted_chars"), "error_turn")
 
 
 def with_probe(rows: DataFrame) -> DataFrame:
@@ -134,6 +134,14 @@ WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+o AS (
+  SELECT *, row_number() OVER w - 1 AS i, lag(role) OVER w AS before FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+e AS (
+  SELECT conv_id, CAST(coalesce(min(i) FILTER (WHERE NOT coalesce(
+           CASE coalesce(before, 'start') WHEN 'start' THEN role IN ('system', 'user') WHEN 'system' THEN role = 'user'
+                WHEN 'user' THEN role = 'assistant' WHEN 'assistant' THEN role = 'user' END, false)),
+         CASE WHEN arg_max(role, i) = 'system' THEN count(*) END) AS INTEGER) AS error_turn
+  FROM o GROUP BY conv_id),
 g AS (
   SELECT conv_id, count(*) AS n_turns,
          string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
@@ -145,6 +153,6 @@ g AS (
            AS formatted_chars
   FROM c GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(masked) AS loss_chars,
-       sha256(masked) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars
-FROM g
+       sha256(masked) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars, error_turn
+FROM g JOIN e USING (conv_id)
 """

@@ -22,10 +22,10 @@ BUCKET_ROWS = 50_000
 
 
 def measured(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source") -> DataFrame:
-    """doc_id, size (words; null has none), sk (source, never null: "s" + source, or "t" for null, which sorts last), rid."""
+    """doc_id, size (words; null has none), th (hash of the text), sk (source, never null: "s" + source, or "t" for null, which sorts last), rid."""
     d = columns(docs, doc_id=id_col, text=text_col, source=source_col)
     d = d.select("doc_id", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-                 F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("t")).alias("sk"))
+                 F.xxhash64("text").alias("th"), F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("t")).alias("sk"))
     return keep(d.withColumn("rid", F.monotonically_increasing_id()), "measured")
 
 
@@ -100,8 +100,8 @@ def copies(sizes: DataFrame, lam: DataFrame, prior=None, cap: float = 2.0, fills
     prior = F.lit(1.0) if prior is None else prior
     rate = F.when(F.col("target") > 0, F.least(F.lit(cap), prior * F.exp("lam"))).otherwise(0.0)
     d = sizes.join(maybe_broadcast(lam), "sk").withColumn("rate", rate).withColumn("base", F.floor(F.col("rate") + 1e-9))
-    d = d.withColumn("part", F.greatest(F.col("rate") - F.col("base"), F.lit(1e-12))).withColumn("p", unit_hash("doc_id", F.lit("mix")) / F.col("part"))
-    d = keep(d.select("doc_id", "sk", "size", "rid", "source_size", "target", "base", "p", "part",
+    d = d.withColumn("part", F.greatest(F.col("rate") - F.col("base"), F.lit(1e-12))).withColumn("p", unit_hash("doc_id", "size", "th", F.lit("mix")) / F.col("part"))
+    d = keep(d.select("doc_id", "sk", "size", "th", "rid", "source_size", "target", "base", "p", "part",
                       (F.length(F.bin("size")) - 1).alias("cls"),
                       (F.col("rate") - F.col("base") > 1e-9).alias("may")), "dealt")
     deal = F.col("may") & (F.col("size") > 0)
@@ -115,7 +115,7 @@ def copies(sizes: DataFrame, lam: DataFrame, prior=None, cap: float = 2.0, fills
         "sk", "cls", "extra", F.coalesce(F.sum("s").over(smaller), F.lit(0)).alias("room"),
         (F.coalesce(F.sum("q").over(smaller), F.lit(0.0)) / F.sum("q").over(W.partitionBy("sk")) * F.col("extra")).alias("due"))
     shares = keep(shares, "shares")
-    w = W.partitionBy("sk", "cls", "b").orderBy("p", "doc_id", "rid")
+    w = W.partitionBy("sk", "cls", "b").orderBy("p", "doc_id", "size", "th", "rid")
     run = dealt.join(maybe_broadcast(before), ["sk", "cls", "b"]).withColumn("used", F.col("before") + F.sum("size").over(w))
     run = keep(run.select("doc_id", "sk", "size", "rid", "source_size", "target", "base", "p", "cls", "used"), "prefix")
 
@@ -160,8 +160,8 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
     A null source is a source of its own, ordered last. Null and empty texts
     have no words and take none; so does a source without words. Repeated rows
     and rows that share an id are documents of their own. Equal runs agree:
-    only doc_id, size and source decide, ties in doc_id go by position. Other
-    columns are not read; an empty table gives no rows."""
+    only doc_id, size, text and source decide; rows equal in all of them are
+    interchangeable. Other columns are not read; an empty table gives no rows."""
     sizes = measured(docs, id_col, text_col, source_col)
     goal = targets(sizes, weights, share, cap)
     d = copies(sizes, balance(sizes, goal, cap=cap), cap=cap)

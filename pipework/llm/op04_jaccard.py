@@ -38,6 +38,8 @@ SALTS = 64
 SLOTS, SLOT_ROW = 1 << 20, 1 << 12
 #: The columns in slices by hash, and the slices of each block in which the product is accumulated.
 SLICES, BLOCKS = 8, ((0, 1), (2, 3, 4, 5, 6, 7))
+#: Columns that are compared at once inside a task (one pair at least).
+STEP = 500_000
 SEEN = "kind int, doc long, n int, bits binary, h long, c long"
 ENTRY = "link boolean, h long, salt int, doc long, n int, pos int"
 
@@ -262,11 +264,15 @@ def _shared(batches):
     """Shared columns of each pair in one slice."""
     for b in batches:
         (p, po), (q, qo) = ((d.view(np.uint64) if len(d) else np.zeros(0, np.uint64), o // 8) for d, o in (_aligned(b.column(c)) for c in ("cols_a", "cols_b")))
-        row = [np.repeat(np.arange(b.num_rows), np.diff(o)) for o in (po, qo)]
-        # a row's hashes get a tag of the row, so that one pass compares all rows
-        x, y = (d + mix(r.astype(np.uint64) + ODD[8]) for d, r in ((p, row[0]), (q, row[1])))
-        got = np.bincount(row[0][np.isin(x, y)], minlength=b.num_rows)
-        yield pa.RecordBatch.from_arrays([b.column(c) for c in ("a", "b", "ra", "rb")] + [pa.array(got.astype(np.int32))]
+        got, i = np.zeros(b.num_rows, np.int32), 0
+        while i < b.num_rows:  # about STEP columns at once
+            j = max(i + 1, int(np.searchsorted(po + qo, po[i] + qo[i] + STEP, side="right")) - 1)
+            # a row's hashes get a tag of the row, so that one pass compares all rows
+            row = [np.repeat(np.arange(i, j), np.diff(o[i:j + 1])) for o in (po, qo)]
+            x, y = (d[o[i]:o[j]] + mix(r.astype(np.uint64) + ODD[8]) for d, o, r in ((p, po, row[0]), (q, qo, row[1])))
+            got[i:j] = np.bincount(row[0][np.isin(x, y)] - i, minlength=j - i)
+            i = j
+        yield pa.RecordBatch.from_arrays([b.column(c) for c in ("a", "b", "ra", "rb")] + [pa.array(got)]
                                          + [b.column(c) for c in ("n", "m", "left_a", "left_b")], names=[f.split()[0] for f in COUNT.split(", ")])
 
 
