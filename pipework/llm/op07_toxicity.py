@@ -200,14 +200,15 @@ def fit(rows: list[tuple[int, str]], share: float = 0.5) -> dict:
     negative ones; clean words the machine gets wrong are added and it is
     trained again."""
     empty = {"v": np.zeros(1 << 18, np.float32), "b": -1.0, "doc": np.array([0.0, 0.0, 0.0, -3.0])}
-    toxic, clean = [_word_keys(t) for y, t in rows if y], [_word_keys(t) for y, t in rows if not y]
-    if not toxic or not clean:
+    bad, good, words, nt, nc = Counter(), Counter(), set(), 0, 0
+    for y, t in rows:  # words are counted text by text; no text's words are held
+        d = _word_keys(t)
+        (bad if y else good).update({k[:n] for k in d for n in STEMS} | d)
+        if y:
+            words |= d
+        nt, nc = nt + bool(y), nc + (not y)
+    if not nt or not nc:
         return empty
-    bad, good = Counter(), Counter()
-    for docs, count in ((toxic, bad), (clean, good)):
-        for d in docs:
-            count.update({k[:n] for k in d for n in STEMS} | d)
-    nt, nc = len(toxic), len(clean)
 
     def evidence(k):  # signed log-likelihood ratio of the word against the classes' shares
         a, c = bad[k], good[k]
@@ -219,7 +220,6 @@ def fit(rows: list[tuple[int, str]], share: float = 0.5) -> dict:
 
     strong = {k: e for k in bad if bad[k] >= 3 and (e := evidence(k)) > EVIDENCE}
     weight_of = lambda k: max(strong.get(k, 0.0), *(strong.get(k[:n], 0.0) for n in STEMS))
-    words = {k for d in toxic for k in d}
     pos = sorted((k for k in words if weight_of(k) > 0), key=lambda k: (-bad[k], k))[:1500]
     if not pos:
         return empty
@@ -227,6 +227,9 @@ def fit(rows: list[tuple[int, str]], share: float = 0.5) -> dict:
     rng = np.random.default_rng(3)
     pool = [negs[i] for i in rng.permutation(len(negs))[:MINED]]
     neg = sorted(set(sorted(negs, key=lambda k: (-good[k], k))[:1500]) | set(pool[:3000]))
+    often = np.array([float(bad[k]) for k in pos])  # a bad word counts by the texts it is in
+    often = (often / often.sum() + 1 / len(pos)) / 2
+    bad, good, words, strong, negs = None, None, None, None, None  # the machine needs none of them
     marks = _landmarks(pos[:600] + [neg[i] for i in rng.permutation(len(neg))[:600]])
     lm = _maps(marks)
     used, table, place = _dense(lm)
@@ -235,8 +238,6 @@ def fit(rows: list[tuple[int, str]], share: float = 0.5) -> dict:
     root = vec @ np.diag(1 / np.sqrt(np.maximum(val, 1e-6))) @ vec.T
     kernel = lambda keys: np.array([x @ table[place[i]] for i, x in _maps(keys)]).reshape(len(keys), len(lm))
     zp, zn = kernel(pos) @ root, kernel(neg) @ root
-    often = np.array([float(bad[k]) for k in pos])  # a bad word counts by the texts it is in
-    often = (often / often.sum() + 1 / len(pos)) / 2
     for turn in range(4):
         y = np.r_[np.ones(len(zp)), -np.ones(len(zn))]
         w = _svm(np.r_[zp, zn], y, np.r_[often, np.full(len(zn), 2 / len(zn))] * len(zp))
