@@ -38,13 +38,22 @@ BLOCK = 8
 HOT = 32  # different members of a bucket within one batch from which they are salted
 SALTS = 256
 _PLACE = np.uint64((1 << 28) - 1)
+PIECE = 1 << 26  # bytes of a chunk whose anchors are looked for at once; places in a piece must fit _PLACE
 ROWS = "dup boolean, mark boolean, k long, salt int, e long, doc long, s int, len int, a int, names binary"
 OPEN = "dup boolean, k long, doc long, s int, len int, a int, names binary"
 
 
-def anchors(data: np.ndarray, off: np.ndarray, length: int):
+def anchors(data: np.ndarray, off: np.ndarray, length: int, piece: int = PIECE):
     """Stretches of starts that share an anchor: (row, first start, number of
-    starts, anchor) with places in the chunk."""
+    starts, anchor) with places in the chunk. Longer chunks go by pieces that
+    overlap by ``length - 1`` bytes, so each start is in one of them; a stretch
+    that a border cuts is two stretches, which the finer levels settle."""
+    if len(data) > piece:
+        parts = []
+        for p in range(0, len(data) - length + 1, piece - length + 1):
+            row, s, count, a = anchors(data[p:p + piece], np.clip(off - p, 0, min(piece, len(data) - p)), length, piece)
+            parts.append((row, s + p, count, a + p))
+        return [np.concatenate(x) for x in zip(*parts, strict=True)]
     w = length - Q + 1
     n = len(data) - Q + 1
     if n < w:
@@ -284,7 +293,7 @@ def cut_repeats(docs: DataFrame, id_col="doc_id", text_col="text", length: int =
     in a document of smaller doc_id, or before in its own. Null text is empty;
     null ids come before all others, and rows that share an id stand in the
     order of their texts (repeated rows lose all to the first). Other columns
-    are not read. Documents of up to 256 MB are handled whole. ``hot`` (HOT if
+    are not read. Documents of any length are handled whole. ``hot`` (HOT if
     None) only says how the work is dealt, not what comes out."""
     hot = HOT if hot is None else hot
     d = columns(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))

@@ -31,6 +31,9 @@ EVIDENCE = 24
 LANDMARKS = 320
 #: Clean words, picked at random, among which those that the machine gets wrong are looked for; and how many are added a time.
 MINED, ADDED = 100_000, 1500
+#: Words that the machine is trained on: at most so many bad ones (the most frequent), the most
+#: frequent clean ones, and clean ones picked at random; and words of each side among which landmarks are looked for.
+BAD_WORDS, CLEAN_WORDS, RANDOM_WORDS, CANDIDATES = 1500, 1500, 3000, 600
 #: Labelled rows of each class that are trained on.
 PER_CLASS = 1500
 
@@ -220,17 +223,17 @@ def fit(rows: list[tuple[int, str]], share: float = 0.5) -> dict:
 
     strong = {k: e for k in bad if bad[k] >= 3 and (e := evidence(k)) > EVIDENCE}
     weight_of = lambda k: max(strong.get(k, 0.0), *(strong.get(k[:n], 0.0) for n in STEMS))
-    pos = sorted((k for k in words if weight_of(k) > 0), key=lambda k: (-bad[k], k))[:1500]
+    pos = sorted((k for k in words if weight_of(k) > 0), key=lambda k: (-bad[k], k))[:BAD_WORDS]
     if not pos:
         return empty
     negs = sorted(k for k in good if weight_of(k) == 0 and len(k) >= 4)
     rng = np.random.default_rng(3)
     pool = [negs[i] for i in rng.permutation(len(negs))[:MINED]]
-    neg = sorted(set(sorted(negs, key=lambda k: (-good[k], k))[:1500]) | set(pool[:3000]))
+    neg = sorted(set(sorted(negs, key=lambda k: (-good[k], k))[:CLEAN_WORDS]) | set(pool[:RANDOM_WORDS]))
     often = np.array([float(bad[k]) for k in pos])  # a bad word counts by the texts it is in
     often = (often / often.sum() + 1 / len(pos)) / 2
     bad, good, words, strong, negs = None, None, None, None, None  # the machine needs none of them
-    marks = _landmarks(pos[:600] + [neg[i] for i in rng.permutation(len(neg))[:600]])
+    marks = _landmarks(pos[:CANDIDATES] + [neg[i] for i in rng.permutation(len(neg))[:CANDIDATES]])
     lm = _maps(marks)
     used, table, place = _dense(lm)
     gram = table.T @ table

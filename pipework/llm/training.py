@@ -10,6 +10,8 @@ from .common import unit_hash
 
 #: Longest text (bytes) that is trained on; longer ones are scored like all others.
 MAX_BYTES = 65_536
+#: Most labels that are learned; a column with more is refused with an error.
+MAX_LABELS = 1000
 
 
 def crc_rest(key, n: int):
@@ -17,28 +19,39 @@ def crc_rest(key, n: int):
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def _shares(rows: DataFrame, label: str, per_label: int):
+    """The share of each label's rows to be picked (a column), and the most rows in all."""
+    counts = rows.groupBy(label).agg(F.count("*")).limit(MAX_LABELS + 1).collect()
+    if len(counts) > MAX_LABELS:
+        raise ValueError(f"{label} has more than {MAX_LABELS} values")
+    share = F.lit(0.0)
+    for value, n in counts:
+        share = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, per_label / n))).otherwise(share)
+    return share, int(1.5 * per_label * max(1, len(counts)))
+
+
+def _collected(rows: DataFrame, label: str, most: int) -> list:
+    """Wholly equal rows count once; of more than ``most`` rows, those first by hash, id, label and text."""
+    rows = rows.select("doc_id", label, "text").distinct()
+    rows = rows.orderBy(unit_hash("doc_id", F.lit("train")), "doc_id", label, "text").limit(most)
+    return sorted(rows.collect(), key=lambda r: (r[0], r[2]))
+
+
 def sample(rows: DataFrame, label: str, per_label: int) -> list:
     """About ``per_label`` rows of each label (all, if there are fewer), chosen by a
-    hash of doc_id; at most 1.5 times as many. rows: doc_id, text, label."""
+    hash of doc_id, whatever the partitioning; at most 1.5 times as many. rows:
+    doc_id, text, label."""
     rows = rows.where(F.col(label).isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= MAX_BYTES))
-    counts = {r[0]: r[1] for r in rows.groupBy(label).agg(F.count("*")).orderBy(F.desc("count(1)")).limit(1000).collect()}
-    share = F.lit(0.0)
-    for value, n in counts.items():
-        share = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, per_label / n))).otherwise(share)
-    picked = rows.where(unit_hash("doc_id", F.lit("train")) < share)
-    most = int(1.5 * per_label * max(1, len(counts)))
-    return sorted(picked.select("doc_id", label, "text").limit(most).collect(), key=lambda r: (r[0], r[2]))
+    share, most = _shares(rows, label, per_label)
+    return _collected(rows.where(unit_hash("doc_id", F.lit("train")) < share), label, most)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: int) -> list:
     """The same for labels kept apart from the texts (labels: doc_id, label; one row
     an id): the ids are chosen first and broadcast, at most 1.5 * ``per_label`` of
-    each label, so that no text is shuffled."""
-    counts = {r[0]: r[1] for r in labels.groupBy(label).agg(F.count("*")).orderBy(F.desc("count(1)")).limit(1000).collect()}
-    share = F.lit(0.0)
-    for value, n in counts.items():
-        share = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, per_label / n))).otherwise(share)
-    most = int(1.5 * per_label * max(1, len(counts)))
-    picked = labels.where(unit_hash("doc_id", F.lit("train")) < share).limit(most)
+    each label, so that no text but the chosen ones is shuffled."""
+    share, most = _shares(labels, label, per_label)
+    chance = unit_hash("doc_id", F.lit("train"))
+    picked = labels.where(chance < share).orderBy(chance, "doc_id").limit(most)
     rows = docs.where(F.col("text").isNotNull() & (F.octet_length("text") <= MAX_BYTES)).join(F.broadcast(picked), "doc_id")
-    return sorted(rows.select("doc_id", label, "text").limit(most).collect(), key=lambda r: (r[0], r[2]))
+    return _collected(rows, label, most)

@@ -9,11 +9,12 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pipework.llm import (op01_shard, op02_chat, op03_mix, op04_jaccard, op05_substrings, op06_decontaminate,
-                          op07_toxicity, op08_quality, op09_language, op10_exact)
+                          op07_toxicity, op08_quality, op09_language, op10_exact, training)
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, name string, comp string, key string"
 SF = "/root/testdata/sf0.001"
@@ -363,6 +364,23 @@ def test_repeats_across_batches(spark, batch):
     assert got == removed(rows)
 
 
+def test_anchors_by_pieces():
+    """Every start has the same anchor, whether a chunk goes whole or by overlapping pieces."""
+    rng = np.random.default_rng(5)
+    data = rng.integers(97, 100, 5000).astype(np.uint8)
+    data[1000:1400] = 97
+    off = np.array([0, 0, 90, 700, 4100, 5000])
+    def starts(piece):
+        parts = zip(*op05_substrings.anchors(data, off, 100, piece), strict=True)
+        out = [(int(r), int(s) + i, int(a)) for r, s, n, a in parts for i in range(int(n))]
+        assert len(out) == len(set(out))
+        return sorted(out)
+    whole = starts(1 << 20)
+    assert len(whole) == sum(max(0, n - 99) for n in (0, 90, 610, 3400, 900))
+    for piece in (139, 150, 1000, 4999):
+        assert starts(piece) == whole
+
+
 # ---- 6 ----------------------------------------------------------------------
 
 @pytest.mark.parametrize("which", ["odd", "repeated"])
@@ -411,6 +429,22 @@ def test_toxicity_words():
     assert (p < 0.3).all()
 
 
+def test_training_sample(spark, monkeypatch):
+    """The same rows train whatever the partitioning, also where the bound bites; too many labels are refused."""
+    rows = [(i if i > 60 else 7, f"text {i % 50}", "ab"[i % 2]) for i in range(1, 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for per in (2, 30, 1000):
+        picked = [training.sample(docs.repartition(n), "lang", per) for n in (1, 7)]
+        assert picked[0] == picked[1] and len(picked[0]) <= 3 * per
+    assert {(r.doc_id, r.text, r.lang) for r in picked[0]} == set(rows)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    told = [training.labelled_sample(docs.select("doc_id", "text").repartition(n), labels.repartition(n), "toxic", 20) for n in (1, 7)]
+    assert told[0] == told[1] and 0 < len(told[0]) <= 60
+    monkeypatch.setattr(training, "MAX_LABELS", 1)
+    with pytest.raises(ValueError):
+        training.sample(docs, "lang", 10)
+
+
 def test_scores_on_odd_rows(spark, repeated):
     labels = spark.createDataFrame([(i, i % 2, int(i > 40)) for i in range(90)] + [(3, 0, 0), (None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
     n = repeated.count()
