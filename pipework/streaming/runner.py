@@ -29,7 +29,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pipework.operators.history import pointer_version
 from pipework.operators.flow import admission_limits, check_spec, hadoop_path, registered, run_flow, source_frames, stage
 from pipework.operators.stages import text_envelope
 from pipework.session import scratch_path
@@ -242,40 +241,3 @@ def csv_ingest_stream(spark: SparkSession, in_dir: str, ddl: str, out_path: str,
 
 __all__ = ["start_flow", "await_all", "stop_all", "run_job", "foreach_batch_sink", "stream_rate",
            "observed", "csv_ingest_stream", "read_sink"]
-
-
-# ---------------------------------------------------------------------------
-# D9 on a stream: change classification with per-key state
-# ---------------------------------------------------------------------------
-WATCH_OUT = "ts timestamp_ntz, rev bigint, key string, flow string, event_type string, version bigint"
-
-
-def _classify(key, pdfs, state):
-    """One key's rows of a micro-batch, in (ts, rev) order, classified with
-    the key's previous op carried in state (put on a missing key = ADDED,
-    later put = UPDATED, delete of a live key = DELETED)."""
-    import numpy as np
-    import pandas as pd
-    prev = state.get[0] if state.exists else None
-    frames = [p for p in pdfs if len(p)]
-    out = pd.DataFrame([], columns=["ts", "rev", "key", "flow", "event_type", "version"])
-    if frames:
-        df = pd.concat(frames).sort_values(["ts", "rev"]).reset_index(drop=True)
-        before = df["op"].shift(1)
-        before.iloc[0] = prev
-        put, live = df["op"] == "put", before == "put"
-        df["event_type"] = np.select([put & live, put & ~live, ~put & live], ["UPDATED", "ADDED", "DELETED"], "")
-        df["flow"] = df["key"].str.split("/").str[-2]
-        df["version"] = df["version"].where(put)
-        out = df[(df["event_type"] == "DELETED") | (put & df["version"].notna())][list(out.columns)].astype({"version": "Int64"})
-        state.update((df["op"].iloc[-1],))
-    yield out
-
-
-def watch_events_stream(kv: DataFrame) -> DataFrame:
-    """Streaming D9 over a key-value change stream: ``groupBy(key)`` with
-    ``applyInPandasWithState`` (state = the key's last op). Rows of one key
-    must arrive in (ts, rev) order across micro-batches, as a change log does."""
-    act = kv.where(F.col("key").endswith("/active")).withColumn("version", pointer_version("value").try_cast("long"))
-    return act.groupBy("key").applyInPandasWithState(
-        _classify, WATCH_OUT, "prev_op string", "append", "NoTimeout")

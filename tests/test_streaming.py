@@ -87,22 +87,37 @@ def test_stream_rate_matches_batch(spark, scratch):
 
 
 def test_watch_events_stream_equals_batch(spark, scratch):
+    """A log cut into shuffled micro-batches gives the events, versions and specs of
+    the batch operator; a row behind the watermark is dropped."""
     from pipework.operators.history import watch_events
+    from pipework.streaming.watch import STATE_STORE, watch_events_stream
     src = os.path.join(scratch, "kv")
-    kv = X.kv_log(spark, SF001)
-    # change-log files in commit order: each file holds a later slice of revisions
-    # (a global ntile is fine for this 1.5k-row test fixture)
-    ordered = kv.withColumn("_slice", F.ntile(3).over(Window.orderBy("ts", "rev")))
-    for i in (1, 2, 3):
-        ordered.where(F.col("_slice") == i).drop("_slice").write.mode("append").parquet(src)
+    kv = X.kv_log(spark, SF001).cache()
+    for i in range(3):
+        kv.where(F.abs(F.hash("rev", "key")) % 3 == i).coalesce(1).write.mode("append").parquet(src)
+    far = kv.orderBy(F.desc("rev")).limit(1).withColumn("ts", F.expr("timestampadd(DAY, 400, ts)")).withColumn("key", F.lit("/x/flows/far/active"))
+    far.coalesce(1).write.mode("append").parquet(src)
     stream = spark.readStream.schema(kv.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    q = (S.watch_events_stream(stream).writeStream.format("memory").queryName("pw_watch")
-         .outputMode("append").option("checkpointLocation", os.path.join(scratch, "ckw"))
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    got = sorted((r.rev, r.event_type) for r in spark.sql("SELECT rev, event_type FROM pw_watch").collect())
-    want = sorted((r.rev, r.event_type) for r in watch_events(kv).collect())
-    assert got == want and len(got) > 0
+    before = {k: spark.conf.get(k) for k in STATE_STORE}
+    try:
+        for k, v in STATE_STORE.items():
+            spark.conf.set(k, v)
+
+        def run():
+            q = (watch_events_stream(stream, "100 days").writeStream.format("parquet").outputMode("append")
+                 .option("checkpointLocation", os.path.join(scratch, "ckw")).trigger(availableNow=True).start(os.path.join(scratch, "watched")))
+            q.awaitTermination()
+            return spark.read.parquet(os.path.join(scratch, "watched"))
+        cols = ["ts", "rev", "key", "flow", "event_type", "version", "spec"]
+        want = sorted(map(repr, watch_events(kv).select(*cols).collect()))
+        assert sorted(map(repr, run().select(*cols).collect())) == want and len(want) > 100
+        assert any("spec=None" not in r for r in want)
+        # taken up again from the checkpoint: what is late changes nothing
+        kv.limit(5).coalesce(1).write.mode("append").parquet(src)
+        assert sorted(map(repr, run().select(*cols).collect())) == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def test_streaming_mode_runs_until_stopped(spark, scratch):
