@@ -1,8 +1,10 @@
 """Envelope metadata helpers.
 
-``attrs`` is a ``MAP<STRING,STRING>`` column (typed reads cast the value);
-maps are immutable values, so "copy-on-write" is simply returning a new map
-column — the source row is never changed.
+``attrs`` is a ``MAP<STRING,STRING>`` column (typed reads cast the value) or,
+where a value's type has to survive, a ``MAP<STRING,VARIANT>`` one (64-bit
+integers, doubles, booleans and strings; ``typed_get`` and ``typed_set``). Maps
+are immutable values, so "copy-on-write" is simply returning a new map column —
+the source row is never changed.
 """
 
 from __future__ import annotations
@@ -33,6 +35,41 @@ def attr_set(attrs, key: str, value) -> Column:
                         F.create_map(F.lit(key), v.cast("string")))
 
 
+# G1 / G2, typed ------------------------------------------------------------
+#: Types that an attribute can hold, by the name of a variant's own type.
+ATTR_TYPES = {"BIGINT": "bigint", "DOUBLE": "double", "BOOLEAN": "boolean", "STRING": "string"}
+
+
+def typed_attrs(attrs=None) -> Column:
+    """A typed map: of a string map (its values stay strings), or null."""
+    if attrs is None:
+        return F.lit(None).cast("map<string,variant>")
+    return F.transform_values(_c(attrs), lambda _, v: v.cast("variant"))
+
+
+def attr_type(attrs, key: str) -> Column:
+    """Type of a typed attribute (a key of ``ATTR_TYPES``); null if missing."""
+    return F.schema_of_variant(F.try_element_at(_c(attrs), F.lit(key)))
+
+
+def typed_get(attrs, key: str, dtype: str) -> Column:
+    """The value if it is there *and* of this type (bigint, double, boolean or
+    string), else null: a typed read never converts."""
+    name = {v: k for k, v in ATTR_TYPES.items()}[dtype]
+    v = F.try_element_at(_c(attrs), F.lit(key))
+    return F.when(F.schema_of_variant(v) == F.lit(name), F.try_variant_get(v, "$", dtype))
+
+
+def typed_set(attrs, key: str, value, dtype: str) -> Column:
+    """Replace or add ``key`` with a value of this type; a null map becomes a one-entry map."""
+    if dtype not in ATTR_TYPES.values():
+        raise ValueError(f"an attribute is one of {', '.join(ATTR_TYPES.values())}, not {dtype}")
+    v = value if isinstance(value, Column) else F.lit(value)
+    base = F.coalesce(_c(attrs), F.create_map().cast("map<string,variant>"))
+    return F.map_concat(F.map_filter(base, lambda k, _: k != F.lit(key)),
+                        F.create_map(F.lit(key), v.cast(dtype).cast("variant")))
+
+
 # G3 ----------------------------------------------------------------------
 def attr_erase(attrs, key: str) -> Column:
     """Remove ``key``; an emptied map becomes null (no attrs)."""

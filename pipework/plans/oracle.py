@@ -603,6 +603,9 @@ def state_sql() -> dict[str, str]:
         3 AS n_attrs FROM payloads"""
     s["attr_erase"] = with_("payloads") + """SELECT event_id, true AS found_k, false AS found_k_again,
         1 AS n_after_one, true AS null_after_two FROM payloads"""
+    s["attr_typed"] = with_("payloads") + """SELECT event_id, event_id % 16 AS partition, value, event_type = 'error' AS failed, k,
+        CAST(NULL AS VARCHAR) AS k_as_string, CASE WHEN k IS NOT NULL THEN 'BIGINT' END AS k_type,
+        CAST(NULL AS VARCHAR) AS user_type, 4 AS n_attrs FROM payloads"""
     s["attr_has"] = with_("payloads") + "SELECT event_id, event_type <> 'view' AS has_attrs FROM payloads"
     s["has_trace"] = with_("payloads") + "SELECT event_id, user_id % 10 <> 0 AS has_trace FROM payloads"
     s["is_empty"] = with_("payloads") + """SELECT event_id, payload IS NULL OR size = 0 AS is_empty,

@@ -167,6 +167,21 @@ def attr_erase(spark, d):
                     F.size(one).alias("n_after_one"), two.isNull().alias("null_after_two"))
 
 
+def attr_typed(spark, d):
+    """G1-G3 on typed maps: four types set, one replaced by another type, one erased, read back."""
+    p = X.payloads(spark, d)
+    m = A.typed_set(A.typed_attrs("attrs"), "partition", F.col("event_id") % 16, "bigint")
+    m = A.typed_set(m, "value", F.col("value"), "double")
+    m = A.typed_set(m, "failed", F.col("event_type") == "error", "boolean")
+    m = A.typed_set(m, "k", A.attr_get("attrs", "k", "bigint"), "bigint")
+    one = p.select("event_id", A.attr_erase(m, "user").alias("m"))
+    return one.select(
+        "event_id", A.typed_get("m", "partition", "bigint").alias("partition"), A.typed_get("m", "value", "double").alias("value"),
+        A.typed_get("m", "failed", "boolean").alias("failed"), A.typed_get("m", "k", "bigint").alias("k"),
+        A.typed_get("m", "k", "string").alias("k_as_string"), A.attr_type("m", "k").alias("k_type"),
+        A.attr_type("m", "user").alias("user_type"), F.size("m").alias("n_attrs"))
+
+
 def attr_has(spark, d):
     p = X.payloads(spark, d)
     m = F.when(F.col("event_type") == "view", A.clear_attrs()).otherwise(F.col("attrs"))
@@ -218,7 +233,7 @@ STATE = {
     "schema_resolve": schema_resolve, "schema_list": schema_list, "schema_history": schema_history,
     "schema_stamp": schema_stamp, "schema_gate": schema_gate, "schema_rejects": schema_rejects,
     "schema_pipeline": schema_pipeline,
-    "attr_get": attr_get, "attr_set": attr_set, "attr_erase": attr_erase, "attr_has": attr_has,
+    "attr_get": attr_get, "attr_set": attr_set, "attr_erase": attr_erase, "attr_typed": attr_typed, "attr_has": attr_has,
     "has_trace": has_trace, "is_empty": is_empty, "flag_bits": flag_bits,
     "key_parse": key_parse, "format_alias": format_alias, "version_parse": version_parse,
 }

@@ -27,32 +27,30 @@ SCHEMA_FIELDS = ["format", "schema_id", "version", "registry_url"]
 KNOWN_FIELDS = ["name", "version", "execution", "stages", "queues", "labels", "env", "observability", "kubernetes"]
 
 
-def _fields(js, known: list[str]):
-    """Keys of the JSON objects in ``js`` (an array of objects, as text) that are not known."""
-    rows = F.from_json(js, "array<map<string,string>>")
-    keys = F.flatten(F.transform(rows, lambda m: F.map_keys(m)))
+def _unknown(objects, known: list[str]):
+    """Keys of the objects (an array of maps, null entries left out) that are not known."""
+    keys = F.flatten(F.transform(F.filter(objects, lambda m: m.isNotNull()), lambda m: F.map_keys(m)))
     return F.coalesce(F.array_except(keys, F.array(*[F.lit(k) for k in known])), F.array().cast("array<string>"))
 
 
 def parse_specs(df: DataFrame, col: str = "json") -> DataFrame:
     """Decode JSON spec text, strictly; adds ``spec``, ``unknown_fields`` (of the
     spec, its stages, queues and queue schemas) and ``error`` (null when the
-    spec loads): invalid JSON, an unknown field, or a value of a wrong type."""
-    at = lambda path: F.get_json_object(F.col(col), path)
-    keys = F.json_object_keys(F.col(col))
-    top = F.array_except(keys, F.array(*[F.lit(k) for k in KNOWN_FIELDS]))
-    mode = F.array_except(F.json_object_keys(at("$.execution")), F.array(F.lit("mode")))
-    schemas = F.transform(F.from_json(at("$.queues"), "array<map<string,string>>"),
-                          lambda q: F.json_object_keys(F.try_element_at(q, F.lit("schema"))))
-    schemas = F.array_except(F.flatten(F.filter(schemas, lambda k: k.isNotNull())), F.array(*[F.lit(k) for k in SCHEMA_FIELDS]))
-    empty = F.array().cast("array<string>")
-    unknown = F.array_sort(F.array_distinct(F.concat(
-        F.coalesce(top, empty), F.coalesce(mode, empty), _fields(at("$.stages"), STAGE_FIELDS),
-        _fields(at("$.queues"), QUEUE_FIELDS), F.coalesce(schemas, empty))))
+    spec loads): invalid JSON (a key given twice counts as such), an unknown
+    field, or a value of a wrong type. The text is parsed twice: once to a
+    variant for its keys, once to the spec."""
+    obj = lambda v, path="$": F.try_variant_get(v, path, "map<string,variant>")
+    items = lambda path: F.transform(F.try_variant_get("_v", path, "array<variant>"), lambda v: obj(v))
+    out = df.withColumn("_v", F.try_parse_json(F.col(col)))
     # a value that its type can't hold makes the whole text a corrupt record
     whole = F.from_json(F.col(col), SPEC_DDL + ", _corrupt STRING", {"columnNameOfCorruptRecord": "_corrupt"})
-    out = df.withColumn("_keys", keys).withColumn("unknown_fields", unknown).withColumn("spec", whole)
-    err = (F.when(F.col("_keys").isNull(), F.lit("invalid JSON"))
+    out = out.withColumns({"_top": obj("_v"), "_queues": items("$.queues"), "spec": whole})
+    schemas = F.transform("_queues", lambda q: obj(F.try_element_at(q, F.lit("schema"))))
+    unknown = F.array_sort(F.array_distinct(F.concat(
+        _unknown(F.array("_top"), KNOWN_FIELDS), _unknown(F.array(obj("_v", "$.execution")), ["mode"]),
+        _unknown(items("$.stages"), STAGE_FIELDS), _unknown(F.col("_queues"), QUEUE_FIELDS), _unknown(schemas, SCHEMA_FIELDS))))
+    out = out.withColumn("unknown_fields", unknown)
+    err = (F.when(F.col("_top").isNull(), F.lit("invalid JSON"))
             .when(F.size("unknown_fields") > 0,
                   F.concat(F.lit("unknown field "), F.concat_ws(", ", F.transform("unknown_fields", lambda k: F.concat(F.lit('"'), k, F.lit('"'))))))
             .when(F.col("spec._corrupt").isNotNull(), F.lit("invalid value")))

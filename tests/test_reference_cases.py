@@ -51,6 +51,26 @@ def test_schema_inheritance_drops_everything(spark):
     assert G.gated_transform(df, "trade", "trade_normalized", set_schema=True).count() == 10
 
 
+def test_typed_attrs_keep_their_types(spark):
+    """int64, double, bool and string survive set, get, copy and erase; a read of another type is null."""
+    df = spark.createDataFrame([({"s": "3"},), (None,)], "attrs map<string,string>")
+    m = A.typed_attrs("attrs")
+    for key, value, kind in (("i", 2**62, "bigint"), ("d", 3.0, "double"), ("b", False, "boolean"), ("t", "true", "string")):
+        m = A.typed_set(m, key, value, kind)
+    m2 = A.attr_erase(A.typed_set(m, "i", "now text", "string"), "d")
+    r = df.select(m.alias("m"), m2.alias("m2")).select(
+        *[A.attr_type("m", k).alias("type_" + k) for k in "idbts"], A.typed_get("m", "i", "bigint").alias("i"), A.typed_get("m", "d", "double").alias("d"),
+        A.typed_get("m", "b", "boolean").alias("b"), A.typed_get("m", "t", "string").alias("t"), A.typed_get("m", "t", "boolean").alias("no_bool"),
+        A.typed_get("m", "d", "bigint").alias("no_int"), A.typed_get("m2", "i", "string").alias("i2"), A.attr_found("m2", "d").alias("d2"),
+        F.size("m2").alias("n2")).collect()
+    assert [(x.type_i, x.type_d, x.type_b, x.type_t) for x in r] == [("BIGINT", "DOUBLE", "BOOLEAN", "STRING")] * 2
+    assert [x.type_s for x in r] == ["STRING", None]
+    assert all((x.i, x.d, x.b, x.t, x.no_bool, x.no_int, x.i2, x.d2) == (2**62, 3.0, False, "true", None, None, "now text", False) for x in r)
+    assert [x.n2 for x in r] == [4, 3]
+    with pytest.raises(ValueError):
+        A.typed_set(m, "x", 1, "date")
+
+
 def test_attr_copy_on_write_and_erase(spark):
     df = spark.createDataFrame([({"pipeline.partition": "3"},)], "attrs map<string,string>")
     r = df.select("attrs", A.attr_set("attrs", "pipeline.partition", 8).alias("copy")).collect()[0]

@@ -4,7 +4,6 @@ stop-on-failure, and windowed rates on streams."""
 import os
 
 import pytest
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import pipework.streaming.runner as S
