@@ -295,22 +295,23 @@ def queue_depth(work: DataFrame, step_s: int = 60, key: str = "key") -> DataFram
     return gauge(per, step_s, "depth")
 
 
-def gauge(per: DataFrame, step_s: int, name: str) -> DataFrame:
-    """Running sum of ``_d`` over steps ``_b`` as a gauge: it keeps its value in
-    steps without a change, from the first step to the last. Steps are summed
-    within days; only the daily totals (one row a day) are one series."""
+def gauge(per: DataFrame, step_s: int, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Running sum of ``_d`` over steps ``_b`` as a gauge per ``by`` (none: one
+    series): it keeps its value in steps without a change, from the first step to
+    the last. Steps are summed within days; only a series' daily totals (one row a
+    day) meet in one window."""
     steps = max(1, 86_400 // step_s)
-    x = per.withColumn("_day", F.floor(F.col("_b") / F.lit(steps)).cast("long"))
-    days = x.groupBy("_day").agg(F.sum("_d").alias("_t"), F.min("_b").alias("_first"))
-    w = Window.orderBy("_day")
-    days = days.select(F.col("_day"), F.coalesce(F.sum("_t").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+    x = per.withColumn("_day", F.floor(F.col("_b") / F.lit(steps)).cast("long")).withColumn("_series", F.struct(F.lit(0).alias("_"), *by))
+    days = x.groupBy("_series", "_day").agg(F.sum("_d").alias("_t"), F.min("_b").alias("_first"))
+    w = Window.partitionBy("_series").orderBy("_day")
+    days = days.select("_series", "_day", F.coalesce(F.sum("_t").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
                        F.lead("_first").over(w).alias("_after"))
-    d = Window.partitionBy("_day").orderBy("_b")
-    x = x.join(days, "_day").select(
-        "_b", (F.col("_before") + F.sum("_d").over(d.rowsBetween(Window.unboundedPreceding, 0))).cast("long").alias(name),
+    d = Window.partitionBy("_series", "_day").orderBy("_b")
+    x = x.join(days, ["_series", "_day"]).select(
+        *by, "_b", (F.col("_before") + F.sum("_d").over(d.rowsBetween(Window.unboundedPreceding, 0))).cast("long").alias(name),
         F.coalesce(F.lead("_b").over(d), F.col("_after"), F.col("_b") + 1).alias("_next"))
-    x = x.select(name, F.explode(F.sequence(F.col("_b"), F.col("_next") - 1)).alias("_b"))
-    return x.select(T.index_to_ts(F.col("_b") + 1, step_s).alias("ts"), name)
+    x = x.select(*by, name, F.explode(F.sequence(F.col("_b"), F.col("_next") - 1)).alias("_b"))
+    return x.select(*by, T.index_to_ts(F.col("_b") + 1, step_s).alias("ts"), name)
 
 
 def flows_as_of(replayed: DataFrame, before: Column, key: str = "name") -> DataFrame:

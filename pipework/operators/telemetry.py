@@ -19,11 +19,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pipework.functions import time as T
 from pipework.operators import schema_gate as G
+from pipework.operators.history import gauge
 from pipework.operators.promql import bucket_counts, cumulative_buckets
 from pipework.operators.scan import hour_chunk, ordered_scan
 
@@ -151,13 +152,11 @@ def drops(rejected: DataFrame, by=("queue", "reason")) -> DataFrame:
 
 def queue_depth_by_queue(points: DataFrame, step_s: int = 60) -> DataFrame:
     """Per-queue depth at each step end = enqueued − dequeued so far. Both
-    sides are counted per (queue, step) first; the running sum then runs over
-    per-step rows of one queue (bounded by the time span)."""
+    sides are counted per (queue, step) first; the depth is a :func:`gauge`, so
+    it holds in steps without traffic."""
     enq = points.where("enqueued").select("queue", T.bucket_index("ts", step_s).alias("_b"),
                                           F.lit(1).cast("long").alias("_d"))
     deq = points.where(F.col("dequeue_ts").isNotNull()).select(
         "queue", T.bucket_index("dequeue_ts", step_s).alias("_b"), F.lit(-1).cast("long").alias("_d"))
     per = enq.unionByName(deq).groupBy("queue", "_b").agg(F.sum("_d").alias("_d"))
-    run = Window.partitionBy("queue").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    return per.select("queue", T.index_to_ts(F.col("_b") + 1, step_s).alias("ts"),
-                      F.sum("_d").over(run).cast("long").alias("depth"))
+    return gauge(per, step_s, "depth", ("queue",))

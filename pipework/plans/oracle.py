@@ -441,9 +441,12 @@ def monitoring_sql() -> dict[str, str]:
         SELECT queue, CAST(floor(epoch_us(ts) / 60000000.0) AS BIGINT) AS b, 1 AS d FROM rt WHERE enqueued
         UNION ALL SELECT queue, CAST(floor(epoch_us(dequeue_ts) / 60000000.0) AS BIGINT), -1 FROM rt
         WHERE dequeue_ts IS NOT NULL),
-        p AS (SELECT queue, b, sum(d) AS d FROM e GROUP BY queue, b)
-        SELECT queue, make_timestamp((b + 1) * 60000000) AS ts,
-               CAST(sum(d) OVER (PARTITION BY queue ORDER BY b ROWS UNBOUNDED PRECEDING) AS BIGINT) AS depth FROM p"""
+        p AS (SELECT queue, b, sum(d) AS d FROM e GROUP BY queue, b),
+        r AS (SELECT queue, b, sum(d) OVER (PARTITION BY queue ORDER BY b ROWS UNBOUNDED PRECEDING) AS depth FROM p),
+        span AS (SELECT queue, min(b) AS lo, max(b) AS hi FROM p GROUP BY queue),
+        grid AS (SELECT queue, unnest(generate_series(lo, hi)) AS b FROM span)
+        SELECT g.queue, make_timestamp((g.b + 1) * 60000000) AS ts, CAST(r.depth AS BIGINT) AS depth
+        FROM grid g ASOF JOIN r ON g.queue = r.queue AND g.b >= r.b"""
     s["trace_summary"] = with_("spans") + """SELECT trace_id, count(*) AS spans, min(start_ts) AS start_ts,
         max(end_ts) AS end_ts, round((epoch_us(max(end_ts)) - epoch_us(min(start_ts))) / 1000.0, 3) AS duration_ms,
         count(CASE WHEN status = 'error' THEN 1 END) AS error_spans,
