@@ -21,15 +21,16 @@ transforms and sinks parallelism comes from partitions, so it is ignored.
 from __future__ import annotations
 
 import dataclasses
+import threading
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from pipework.operators import schema_gate as G
 from pipework.operators import wiring as R
-from pipework.operators.telemetry import account
+from pipework.operators.telemetry import account, counters
 
 DEFAULT_CAPACITY = 128
 
@@ -167,16 +168,49 @@ def check_spec(spec: dict) -> None:
 # ---------------------------------------------------------------------------
 # the runner (A7): build every edge lazily
 # ---------------------------------------------------------------------------
+COUNTERS = ("dequeue", "process", "error", "enqueue")
+#: The kind of stage that doesn't have a counter.
+_NOT_COUNTED = {"dequeue": "source", "enqueue": "sink"}
+
+
+def _observed(o: Observation, wait_s: float) -> dict | None:
+    """What was observed; None if no job that ran held the observation."""
+    got: list[dict] = []
+    waiter = threading.Thread(target=lambda: got.append(o.get), daemon=True)
+    waiter.start()
+    waiter.join(wait_s)
+    return got[0] if got else None
+
+
 @dataclass
 class FlowRun:
     queues: dict[str, DataFrame] = field(default_factory=dict)
     sinks: dict[str, DataFrame] = field(default_factory=dict)
     # per stage: (stage name, type, kind, rows seen before gating, rows produced, in/out queue schema)
     trace: list = field(default_factory=list)
+    # stage name → its observations, of a run with ``observe``
+    observed: dict[str, list[Observation]] = field(default_factory=dict)
+    reached: set[str] = field(default_factory=set)   # names of the stages whose rows end in a sink
+
+    def counts(self, wait_s: float = 60.0) -> dict[str, dict[str, int | None]]:
+        """§2.F counters per stage as the jobs that wrote the sinks observed them: no
+        scan of their own, so ask after :func:`write_sinks` and only for a run
+        with ``observe``. A counter that its kind of stage doesn't have is None, and
+        so are all counters of a stage that leads to no sink (nothing ran it). Rows
+        computed again after the loss of an executor may count again, as in any
+        accumulator; :meth:`metrics` is exact and scans."""
+        if not self.observed:
+            raise FlowError("the flow was composed without observe=True")
+        kinds = {name: kind for name, _type, kind, *_ in self.trace}
+        out = {}
+        for name, parts in self.observed.items():
+            got = [_observed(o, wait_s) if name in self.reached else None for o in parts]
+            ran = all(g is not None for g in got)
+            out[name] = {c: sum(g.get(c) or 0 for g in got) if ran and _NOT_COUNTED.get(c) != kinds[name] else None for c in COUNTERS}
+        return out
 
     def metrics(self) -> DataFrame:
         """§2.F counters per stage (label ``stage`` = stage type, behaviour 7)."""
-        counters = ("dequeue", "process", "error", "enqueue")
         parts = []
         for name, typ, kind, seen, produced, in_s, out_s in self.trace:
             if kind == "transform":   # input is judged on what it saw, output on what it produced
@@ -186,17 +220,16 @@ class FlowRun:
             else:
                 halves = [account(seen, kind, in_s, out_s)]
             for half in halves:
-                parts.append(half.agg(*[F.sum(c).alias(c) for c in counters]).select(
-                    F.lit(name).alias("stage_name"), F.lit(typ).alias("stage"), F.lit(kind).alias("_kind"), *counters))
-        na = {"dequeue": "source", "enqueue": "sink"}
-        return (fan_in(parts).groupBy("stage_name", "stage", "_kind").agg(*[F.sum(c).alias(c) for c in counters])
-                .select("stage_name", "stage", *[F.when(F.col("_kind") != na.get(c, ""), F.coalesce(c, F.lit(0).cast("long"))).alias(c)
-                                                 for c in counters]))
+                parts.append(half.agg(*[F.sum(c).alias(c) for c in COUNTERS]).select(
+                    F.lit(name).alias("stage_name"), F.lit(typ).alias("stage"), F.lit(kind).alias("_kind"), *COUNTERS))
+        return (fan_in(parts).groupBy("stage_name", "stage", "_kind").agg(*[F.sum(c).alias(c) for c in COUNTERS])
+                .select("stage_name", "stage", *[F.when(F.col("_kind") != _NOT_COUNTED.get(c, ""), F.coalesce(c, F.lit(0).cast("long"))).alias(c)
+                                                 for c in COUNTERS]))
 
 
 def run_flow(spark: SparkSession, spec: dict, set_schema: bool = False,
              share_queues: bool = False, clock: Callable[[dict, DataFrame], Column] | None = None,
-             sources: dict[str, DataFrame] | None = None) -> FlowRun:
+             sources: dict[str, DataFrame] | None = None, observe: bool = False) -> FlowRun:
     """Compose the flow's DataFrames. ``set_schema=True`` lets transforms
     stamp their output queue's schema id instead of inheriting it.
 
@@ -208,7 +241,10 @@ def run_flow(spark: SparkSession, spec: dict, set_schema: bool = False,
     produce, for one micro-batch of a stream.
 
     Every push by a source or transform stamps ``enqueue_ts`` (A18) with
-    ``clock(stage, rows)``, by default the current time."""
+    ``clock(stage, rows)``, by default the current time.
+
+    ``observe=True`` counts each stage's rows in the jobs that write the sinks
+    (:meth:`FlowRun.counts`)."""
     clock = clock or (lambda _stage, _rows: F.current_timestamp().cast("timestamp_ntz"))
     check_spec(spec)
     queues = {q["name"]: q for q in spec.get("queues") or []}
@@ -226,6 +262,14 @@ def run_flow(spark: SparkSession, spec: dict, set_schema: bool = False,
     outputs: dict[str, DataFrame] = {}      # stage name → rows it enqueues
     inputs: dict[str, DataFrame] = {}       # stage name → rows it dequeues (before gate)
 
+    def watched(s: dict, df: DataFrame, kind: str, *schemas, only=COUNTERS) -> DataFrame:
+        if not observe:
+            return df
+        o = Observation()
+        run.observed.setdefault(s["name"], []).append(o)
+        sums = [F.sum(c).alias(n) for n, c in counters(kind, *schemas).items() if n in only]
+        return df.observe(o, *sums)
+
     def queue_df(qname: str, stack=()) -> DataFrame:
         if qname in run.queues:
             return run.queues[qname]
@@ -263,14 +307,15 @@ def run_flow(spark: SparkSession, spec: dict, set_schema: bool = False,
         if st.kind == "source":
             raw = given if given is not None else fn(int(s.get("threads", 1) or 1))
             run.trace.append((s["name"], s["type"], "source", raw, raw, None, out_schema))
-            produced = raw
+            produced = watched(s, raw, "source", None, out_schema)
         else:
             in_schema = _queue_schema(queues[s["input_queue"]])
-            seen = stage_in(s, stack)
-            produced = fn(G.gate_input(seen, in_schema))
+            seen = stage_in(s, stack)   # input is judged on what it saw, output on what it produced
+            produced = fn(G.gate_input(watched(s, seen, "sink", in_schema), in_schema))
             if set_schema and out_schema:
                 produced = produced.withColumn("schema_id", F.lit(out_schema))
             run.trace.append((s["name"], s["type"], "transform", seen, produced, in_schema, out_schema))
+            produced = watched(s, produced, "source", None, out_schema, only=("error", "enqueue"))
         if "enqueue_ts" in produced.columns:
             produced = produced.withColumn("enqueue_ts", clock(s, produced))
         outputs[s["name"]] = G.stamp_output(produced, out_schema)
@@ -283,13 +328,26 @@ def run_flow(spark: SparkSession, spec: dict, set_schema: bool = False,
             seen = stage_in(s, ())
             in_schema = _queue_schema(queues[s["input_queue"]])
             run.trace.append((s["name"], s["type"], "sink", seen, seen, in_schema, None))
-            run.sinks[s["name"]] = fn(G.gate_input(seen, in_schema))
+            run.sinks[s["name"]] = fn(G.gate_input(watched(s, seen, "sink", in_schema), in_schema))
+            run.reached |= {s["name"], *_upstream(s, producers)}
     for q in queues:
         if q in producers:
             queue_df(q)
     return run
 
 
+def _upstream(s: dict, producers: dict[str, list[dict]]) -> set[str]:
+    """Names of the stages whose rows come to ``s``."""
+    seen: set[str] = set()
+    ahead = [s]
+    while ahead:
+        for p in producers.get(ahead.pop().get("input_queue") or "", []):
+            if p["name"] not in seen:
+                seen.add(p["name"])
+                ahead.append(p)
+    return seen
+
+
 def source_frames(spark: SparkSession, spec: dict) -> dict[str, DataFrame]:
     """What each source stage produces, by stage name."""
     out = {}

@@ -67,8 +67,12 @@ def anchored(pattern: str) -> str:
     return f"^(?:{pattern})$"
 
 
+def matches(label: str, pattern: str) -> Column:
+    return F.col(label).cast("string").rlike(anchored(pattern))
+
+
 def select_regex(df: DataFrame, label: str, pattern: str, negate: bool = False) -> DataFrame:
-    m = F.col(label).cast("string").rlike(anchored(pattern))
+    m = matches(label, pattern)
     return df.where(~m if negate else m)
 
 
@@ -147,6 +151,27 @@ def histogram_quantile(counts: DataFrame, q: float, bounds: Sequence[float], by=
     return hit.select(*keys, val.alias(name))
 
 
+def bucket_quantile(buckets: Column, q: float, bounds: Sequence[float]) -> Column:
+    """:func:`histogram_quantile` of one row's array of (le, n), a ``le`` possibly
+    several times (partial counts). Null without observations. Walks the declared
+    bounds, so its work doesn't depend on the counts."""
+    if not (0.0 <= q <= 1.0) or math.isnan(q):
+        raise ValueError(f"quantile must lie in [0, 1], got {q}")
+    declared = F.array(*[F.lit(b) for b in sorted({*map(float, bounds), INF})])
+    zero = F.lit(0).cast("double")
+    upto = lambda hit: F.aggregate(F.filter(buckets, hit), zero, lambda acc, x: acc + x["n"])
+    total = F.aggregate(buckets, zero, lambda acc, x: acc + x["n"])
+    per = F.transform(declared, lambda le: F.struct(le.alias("le"), upto(lambda x: x["le"] == le).alias("n"),
+                                                    upto(lambda x: x["le"] <= le).alias("cum")))
+    rank = F.lit(float(q)) * total
+    hit = F.get(F.filter(per, lambda x: (x["n"] > 0) & (x["cum"] >= rank)), F.lit(0))
+    lo = lower_edge(hit["le"], bounds)
+    return (F.when(hit.isNull(), F.lit(None).cast("double"))
+             .when(hit["le"] == F.lit(INF), F.lit(float(max(bounds))))
+             .when((hit["le"] == F.lit(float(min(bounds)))) & (hit["le"] <= 0), hit["le"])
+             .otherwise(lo + (hit["le"] - lo) * (rank - (hit["cum"] - hit["n"])) / hit["n"]))
+
+
 # E4 / E5 ----------------------------------------------------------------
 def increase(samples: DataFrame, window_s: int, series, ts: str = "ts",
              value: str = "value", name: str = "increase") -> DataFrame:
@@ -200,6 +225,16 @@ def window_rate(df: DataFrame, step_s: int, by=None, ts: str = "ts",
                       (F.col("_n") / F.lit(float(step_s))).alias(name)))
 
 
+def window_rates(df: DataFrame, step_s: int, selected: dict[str, Column], by=None, ts: str = "ts") -> DataFrame:
+    """Several :func:`window_rate` vectors of one input, side by side and from one
+    pass: a column per selection, null where the vector has no sample."""
+    keys = _cols(by)
+    counts = [F.count(F.when(cond, 1)).alias(n) for n, cond in selected.items()]
+    per = df.groupBy(T.bucket_index(ts, step_s).alias("_b"), *keys).agg(*counts)
+    return per.select(T.index_to_ts(F.col("_b") + 1, step_s).alias("ts"), *keys,
+                      *[F.when(F.col(n) > 0, F.col(n) / F.lit(float(step_s))).alias(n) for n in selected])
+
+
 def window_quantile(df: DataFrame, value: str, q: float, bounds: Sequence[float],
                     step_s: int, by=None, ts: str = "ts", scale: float = 1.0,
                     name: str = "value") -> DataFrame:

@@ -135,6 +135,38 @@ def normalized_stages(specs: DataFrame, key: str = "flow_id") -> DataFrame:
              .select(key, F.col("pos").cast("long").alias("pos"), "s.*"))
 
 
+def line_positions(lines: DataFrame, key: str = "flow_id") -> DataFrame:
+    """C1 for stages that come one per line: ``pos`` becomes the normalised position
+    (the order of :func:`sorted_stages`), one window per spec, nothing nested."""
+    order = Window.partitionBy(key).orderBy("stage_name", "stage_type", "threads", "input_queue", "output_queue")
+    return lines.withColumn("pos", (F.row_number().over(order) - 1).cast("long"))
+
+
+def line_duplicates(lines: DataFrame, key: str = "flow_id", more: dict[str, Column] | None = None) -> DataFrame:
+    """C5/C6 on flat spec lines: names that occur more than once in a spec, by kind
+    (queue: with different declarations; stage; ``more``: further names a line
+    has) → (key, kind, name, n). One pass; counts are partial aggregates."""
+    declared = F.struct("capacity", "schema_id")
+    said = {"queue": ("input_queue", F.col("declares_queue")), "stage": ("stage_name", F.lit(False)),
+            **{k: (c, F.lit(False)) for k, c in (more or {}).items()}}
+    names = [F.struct(F.lit(k).alias("kind"), (F.col(c) if isinstance(c, str) else c).alias("name"), F.when(d, declared).alias("decl"))
+             for k, (c, d) in said.items()]
+    per = (lines.select(key, F.explode(F.array(*names)).alias("r")).select(key, "r.*")
+                .groupBy(key, "kind", "name").agg(F.count(F.lit(1)).alias("_n"), F.count_distinct("decl").alias("_q")))
+    return (per.select(key, "kind", "name", F.when(F.col("kind") == "queue", F.col("_q")).otherwise(F.col("_n")).alias("n"))
+               .where(F.col("n") > 1))
+
+
+def line_references(lines: DataFrame, key: str = "flow_id") -> DataFrame:
+    """C8/C9 on flat spec lines: references to queues that their spec doesn't declare
+    → (key, pos, queue, side). Positions and declared names come from one shuffle by spec."""
+    own = Window.partitionBy(key)
+    names = F.collect_set(F.when(F.col("declares_queue"), F.col("input_queue"))).over(own)
+    sides = F.array(*[F.struct(F.col(f"{x}_queue").alias("queue"), F.lit(x).alias("side")) for x in ("input", "output")])
+    refs = line_positions(lines.withColumn("_names", names), key).select(key, "pos", "_names", F.explode(sides).alias("r"))
+    return refs.where(F.col("r.queue").isNotNull() & ~F.array_contains("_names", F.col("r.queue"))).select(key, "pos", "r.*")
+
+
 def _viol(field: str, message: Column, section: int, pos, rule: int) -> Column:
     """A violation and its place in the reference's order of checks: section
     (0 flow, 1 queues, 2 stages, then the runtime's: 3 queues, 4 stages), position of the element, rule."""

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pipework.functions import time as T
@@ -31,30 +31,31 @@ from pipework.operators.scan import hour_chunk, ordered_scan
 ZERO_TRACE = "0" * 32
 
 
-def account(df: DataFrame, kind: str, in_schema: str | None = None,
-            out_schema: str | None = None, col: str = "schema_id") -> DataFrame:
+def counters(kind: str, in_schema: str | None = None, out_schema: str | None = None,
+             col: str = "schema_id") -> dict[str, Column]:
     """Per-row counters of one stage (table above) as 0/1 long columns."""
     one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+    none = F.lit(None).cast("long")
     in_ok = G.input_ok(in_schema, col)
     out_ok = G.output_ok(out_schema, col)
     if kind == "source":
-        return df.select("*", F.lit(None).cast("long").alias("dequeue"),
-                         F.when(out_ok, one).otherwise(zero).alias("process"),
-                         F.when(out_ok, zero).otherwise(one).alias("error"),
-                         F.when(out_ok, one).otherwise(zero).alias("enqueue"))
+        return {"dequeue": none, "process": F.when(out_ok, one).otherwise(zero),
+                "error": F.when(out_ok, zero).otherwise(one), "enqueue": F.when(out_ok, one).otherwise(zero)}
     if kind == "transform":
-        return df.select("*", one.alias("dequeue"),
-                         F.when(in_ok, one).otherwise(zero).alias("process"),
-                         F.when(in_ok & out_ok, zero).otherwise(one).alias("error"),
-                         F.when(in_ok & out_ok, one).otherwise(zero).alias("enqueue"))
+        return {"dequeue": one, "process": F.when(in_ok, one).otherwise(zero),
+                "error": F.when(in_ok & out_ok, zero).otherwise(one), "enqueue": F.when(in_ok & out_ok, one).otherwise(zero)}
     if kind == "sink":
-        return df.select("*", one.alias("dequeue"),
-                         F.when(in_ok, one).otherwise(zero).alias("process"),
-                         F.when(in_ok, zero).otherwise(one).alias("error"),
-                         F.lit(None).cast("long").alias("enqueue"))
+        return {"dequeue": one, "process": F.when(in_ok, one).otherwise(zero),
+                "error": F.when(in_ok, zero).otherwise(one), "enqueue": none}
     raise ValueError(f"unknown stage kind {kind!r}")
 
 
+def account(df: DataFrame, kind: str, in_schema: str | None = None,
+            out_schema: str | None = None, col: str = "schema_id") -> DataFrame:
+    """The rows with their :func:`counters`."""
+    return df.select("*", *[c.alias(n) for n, c in counters(kind, in_schema, out_schema, col).items()])
+
+
 def runtime_points(payloads: DataFrame, queue_schema: str | None) -> DataFrame:
     """Observations of the canonical runtime flow over the envelope: each
     payload is produced by a source into queue ``<event_type>`` (schema

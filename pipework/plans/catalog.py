@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pipework.plans import oracle as O
-from pipework.plans.panels import PANELS
+from pipework.plans.panels import PANELS, RANGED
 
 QUERIES: dict = {}
 ORACLE: dict = {}
 
 QUERIES.update(PANELS)
+QUERIES.update(RANGED)
 ORACLE.update(O.panel_sql())
 
 from pipework.plans.alerts import ALERTS  # noqa: E402

@@ -54,25 +54,22 @@ def dq_non_empty(spark, d):
     return Q.non_empty(o, load(spark, d, "lineitem"), ["o_orderkey"], ["l_orderkey"])
 
 
+def _lines(spark, d):
+    return X.spec_lines(spark, d).withColumn("schema_id", X.queue_schema_id())
+
+
 def dq_unique(spark, d):
-    own = Q.duplicates(_both_sides(_specs(spark, d)), ["flow_id", "kind", "name"])
-    li = Q.duplicates(load(spark, d, "lineitem").select(F.col("l_orderkey").alias("flow_id"),
-                                                        F.col("l_linenumber").cast("string").alias("name")),
-                      ["flow_id", "name"]).withColumn("kind", F.lit("lineitem"))
-    return own.unionByName(li)
+    """Queue and stage names per flow, and line numbers per order, from one pass over the lines."""
+    return Q.line_duplicates(_lines(spark, d), more={"lineitem": F.col("pos").cast("string")}).select("flow_id", "name", "n", "kind")
 
 
 def dq_min_value(spark, d):
-    st = Q.normalized_stages(_specs(spark, d))
+    st = Q.line_positions(_lines(spark, d)).withColumnRenamed("stage_name", "name")
     return Q.below_min(st, "threads", 1).select("flow_id", "pos", "name", "threads")
 
 
 def dq_foreign_key(spark, d):
-    refs = Q.stage_references(_specs(spark, d))
-    sides = F.array(*[F.struct(F.col(f"{x}_queue").alias("queue"), F.lit(x).alias("side"), F.col(f"{x}_ok").alias("ok"))
-                      for x in ("input", "output")])
-    own = refs.select("flow_id", "pos", F.explode(sides).alias("r")).select("flow_id", "pos", "r.*")
-    own = own.where(F.col("queue").isNotNull() & ~F.col("ok")).drop("ok")
+    own = Q.line_references(_lines(spark, d))
     li = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("flow_id"),
                                            F.col("l_linenumber").cast("long").alias("pos"), "l_partkey")
     fk = (Q.missing_reference(li, load(spark, d, "part"), ["l_partkey"], ["p_partkey"])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pipework.functions import time as T
 from pipework.operators import promql as P
+from pipework.operators import sketch as K
 from pipework.operators import telemetry as M
 from pipework.operators.history import queue_depth
 from pipework.sources import fixtures as X
@@ -82,19 +83,15 @@ def max_all(spark, d):
 
 # E10 / E13 ------------------------------------------------------------------
 def error_ratio(spark, d):
-    a = X.access_log(spark, d)
-    err = P.window_rate(P.select_regex(a, "status", "5.."), STEP_S, name="err")
-    tot = P.window_rate(a, STEP_S, name="tot")
-    r = P.divide(err, tot, ["ts"], "err", "tot", name="ratio")
-    return r.select("ts", F.round("ratio", 6).alias("ratio"))
+    both = P.window_rates(X.access_log(spark, d), STEP_S, {"err": P.matches("status", "5.."), "tot": F.lit(True)})
+    r = both.where(F.col("err").isNotNull())   # matching samples only
+    return r.select("ts", F.round(F.try_divide("err", "tot"), 6).alias("ratio"))
 
 
 def vector_and(spark, d):
-    a = X.access_log(spark, d)
-    err = P.window_rate(P.select_regex(a, "status", "5.."), STEP_S, ["route"], name="value")
-    busy = P.window_rate(a, STEP_S, ["route"], name="tot").where(F.col("tot") * STEP_S >= 2)
-    r = P.vector_and(err, busy, ["ts", "route"])
-    return r.select("ts", "route", F.round("value", 6).alias("value"))
+    both = P.window_rates(X.access_log(spark, d), STEP_S, {"err": P.matches("status", "5.."), "tot": F.lit(True)}, ["route"])
+    r = both.where(F.col("err").isNotNull() & (F.col("tot") * STEP_S >= 2))
+    return r.select("ts", "route", F.round("err", 6).alias("value"))
 
 
 # E11 / E36 ------------------------------------------------------------------
@@ -111,6 +108,15 @@ def bucketize(spark, d):
     return b.select("route", "le", "cum")
 
 
+def p95_sketch(spark, d):
+    """p95 latency without buckets by day and route: sketches by the minute, merged; each
+    answer's rank is held against all observations, at twice the sketch's 99 % bound."""
+    a = X.access_log(spark, d).withColumn("day", F.to_date("ts"))
+    minutes = K.step_sketches(a, "latency_ms", STEP_S, ["day", "route"])
+    p95 = K.quantile(K.merged(minutes, ["day", "route"]), 0.95)
+    return K.rank_check(a, p95, "latency_ms", 0.95, ["day", "route"], 2 * K.rank_error())
+
+
 # E14 / E16 / E19 / E20 ------------------------------------------------------
 def alert_for(spark, d):
     """Generic ``for: 3m`` on 'queue received traffic this minute'."""
@@ -219,7 +225,7 @@ MONITORING = {
     "m_drops": m_drops, "m_queue_depth": m_queue_depth,
     "sel_eq": sel_eq, "sel_regex": sel_regex, "increase_10m": increase_10m, "rate_1m": rate_1m,
     "max_over_time": max_over_time, "sum_all": sum_all, "sum_by": sum_by, "max_all": max_all,
-    "error_ratio": error_ratio, "vector_and": vector_and, "hist_p95": hist_p95, "bucketize": bucketize,
+    "error_ratio": error_ratio, "vector_and": vector_and, "hist_p95": hist_p95, "p95_sketch": p95_sketch, "bucketize": bucketize,
     "alert_for": alert_for, "last_not_null": last_not_null, "threshold_state": threshold_state,
     "time_range": time_range, "logs_recent": logs_recent, "traces_recent": traces_recent,
     "m_enqueue": m_enqueue, "m_dequeue": m_dequeue, "m_dwell": m_dwell, "m_process": m_process,

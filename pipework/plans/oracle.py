@@ -251,6 +251,13 @@ def panel_sql() -> dict[str, str]:
         "api_logs": _logs_sql("src1"), "ctl_logs": _logs_sql("src2"), "rt_logs": _logs_sql("src3"),
         "api_traces": _traces_sql("click"), "ctl_traces": _traces_sql("view"), "rt_traces": _traces_sql("purchase", None),
     }
+    newest = {"rt_dwell_p95": ("rt", "ts"), "api_http_rate": ("access", "ts"),
+              "ctl_queue_depth": ("work", "ts")}
+    for k, (src, ts) in newest.items():
+        s[f"{k}_6h"] = f"""SELECT p.* FROM ({s[k]}) p WHERE p.{ts} > (SELECT n - INTERVAL 6 HOUR FROM ({with_(src)}
+            SELECT max({ts}) AS n FROM {src}))"""
+    s["ovw_http_5xx_6h"] = f"""SELECT max(ts) AS ts, max(value) AS value, coalesce(max(state), 'green') AS state FROM ({s["ovw_http_5xx"]}) p
+        WHERE ts > (SELECT n - INTERVAL 6 HOUR FROM ({with_("access")} SELECT max(ts) AS n FROM access))"""
     return s
 
 
@@ -392,6 +399,8 @@ def monitoring_sql() -> dict[str, str]:
         hv AS (SELECT hs.* FROM hs JOIN hp USING (queue, le))
         SELECT queue, round(CASE WHEN le = 'inf'::DOUBLE THEN 10000.0 ELSE ({lower_case('le', MS_BOUNDS)})
                + (le - ({lower_case('le', MS_BOUNDS)})) * (0.95 * tot - (cum - cnt)) / cnt END, 6) AS p95_ms FROM hv"""
+    s["p95_sketch"] = with_("access") + """ SELECT CAST(ts AS DATE) AS day, route, count(*) AS n, true AS within
+        FROM access WHERE latency_ms IS NOT NULL GROUP BY 1, 2"""
     s["bucketize"] = with_("access") + f""", bc AS (SELECT route, {le_case('latency_ms', MS_BOUNDS)} AS le, count(*) AS cnt
             FROM access GROUP BY ALL)
         SELECT route, le, CAST(sum(cnt) OVER (PARTITION BY route ORDER BY le ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cum
