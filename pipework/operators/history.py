@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pipework.functions import time as T
 from pipework.functions.scalars import key_leaf, key_name
 from pipework.operators.asof import asof_join
-from pipework.operators.scan import hour_chunk, ordered_scan, split_heavy
+from pipework.operators.scan import chunked_scan, hour_chunk, ordered_scan, split_heavy
+from pipework.session import written
 
 # --- fixed values: messages and states -----------------------------------
 ROLLBACK_MISSING = "version %d does not exist"
@@ -135,19 +136,30 @@ def rollback_errors(replayed: DataFrame, key: str = "name") -> DataFrame:
                             F.format_string(ROLLBACK_MISSING, F.col("version").cast("long")).alias("error")))
 
 
-def _pointer_scan(batches, key: str):
-    """Ordered fold of the store's code rule over rows sorted by (name, epoch).
-    State is (name, epoch, active, max version): constant memory, streamed
-    batch by batch. Only op and version are looked at; the other columns pass
-    through as they came."""
+def _pointer_scan(batches, by: list[str], exits: bool):
+    """Ordered fold of the store's code rule over rows sorted by the group ``by``.
+    State is (group, active, max version): constant memory, streamed batch by
+    batch, from the entry state (_a, _t) that a group's rows carry. Gives each row
+    with what it wrote and the pointer after it (only op and version are looked
+    at, the other columns pass through as they came), or with ``exits`` just
+    each group's last state."""
     import pyarrow as pa
     cur, active, top = None, 0, 0
+    schema = None
+
+    def ended():
+        return pa.RecordBatch.from_arrays([pa.array([v], schema.field(n).type) for n, v in zip(by, cur)]
+                                          + [pa.array([active], pa.int64()), pa.array([top], pa.int64())], names=[*by, "_xa", "_xt"])
     for b in batches:
-        names, epochs, ops, versions = (b.column(n).to_pylist() for n in (key, "epoch", "op", "version"))
+        schema = b.schema
+        groups = list(zip(*(b.column(n).to_pylist() for n in by), strict=True))
+        ops, versions, entry_a, entry_t = (b.column(n).to_pylist() for n in ("op", "version", "_a", "_t"))
         written, pointer = [], []
-        for name, epoch, op, v in zip(names, epochs, ops, versions, strict=True):
-            if (name, epoch) != cur:
-                cur, active, top = (name, epoch), 0, 0
+        for i, (group, op, v) in enumerate(zip(groups, ops, versions, strict=True)):
+            if group != cur:
+                if exits and cur is not None:
+                    yield ended()
+                cur, active, top = group, entry_a[i], entry_t[i]
             put = None
             if op == "put":
                 active += 1
@@ -157,25 +169,72 @@ def _pointer_scan(batches, key: str):
                 active = v
             written.append(put)
             pointer.append(active or None)
-        cols = [b.column(n) for n in b.schema.names] + [pa.array(written, pa.int64()), pa.array(pointer, pa.int64())]
-        yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, "written", "active"])
-
-
-def replay_pointer(oplog: DataFrame, key: str = "name", value: str = "spec") -> DataFrame:
+        if not exits:
+            cols = [b.column(n) for n in schema.names] + [pa.array(written, pa.int64()), pa.array(pointer, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=[*schema.names, "written", "active"])
+    if exits and cur is not None:
+        yield ended()
+
+
+def _fold(ops: DataFrame, by: list[str], exits: bool = False) -> DataFrame:
+    """:func:`_pointer_scan` of every group in order; the entry states go."""
+    types = {f.name: f.dataType.simpleString() for f in ops.schema}
+    out = {**{n: types[n] for n in by}, "_xa": "bigint", "_xt": "bigint"} if exits else {**types, "written": "bigint", "active": "bigint"}
+    rows = ops.repartition(*by).sortWithinPartitions(*by, *ORDER)
+    return rows.mapInArrow(lambda it: _pointer_scan(it, by, exits), ", ".join(f"`{n}` {t}" for n, t in out.items())).drop("_a", "_t")
+
+
+def _speculative_fold(ops: DataFrame, key: str, chunk: Column) -> DataFrame:
+    """The fold of names too heavy for one task, over their chunks side by side.
+
+    Every chunk is folded from a guessed entry state (as many versions as there were
+    puts before it). Where the state that the chunk before it really ends in is another,
+    the chunk is folded again from that one, and so on until no entry differs: then the
+    chain is that of the sequential fold. A wrong guess is healed by the first
+    rollback that is valid either way, so few chunks are folded more than
+    twice; at worst there are as many rounds as chunks. Per round only the chunks'
+    states are kept, never rows."""
+    by = [key, "epoch", "_chunk"]
+    rows = written(ops.withColumn("_chunk", chunk).where(F.col(key).isNotNull()))
+    before = Window.partitionBy(key, "epoch").orderBy("_chunk")
+    puts = rows.groupBy(*by).agg(F.sum((F.col("op") == "put").cast("long")).alias("_p"))
+    so_far = F.coalesce(F.sum("_p").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    todo = written(puts.select(*by, so_far.alias("_a"), so_far.alias("_t")))
+    states = None
+    while True:
+        exits = todo.join(_fold(rows.join(todo, by), by, exits=True), by)
+        states = written(exits if states is None else states.join(todo.select(*by), by, "left_anti").unionByName(exits))
+        real = [F.coalesce(F.lag(x).over(before), F.lit(0).cast("long")).alias(n) for n, x in (("_ra", "_xa"), ("_rt", "_xt"))]
+        wrong = states.select(*by, "_a", "_t", *real).where("_ra <> _a OR _rt <> _t")
+        todo = written(wrong.select(*by, F.col("_ra").alias("_a"), F.col("_rt").alias("_t")))
+        if todo.isEmpty():
+            return _fold(rows.join(states.select(*by, "_a", "_t"), by), by).drop("_chunk")
+
+
+def replay_pointer(oplog: DataFrame, key: str = "name", value: str = "spec", chunk: Column | None = None,
+                   heavy_rows: int | None = None) -> DataFrame:
     """D2, the store's code rule: next version = active + 1, so a put after a
     rollback overwrites a newer version. The rule is a sequential fold between
     two deletes of a name: a streaming scan over rows partitioned by
-    ``(name, delete epoch)`` (a delete opens its epoch, so it only resets). The
+    ``(name, delete epoch)`` (a delete opens its epoch, so it only resets), or for
+    names of over ``heavy_rows`` ops by :func:`_speculative_fold`. The
     results are then reduced with partial aggregations:
 
     * a version's value = the last put that wrote it in the latest epoch;
     * the active version = the pointer after the name's last op.
+
+    Rows without a name are left out.
     """
-    ops = ordered_scan(oplog.select(key, *ORDER, "op", F.col("version").cast("long").alias("version"), value), [key], list(ORDER),
-                       hour_chunk(ORDER[0]), sums={"epoch": (F.col("op") == "delete").cast("long")})
-    out_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ops.schema) + ", written bigint, active bigint"
-    scanned = (ops.repartition(key, "epoch").sortWithinPartitions(key, "epoch", *ORDER)
-                  .mapInArrow(lambda it: _pointer_scan(it, key), out_schema))
+    base = oplog.select(key, *ORDER, "op", F.col("version").cast("long").alias("version"), value)
+    light, heavy = split_heavy(base, [key], heavy_rows)
+    deletes = (F.col("op") == "delete").cast("long")
+    run = Window.partitionBy(key).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    start = {n: F.lit(0).cast("long") for n in ("_a", "_t")}
+    scanned = _fold(light.withColumn("epoch", F.sum(deletes).over(run)).withColumns(start), [key, "epoch"])
+    if heavy is not None:
+        ch = chunk if chunk is not None else hour_chunk(ORDER[0])
+        ops = chunked_scan(heavy, [key], list(ORDER), ch, sums={"epoch": deletes})
+        scanned = scanned.unionByName(_speculative_fold(ops, key, ch).select(*scanned.columns))
     order = F.struct(*ORDER)
     last = scanned.groupBy(key).agg(F.max("epoch").alias("_e"), F.max_by("active", order).alias("active_version"))
     writes = (scanned.where(F.col("written").isNotNull())
@@ -185,6 +244,17 @@ def replay_pointer(oplog: DataFrame, key: str = "name", value: str = "spec") ->
                   .select(key, "version", value, (F.col("version") == F.col("active_version")).alias("is_active")))
 
 
+def version_chain(replayed: DataFrame, sizes: DataFrame, key: str = "name", heavy_rows: int | None = None) -> DataFrame:
+    """C12's input along the real chain: each version of a replay (D1) beside the one
+    before it in the same epoch, as ``a_*`` and ``b_*`` columns. ``sizes`` has a put's
+    ``seq`` and its spec's ``spec_name``, ``queues`` and ``stages``."""
+    puts = replayed.where(F.col("op") == "put").select(key, *ORDER, "epoch", F.col("put_version").alias("version"))
+    spec = F.struct("epoch", "spec_name", "queues", "stages")
+    seen = ordered_scan(puts.join(sizes, "seq"), [key], list(ORDER), hour_chunk(ORDER[0]), prevs={"_was": spec}, heavy_rows=heavy_rows)
+    both = {"a_name": "_was.spec_name", "a_q": "_was.queues", "a_s": "_was.stages", "b_name": "spec_name", "b_q": "queues", "b_s": "stages"}
+    return seen.where(F.col("_was.epoch") == F.col("epoch")).select(key, "epoch", "version", *[F.col(c).alias(n) for n, c in both.items()])
+
+
 # D5 / D6 / D7 / D8 --------------------------------------------------------
 def flow_list(versions: DataFrame, key: str = "name") -> DataFrame:
     """Names with a resolvable active pointer → active spec."""

@@ -291,7 +291,7 @@ def spec_fingerprint(specs: DataFrame, key: str = "flow_id") -> DataFrame:
     return n.select(key, F.sha2(F.concat(_sealed(F.col("name")), _sealed(q), _sealed(st)), 256).alias("fingerprint"))
 
 
-def diff_lines(pairs: DataFrame, key: str = "flow_id") -> DataFrame:
+def diff_lines(pairs: DataFrame, *keys: str) -> DataFrame:
     """C12 on a frame holding both versions side by side
     (``a_name, a_q, a_s, b_name, b_q, b_s``): ``field: a → b`` lines, only
     for the fields that changed."""
@@ -300,7 +300,7 @@ def diff_lines(pairs: DataFrame, key: str = "flow_id") -> DataFrame:
                F.format_string("name: %s → %s", quoted("a_name"), quoted("b_name"))),
         F.when(F.col("a_q") != F.col("b_q"), F.format_string("queues: %d → %d", "a_q", "b_q")),
         F.when(F.col("a_s") != F.col("b_s"), F.format_string("stages: %d → %d", "a_s", "b_s")))
-    return pairs.select(key, F.explode(F.filter(lines, lambda x: x.isNotNull())).alias("change"))
+    return pairs.select(*(keys or ("flow_id",)), F.explode(F.filter(lines, lambda x: x.isNotNull())).alias("change"))
 
 
 def diff(a: DataFrame, b: DataFrame, key: str = "flow_id") -> DataFrame:

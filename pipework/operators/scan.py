@@ -2,7 +2,7 @@
 
 A window ``partitionBy(key).orderBy(ts, seq)`` sends every row of a key to
 one task. For most keys that is right: one shuffle, nothing else. Only a
-*heavy* key (a partial count per key finds them; there are at most
+*heavy* key (a sketch of fixed size finds them; there are at most
 ``HEAVY_KEYS``) is split into chunks along the order:
 
 1. local scans with windows partitioned by ``(key, chunk)``;
@@ -29,22 +29,33 @@ def hour_chunk(ts: str = "ts", seconds: int = 3600) -> Column:
 #: A key is heavy with more than this many rows, and more than 1/HEAVY_KEYS of all rows.
 HEAVY_ROWS = 1_000_000
 HEAVY_KEYS = 1000
+#: Keys a sketch tracks at most: any key of over 3.5/TRACKED of all rows is found, which
+#: covers 1/HEAVY_KEYS; a sketch has some 100 KB whatever the number of keys.
+TRACKED = 1 << 14
+#: Sketches of the partitions are merged in this many groups first, then these.
+MERGES = 256
+
+
+def heavy_hashes(df: DataFrame, key: list[str], heavy_rows: int | None = None) -> list[int]:
+    """Hashes of the heavy keys, HEAVY_KEYS at most, from a mergeable frequent-items
+    sketch: no key is shuffled, only sketches are. Counts are upper bounds, so a
+    key may come out heavy that is slightly lighter than ``heavy_rows``; a lighter
+    key with the same hash goes with it. Neither changes a scan's rows."""
+    heavy_rows = HEAVY_ROWS if heavy_rows is None else heavy_rows
+    hashed = df.select(F.xxhash64(*key).alias("_h"), (F.spark_partition_id() % MERGES).alias("_m"))
+    first = hashed.groupBy("_m").agg(F.expr(f"approx_top_k_accumulate(_h, {TRACKED})").alias("_s"))
+    top = first.groupBy(F.lit("all")).agg(F.expr(f"approx_top_k_combine(_s, {TRACKED})").alias("_s")) \
+               .select(F.expr(f"approx_top_k_estimate(_s, {HEAVY_KEYS})").alias("top")).first()
+    return [r["item"] for r in top["top"] if r["count"] > heavy_rows] if top else []   # no rows, no sketch
 
 
 def split_heavy(df: DataFrame, key: list[str], heavy_rows: int | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """(rows of ordinary keys, rows of heavy keys or None). One partial count per
-    key; the driver gets the heavy keys only, fewer than HEAVY_KEYS."""
-    heavy_rows = HEAVY_ROWS if heavy_rows is None else heavy_rows
-    many = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > heavy_rows)
-    heavy = many.orderBy(F.desc("_n")).limit(HEAVY_KEYS).collect()
+    """(rows of ordinary keys, rows of heavy keys or None). The driver gets hashes of
+    the heavy keys only."""
+    heavy = heavy_hashes(df, key, heavy_rows)
     if not heavy:
         return df, None
-    hit = F.lit(False)
-    for r in heavy:
-        one = F.lit(True)
-        for k in key:
-            one = one & F.col(k).eqNullSafe(F.lit(r[k]))
-        hit = hit | one
+    hit = F.xxhash64(*key).isin(heavy)
     return df.where(~hit), df.where(hit)
 
 

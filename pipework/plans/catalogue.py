@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pipework.operators import history as H
 from pipework.operators import quality as Q
 from pipework.sources import fixtures as X
 from pipework.sources.specfiles import parse_specs
@@ -112,6 +113,17 @@ def spec_diff(spark, d):
     return Q.diff_lines(pairs)
 
 
+def spec_version_diff(spark, d):
+    """Diff lines between each version of a flow and the one before it (D1's chain): an
+    order that puts a version has the spec of its lines."""
+    queue = F.struct("input_queue", "capacity", "schema_id")
+    sizes = _lines(spark, d).groupBy(F.col("flow_id").alias("seq")).agg(
+        F.count_distinct(F.when(F.col("declares_queue"), queue)).alias("queues"), F.count(F.lit(1)).alias("stages"))
+    named = sizes.withColumn("spec_name", F.concat(F.lit("spec_"), (F.col("seq") % 3).cast("string")))
+    chain = H.version_chain(H.replay(X.oplog(spark, d)), named)
+    return Q.diff_lines(chain, "name", "epoch", "version")
+
+
 def json_roundtrip(spark, d):
     return Q.json_roundtrip(_specs(spark, d))
 
@@ -150,7 +162,7 @@ CATALOGUE = {
     "dq_non_empty": dq_non_empty, "dq_unique": dq_unique, "dq_min_value": dq_min_value,
     "dq_foreign_key": dq_foreign_key, "dq_conditional": dq_conditional, "row_fingerprint": row_fingerprint,
     "spec_fingerprint": spec_fingerprint,
-    "spec_diff": spec_diff, "json_roundtrip": json_roundtrip, "spec_load": spec_load,
+    "spec_diff": spec_diff, "spec_version_diff": spec_version_diff, "json_roundtrip": json_roundtrip, "spec_load": spec_load,
     "spec_validate": spec_validate, "spec_first_error": spec_first_error,
     "spec_validation_summary": spec_validation_summary,
 }

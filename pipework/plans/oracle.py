@@ -782,6 +782,17 @@ def catalogue_sql() -> dict[str, str]:
         SELECT flow_id, 'name: "' || a_name || '" → "' || b_name || '"' AS change FROM j WHERE a_name <> b_name
         UNION ALL SELECT flow_id, 'queues: ' || a_q || ' → ' || b_q FROM j WHERE a_q <> b_q
         UNION ALL SELECT flow_id, 'stages: ' || a_s || ' → ' || b_s FROM j WHERE a_s <> b_s"""
+    s["spec_version_diff"] = with_("oplog", "spec_lines") + f""",
+        vp AS (SELECT *, sum(CAST(op = 'delete' AS BIGINT)) OVER (PARTITION BY name ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS epoch FROM oplog),
+        vv AS (SELECT name, seq, ts, CAST(epoch AS BIGINT) AS epoch, row_number() OVER (PARTITION BY name, epoch ORDER BY ts, seq) AS version
+               FROM vp WHERE op = 'put'),
+        vc AS ({_spec_counts("spec_lines", "'spec_' || CAST(a.flow_id % 3 AS VARCHAR)")}),
+        vj AS (SELECT vv.name, epoch, version, vc.name AS spec_name, nq, ns FROM vv JOIN vc ON vv.seq = vc.flow_id),
+        vd AS (SELECT name, epoch, version, spec_name AS b_name, nq AS b_q, ns AS b_s, lag(spec_name) OVER w AS a_name, lag(nq) OVER w AS a_q,
+                      lag(ns) OVER w AS a_s FROM vj WINDOW w AS (PARTITION BY name, epoch ORDER BY version))
+        SELECT name, epoch, version, 'name: "' || a_name || '" → "' || b_name || '"' AS change FROM vd WHERE a_name <> b_name
+        UNION ALL SELECT name, epoch, version, 'queues: ' || a_q || ' → ' || b_q FROM vd WHERE a_q <> b_q
+        UNION ALL SELECT name, epoch, version, 'stages: ' || a_s || ' → ' || b_s FROM vd WHERE a_s <> b_s"""
     s["json_roundtrip"] = with_("spec_lines") + f""", c AS ({_spec_counts("spec_lines", "a.flow")})
         SELECT flow_id, true AS roundtrip_ok, ns AS n_stages, nq AS n_queues FROM c"""
     s["spec_load"] = with_("spec_lines") + f""", c AS ({_spec_counts("spec_lines", "a.flow")})

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark import SparkConf
 from pyspark.sql import SparkSession
@@ -89,6 +90,15 @@ def materialize(df):
     return df.checkpoint(eager=True)
 
 
+def written(df):
+    """``df`` as a table under the shared checkpoint folder, read again: for what a
+    loop carries from round to round. A checkpoint keeps the estimated size of
+    the plan it came from, and estimates of joins multiply."""
+    path = scratch_path(df.sparkSession, f"written-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _SHIPPED: set[str] = set()
 
 
