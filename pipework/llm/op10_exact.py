@@ -21,28 +21,57 @@ HOT_KEYS = 1000
 HOT_FLOOR = 64
 
 
-def _hot_hashes(keyed: DataFrame, key: str) -> list[int]:
-    """Hashes of the keys that hold over 1/HOT_KEYS of the rows: under HOT_KEYS of them."""
+#: A key that isn't hot but has more rows than this, or than 1/SPREAD_KEYS of all rows if
+#: that is more, is dealt over several tasks; there can be at most SPREAD_KEYS.
+SPREAD_FLOOR = 2000
+SPREAD_KEYS = 1_000_000
+
+
+def _frequent(keyed: DataFrame, key: str) -> tuple[list[int], DataFrame | None]:
+    """Hashes of the hot keys, those that hold over 1/HOT_KEYS of the rows (under HOT_KEYS
+    of them), and (__h, __n) of the keys to deal over __n tasks, or None: two
+    numbers a key, fewer than SPREAD_KEYS whatever the number of rows."""
     seen = Observation()
     counts = keyed.groupBy(F.xxhash64(key).alias("h")).agg(F.count("*").alias("c"))
     counts = keep(counts.observe(seen, F.sum("c").alias("rows")).where(F.col("c") > HOT_FLOOR), "counts")
-    floor = max((seen.get["rows"] or 0) // HOT_KEYS, HOT_FLOOR)
-    return [r.h for r in counts.where(F.col("c") > floor).select("h").collect()]
+    rows = seen.get["rows"] or 0
+    floor, part = max(rows // HOT_KEYS, HOT_FLOOR), max(rows // SPREAD_KEYS, SPREAD_FLOOR)
+    hot = [r.h for r in counts.where(F.col("c") > floor).select("h").collect()]
+    spread = counts.where((F.col("c") > part) & (F.col("c") <= floor))
+    if part >= floor or spread.isEmpty():
+        return hot, None
+    return hot, spread.select(F.col("h").alias("__h"), F.ceil(F.col("c") / F.lit(part)).cast("long").alias("__n"))
+
+
+def _joined(rows: DataFrame, side: DataFrame, key: str, spread: DataFrame | None) -> DataFrame:
+    """``rows`` with the columns of ``side`` (one row a key), keys of ``spread`` in several
+    shares: a row's share follows from its other columns, ``side`` goes to each."""
+    if spread is None:
+        return rows.join(side, key)
+    shares = F.coalesce("__n", F.lit(1).cast("long"))
+    told = lambda df: df.withColumn("__h", F.xxhash64(key)).join(F.broadcast(spread), "__h", "left")
+    mine = F.pmod(F.xxhash64(*[c for c in rows.columns if c != key]), shares)
+    r = told(rows).withColumn("__share", mine).drop("__h", "__n")
+    s = told(side).withColumn("__share", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1))).drop("__h", "__n")
+    return r.join(s, [key, "__share"]).drop("__share")
 
 
 def name_keys(keyed: DataFrame, key: str, out: str) -> DataFrame:
     """Adds ``out``: an integer equal exactly for equal ``key`` values.
 
     Keys are grouped (with map-side combining) and sorted, and numbered in that
-    order; rows get the number by a join that is already partitioned by key. The
-    few hot keys (bounded by HOT_KEYS) are numbered apart, below zero, and
-    reach their rows by broadcast, so no hot key is shuffled row by row."""
-    hot = _hot_hashes(keyed, key)
+    order; rows get the number by a join that is already partitioned by key, rows of
+    frequent keys by shares. The few hot keys (bounded by HOT_KEYS) are numbered
+    apart, below zero, and reach their rows by broadcast, so no hot key is shuffled
+    row by row."""
+    hot, spread = _frequent(keyed, key)
     is_hot = F.xxhash64(key).isin(hot) if hot else F.lit(False)
     cold = keyed.where(~is_hot)
     names = (cold.groupBy(key).agg(F.count("*").alias("__c")).drop("__c")
              .sortWithinPartitions(key).withColumn(out, F.monotonically_increasing_id()))
-    named = cold.join(names, key)
+    if spread is not None:
+        names = keep(names, "names")   # numbered once, before shares of it are dealt
+    named = _joined(cold, names, key, spread)
     if hot:
         few = keyed.where(is_hot).groupBy(key).agg(F.count("*").alias("__c")).drop("__c")
         few = few.agg(F.sort_array(F.collect_set(key)).alias("k")).select(F.posexplode("k").alias("__p", key))
@@ -93,10 +122,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     names = block_names(d, block_bytes)
     named = keep(names.select("doc_id", "sha", "copies", F.struct("n_blocks", "name").alias("identity")), "named")
     group = named.groupBy("identity").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
-    hot = named.select("identity", "copies")
-    hot = _hot_hashes(hot, "identity")
+    hot, spread = _frequent(named.select("identity", "copies"), "identity")
     is_hot = F.xxhash64("identity").isin(hot) if hot else F.lit(False)
-    out = named.where(~is_hot).join(group.where(~is_hot), "identity")
+    out = _joined(named.where(~is_hot), group.where(~is_hot), "identity", spread)
     if hot:
         out = out.unionByName(named.where(is_hot).join(F.broadcast(group.where(is_hot)), "identity"))
     return out.select(

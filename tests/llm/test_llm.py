@@ -515,6 +515,27 @@ def test_exact_hot_keys(odd, monkeypatch):
     assert want == {r.doc_id: (r.keep_id, r.group_size) for r in op10_exact.exact_groups(odd, block_bytes=50).collect()}
 
 
+def test_exact_frequent_keys(spark, monkeypatch):
+    """Texts and blocks too rare to be hot and too frequent for one task go by shares:
+    the answer is that of plain grouping, whatever lies between the bounds."""
+    rows = [(i, ["a" * 120, "b" * 60 + "c" * 60, "", None, "a" * 60 + f"{i:060d}"][min(i % 8, 4)]) for i in range(400)] + [(7, "a" * 120)] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = collections.Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in op10_exact.exact_groups(docs).collect())
+    groups = collections.defaultdict(list)
+    for i, t in rows:
+        groups[t or ""].append(i)
+    assert {(k[1], k[2]) for k in want} == {(max(g), len(g)) for g in groups.values()} and sum(want.values()) == len(rows)
+    for hot, share in ((2, 3), (4, 40)):
+        for name, value in (("HOT_FLOOR", 1), ("HOT_KEYS", hot), ("SPREAD_FLOOR", share)):
+            monkeypatch.setattr(op10_exact, name, value)
+        blocks = docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, 50).alias("block"))
+        spread = op10_exact._frequent(blocks, "block")[1]
+        assert spread is not None and min(r["__n"] for r in spread.collect()) > 1
+        got = op10_exact.exact_groups(docs, block_bytes=50)
+        assert collections.Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in got.collect()) == want
+
+
+
 # ---- pipeline ---------------------------------------------------------------
 
 def test_pipeline(spark):
