@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_chunks, columns
-from .training import crc_rest, labelled_sample
+from .training import crc_rest, fitted, labelled_rows
 
 DECAY = 0.5
 GAPS = [(a, b) for a in range(1, 5) for b in range(1, 5) if a + b <= 5]
@@ -286,11 +286,13 @@ def score(docs: DataFrame, model: dict, id_col="doc_id", text_col="text", thresh
 def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", fold: int = 4, held: int = 2,
           per_class: int = PER_CLASS) -> dict:
     """Model from labelled rows whose crc32(id as text) mod ``fold`` is not ``held``:
-    at most 1.5 * 2 * ``per_class`` rows. An id with several labels is toxic if one says so."""
+    at most 1.5 * 2 * ``per_class`` rows, which one task trains on. An id with several labels is toxic if one says so."""
     lab = columns(labels, doc_id=id_col, toxic=label_col).where((crc_rest(F.col("doc_id"), fold) != held) & F.col("toxic").isNotNull())
     lab = lab.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     bad, n = lab.agg(F.sum((F.col("toxic") > 0).cast("int")), F.count("*")).first()
-    return fit([(r[1], r[2]) for r in labelled_sample(columns(docs, doc_id=id_col, text=text_col), lab, "toxic", per_class)], (bad or 0) / n if n else 0.5)
+    share = (bad or 0) / n if n else 0.5
+    rows = labelled_rows(columns(docs, doc_id=id_col, text=text_col), lab, "toxic", per_class)
+    return fitted(rows, lambda sample: fit([(r[1], r[2]) for r in sample], share))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fold: int = 4, held: int = 2) -> DataFrame:

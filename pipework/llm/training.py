@@ -1,8 +1,11 @@
 """Bounded training samples: the only rows that operators of this subpackage
-bring to the driver, by a documented bound on rows and on bytes."""
+bring to the driver or to one task, by a documented bound on rows and on bytes."""
 
 from __future__ import annotations
 
+import pickle
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,11 +33,14 @@ def _shares(rows: DataFrame, label: str, per_label: int):
     return share, int(1.5 * per_label * max(1, len(counts)))
 
 
-def _collected(rows: DataFrame, label: str, most: int) -> list:
+def _first(rows: DataFrame, label: str, most: int) -> DataFrame:
     """Wholly equal rows count once; of more than ``most`` rows, those first by hash, id, label and text."""
     rows = rows.select("doc_id", label, "text").distinct()
-    rows = rows.orderBy(unit_hash("doc_id", F.lit("train")), "doc_id", label, "text").limit(most)
-    return sorted(rows.collect(), key=lambda r: (r[0], r[2]))
+    return rows.orderBy(unit_hash("doc_id", F.lit("train")), "doc_id", label, "text").limit(most)
+
+
+def _ordered(rows) -> list:
+    return sorted(rows, key=lambda r: (r[0], r[2]))
 
 
 def sample(rows: DataFrame, label: str, per_label: int) -> list:
@@ -43,15 +49,30 @@ def sample(rows: DataFrame, label: str, per_label: int) -> list:
     doc_id, text, label."""
     rows = rows.where(F.col(label).isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= MAX_BYTES))
     share, most = _shares(rows, label, per_label)
-    return _collected(rows.where(unit_hash("doc_id", F.lit("train")) < share), label, most)
+    return _ordered(_first(rows.where(unit_hash("doc_id", F.lit("train")) < share), label, most).collect())
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: int) -> list:
-    """The same for labels kept apart from the texts (labels: doc_id, label; one row
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, per_label: int) -> DataFrame:
+    """The same, not yet collected, for labels kept apart from the texts (labels: doc_id, label; one row
     an id): the ids are chosen first and broadcast, at most 1.5 * ``per_label`` of
     each label, so that no text but the chosen ones is shuffled."""
     share, most = _shares(labels, label, per_label)
     chance = unit_hash("doc_id", F.lit("train"))
     picked = labels.where(chance < share).orderBy(chance, "doc_id").limit(most)
     rows = docs.where(F.col("text").isNotNull() & (F.octet_length("text") <= MAX_BYTES)).join(F.broadcast(picked), "doc_id")
-    return _collected(rows, label, most)
+    return _first(rows, label, most)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: int) -> list:
+    """The rows of ``labelled_rows`` on the driver."""
+    return _ordered(labelled_rows(docs, labels, label, per_label).collect())
+
+
+def fitted(rows: DataFrame, fit):
+    """``fit`` of the list of a sample's rows, in the order of ``sample``. It runs in a task,
+    so that only the model comes to the driver."""
+    def run(batches):
+        held = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(_ordered(held)))], pa.binary())], names=["model"])
+    got = rows.coalesce(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(got[0]["model"]) if got else fit([])  # no task runs for a sample known to be empty
