@@ -50,10 +50,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix has copies of it. Rows that share an id get the most copies of them."""
     ship_package(spark)
-    copies = op03_mix.mix(docs).groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
-    copies = keep(copies.where("__copies > 0"), "copies")
-    mixed = docs.join(copies, docs["doc_id"].eqNullSafe(copies["__id"]))
-    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*[docs[c] for c in docs.columns])
+    return op03_mix.mixed(docs, exceptions=IDS)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,11 +21,16 @@ WEIGHTS = (3, 1, 2)
 BUCKET_ROWS = 50_000
 
 
+def _measures(text, source) -> list:
+    """size (words; null has none), th (hash of the text), sk (source, never null: "s" + source, or "t" for null, which sorts last)."""
+    return [F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+            F.xxhash64(text).alias("th"), F.coalesce(F.concat(F.lit("s"), source), F.lit("t")).alias("sk")]
+
+
 def measured(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source") -> DataFrame:
-    """doc_id, size (words; null has none), th (hash of the text), sk (source, never null: "s" + source, or "t" for null, which sorts last), rid."""
+    """doc_id, size, th and sk (see _measures), rid."""
     d = columns(docs, doc_id=id_col, text=text_col, source=source_col)
-    d = d.select("doc_id", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-                 F.xxhash64("text").alias("th"), F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("t")).alias("sk"))
+    d = d.select("doc_id", *_measures(F.col("text"), F.col("source")))
     return keep(d.withColumn("rid", F.monotonically_increasing_id()), "measured")
 
 
@@ -90,20 +95,26 @@ def bucketed(d: DataFrame) -> DataFrame:
     return d.join(maybe_broadcast(parts), ["sk", "cls"]).select(*[d[c] for c in d.columns], b)
 
 
+def _rated(d: DataFrame, prior=None, cap: float = 2.0) -> DataFrame:
+    """d (doc_id, size, th, target, lam, others) with base, the whole part of the rate; part, the
+    fraction; may, whether there is one; p, the place in the order of dealing; and cls, the size class."""
+    prior = F.lit(1.0) if prior is None else prior
+    rate = F.when(F.col("target") > 0, F.least(F.lit(cap), prior * F.exp("lam"))).otherwise(0.0)
+    d = d.withColumn("rate", rate).withColumn("base", F.floor(F.col("rate") + 1e-9)).withColumn("may", F.col("rate") - F.col("base") > 1e-9)
+    d = d.withColumn("part", F.greatest(F.col("rate") - F.col("base"), F.lit(1e-12)))
+    return d.withColumn("p", unit_hash("doc_id", "size", "th", F.lit("mix")) / F.col("part")).withColumn("cls", F.length(F.bin("size")) - 1)
+
+
 def copies(sizes: DataFrame, lam: DataFrame, prior=None, cap: float = 2.0, fills: int = 5) -> DataFrame:
-    """sizes with copies. Whole parts of the rates are copies. The fractions are
+    """sizes with copies; also base, may, p and cls (see _rated) and first, 1 if the row was dealt
+    a copy of its fraction before the last step, null if it was not dealt by class. Whole parts of the rates are copies. The fractions are
     dealt by size class (powers of two), largest first: each class gets its
     share of the source's remaining words and what larger classes left over, in
     order of hash / fraction, and one document more if the smaller classes
     can't make up for it. Then single documents that bring the source nearer to
     its target get one copy more or fewer."""
-    prior = F.lit(1.0) if prior is None else prior
-    rate = F.when(F.col("target") > 0, F.least(F.lit(cap), prior * F.exp("lam"))).otherwise(0.0)
-    d = sizes.join(maybe_broadcast(lam), "sk").withColumn("rate", rate).withColumn("base", F.floor(F.col("rate") + 1e-9))
-    d = d.withColumn("part", F.greatest(F.col("rate") - F.col("base"), F.lit(1e-12))).withColumn("p", unit_hash("doc_id", "size", "th", F.lit("mix")) / F.col("part"))
-    d = keep(d.select("doc_id", "sk", "size", "th", "rid", "source_size", "target", "base", "p", "part",
-                      (F.length(F.bin("size")) - 1).alias("cls"),
-                      (F.col("rate") - F.col("base") > 1e-9).alias("may")), "dealt")
+    d = _rated(sizes.join(maybe_broadcast(lam), "sk"), prior, cap)
+    d = keep(d.select("doc_id", "sk", "size", "th", "rid", "source_size", "target", "base", "p", "part", "cls", "may"), "dealt")
     deal = F.col("may") & (F.col("size") > 0)
     extra = d.groupBy("sk").agg((F.max("target") - F.sum(F.col("base") * F.col("size"))).alias("extra"))
     dealt = bucketed(d.where(deal))
@@ -137,7 +148,7 @@ def copies(sizes: DataFrame, lam: DataFrame, prior=None, cap: float = 2.0, fills
             F.when(F.col("upto").isNull(), F.col("cuts")).otherwise(F.concat("cuts", cut)).alias("cuts")), "left")
     cuts = state.join(extra, "sk").select("sk", "extra", F.explode("cuts").alias("c")).select("sk", "extra", "c.cls", "c.upto")
     cuts = keep(cuts, "cuts")
-    one = keep(run.join(near(cuts), ["sk", "cls"]).withColumn("more", (F.col("used") <= F.col("upto")).cast("int")), "dealt-more")
+    one = keep(run.join(near(cuts), ["sk", "cls"]).withColumn("more", (F.col("used") <= F.col("upto")).cast("int")).withColumn("first", F.col("more")), "dealt-more")
     for _ in range(fills):  # one more or one fewer copy of the document that brings the source nearest to its target
         gap = one.groupBy("sk").agg((F.max("extra") - F.sum(F.col("more") * F.col("size"))).alias("gap"))
         after = F.abs(F.col("gap") - F.when(F.col("more") == 0, F.col("size")).otherwise(-F.col("size")))
@@ -147,9 +158,9 @@ def copies(sizes: DataFrame, lam: DataFrame, prior=None, cap: float = 2.0, fills
         one = one.join(maybe_broadcast(best), ["sk", "rid"], "left").withColumn(
             "more", F.abs(F.col("more") - F.coalesce("turn", F.lit(0)))).drop("turn")
     # rows without a fraction or without words are not dealt; the latter go by their own hash
-    rest = d.where(~deal).withColumn("more", (F.col("may") & (F.col("p") <= 1)).cast("int"))
-    out = ["doc_id", "sk", "size", "rid", "source_size", "target", "base", "more"]
-    return one.select(*out).unionByName(rest.select(*out)).withColumn("copies", (F.col("base") + F.col("more")).cast("int"))
+    rest = d.where(~deal).withColumn("more", (F.col("may") & (F.col("p") <= 1)).cast("int")).withColumn("first", F.lit(None).cast("int"))
+    out = ["doc_id", "sk", "size", "rid", "source_size", "target", "base", "may", "p", "cls", "first", "more"]
+    return one.withColumn("may", F.lit(True)).select(*out).unionByName(rest.select(*out)).withColumn("copies", (F.col("base") + F.col("more")).cast("int"))
 
 
 def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS,
@@ -167,3 +178,32 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
     d = copies(sizes, balance(sizes, goal, cap=cap), cap=cap)
     return d.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), "copies",
                     (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
+def _expected(cuts) -> F.Column:
+    """Copies of a row by its own place alone: whole part, and one more up to the cut of its class."""
+    upto = F.when(F.col("size") > 0, F.element_at(cuts, F.col("cls"))).otherwise(F.lit(1.0))
+    return (F.col("base") + (F.col("may") & F.coalesce(F.col("p") <= upto, F.lit(False))).cast("int")).cast("int")
+
+
+def mixed(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS,
+          share: float = 1.5, cap: float = 2.0, exceptions: int = 500_000) -> DataFrame:
+    """The rows of ``docs``, with all their columns, each as often as ``mix`` has copies of its id;
+    rows that share an id get the most copies of them.
+
+    Texts are not shuffled. The dealing leaves a cut in every size class of a source, and
+    most rows tell their copies from it; ids for which ``mix`` decided otherwise (last steps,
+    ties at a cut, rows that share an id) are joined, by broadcast up to ``exceptions`` ids."""
+    sizes = measured(docs, id_col, text_col, source_col)
+    lam = balance(sizes, targets(sizes, weights, share, cap), cap=cap)
+    done = keep(copies(sizes, lam, cap=cap).select("doc_id", "sk", "size", "base", "may", "p", "cls", "first", "copies"), "copies")
+    cuts = done.where("first = 1").groupBy("sk", "cls").agg(F.max("p").alias("upto"))
+    cuts = cuts.groupBy("sk").agg(F.map_from_entries(F.collect_list(F.struct("cls", "upto"))).alias("cuts"))  # a class for each power of two
+    rule = maybe_broadcast(keep(lam.join(cuts, "sk", "left").select("sk", "target", "lam", "cuts"), "rule"))
+    odd = done.join(rule.select("sk", "cuts"), "sk").groupBy("doc_id").agg(
+        F.max("copies").alias("n"), F.min(_expected(F.col("cuts"))).alias("least"), F.max(_expected(F.col("cuts"))).alias("most"))
+    odd = keep(odd.where("least <> n OR most <> n").select(F.col("doc_id").alias("__id"), F.col("n").alias("__n")), "odd")
+    d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), *_measures(F.col(f"`{text_col}`"), F.col(f"`{source_col}`")), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    d = _rated(d.join(rule, "sk"), cap=cap).select("doc_id", "row", _expected(F.col("cuts")).alias("expected"))
+    d = d.join(maybe_broadcast(odd, exceptions), d["doc_id"].eqNullSafe(odd["__id"]), "left").withColumn("n", F.coalesce("__n", "expected"))
+    return d.where("n > 0").select("row", F.explode(F.sequence(F.lit(1), "n"))).select("row.*")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import bisect
 import collections
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -208,6 +209,36 @@ def test_mix_reruns_agree_on_rows_of_one_id(spark):
     assert one == two
 
 
+@pytest.mark.parametrize(("kind", "exceptions"), [("repeated", 0), ("ties", 500_000)])
+def test_mixed_rows(kind, exceptions, request, spark):
+    """Rows as often as the most copies of their id, though most take them from their source's cuts."""
+    ties = [(7, "w " * (1 + i % 9), "en", "a") for i in range(400)] + [(None, "v " * (1 + i % 5), "en", "a") for i in range(200)] + [(i, "u " * 3, "en", "b") for i in range(50)] + [(60, None, None, "c")]
+    docs = make(spark, ties).repartition(4) if kind == "ties" else request.getfixturevalue(kind)
+    most, want = {}, collections.Counter()
+    for r in op03_mix.mix(docs).collect():
+        most[r.doc_id] = max(most.get(r.doc_id, 0), r.copies)
+    for r in docs.collect():
+        want[tuple(r)] += most[r.doc_id]
+    out = op03_mix.mixed(docs, exceptions=exceptions)
+    assert out.dtypes == docs.dtypes
+    assert collections.Counter(map(tuple, out.collect())) == +want
+
+
+def test_mixed_texts_are_not_shuffled(spark):
+    """Also where the copies are no table that Spark would broadcast by itself."""
+    import corpus_pipeline
+    docs = make(spark, [(i, "w " * (1 + i % 30), "en", "ab"[i % 2]) for i in range(3000)])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = corpus_pipeline.mix(spark, docs, SF)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and "hashpartitioning" not in plan, plan
+        assert out.count() > 3000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 @pytest.mark.parametrize("long_id", range(3))
 def test_mix_long_documents(spark, long_id):
     """One long document among many short ones, wherever it comes in the order:
@@ -445,6 +476,26 @@ def test_training_sample(spark, monkeypatch):
         training.sample(docs, "lang", 10)
 
 
+def test_training_in_a_task(spark):
+    """The driver gets the model, not the sample, of which the model is the same whatever the partitioning."""
+    docs = spark.createDataFrame([(i, f"text {i % 50}") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    for n in (1, 7):
+        rows = training.labelled_rows(docs.repartition(n), labels.repartition(n), "toxic", 20)
+        pid, got = training.fitted(rows, lambda sample: (os.getpid(), sample))
+        assert pid != os.getpid() and got == [tuple(r) for r in training.labelled_sample(docs, labels, "toxic", 20)]
+    assert training.fitted(rows.where("doc_id < 0"), len) == 0
+    plain, insult = "the river runs past the old mill and the green hills", "zorblax"
+    rows = [(i, plain + f" number{i}" + (f" {insult}" if i % 4 == 0 else "")) for i in range(200)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    model = op07_toxicity.train(docs.repartition(3), labels)
+    sample = [(r[1], r[2]) for r in training.labelled_sample(docs, labels.where(training.crc_rest(F.col("doc_id"), 4) != 2), "toxic", op07_toxicity.PER_CLASS)]
+    share = sum(y for y, _ in sample) / len(sample)
+    here = op07_toxicity.fit(sample, share)
+    assert np.abs(model["v"]).max() > 0
+    assert all(np.allclose(model[k], here[k], atol=1e-5) for k in ("v", "b", "doc"))
+
+
 def test_scores_on_odd_rows(spark, repeated):
     labels = spark.createDataFrame([(i, i % 2, int(i > 40)) for i in range(90)] + [(3, 0, 0), (None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
     n = repeated.count()
