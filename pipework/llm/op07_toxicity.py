@@ -129,14 +129,17 @@ def _logistic(x: np.ndarray, y: np.ndarray, share: float, ridge=0.05) -> np.ndar
 
 
 def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 20.0) -> np.ndarray:
-    """Squared-hinge linear machine (last entry: bias), by Newton steps on the active rows."""
-    z = np.c_[z, np.ones(len(z))]
+    """Squared-hinge linear machine (z: a last column of ones, for the bias), by Newton steps on the active rows."""
     w = np.zeros(z.shape[1])
     reg = np.r_[np.ones(z.shape[1] - 1), 1e-3]
     for _ in range(40):
-        on = y * (z @ w) < 1
-        g = reg * w - c * z[on].T @ (weight[on] * (y[on] - z[on] @ w))
-        h = np.diag(reg) + c * (z[on] * weight[on][:, None]).T @ z[on]
+        on = np.flatnonzero(y * (z @ w) < 1)
+        g, h = reg * w, np.diag(reg)
+        for i in range(0, len(on), 512):  # active rows are copied a few at a time
+            at = on[i:i + 512]
+            x = z[at]
+            g = g - c * x.T @ (weight[at] * (y[at] - x @ w))
+            h += c * (x * weight[at][:, None]).T @ x
         step = np.linalg.solve(h, g)
         w = w - step
         if np.abs(step).max() < 1e-6:
@@ -243,15 +246,17 @@ def fit(rows: list[tuple[int, str]], share: float = 0.5) -> dict:
     zp, zn = kernel(pos) @ root, kernel(neg) @ root
     for turn in range(4):
         y = np.r_[np.ones(len(zp)), -np.ones(len(zn))]
-        w = _svm(np.r_[zp, zn], y, np.r_[often, np.full(len(zn), 2 / len(zn))] * len(zp))
+        w = _svm(np.c_[np.r_[zp, zn], y * y], y, np.r_[often, np.full(len(zn), 2 / len(zn))] * len(zp))
         v = np.zeros(1 << 18)
         v[used] = table[:-1] @ (root @ w[:-1])
         model = {"v": v.astype(np.float32), "b": float(w[-1])}
         if turn < 3:  # clean words on the wrong side, or near it
-            code = np.frombuffer(b"".join(pool), np.uint8).astype(np.int64)
-            f, word = window_scores(code, np.repeat(np.arange(len(pool)), [len(k) for k in pool]), model["v"])
             worst = np.full(len(pool), -9.0)
-            np.maximum.at(worst, word, f + model["b"])
+            for i in range(0, len(pool), 10_000):
+                part = pool[i:i + 10_000]
+                code = np.frombuffer(b"".join(part), np.uint8).astype(np.int64)
+                f, word = window_scores(code, np.repeat(np.arange(len(part)), [len(k) for k in part]), model["v"])
+                np.maximum.at(worst, i + word, f + model["b"])
             there = set(neg)
             hard = [pool[i] for i in np.argsort(-worst, kind="stable")[:3 * ADDED] if worst[i] > -0.9 and pool[i] not in there][:ADDED]
             if not hard:
